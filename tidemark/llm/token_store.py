@@ -9,8 +9,10 @@ are rows of a Parquet table (part, seq, n_tokens, matrix), written by Spark into
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,35 +142,74 @@ class WaveletMatrix:
         return v
 
 
+#: How the tokenizers file of lower-cased words with word ends parts a text.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w]|_)+")
+#: Words for which that holds without the library: printable ASCII and the letters of Latin-1 and Latin Extended-A.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+
+
 class Encoder:
     """Encodes texts word by word with a tokenizers file, keeping the ids of words it has seen.
 
-    The file's pre-tokenizer never joins characters across white space, so a text's ids are those of its words.
+    The file's pre-tokenizer never joins characters across white space, so a text's ids are those of its words. Of
+    a file that normalises by NFC, white space and lower case and parts words by the pattern above, common words
+    are parted here and only their pieces go through the model; all others go through the whole library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        stages = [str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)]
+        self.parts = stages[0] == 'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])' and "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in stages[1]
+        self.bytes = _byte_letters()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.pieces, self.ids, self.begin = {}, {}, array("I"), array("q", [0])
+
+    def _piece(self, piece: str) -> list[int]:
+        text = piece if piece.isascii() else "".join(self.bytes[b] for b in piece.encode())
+        ids = self.pieces[piece] = [x.id for x in self.tokenizer.model.tokenize(text)]
+        return ids
+
+    def _learn(self, words: list[str]) -> None:
+        rest, known, get, ids, begin = [], self.known, self.pieces.get, self.ids, self.begin
+        for w in words:
+            if self.parts and _PLAIN.fullmatch(w) and "<|" not in w:
+                for piece in _PIECES.findall(w.lower()):
+                    ids.extend(get(piece) or self._piece(piece))
+                known[w] = len(begin) - 1
+                begin.append(len(ids))
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            ids.extend(e.ids)
+            known[w] = len(begin) - 1
+            begin.append(len(ids))
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` after it, and their numbers."""
         codes, offsets, words = split(texts)
         words = words.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known, new = {}, words
-        self.known.update(zip(new, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        own = [self.known[w] for w in words]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        begin = np.cumsum(size) - size
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        n = size[codes]
+        if len(self.known) + len(words) > KNOWN_WORDS:
+            self.forget()
+        self._learn([w for w in words if w not in self.known])
+        at = np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        flat, begin = np.append(np.array(self.ids, np.uint32), np.uint32(end)), np.append(np.array(self.begin, np.int64), len(self.ids) + 1)
+        word = np.insert(at[codes] if len(codes) else codes, offsets[1:], len(begin) - 2)
+        n = begin[word + 1] - begin[word]
         total = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(total[-1]) - np.repeat(total[:-1] - begin[codes], n)
-        ends = total[offsets[1:]]
-        return np.insert(flat[at], ends, np.uint32(end)).astype(np.uint32), np.diff(total[offsets]) + 1
+        places = np.arange(total[-1]) + np.repeat(begin[word] - total[:-1], n)
+        return flat[places], np.diff(total[offsets + np.arange(len(offsets))])
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable ones for themselves, the others from code point 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 _encoders: dict[str, Encoder] = {}
