@@ -7,8 +7,8 @@ with fair probability. Walks and samples are repeated until a leak at the limit
 Keys of windows and items meet in a Spark join, and an exact edit distance decides.
 
 Windows that cannot be leaks are left out before the walk by a bound that loses none: k edits leave at least
-n - 1 - 2k of an item's word pairs in place. Item pairs and item keys are held as bit sets of fixed size, whatever
-the number of items; fuller sets only prune less.
+n - 2 - 3k of an item's word triples in place. The triples of items, marked with the item's length, and the items'
+keys are held as bit sets of fixed size, whatever the number of items; fuller sets only prune less.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .wordstream import pieces, split
 
 #: Edits allowed for each word of an item; probability of finding a leak at that limit; symbols in a sample;
 #: samples from one walk; share of symbols taken to agree at the limit; bits of the two bit sets (4 MB, 4 MB).
-EDITS, RECALL, SAMPLED, PER_WALK, AGREE, SET_BITS = 0.2, 0.999, 3, 8, 0.45, 25
+EDITS, RECALL, SAMPLED, PER_WALK, AGREE, SET_BITS = 0.2, 0.995, 2, 8, 0.45, 25
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,9 +48,9 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[there], np.concatenate([[0], np.cumsum(there)])[offsets]
 
 
-def limit(n: np.ndarray | int) -> np.ndarray | int:
-    """Edits that a window may have against an item of n words."""
-    return np.floor(np.asarray(n) * EDITS + 1e-9).astype(np.int64)
+def limit(n: int) -> int:
+    """Edits that a window may have against an item of n words: a fifth, and so few that a triple is left."""
+    return max(0, min(math.floor(n * EDITS + 1e-9), (n - 3) // 3))
 
 
 def repeats(recall: float = RECALL) -> int:
@@ -106,25 +106,43 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _pairs(flat: np.ndarray) -> np.ndarray:
-    return _mix(flat[:-1] * np.uint64(3) + _mix(flat[1:]))
+def _triples(flat: np.ndarray) -> np.ndarray:
+    return _mix(flat[:-2] * np.uint64(5) + _mix(flat[1:-1] * np.uint64(3) + _mix(flat[2:])))
+
+
+def _of_length(triples: np.ndarray, n: int) -> np.ndarray:
+    return _mix(triples + np.uint64(n))
+
+
+def _candidates(hits: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the windows of n words that hold enough of the sorted places of triples."""
+    k = limit(n)
+    need, width = max(1, n - 2 - 3 * k), n + k - 3
+    if len(hits) < need:
+        return hits[:0]
+    first, last = hits[: len(hits) - need + 1], hits[need - 1 :]
+    low, high = np.maximum(last - width, 0), first + 1
+    # neighbouring ranges of starts overlap; each start comes once
+    low = np.maximum(low, np.concatenate([[0], np.maximum.accumulate(high)[:-1]]))
+    size = np.maximum(high - low, 0)
+    return np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
 def _items(items: DataFrame, count: int) -> DataFrame:
-    """item, n, words (hashes as bytes), pairs and keys (longs) of each item of two words or more."""
+    """item, n, words (hashes as bytes), triples and keys (longs) of each item of three words or more."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, offsets = symbols(b.column("text"))
             rows = []
             for item, x, y in zip(b.column("item_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                if y - x >= 2:
+                if y - x >= 3:
                     w = flat[x:y]
-                    rows.append((item, y - x, w.tobytes(), _pairs(w).view(np.int64).tolist(), keys(w, np.zeros(1, np.int64), y - x, count)[0].view(np.int64).tolist()))
+                    rows.append((item, y - x, w.tobytes(), np.concatenate([_triples(w), _of_length(_triples(w), y - x)]).view(np.int64).tolist(), keys(w, np.zeros(1, np.int64), y - x, count)[0].view(np.int64).tolist()))
             types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["item_id", "n", "words", "pairs", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["item_id", "n", "words", "triples", "keys"])
 
-    return cut(items.select(F.col("item_id").cast("long"), items["text"].cast("string").alias("text")).mapInArrow(made, "item_id long, n long, words binary, pairs array<long>, keys array<long>"))
+    return cut(items.select(F.col("item_id").cast("long"), items["text"].cast("string").alias("text")).mapInArrow(made, "item_id long, n long, words binary, triples array<long>, keys array<long>"))
 
 
 def _union(hashes: DataFrame) -> np.ndarray:
@@ -151,13 +169,13 @@ def leaks(docs: DataFrame, items: DataFrame, recall: float = RECALL) -> DataFram
     Returns doc_id, item_id, start (of the best window, in normalised words from 0), n_words (of the item) and
     edits (the smallest number of word edits found, at most a fifth of n_words), one row for each pair.
 
-    Null and empty texts hold nothing; items of fewer than two normalised words match nothing; rows with equal
+    Null and empty texts hold nothing; items of fewer than three normalised words match nothing, those of five only exactly; rows with equal
     doc_id or item_id are joined to one pair; empty tables give no rows. Other columns don't matter.
     """
     spark, count = docs.sparkSession, repeats(recall)
     listed = _items(items, count)
     lengths = spark.sparkContext.broadcast(sorted(r.n for r in listed.select("n").distinct().collect()))  # the distinct item lengths
-    pair_set = spark.sparkContext.broadcast(_union(listed.select(F.explode("pairs").alias("h"))))
+    triple_set = spark.sparkContext.broadcast(_union(listed.select(F.explode("triples").alias("h"))))
     key_set = spark.sparkContext.broadcast(_union(listed.select(F.explode("keys").alias("h"))))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,24 +186,20 @@ def leaks(docs: DataFrame, items: DataFrame, recall: float = RECALL) -> DataFram
                 flat, offsets = symbols(piece.column("text"))
                 ids = piece.column("doc_id").to_pylist()
                 out: list[tuple] = []
-                if len(flat) > 1:
-                    hit = _in(pair_set.value, _pairs(flat))
-                    inner = np.ones(len(flat) - 1, bool)
-                    inner[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(flat))] - 1] = False
-                    hit &= inner
-                    # pairs of items before each place, carried on past the end
-                    total = np.concatenate([[0], np.cumsum(hit, dtype=np.int32), np.full(2 * ns[-1], hit.sum(), np.int32)]) if ns else np.zeros(0)
+                if len(flat) > 2:
+                    triples = _triples(flat)
+                    some = np.flatnonzero(_in(triple_set.value, triples))
+                    some = some[np.searchsorted(offsets, some, "right") == np.searchsorted(offsets, some + 2, "right")]
                     for n in ns:
-                        k = int(limit(n))
-                        start = np.flatnonzero(total[n + k - 1 : n + k - 1 + len(flat)] - total[: len(flat)] >= n - 1 - 2 * k)
-                        doc = np.searchsorted(offsets, start, "right") - 1
-                        end = np.minimum(start + n + k, offsets[doc + 1])
-                        if not len(start):
-                            continue
-                        found = keys(flat, start, n, count)
-                        for r in np.flatnonzero(_in(key_set.value, found.ravel()).reshape(found.shape).any(axis=1)):
-                            mine = found[r][_in(key_set.value, found[r])]
-                            out.append((ids[doc[r]], int(start[r] - offsets[doc[r]]), n, flat[start[r] : end[r]].tobytes(), mine.view(np.int64).tolist()))
+                        start = _candidates(some[_in(triple_set.value, _of_length(triples[some], n))], n)
+                        for begin in range(0, len(start), 20_000):
+                            mine = start[begin : begin + 20_000]
+                            doc = np.searchsorted(offsets, mine, "right") - 1
+                            end = np.minimum(mine + n + limit(n), offsets[doc + 1])
+                            found = keys(flat, mine, n, count)
+                            met = _in(key_set.value, found.ravel()).reshape(found.shape)
+                            for r in np.flatnonzero(met.any(axis=1)):
+                                out.append((ids[doc[r]], int(mine[r] - offsets[doc[r]]), n, flat[mine[r] : end[r]].tobytes(), found[r][met[r]].view(np.int64).tolist()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], ["doc_id", "start", "n", "words", "keys"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +214,7 @@ def leaks(docs: DataFrame, items: DataFrame, recall: float = RECALL) -> DataFram
     met = near.join(of, "key").where("n = item_n").groupBy("doc_id", "item_id", "start", "n", "words", "item_words").agg(F.lit(1).alias("one"))
     kind = "doc_id long, item_id long, start long, n_words long, edits long"
     sure = met.select("doc_id", "item_id", "start", "n", "words", "item_words").mapInArrow(verified, kind)
-    best = sure.where(F.col("edits") <= F.floor(F.col("n_words") * EDITS + 1e-9)).groupBy("doc_id", "item_id", "n_words").agg(F.min(F.struct("edits", "start")).alias("x"))
+    best = sure.where(F.col("edits") <= F.greatest(F.lit(0), F.least(F.floor(F.col("n_words") * EDITS + 1e-9), F.floor((F.col("n_words") - 3) / 3)))).groupBy("doc_id", "item_id", "n_words").agg(F.min(F.struct("edits", "start")).alias("x"))
     return best.select("doc_id", "item_id", "x.start", "n_words", "x.edits")
 
 
