@@ -55,3 +55,11 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
 def blocks(total: int, each: int) -> int:
     """How many blocks of about ``each`` units hold ``total``."""
     return max(1, -(-int(total) // each))
+
+
+def among(docs: DataFrame, keys: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text are among ``keys`` (doc_id, text_hash, each pair once), with all their
+    columns and, under new names ``__tidemark_<name>``, the ``extra`` ones of keys."""
+    k = keys.select(F.col("doc_id").alias("__tidemark_id"), F.col("text_hash").alias("__tidemark_hash"), *(F.col(c).alias(f"__tidemark_{c}") for c in extra))
+    same = docs["doc_id"].eqNullSafe(k["__tidemark_id"]) & (F.xxhash64(docs["text"].cast("string")) == k["__tidemark_hash"])
+    return docs.join(k, same, "inner" if extra else "left_semi").drop("__tidemark_id", "__tidemark_hash")

@@ -18,11 +18,12 @@ HASH_BITS, LEVEL_BITS = 60, 12
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and h (60-bit hash of doc_id) of each document, narrow and checkpointed."""
+    """doc_id, text_hash, source, size (words) and h (60-bit hash of doc_id) of each document, narrow and checkpointed."""
     key = F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))
     return cut(
         docs.select(
             "doc_id",
+            F.xxhash64(docs["text"].cast("string")).alias("text_hash"),
             docs["source"].cast("string").alias("source"),
             F.regexp_count(text_of(docs), F.lit(WORD)).cast("long").alias("size"),
             F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long").alias("h"),
@@ -81,7 +82,7 @@ def threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """How many words of each document a mix with the given source weights takes.
 
-    Returns doc_id, source, size, source_size, target, copies and taken, a row for each row of ``docs``. A source
+    Returns doc_id, text_hash, source, size, source_size, target, copies and taken, a row for each row of ``docs``. A source
     that needs more than it has is repeated, each document ``floor(target / size)`` times; the rest of the target
     goes to the documents with the lowest hashes. Where the next document would pass the target, the hashes above
     it are searched once more for documents that still fit, and the document at that second edge is taken if
@@ -111,4 +112,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) ->
         (h > F.col("edge1")) & (size <= F.col("fits")) & (F.col("edge2").isNull() | (h < F.col("edge2")) | (F.col("nearer") & (h == F.col("edge2")))), 1
     ).otherwise(0)
     copies = F.least(F.col("p.passes") + extra, F.lit(cap)).cast("long")
-    return o.join(p, same("o", "p")).select("o.doc_id", "o.source", "o.size", "p.source_size", "p.target", copies.alias("copies"), (copies * size).alias("taken"))
+    return o.join(p, same("o", "p")).select("o.doc_id", "o.text_hash", "o.source", "o.size", "p.source_size", "p.target", copies.alias("copies"), (copies * size).alias("taken"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_quality, mixing, simhash, substring_dedup, token_store
+from . import decontaminate, license_scan, line_quality, lm_score, mixing, simhash, substring_dedup, surrogates, token_store, toxicity
 from .sql import ORACLE
 
 
@@ -15,6 +15,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir))
 
@@ -42,12 +46,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.rate(_documents(spark, sf_dir)).drop("source", "text_hash")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op3_token_store, op4_decontamination, op5_substring_dedup, op6_mixing, op7_quality_rules, op9_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_token_store, op4_decontamination, op5_substring_dedup, op6_mixing, op7_quality_rules, op8_lm_score, op9_simhash, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
