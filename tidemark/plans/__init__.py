@@ -1 +1,5 @@
-"""Market, event and news analytics on Spark DataFrames."""
+"""Registered queries: each module has Q (functions by name) and SQL (their DuckDB text)."""
+
+from . import market
+
+PLANS = (market,)
