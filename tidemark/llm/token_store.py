@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .wordstream import pieces, split
 
 #: Tokens in a shard, but for its last document; words that a worker keeps encoded.
-SHARD_TOKENS, KNOWN_WORDS = 1 << 21, 300_000
+SHARD_TOKENS, KNOWN_WORDS = 1 << 21, 800_000
 
 _MAGIC = b"WMX1"
 
@@ -132,12 +132,13 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids, by undoing the partings from the lowest plane up."""
-        v = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        v = np.zeros(self.n, kind)
         for b, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             one = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             up = np.empty_like(v)
             up[~one] = v[:zeros]
-            up[one] = v[zeros:] | np.uint32(1 << b)
+            up[one] = v[zeros:] | kind(1 << b)
             v = up
         return v
 
@@ -193,10 +194,13 @@ class Encoder:
         """Ids of all texts, each with ``end`` after it, and their numbers."""
         codes, offsets, words = split(texts)
         words = words.to_pylist()
-        if len(self.known) + len(words) > KNOWN_WORDS:
+        if len(self.known) > KNOWN_WORDS:
             self.forget()
-        self._learn([w for w in words if w not in self.known])
-        at = np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        at = list(map(self.known.get, words))
+        if None in at:
+            self._learn([w for w, i in zip(words, at) if i is None])
+            at = list(map(self.known.get, words))
+        at = np.array(at, np.int64)
         flat, begin = np.append(np.array(self.ids, np.uint32), np.uint32(end)), np.append(np.array(self.begin, np.int64), len(self.ids) + 1)
         word = np.insert(at[codes] if len(codes) else codes, offsets[1:], len(begin) - 2)
         n = begin[word + 1] - begin[word]
@@ -236,7 +240,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), pa.array([WaveletMatrix.build(ids, lengths).to_bytes()], pa.binary())], ["part", "seq", "n_tokens", "doc_ids", "matrix"])
 
         for batch in batches:
-            for piece in pieces(batch, limit=4_000_000):
+            for piece in pieces(batch, limit=6_000_000):
                 ids, lengths = _encoders[tokenizer](piece.column("text"), end_id)
                 held.append((ids, lengths, piece.column("doc_id")))
                 if sum(len(x[0]) for x in held) >= shard_tokens:
