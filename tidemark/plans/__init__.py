@@ -1,5 +1,5 @@
 """Registered queries: each module has Q (functions by name) and SQL (their DuckDB text)."""
 
-from . import market
+from . import market, texts
 
-PLANS = (market,)
+PLANS = (market, texts)
