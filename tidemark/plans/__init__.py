@@ -1,5 +1,5 @@
 """Registered queries: each module has Q (functions by name) and SQL (their DuckDB text)."""
 
-from . import market, texts
+from . import loads, market, texts
 
-PLANS = (market, texts)
+PLANS = (market, texts, loads)
