@@ -83,15 +83,19 @@ def keys(flat: np.ndarray, starts: np.ndarray, n: int, count: int) -> np.ndarray
     return out
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Edits that turn ``a`` into some prefix of ``b``, and the shortest such prefix's length."""
-    row = np.arange(len(b) + 1)
-    at = np.arange(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        up = np.minimum(row[1:] + 1, row[:-1] + (b != x))
-        up = np.concatenate([[i], up])
-        row = np.minimum.accumulate(up - at) + at
-    return int(row.min()), int(row.argmin())
+def distances(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the fewest edits that turn the item into some part of the text, and where the first such part ends.
+
+    Items (rows, n) and texts (rows, m), these filled up with a word that is in no item.
+    """
+    at = np.arange(texts.shape[1] + 1, dtype=np.int32)
+    row = np.zeros((len(texts), len(at)), np.int32)
+    for i in range(items.shape[1]):
+        up = np.empty_like(row)
+        up[:, 0] = i + 1
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (texts != items[:, i, None]), out=up[:, 1:])
+        row = np.minimum.accumulate(up - at, axis=1) + at
+    return row.min(1), row.argmin(1)
 
 
 def _bitset(h: np.ndarray) -> np.ndarray:
@@ -166,7 +170,7 @@ def _union(hashes: DataFrame) -> np.ndarray:
 def leaks(docs: DataFrame, items: DataFrame, recall: float = RECALL) -> DataFrame:
     """Which documents hold which benchmark items, exactly or nearly.
 
-    Returns doc_id, item_id, start (of the best window, in normalised words from 0), n_words (of the item) and
+    Returns doc_id, item_id, end (where the best passage ends, in normalised words from 0), n_words (of the item) and
     edits (the smallest number of word edits found, at most a fifth of n_words), one row for each pair.
 
     Null and empty texts hold nothing; items of fewer than three normalised words match nothing, those of five only exactly; rows with equal
@@ -198,24 +202,38 @@ def leaks(docs: DataFrame, items: DataFrame, recall: float = RECALL) -> DataFram
                             end = np.minimum(mine + n + limit(n), offsets[doc + 1])
                             found = keys(flat, mine, n, count)
                             met = _in(key_set.value, found.ravel()).reshape(found.shape)
-                            for r in np.flatnonzero(met.any(axis=1)):
-                                out.append((ids[doc[r]], int(mine[r] - offsets[doc[r]]), n, flat[mine[r] : end[r]].tobytes(), found[r][met[r]].view(np.int64).tolist()))
+                            rows = np.flatnonzero(met.any(axis=1))
+                            # windows that start close together in a document are one passage
+                            apart = np.flatnonzero((np.diff(mine[rows]) > n) | (np.diff(doc[rows]) > 0)) + 1
+                            for r in np.split(rows, apart) if len(rows) else []:
+                                passage = flat[mine[r[0]] : end[r[-1]]].tobytes()
+                                out.append((ids[doc[r[0]]], int(mine[r[0]] - offsets[doc[r[0]]]), n, passage, np.unique(found[r][met[r]]).view(np.int64).tolist()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], ["doc_id", "start", "n", "words", "keys"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = [distance(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))[0] for x, y in zip(b.column("item_words").to_pylist(), b.column("words").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "item_id", "start", "n")] + [pa.array(d, pa.int64())], ["doc_id", "item_id", "start", "n_words", "edits"])
+            n, start = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "start"))
+            own, text = ([np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in ("item_words", "words"))
+            edits, ends = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            for k in np.unique(n):
+                rows = np.flatnonzero(n == k)
+                for i in range(0, len(rows), 512):
+                    r = rows[i : i + 512]
+                    wide = np.zeros((len(r), max(len(text[j]) for j in r)), np.uint64)
+                    for w, j in zip(wide, r):
+                        w[: len(text[j])] = text[j]
+                    edits[r], ends[r] = distances(np.stack([own[j] for j in r]), wide)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array(start + ends), b.column("n"), pa.array(edits)], ["doc_id", "item_id", "end", "n_words", "edits"])
 
     t = docs.select(F.col("doc_id").cast("long"), docs["text"].cast("string").alias("text"))
     near = t.mapInArrow(windows, "doc_id long, start long, n long, words binary, keys array<long>")
     near = near.select("doc_id", "start", "n", "words", F.explode(F.array_distinct("keys")).alias("key"))
     of = listed.select("item_id", F.col("n").alias("item_n"), F.col("words").alias("item_words"), F.explode(F.array_distinct("keys")).alias("key"))
     met = near.join(of, "key").where("n = item_n").groupBy("doc_id", "item_id", "start", "n", "words", "item_words").agg(F.lit(1).alias("one"))
-    kind = "doc_id long, item_id long, start long, n_words long, edits long"
+    kind = "doc_id long, item_id long, end long, n_words long, edits long"
     sure = met.select("doc_id", "item_id", "start", "n", "words", "item_words").mapInArrow(verified, kind)
-    best = sure.where(F.col("edits") <= F.greatest(F.lit(0), F.least(F.floor(F.col("n_words") * EDITS + 1e-9), F.floor((F.col("n_words") - 3) / 3)))).groupBy("doc_id", "item_id", "n_words").agg(F.min(F.struct("edits", "start")).alias("x"))
-    return best.select("doc_id", "item_id", "x.start", "n_words", "x.edits")
+    best = sure.where(F.col("edits") <= F.greatest(F.lit(0), F.least(F.floor(F.col("n_words") * EDITS + 1e-9), F.floor((F.col("n_words") - 3) / 3)))).groupBy("doc_id", "item_id", "n_words").agg(F.min(F.struct("edits", "end")).alias("x"))
+    return best.select("doc_id", "item_id", "x.end", "n_words", "x.edits")
 
 
 def clean(docs: DataFrame, items: DataFrame, recall: float = RECALL) -> DataFrame:
