@@ -27,7 +27,7 @@ GIVEN = {
 #: Syllables of invented names.
 SYLLABLES = {"latin": ["bar", "den", "fal", "gor", "hel", "kam", "lin", "mar", "nor", "pel", "rin", "sol", "tor", "vel", "win", "zan"], "cyrillic": ["бар", "ден", "фал", "гор", "хел", "кам", "лин", "мар", "нор", "пел", "рин", "сол", "тор", "вел", "вин", "зан"]}
 
-_TITLE = "(?:" + "|".join(t for v in TITLES.values() for t in v) + r")\.?"
+_TITLE = "(?:" + "|".join(dict.fromkeys(x for v in TITLES.values() for t in v for x in (t, t.lower(), t.upper()))) + r")\.?"
 
 #: The kinds of entity, in the order in which they are tried, with their patterns.
 KINDS = {
