@@ -40,12 +40,15 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, lengths: np.ndarray) -> WaveletMatrix:
         """Of ids, those of all documents in turn, of which ``lengths`` has the numbers of ids."""
         now = ids.astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32)
-        planes, zeros = [], []
+        planes, zeros, parted = [], [], np.empty_like(now)
         for b in reversed(range(max(1, int(now.max()).bit_length() if len(now) else 1))):
-            one = (now >> now.dtype.type(b)) & now.dtype.type(1) != 0
+            one = ((now >> now.dtype.type(b)) & now.dtype.type(1)).astype(bool)
+            at = np.flatnonzero(one)
             planes.append(np.packbits(one, bitorder="little"))
-            zeros.append(len(now) - int(np.count_nonzero(one)))
-            now = np.concatenate([now[~one], now[one]])
+            zeros.append(len(now) - len(at))
+            np.compress(~one, now, out=parted[: zeros[-1]])
+            np.take(now, at, out=parted[zeros[-1] :])
+            now, parted = parted, now
         return cls(len(ids), planes, zeros, lengths.astype(np.uint32))
 
     def to_bytes(self) -> bytes:
