@@ -181,7 +181,15 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         rest, known, get, ids, begin = [], self.known, self.pieces.get, self.ids, self.begin
         for w in words:
-            if self.parts and _PLAIN.fullmatch(w) and "<|" not in w:
+            if self.parts and w.isascii() and (w.isalpha() or w[-1] in ",." and w[:-1].isalpha()):  # letters, and a mark after them
+                low = w.lower()
+                if low[-1] in ",.":
+                    ids.extend(get(low[:-1]) or self._piece(low[:-1]))
+                    low = low[-1]
+                ids.extend(get(low) or self._piece(low))
+                known[w] = len(begin) - 1
+                begin.append(len(ids))
+            elif self.parts and _PLAIN.fullmatch(w) and "<|" not in w:
                 for piece in _PIECES.findall(w.lower()):
                     ids.extend(get(piece) or self._piece(piece))
                 known[w] = len(begin) - 1
@@ -196,7 +204,7 @@ class Encoder:
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` after it, and their numbers."""
         codes, offsets, words = split(texts)
-        words = words.to_pylist()
+        words = words.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > KNOWN_WORDS:
             self.forget()
         at = list(map(self.known.get, words))
