@@ -30,6 +30,8 @@ TELLING, COMMON, SHRINK = 3, 3, 2.0
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 2_000_000
 #: Windows of an epoch besides each text's highest; copies of a toxic one in it.
 EPOCHS, BATCH, RATE, OTHERS, COPIES = 6, 256, 0.05, 6000, 2
+#: Share of the toxic windows in the loss.
+POSITIVE = 0.35
 
 Params = dict[str, np.ndarray]
 
@@ -38,7 +40,8 @@ class Inputs:
     """Words of texts, as rows of the two embedding tables."""
 
     def __init__(self, texts: pa.Array):
-        self.codes, self.offsets, words = split(pc.ascii_lower(texts))
+        bare = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=r"[!-/:-@\[-`{-~]+", replacement=" ")  # marks part words
+        self.codes, self.offsets, words = split(bare)
         data = [b"<" + w + b">" for w in words.cast(pa.binary()).to_pylist()]
         size = np.fromiter(map(len, data), np.int64, len(data))
         b = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
@@ -239,7 +242,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
                 at = at.reshape(-1, WINDOW)
                 x = inputs.vectors(p, words, without[c])
                 now, memo = forward(p, gates_of(p, x), at, live, True)
-                error = ((_sigmoid(now) - c) * (0.5 / (share if c else 1 - share)) / len(b)).astype(np.float32)
+                error = ((_sigmoid(now) - c) * (POSITIVE / share if c else (1 - POSITIVE) / (1 - share)) / len(b)).astype(np.float32)
                 g, dx = backward(p, error, memo, live, at, x)
                 for k, v in g.items():
                     squares[k] += v * v
