@@ -32,14 +32,20 @@ def mean_pool(chunks: DataFrame, key: str, vector: str) -> DataFrame:
     return v.select(key, l2_normalize(F.col("v")).alias("v"))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = 2000) -> DataFrame:
     """The k most similar corpus rows of each query: query_id, id, score, rank.
 
-    Queries (query_id, q) are a stated set of bounded size, sent to all tasks; the corpus (id, v) is read once.
+    Queries (query_id, q) and corpus (id, v) are dealt out into blocks of queries and parts of the corpus; every
+    block meets every part in an equality join, so that no task holds all of either. Each part keeps its own k best
+    before they are shuffled to the query.
     """
-    c = corpus.join(F.broadcast(queries)).where("id <> query_id").select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    c = corpus.withColumn("__p", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    m = c.join(q, ["__b", "__p"]).where("id <> query_id").select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def planes(n: int, width: int) -> list[list[float]]:
