@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,6 +74,38 @@ def lsh_query(queries: DataFrame, index: DataFrame, k: int, bits: int = 12, radi
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def normal_planes(tables: int, n: int = 12, width: int = 64, seed: int = 42) -> list[list[list[float]]]:
+    """Seeded normal hyperplanes, ``n`` for each table."""
+    r = random.Random(seed)
+    return [[[r.gauss(0, 1) for _ in range(width)] for _ in range(n)] for _ in range(tables)]
+
+
+def lsh_codes(vectors: DataFrame, key: str, vector: str, tables: int, bits: int = 12, width: int = 64, seed: int = 42) -> DataFrame:
+    """key, table and code: a row for each table, its planes' sides as the bits of one number."""
+    planes = vectors.sparkSession.createDataFrame([(normal_planes(tables, bits, width, seed),)], "planes array<array<array<double>>>")
+    code = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda s, p: s * 2 + F.when(dot(F.col(vector), p) >= 0, 1).otherwise(0).cast("long"))
+    return vectors.join(F.broadcast(planes)).select(key, F.posexplode(F.transform("planes", code)).alias("table", "code"))
+
+
+def lsh_candidates(queries: DataFrame, corpus: DataFrame, tables: int = 40, bits: int = 12, radius: int = 2, width: int = 64, seed: int = 42) -> DataFrame:
+    """Distinct query_id and id whose codes differ in at most ``radius`` bits in one of the tables.
+
+    The codes to visit are listed for each query and table and meet those of the corpus in an equality join.
+    """
+    masks = F.array(*(F.lit(m).cast("long") for m in range(1 << bits) if m.bit_count() <= radius))
+    q = lsh_codes(queries, "query_id", "q", tables, bits, width, seed)
+    q = q.select("query_id", "table", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("code")))).alias("code"))
+    return lsh_codes(corpus, "id", "v", tables, bits, width, seed).join(q, ["table", "code"]).where("id <> query_id").select("query_id", "id").distinct()
+
+
+def lsh_nearest(queries: DataFrame, corpus: DataFrame, k: int, **index) -> DataFrame:
+    """The k most similar rows among the candidates of all tables: query_id, id, score, rank."""
+    c = lsh_candidates(queries, corpus, **index).join(corpus.select("id", "v"), "id").join(queries.select("query_id", "q"), "query_id")
+    c = c.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Share of each query's exact neighbours that were found."""
     hit = found.select("query_id", "id", F.lit(1).alias("hit"))

@@ -244,9 +244,22 @@ def lsh_query(spark, sf):
     return _lsh(spark, sf)
 
 
+@query()
+def lsh_tables_query(spark, sf):
+    """The same neighbours from 40 tables of 12 normal planes each, codes of up to two other bits visited too."""
+    return ve.lsh_nearest(_queries(spark, sf), _vectors(spark, sf), 10)
+
+
+@query()
+def lsh_tables_stats(spark, sf):
+    """Sizes of the buckets of each table."""
+    b = ve.lsh_codes(_vectors(spark, sf), "id", "v", 40).groupBy("table", "code").agg(F.count("*").alias("n"))
+    return rounded(b.groupBy("table").agg(F.sum("n").alias("vectors"), F.count("*").alias("buckets"), F.avg("n").alias("mean_size"), F.max("n").alias("max_size")))
+
+
 @query()
 def lsh_recall(spark, sf):
-    return rounded(ve.recall(similar_items(spark, sf), _lsh(spark, sf), 10))
+    return rounded(ve.recall(similar_items(spark, sf), lsh_tables_query(spark, sf), 10))
 
 
 @query(f"WITH {VEC}, d AS (SELECT id, list_dot_product(v, {PLANES[0]!r}::DOUBLE[]) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product({PLANES[0]!r}::DOUBLE[], {PLANES[0]!r}::DOUBLE[])) + 1e-9) - list_dot_product(v, {PLANES[1]!r}::DOUBLE[]) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product({PLANES[1]!r}::DOUBLE[], {PLANES[1]!r}::DOUBLE[])) + 1e-9) AS diff FROM v) SELECT CASE WHEN diff > 0.03 THEN 'POSITIVE' WHEN diff < -0.03 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label, count(*) AS n, round(avg(diff), 6) + 0.0 AS mean_diff FROM d GROUP BY 1")
