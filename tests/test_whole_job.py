@@ -1,10 +1,14 @@
 """Jobs that were once done in part: each test fails on the part alone."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import scalars as sc
 from tidemark.operators import vectors
-from tidemark.plans import texts
+from tidemark.plans import loads, texts
 
 
 def test_planes_have_full_rank():
@@ -15,3 +19,16 @@ def test_planes_have_full_rank():
 def test_lsh_recall(spark, sf):
     r = [x.recall for x in texts.lsh_recall(spark, f"/root/testdata/{sf}").collect()]
     assert len(r) == 25 and np.mean(r) >= 0.9
+
+
+@pytest.mark.parametrize("raw,unit,date", [("788918400000", "ms", dt.date(1995, 1, 1)), ("788918400", "s", dt.date(1995, 1, 1)), ("788918400", "ms", dt.date(1970, 1, 10)), ("9" * 30, "ms", None), ("/Date(788918400000)/", "s", dt.date(1995, 1, 1)), ("not-a-date", "ms", None)])
+def test_unit_of_numeric_dates(spark, raw, unit, date):
+    d = spark.createDataFrame([(raw,)], "a string")
+    assert d.select(sc.parse_mixed_date(F.col("a"), unit).alias("x")).first().x == date
+
+
+def test_no_row_is_left_out(spark):
+    sf = "/root/testdata/sf0.001"
+    out = loads.parse_mixed_date_all(spark, sf).groupBy("d").count().collect()
+    assert sum(r["count"] for r in out) == spark.read.parquet(f"{sf}/orders.parquet").count() and any(r.d is None for r in out)
+    assert loads.periodic_statements_all(spark, sf).count() == 2 * spark.read.parquet(f"{sf}/customer.parquet").count()

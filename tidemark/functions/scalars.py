@@ -46,12 +46,15 @@ def rate_to_percent(x: Column) -> Column:
     return F.coalesce(F.when(F.size(p) == 2, F.when(a == 0, 0.0).otherwise(b / F.nullif(a, F.lit(0.0)) * 100)).otherwise(a), F.lit(0.0))
 
 
-def parse_mixed_date(x: Column) -> Column:
-    """Dates written /Date(ms)/, as epoch milliseconds or seconds, ISO, or dd/MM/yyyy; anything else is null."""
+def parse_mixed_date(x: Column, numeric_unit: str = "ms") -> Column:
+    """Dates written /Date(ms)/, as epoch number in ``numeric_unit`` (ms or s), ISO, or dd/MM/yyyy; anything else is null."""
+    if numeric_unit not in ("ms", "s"):
+        raise ValueError("numeric_unit is ms or s")
     t = F.trim(x)
     net = F.nullif(F.regexp_extract(t, r"/Date\((-?\d+)", 1), F.lit("")).try_cast("long")
-    number = F.when(t.rlike(r"^\d{10,13}$"), t.try_cast("long"))
-    millis = F.coalesce(net, F.when(F.length(t) == 13, number), number * 1000)
+    number = F.when(t.rlike(r"^\d+$"), t.try_cast("long"))
+    net, number = (F.when(n.between(-62135596800000 // k, 253402300799999 // k), n * k) for n, k in ((net, 1), (number, 1 if numeric_unit == "ms" else 1000)))
+    millis = F.coalesce(net, number)
     iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd")).cast("date"))
     day = F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(t, F.lit("d/M/yyyy")).cast("date"))
     return F.coalesce(F.to_date(F.timestamp_millis(millis)), iso, day)

@@ -125,6 +125,12 @@ def parse_mixed_date(spark, sf):
     return r.select("o_orderkey", "raw", sc.parse_mixed_date(F.col("raw")).alias("d"))
 
 
+@query(f"WITH {RAW} SELECT o_orderkey, raw, CASE WHEN o_orderkey % 5 < 4 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS d FROM raw")
+def parse_mixed_date_all(spark, sf):
+    """All orders, dates written out: numbers are milliseconds of any length, strings that are no date come out as null."""
+    return _raw(spark, sf).select("o_orderkey", "raw", sc.parse_mixed_date(F.col("raw")).cast("string").alias("d"))
+
+
 @query("SELECT CAST(o_custkey % 7 AS BIGINT) AS chunk, count(*) FILTER (o_orderkey % 5 < 4) AS loaded, count(*) FILTER (o_orderkey % 5 = 4) AS failed FROM orders GROUP BY 1")
 def load_report(spark, sf):
     r = _raw(spark, sf).withColumn("chunk", F.col("o_custkey") % 7)
@@ -189,13 +195,22 @@ def bars_from_arrays(spark, sf):
     return statements.bars_from_arrays(payload, "o_custkey", "payload")
 
 
-@query("SELECT c_custkey, 'account balance' AS item, 2024 AS year, q AS quarter, CAST(last_day(make_date(2024, q * 3, 1)) AS DATE) AS fiscal_date, c_acctbal * q AS value FROM customer CROSS JOIN (SELECT unnest([1, 2]) AS q) WHERE c_custkey % 3 = 0")
-def periodic_statements(spark, sf):
-    c = _t(spark, sf, "customer").where("c_custkey % 3 = 0")
+def _statements(c):
     payload = c.select("c_custkey", F.concat(F.lit('{"Head":[{"YearPeriod":2024,"TermName":"Quarter 1"},{"YearPeriod":2024,"TermName":"Quarter 2"}],"Content":{"Balance":[{"Name":"x","NameEn":"account balance","Value1":"'), F.col("c_acctbal").cast("string"), F.lit('","Value2":"'), (F.col("c_acctbal") * 2).cast("string"), F.lit('"}]}}')).alias("payload"))
     return statements.periodic_statement(payload, "c_custkey", "payload")
 
 
+@query("SELECT c_custkey, 'account balance' AS item, 2024 AS year, q AS quarter, CAST(last_day(make_date(2024, q * 3, 1)) AS DATE) AS fiscal_date, c_acctbal * q AS value FROM customer CROSS JOIN (SELECT unnest([1, 2]) AS q) WHERE c_custkey % 3 = 0")
+def periodic_statements(spark, sf):
+    return _statements(_t(spark, sf, "customer").where("c_custkey % 3 = 0"))
+
+
+@query("SELECT c_custkey, 'account balance' AS item, 2024 AS year, q AS quarter, CAST(last_day(make_date(2024, q * 3, 1)) AS DATE) AS fiscal_date, c_acctbal * q AS value FROM customer CROSS JOIN (SELECT unnest([1, 2]) AS q)")
+def periodic_statements_all(spark, sf):
+    """The statements of all customers."""
+    return _statements(_t(spark, sf, "customer"))
+
+
 @query("WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END AS rk FROM orders) SELECT o_custkey, o_orderkey, o_totalprice, ['first', 'second', 'third'][rk + 1] AS source_provider FROM o QUALIFY rk = min(rk) OVER (PARTITION BY o_custkey)")
 def provider_fallback(spark, sf):
     o = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
