@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, text_of
 
-#: A line is boilerplate if it has at most MAX_LINE_WORDS words and more than MIN_DOCS and SHARE of its host's
-#: distinct texts have it. A document is depleted if fewer than KEEP_SHARE of its words are left without such lines.
-MAX_LINE_WORDS, MIN_DOCS, SHARE, KEEP_SHARE = 30, 20, 0.01, 0.2
+#: A line is boilerplate if more than MIN_DOCS and SHARE of its host's distinct texts have it, or more than MANY_DOCS
+#: whatever the host's size. A document is depleted if fewer than KEEP_SHARE of its words are left without such lines.
+MIN_DOCS, SHARE, MANY_DOCS, KEEP_SHARE = 20, 0.01, 100, 0.2
 
 
 def _lines(text: Column) -> Column:
@@ -57,10 +57,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def boilerplate(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
     """source, text_hash and lost: how many words of a text stand in lines that too many texts of its host have.
 
-    A line is normalised by lower case, digits as 0 and single spaces. The text with the smallest doc_id keeps the
+    A line of any length is normalised by lower case, digits as 0 and single spaces. The text with the smallest doc_id keeps the
     line, so that of a group of alike texts one stays whole.
     """
     t = docs.select("doc_id", docs["source"].cast("string").alias("source"), text_of(docs).alias("text"))
@@ -70,11 +70,11 @@ def boilerplate(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS, min_docs:
     plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace("line", "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")))
     line = line.where(F.length("line") > 0).select("doc_id", "source", "text_hash", plain.alias("line"))
     line = line.withColumn("words", (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long"))
-    line = line.where((F.length("line") > 0) & (F.col("words") <= max_line_words)).withColumn("line_hash", F.xxhash64("line"))
+    line = line.where(F.length("line") > 0).withColumn("line_hash", F.xxhash64("line"))
     # a row for each distinct text with the line; equal rows of documents add their words up, divided by the copies below
     own = cut(line.groupBy("source", "line_hash", "text_hash").agg(F.min("doc_id").alias("first"), F.sum("words").alias("words")))
     often = own.groupBy("source", "line_hash").agg(F.count("*").alias("texts_with"), F.min("first").alias("keeper"))
-    often = often.alias("a").join(hosts.alias("h"), F.col("a.source").eqNullSafe(F.col("h.source"))).where((F.col("texts_with") > min_docs) & (F.col("texts_with") > F.col("texts") * share))
+    often = often.alias("a").join(hosts.alias("h"), F.col("a.source").eqNullSafe(F.col("h.source"))).where((F.col("texts_with") > min_docs) & (F.col("texts_with") > F.least(F.col("texts") * share, F.lit(many_docs))))
     often = often.select("a.source", "line_hash", "keeper")
     o, l = own.alias("o"), often.alias("l")
     hit = o.join(l, F.col("o.source").eqNullSafe(F.col("l.source")) & (F.col("o.line_hash") == F.col("l.line_hash"))).where(~F.col("o.first").eqNullSafe(F.col("l.keeper")))
