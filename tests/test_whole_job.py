@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as sc
-from tidemark.operators import vectors
+from tidemark.operators import text, vectors
 from tidemark.plans import loads, texts
 
 
@@ -32,3 +32,15 @@ def test_no_row_is_left_out(spark):
     out = loads.parse_mixed_date_all(spark, sf).groupBy("d").count().collect()
     assert sum(r["count"] for r in out) == spark.read.parquet(f"{sf}/orders.parquet").count() and any(r.d is None for r in out)
     assert loads.periodic_statements_all(spark, sf).count() == 2 * spark.read.parquet(f"{sf}/customer.parquet").count()
+
+
+def test_weights_at_their_best_threshold(spark):
+    rng = np.random.default_rng(3)
+    rows = [(*map(float, rng.random(3) / 5), int(y)) for y in rng.random(80) < 0.4]
+    got = {(r.wk, r.ws, r.wt): r for r in text.weight_search(spark.createDataFrame(rows, "k double, s double, t double, y int"), "k", "s", "t", "y").collect()}
+    x, y = np.array(rows)[:, :3], np.array(rows)[:, 3] == 1
+    assert len(got) == 66
+    for w, r in got.items():
+        s = (w[0] * x[:, 0] + w[1] * x[:, 1] + w[2] * x[:, 2]) / 10
+        f1 = [2 * (y & (s > t)).sum() / (y.sum() + (s > t).sum()) for t in np.linspace(0, s.max() + 1e-6, 40)]
+        assert r.f1 == pytest.approx(max(f1)) and f1[r.step] == pytest.approx(max(f1))

@@ -120,6 +120,28 @@ def weight_ablation(df: DataFrame, keyword: str, semantic: str, decay: str, actu
     return classification_metrics(g.withColumn("__s", s), F.col("__s") > threshold, F.col(actual) == 1, ("wk", "ws", "wt"))
 
 
+def weight_search(df: DataFrame, keyword: str, semantic: str, decay: str, actual: str, steps: int = 40) -> DataFrame:
+    """wk, ws, wt, best F1 and the first step that has it, of each triple of weights in tenths that sum to one.
+
+    Thresholds are ``steps`` even ones from 0 to the triple's highest score and 1e-6. Rows are counted by triple and by
+    how many thresholds they exceed, and these counts are cumulated, so that no row is dealt to each threshold.
+    """
+    grid = F.array(*(F.struct(F.lit(i).alias("wk"), F.lit(j).alias("ws"), F.lit(10 - i - j).alias("wt")) for i in range(11) for j in range(11 - i)))
+    g = df.select(keyword, semantic, decay, (F.col(actual) == 1).alias("__y"), F.inline(grid))
+    g = g.select("wk", "ws", "wt", "__y", ((F.col("wk") * F.col(keyword) + F.col("ws") * F.col(semantic) + F.col("wt") * F.col(decay)) / 10).alias("__s"))
+    top = g.groupBy("wk", "ws", "wt").agg((F.max("__s") + 1e-6).alias("__top"))
+    above = F.size(F.filter(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.col("__s") > F.col("__top") * i / (steps - 1)))
+    n = g.join(F.broadcast(top), ["wk", "ws", "wt"]).groupBy("wk", "ws", "wt", above.alias("above")).agg(F.count_if("__y").alias("pos"), F.count_if(~F.col("__y")).alias("neg"))
+    # a step's hits are the rows that exceed more thresholds than its number; steps without rows of their own follow from the lists
+    e = n.groupBy("wk", "ws", "wt").agg(F.collect_list(F.struct("above", "pos", "neg")).alias("x"), F.sum("pos").alias("all"))
+    e = e.select("wk", "ws", "wt", "x", "all", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    over = lambda c: F.aggregate("x", F.lit(0).cast("long"), lambda s, r: s + F.when(r["above"] > F.col("step"), r[c]).otherwise(0).cast("long"))
+    e = e.withColumn("tp", over("pos")).withColumn("fp", over("neg"))
+    f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("all"))).otherwise(0.0)
+    best = e.withColumn("f1", f1).groupBy("wk", "ws", "wt").agg(F.max(F.struct("f1", (-F.col("step")).alias("early"))).alias("b"))
+    return best.select("wk", "ws", "wt", F.col("b.f1").alias("f1"), (-F.col("b.early")).alias("step"))
+
+
 def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
