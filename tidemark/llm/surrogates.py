@@ -44,7 +44,7 @@ KINDS = {
 
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without a match of this one has no entity; it needs one pass over the text.
-SIGN = r"[0-9@]|(?:password|passwd|secret|token|api_key) ?[=:]|" + _TITLE + r" \p{Lu}"
+SIGN = r"[0-9@]|AKIA|ASIA|(?:password|passwd|secret|token|api_key) ?[=:]|" + _TITLE + r" \p{Lu}"
 
 
 def _kind(x: Column) -> Column:
