@@ -261,9 +261,50 @@ def test_toxicity_learns(spark):
     assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in out)
     assert np.mean([out[i].predicted == labels[i][2] for i in held]) > 0.9
     assert out[900].score == out[901].score == 0.0 and out[900].predicted == 0
+    got = {r.doc_id: r.score for r in toxicity.score(d.union(d.limit(3)), y).collect()}
+    assert got == {i: r.score for i, r in out.items()}
     assert toxicity.score(d.limit(0), y).count() == 0
 
 
+def test_toxicity_window_by_window():
+    """Scores of a trained network against its equations, word by word and unit by unit."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [prose(rng, n) + (" grobble" if n % 2 else "") for n in (1, 5, 24, 25, 61, 130) for _ in range(8)]
+    p = {k: v.astype(np.float64) for k, v in toxicity.train(texts, [int("grobble" in t) for t in texts], warm=1, epochs=1).items()}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    k = toxicity.UNITS
+
+    def gru(xs, d):
+        h, out = np.zeros(k), []
+        for x in xs:
+            g, y = x @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+            new = np.zeros(k)
+            for i in range(k):
+                z, r = sig(g[i] + y[i]), sig(g[k + i] + y[k + i])
+                new[i] = z * h[i] + (1 - z) * math.tanh(g[2 * k + i] + r * y[2 * k + i])
+            h = new
+            out.append(h)
+        return out
+
+    inputs = toxicity.Inputs(pa.array(texts[::5]))
+    x, (doc, odds) = inputs.vectors(p), toxicity.log_odds(p, inputs)
+    want = []
+    for i in range(len(inputs.offsets) - 1):
+        codes = inputs.codes[inputs.offsets[i] : inputs.offsets[i + 1]]
+        starts = [0]
+        while starts[-1] + toxicity.WINDOW < len(codes):
+            starts.append(starts[-1] + toxicity.STRIDE)
+        for s in starts:
+            xs = [x[c] for c in codes[s : s + toxicity.WINDOW]]
+            h = [np.concatenate(y) for y in zip(gru(xs, "f"), gru(xs[::-1], "b")[::-1])]
+            e = [math.exp(y @ p["look"]) for y in h]
+            want.append((i, sum(a * (y @ p["out"]) for a, y in zip(e, h)) / sum(e) + p["bias"][0]))
+    assert doc.tolist() == [i for i, _ in want]
+    assert odds == pytest.approx([v for _, v in want], abs=1e-4)
+
+
 def test_gradients():
     """The analytic gradient of one window's loss agrees with differences."""
     import pyarrow as pa
