@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.oracle import duck, same
 from tidemark.llm import decontaminate, license_scan, line_quality, lm_score, mixing, queries, simhash, substring_dedup, surrogates, token_store, toxicity
@@ -59,12 +60,44 @@ def test_quality(docs, rows, none):
     assert line_quality.rate(none).count() == 0
 
 
-def test_depleted_documents_go_but_one_stays(spark):
+def brute_lines(rows):
+    """Words lost and lines left of each row (doc_id, text, source), line by line."""
+    norm = lambda x: " ".join(re.sub("[0-9]+", "0", x).split()).lower()
+    name = lambda r: ("id", r[0]) if r[0] is not None else ("text", r[1] or "")
+    having, docs = defaultdict(set), defaultdict(set)
+    for r in rows:
+        docs[r[2]].add(name(r))
+        for x in (r[1] or "").split("\n"):
+            if norm(x):
+                having[r[2], norm(x)].add(name(r))
+    bad = {k for k, v in having.items() if len(v) > 20 and len(v) > min(0.01 * len(docs[k[0]]), 100)}
+    out = []
+    for r in rows:
+        gone = [x for x in (r[1] or "").split("\n") if (r[2], norm(x)) in bad]
+        out.append((sum(len(norm(x).split()) for x in gone), "\n".join(x for x in (r[1] or "").split("\n") if (r[2], norm(x)) not in bad)))
+    return out
+
+
+def test_frequent_lines(spark):
     rng = random.Random(1)
-    lines = [prose(rng, 12) for _ in range(6)]
-    rows = [(i, "\n".join(lines) + f"\nnumber {i} " + prose(rng, 3), "h") for i in range(30)] + [(100 + i, prose(rng, 80), "h") for i in range(30)]
-    got = {r.doc_id: r.kept for r in line_quality.rate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got[0] and not any(got[i] for i in range(1, 30)) and all(got[100 + i] for i in range(30))
+    notice, lines = prose(rng, 75), [prose(rng, 12) for _ in range(6)]
+    rows = [(i, "\n".join(lines) + f"\nnumber {i} " + prose(rng, 3), "h") for i in range(30)]
+    rows += [(100 + i, prose(rng, 80) + "\nPage  7 of 9\n" * (i % 3), "h" if i % 2 else None) for i in range(90)]
+    rows += [(None, f"{notice}\n{prose(rng, 60)} {i}", "n") for i in range(25)] + [(7, f"{notice}\n{i}", "one") for i in range(40)]
+    rows += [(500, rows[0][1], "same")] * 30 + [(600, None, "h"), (601, "", "h"), (602, "word " * 60_000 + "\n" + lines[0], "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = line_quality.rate(d)
+    texts = d.join(out, d["doc_id"].eqNullSafe(out["doc_id"]) & (F.xxhash64(F.coalesce(d["text"], F.lit(""))) == out["text_hash"]) & d["source"].eqNullSafe(out["source"]))
+    got = {(r.doc_id, r.source, r.old, r.n_lost, r.new, r.kept) for r in texts.select(d["doc_id"], d["source"], d["text"].alias("old"), "n_lost", line_quality.without_lines(F.coalesce(d["text"], F.lit("")), F.col("bad_lines")).alias("new"), "kept").collect()}
+    want = set()
+    for r, (lost, left) in zip(rows, brute_lines(rows)):
+        w = words_of(r[1])
+        tri = Counter(zip(w, w[1:], w[2:]))
+        covered = {i + k for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        want.add((r[0], r[2], r[1], lost, left, len(w) >= 50 and 2 * len(covered) <= len(w) and len(w) - lost >= 0.2 * len(w)))
+    assert got == want
+    kept = {(r[0], r[1]): r[5] for r in got}
+    assert not any(kept[i, "h"] for i in range(30)) and kept[500, "same"] and {r[3] for r in got if r[1] == "n"} == {75} and {r[3] for r in got if r[1] == "one"} == {0}
 
 
 def test_license(docs, rows, none, spark):

@@ -1,8 +1,9 @@
 """Document quality rules: word and repetition statistics, and cross-document line frequency.
 
-Only DataFrame functions are used. Repeated three-word windows are found inside each row, so the text is never
-shuffled; lines are counted across documents by 64-bit hashes, with equal texts of a host counted once before any
-join, so that a line or a document with very many copies costs one row per distinct text.
+Only DataFrame functions are used. Each text is read once, for its statistics and the hashes of its normalised lines;
+repeated three-word windows are found inside the row. The distinct documents with a line are counted for each host,
+lines above the limits are removed, and documents of which too little is left are rejected. A frequent line is added
+up before it is shuffled.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, text_of
+from .common import WORD, cut, small, text_of
 
-#: A line is boilerplate if more than MIN_DOCS and SHARE of its host's distinct texts have it, or more than MANY_DOCS
-#: whatever the host's size. A document is depleted if fewer than KEEP_SHARE of its words are left without such lines.
+#: A line is boilerplate if more than MIN_DOCS and SHARE of its host's documents have it, or more than MANY_DOCS whatever
+#: the host's size. A document is depleted if fewer than KEEP_SHARE of its words are left without such lines.
 MIN_DOCS, SHARE, MANY_DOCS, KEEP_SHARE = 20, 0.01, 100, 0.2
 
 
@@ -40,12 +41,20 @@ def _repeated(words: str) -> Column:
     return F.expr(let("ws", words, let("hs", hashes, counted)))
 
 
+def plain(line: Column) -> Column:
+    """A line as it is counted: lower case, digits as 0, single spaces."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text_hash and the statistics n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row."""
+    """A row number, doc_id, source, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the lines
+    (hash and words of each that has any) of each row: all that is needed of the texts, in one pass over them."""
     t = docs.select("doc_id", docs["source"].cast("string").alias("source"), text_of(docs).alias("text"))
     t = t.withColumn("words", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
     lines = _lines(F.col("text"))
+    counted = F.transform(F.filter(F.transform(F.split("text", "\n"), plain), lambda x: F.length(x) > 0), lambda x: F.struct(F.xxhash64(x).alias("hash"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("words")))
     return t.select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
         "source",
         F.xxhash64("text").alias("text_hash"),
@@ -54,48 +63,50 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         _repeated("words").alias("n_repeat_words"),
+        counted.alias("lines"),
     )
 
 
-def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
-    """source, text_hash and lost: how many words of a text stand in lines that too many texts of its host have.
+def boilerplate(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
+    """source and line hash of the lines that too many documents of their host have; rows: doc_id, source, text_hash, lines.
 
-    A line of any length is normalised by lower case, digits as 0 and single spaces. The text with the smallest doc_id keeps the
-    line, so that of a group of alike texts one stays whole.
+    Documents are told apart by doc_id, those without one by their text.
     """
-    t = docs.select("doc_id", docs["source"].cast("string").alias("source"), text_of(docs).alias("text"))
-    copies = cut(t.groupBy("source", F.xxhash64("text").alias("text_hash")).agg(F.count("*").alias("copies")))
-    hosts = copies.groupBy("source").agg(F.count("*").alias("texts"))
-    line = t.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.explode(F.split("text", "\n")).alias("line"))
-    plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace("line", "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")))
-    line = line.where(F.length("line") > 0).select("doc_id", "source", "text_hash", plain.alias("line"))
-    line = line.withColumn("words", (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long"))
-    line = line.where(F.length("line") > 0).withColumn("line_hash", F.xxhash64("line"))
-    # a row for each distinct text with the line; equal rows of documents add their words up, divided by the copies below
-    own = cut(line.groupBy("source", "line_hash", "text_hash").agg(F.min("doc_id").alias("first"), F.sum("words").alias("words")))
-    often = own.groupBy("source", "line_hash").agg(F.count("*").alias("texts_with"), F.min("first").alias("keeper"))
-    often = often.alias("a").join(hosts.alias("h"), F.col("a.source").eqNullSafe(F.col("h.source"))).where((F.col("texts_with") > min_docs) & (F.col("texts_with") > F.least(F.col("texts") * share, F.lit(many_docs))))
-    often = often.select("a.source", "line_hash", "keeper")
-    o, l = own.alias("o"), often.alias("l")
-    hit = o.join(l, F.col("o.source").eqNullSafe(F.col("l.source")) & (F.col("o.line_hash") == F.col("l.line_hash"))).where(~F.col("o.first").eqNullSafe(F.col("l.keeper")))
-    lost = hit.groupBy("o.source", "o.text_hash").agg(F.sum("o.words").alias("words")).alias("x")
-    return lost.join(copies.alias("c"), F.col("x.source").eqNullSafe(F.col("c.source")) & (F.col("x.text_hash") == F.col("c.text_hash"))).select("x.source", "x.text_hash", F.floor(F.col("words") / F.col("copies")).cast("long").alias("lost"))
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text_hash").cast("string")))
+    hosts = rows.select("source", doc.alias("doc")).distinct().groupBy("source").agg(F.count("*").alias("docs"))
+    own = rows.select("source", doc.alias("doc"), F.explode(F.array_distinct("lines.hash")).alias("hash")).distinct()
+    often = own.groupBy("source", "hash").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") > min_docs)
+    a, h = often.alias("a"), hosts.alias("h")
+    over = a.join(h, F.col("a.source").eqNullSafe(F.col("h.source"))).where(F.col("docs_with") > F.least(F.col("docs") * share, F.lit(many_docs)))
+    return over.select("a.source", "hash")
 
 
 def rate(docs: DataFrame, keep_share: float = KEEP_SHARE, **limits) -> DataFrame:
     """Quality statistics and the verdict for each row of ``docs``.
 
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost (words in lines that are
-    boilerplate on the document's host, its ``source``), base_failed (under 50 words, or more than half of them in
-    repeated three-word windows) and kept (not base_failed, and not depleted by the loss of those lines).
+    Returns doc_id, source, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost (words in
+    lines that are boilerplate on the document's host, its ``source``), base_failed (under 50 words, or more than
+    half of them in repeated three-word windows), kept (not base_failed, and not depleted by the loss of those lines)
+    and bad_lines (hashes of the lines that go, see ``without_lines``).
 
-    A null text counts as empty and fails; null sources form one host; repeated rows and equal texts count once
-    among a host's texts and get the same verdict, but for the one with the smallest doc_id that keeps its lines
-    with all its copies on that host; an empty table gives no rows. Other columns don't matter.
+    A null text counts as empty and fails; null sources form one host; repeated rows and several texts of one doc_id
+    are one document of the host, rows without a doc_id one for each text; equal rows get equal verdicts; an empty
+    table gives no rows. Other columns don't matter.
     """
-    s, b = cut(statistics(docs)).alias("s"), boilerplate(docs, **limits).alias("b")
-    joined = s.join(b, F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.text_hash") == F.col("b.text_hash")), "left")
-    lost = F.coalesce("b.lost", F.lit(0).cast("long"))
+    s = cut(statistics(docs))
+    often = cut(boilerplate(s, **limits))
+    line, o = s.select("row", "source", F.inline("lines")).alias("l"), small(often).alias("o")
+    hit = line.join(o, F.col("l.source").eqNullSafe(F.col("o.source")) & (F.col("l.hash") == F.col("o.hash")))
+    lost = hit.groupBy("row").agg(F.sum("l.words").alias("lost"), F.sort_array(F.collect_set("l.hash")).alias("bad"))
+    joined = s.join(lost, "row", "left")
+    gone = F.coalesce("lost", F.lit(0).cast("long"))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    kept = ~failed & (F.col("n_words") - lost >= F.col("n_words") * keep_share)
-    return joined.select("s.doc_id", "s.source", "s.text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", lost.alias("n_lost"), failed.alias("base_failed"), kept.alias("kept"))
+    kept = ~failed & (F.col("n_words") - gone >= F.col("n_words") * keep_share)
+    bad = F.coalesce("bad", F.array().cast("array<long>"))
+    return joined.select("doc_id", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", gone.alias("n_lost"), failed.alias("base_failed"), kept.alias("kept"), bad.alias("bad_lines"))
+
+
+def without_lines(text: Column, bad: Column) -> Column:
+    """``text`` without its lines whose hashes are in ``bad``."""
+    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(bad, F.xxhash64(plain(x))))
+    return F.when(F.size(bad) > 0, F.array_join(left, "\n")).otherwise(text)

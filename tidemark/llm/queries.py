@@ -43,7 +43,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality.rate(_documents(spark, sf_dir)).drop("source", "text_hash")
+    return line_quality.rate(_documents(spark, sf_dir)).drop("source", "text_hash", "bad_lines")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

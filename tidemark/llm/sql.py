@@ -11,15 +11,15 @@ g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE l
 tri AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM g),
 twice AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
-ln AS (SELECT doc_id, source, text, lower(trim(regexp_replace(regexp_replace(unnest(string_split(text, chr(10))), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM d),
-own AS (SELECT source, line, text, min(doc_id) AS first, count(*) * (length(line) - length(replace(line, ' ', '')) + 1) AS words, count(DISTINCT doc_id) AS copies FROM ln WHERE length(line) > 0 AND length(line) - length(replace(line, ' ', '')) + 1 <= 30 GROUP BY source, line, text),
-hosts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
-often AS (SELECT o.source, line, min(first) AS keeper FROM own o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source GROUP BY o.source, line, texts HAVING count(*) > 20 AND count(*) > texts * 0.01),
-lost AS (SELECT o.source, o.text, sum(o.words) AS words, any_value(copies) AS copies FROM own o JOIN often f ON o.source IS NOT DISTINCT FROM f.source AND o.line = f.line WHERE o.first IS DISTINCT FROM f.keeper GROUP BY o.source, o.text),
+ln AS (SELECT doc_id, source, lower(trim(regexp_replace(regexp_replace(unnest(string_split(text, chr(10))), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM d),
+own AS (SELECT doc_id, source, line, count(*) * (length(line) - length(replace(line, ' ', '')) + 1) AS words FROM ln WHERE length(line) > 0 GROUP BY doc_id, source, line),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
+often AS (SELECT o.source, line FROM own o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source GROUP BY o.source, line, docs HAVING count(*) > 20 AND count(*) > least(docs * 0.01, 100)),
+lost AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS words FROM own o JOIN often f ON o.source IS NOT DISTINCT FROM f.source AND o.line = f.line GROUP BY doc_id),
 s AS (SELECT w.doc_id, len(w.words) AS n_words, length(array_to_string(w.words, '')) AS word_chars,
   length(w.text) - length(regexp_replace(w.text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-  len(w.lines) - len(list_distinct(w.lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(l.words // l.copies, 0) AS BIGINT) AS n_lost
-  FROM w LEFT JOIN rep r USING (doc_id) LEFT JOIN lost l ON w.source IS NOT DISTINCT FROM l.source AND w.text = l.text)
+  len(w.lines) - len(list_distinct(w.lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(l.words, 0) AS n_lost
+  FROM w LEFT JOIN rep r USING (doc_id) LEFT JOIN lost l USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_lost >= n_words * 0.2 AS kept FROM s
