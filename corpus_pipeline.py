@@ -14,8 +14,13 @@ from tidemark.llm.common import among, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. A null text fails them."""
-    return among(docs, line_quality.rate(docs).where("kept").select("doc_id", "text_hash").distinct())
+    """Documents that the quality rules keep, without the lines that too many documents of their host have. A null text
+    fails the rules; ``n_chars``, where there is one, follows the text, and all other columns stay."""
+    kept = line_quality.rate(docs).where("kept").groupBy("doc_id", "text_hash").agg(F.max("bad_lines").alias("bad"))
+    out = among(docs, kept, ("bad",))
+    text = line_quality.without_lines(out["text"], F.col("__tidemark_bad"))
+    changed = {"text": text} | ({"n_chars": F.when(F.size("__tidemark_bad") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.withColumns(changed).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +61,7 @@ STAGES = [
     ("token_shards", token_shards),
 ]
 
-#: Near-duplicate search, edit distances and token ids are beyond SQL; the tests compare run() with a brute-force version.
+#: Near-duplicate search, edit distances and token ids are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
