@@ -209,17 +209,39 @@ def test_token_store(docs, rows, none):
     assert token_store.store(none, path).count() == 0
 
 
-@pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (5000, 300), (3000, 1 << 17)])
+@pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (5000, 300), (3000, 1 << 17), (32768 * 3, 50), (100_001, 49_000)])
 def test_wavelet_matrix(n, top):
     v = np.random.default_rng(n).integers(0, top, n)
-    m = token_store.WaveletMatrix.from_bytes(token_store.WaveletMatrix.build(v, np.array([n])).to_bytes())
+    m = token_store.WaveletMatrix(token_store.WaveletMatrix.pack(v, np.array([n])))
     assert (m.ids() == v).all()
-    for i in range(0, n, 97):
+    assert m.lengths.tolist() == [n]
+    for i in range(0, n, max(97, n // 50)):
         assert m.access(i) == v[i] and m.rank(int(v[i]), i) == (v[:i] == v[i]).sum()
     for s in (0, top // 2, top + 5):
         assert m.count(s) == (v == s).sum() and m.occurrences(s) == np.flatnonzero(v == s).tolist()
 
 
+def test_access_decodes_single_blocks():
+    v = np.random.default_rng(1).integers(0, 1 << 15, 500_000)
+    m = token_store.WaveletMatrix(token_store.WaveletMatrix.pack(v, np.array([len(v)])))
+    assert m.access(123_456) == v[123_456] and len(m._held) <= 2 * m.bits < m.bits * m.blocks
+
+
+def test_encoder_against_the_library():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
+    t, e = Tokenizer.from_file(path), token_store.Encoder(path)
+    alphabet = ["the", "Zürich", "ÉTÉ", "a.", "b,", ",", ".", "x,.", "don't", "I'LL", "42", "3.14", "naïve,", "İz", "ŉa", "ſs.", "ß.", "e\u0301", "\u00a0", "<|endoftext|>", "日本", "a_b", "[x]", "Dž", "\u2028", "«quoi»", "K\u212a"]
+    texts = [" ".join(rng.choice(alphabet) + rng.choice(["", "", "en", "ung."]) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [None, "", "  "]
+    for part in (texts[:200], texts[200:]):
+        ids, n = e(pa.array(part), 2)
+        want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in part]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_decontamination_recall(spark, none):
     rng = random.Random(2)
     items = [(i, prose(rng, rng.randint(8, 50))) for i in range(40)]

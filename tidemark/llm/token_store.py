@@ -2,8 +2,8 @@
 
 A shard holds the ids of consecutive documents as one wavelet matrix: for each bit of the ids, highest first, a
 plane with that bit of all ids, after which the ids are parted into those with 0 and those with 1. Rank and select
-on the planes give access to any token, the count of an id, and its occurrences, from one compressed file. Shards
-are rows of a Parquet table (part, seq, n_tokens, matrix), written by Spark into any store it can write to.
+on the planes give access to any token, the count of an id, and its occurrences, from one compressed file, of which
+only the blocks that a query comes to are decoded. Shards are rows of a Parquet table (part, seq, n_tokens, matrix), written by Spark into any store it can write to.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,76 +27,87 @@ from .wordstream import pieces, split
 #: Tokens in a shard, but for its last document; words that a worker keeps encoded.
 SHARD_TOKENS, KNOWN_WORDS = 1 << 21, 800_000
 
-_MAGIC = b"WMX1"
+_MAGIC, _HEAD = b"WMX2", "<4sQIIQ"
+#: Bytes of a plane that are compressed together, and that an access decodes.
+BLOCK = 4096
 
 
 class WaveletMatrix:
-    """A sequence of ids with access, rank, count and select; at most ``bits`` bits each."""
+    """A sequence of ids with access, rank, count and select, answered from the bytes of its file.
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], lengths: np.ndarray):
-        self.n, self.planes, self.zeros, self.lengths = n, planes, zeros, lengths  # planes: packed bits
-        self._sums: list[np.ndarray] | None = None
+    The file: a head (magic, ids, planes, documents, bytes of the packed document lengths), the zeros of each plane,
+    for each plane the ones before each of its blocks, the ends of the compressed blocks, the lengths, the blocks. A
+    query reads the two directories and decodes the blocks it comes to, two for each plane and rank, not the file.
+    """
 
-    @classmethod
-    def build(cls, ids: np.ndarray, lengths: np.ndarray) -> WaveletMatrix:
-        """Of ids, those of all documents in turn, of which ``lengths`` has the numbers of ids."""
+    def __init__(self, data: bytes):
+        magic, self.n, self.bits, docs, packed = struct.unpack_from(_HEAD, data)
+        if magic != _MAGIC:
+            raise ValueError("not a wavelet-matrix shard")
+        at, self.blocks = struct.calcsize(_HEAD), -(-(-(-self.n // 8)) // BLOCK)
+        parts = []
+        for kind, count in (("<u8", self.bits), ("<u8", self.bits * (self.blocks + 1)), ("<u8", self.bits * self.blocks)):
+            parts.append(np.frombuffer(data, kind, count, at))
+            at += parts[-1].nbytes
+        self.zeros, self.ends, self.data, self.begin = parts[0].tolist(), parts[2], data, at + packed
+        self.ones = parts[1].reshape(self.bits, self.blocks + 1)
+        self.lengths = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + packed]), "<u4", docs) if docs else np.zeros(0, np.uint32)
+        self._held: dict[tuple[int, int], np.ndarray] = {}
+
+    @staticmethod
+    def pack(ids: np.ndarray, lengths: np.ndarray) -> bytes:
+        """The file of ids, those of all documents in turn, of which ``lengths`` has the numbers of ids."""
         now = ids.astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32)
-        planes, zeros, parted = [], [], np.empty_like(now)
-        for b in reversed(range(max(1, int(now.max()).bit_length() if len(now) else 1))):
+        bits, blocks = max(1, int(now.max()).bit_length() if len(now) else 1), -(-(-(-len(now) // 8)) // BLOCK)
+        parted, press = np.empty_like(now), zstandard.ZstdCompressor(1).compress
+        zeros, ones, frames = [], np.zeros((bits, blocks + 1), "<u8"), []
+        for k, b in enumerate(reversed(range(bits))):
             one = ((now >> now.dtype.type(b)) & now.dtype.type(1)).astype(bool)
             at = np.flatnonzero(one)
-            planes.append(np.packbits(one, bitorder="little"))
             zeros.append(len(now) - len(at))
+            ones[k] = np.searchsorted(at, np.arange(blocks + 1) * (8 * BLOCK))
+            plane = np.packbits(one, bitorder="little").tobytes()
+            frames += [press(plane[i : i + BLOCK]) for i in range(0, len(plane), BLOCK)]
             np.compress(~one, now, out=parted[: zeros[-1]])
             np.take(now, at, out=parted[zeros[-1] :])
             now, parted = parted, now
-        return cls(len(ids), planes, zeros, lengths.astype(np.uint32))
-
-    def to_bytes(self) -> bytes:
-        packed = [zstandard.ZstdCompressor(1).compress(x.tobytes()) for x in (self.lengths, *self.planes)]
-        head = struct.pack(f"<4sQII{len(self.zeros)}Q{len(packed)}Q", _MAGIC, self.n, len(self.planes), len(self.lengths), *self.zeros, *map(len, packed))
-        return head + b"".join(packed)
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        magic, n, bits, _ = struct.unpack_from("<4sQII", data)
-        if magic != _MAGIC:
-            raise ValueError("not a wavelet-matrix shard")
-        at = struct.calcsize("<4sQII")
-        zeros, sizes = struct.unpack_from(f"<{bits}Q", data, at), struct.unpack_from(f"<{bits + 1}Q", data, at + 8 * bits)
-        at += 8 * (2 * bits + 1)
-        parts = []
-        for s in sizes:
-            parts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + s]), np.uint8))
-            at += s
-        return cls(n, parts[1:], list(zeros), parts[0].view(np.uint32))
+        packed = press(lengths.astype("<u4").tobytes())
+        head = struct.pack(_HEAD, _MAGIC, len(ids), bits, len(lengths), len(packed))
+        return b"".join([head, np.array(zeros, "<u8").tobytes(), ones.tobytes(), np.cumsum([len(f) for f in frames], dtype="<u8").tobytes(), packed, *frames])
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        key = (plane, block)
+        if key not in self._held:
+            if len(self._held) >= 1024:
+                self._held.clear()
+            i = plane * self.blocks + block
+            start = self.begin + (int(self.ends[i - 1]) if i else 0)
+            self._held[key] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data[start : self.begin + int(self.ends[i])]), np.uint8)
+        return self._held[key]
 
     def _rank(self, plane: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        if self._sums is None:  # ones before each 64 bytes
-            self._sums = [np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(p).astype(np.int64), np.arange(0, len(p), 64)))]) if len(p) else np.zeros(1, np.int64) for p in self.planes]
-        p, byte = self.planes[plane], i >> 3
-        n = int(self._sums[plane][byte >> 6]) + int(np.bitwise_count(p[(byte >> 6) << 6 : byte]).sum())
-        return n + (int(p[byte] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+        byte, n = i >> 3, int(self.ones[plane, (i >> 3) // BLOCK])
+        if i & (8 * BLOCK - 1):
+            p, inside = self._block(plane, byte // BLOCK), byte % BLOCK
+            n += int(np.bitwise_count(p[:inside]).sum())
+            n += int(p[inside] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0
+        return n
 
     def _place(self, plane: int, bit: int, k: int) -> int:
         """Where the k-th (from 0) ``bit`` of a plane is."""
-        low, high = 0, self.n - 1
-        while low < high:
-            mid = (low + high) // 2
-            ones = self._rank(plane, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+        before = self.ones[plane].astype(np.int64) if bit else np.minimum(np.arange(self.blocks + 1) * (8 * BLOCK), self.n) - self.ones[plane].astype(np.int64)
+        block = int(np.searchsorted(before, k, "right")) - 1
+        left = min(8 * BLOCK, self.n - block * 8 * BLOCK)
+        same = np.unpackbits(self._block(plane, block), count=left, bitorder="little") == bit
+        return block * 8 * BLOCK + int(np.flatnonzero(same)[k - int(before[block])])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         v = 0
-        for p, plane in enumerate(self.planes):
-            bit = int(plane[i >> 3] >> (i & 7)) & 1
+        for p in range(self.bits):
+            bit = int(self._block(p, (i >> 3) // BLOCK)[(i >> 3) % BLOCK] >> (i & 7)) & 1
             ones = self._rank(p, i)
             i = self.zeros[p] + ones if bit else i - ones
             v = v << 1 | bit
@@ -104,11 +116,11 @@ class WaveletMatrix:
     def _range(self, symbol: int, i: int) -> tuple[int, int]:
         """Where the symbol's occurrences before place i lie in the last order."""
         a, b = 0, i
-        if symbol < 0 or symbol >> len(self.planes):
+        if symbol < 0 or symbol >> self.bits:
             return 0, 0
-        for p in range(len(self.planes)):
+        for p in range(self.bits):
             ra, rb = self._rank(p, a), self._rank(p, b)
-            a, b = (self.zeros[p] + ra, self.zeros[p] + rb) if symbol >> (len(self.planes) - 1 - p) & 1 else (a - ra, b - rb)
+            a, b = (self.zeros[p] + ra, self.zeros[p] + rb) if symbol >> (self.bits - 1 - p) & 1 else (a - ra, b - rb)
         return a, b
 
     def rank(self, symbol: int, i: int) -> int:
@@ -125,8 +137,8 @@ class WaveletMatrix:
         if not 0 <= k < b - a:
             raise IndexError(k)
         i = a + k
-        for p in reversed(range(len(self.planes))):
-            bit = symbol >> (len(self.planes) - 1 - p) & 1
+        for p in reversed(range(self.bits)):
+            bit = symbol >> (self.bits - 1 - p) & 1
             i = self._place(p, bit, i - self.zeros[p] if bit else i)
         return i
 
@@ -135,13 +147,17 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids, by undoing the partings from the lowest plane up."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
-        v = np.zeros(self.n, kind)
-        for b, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
-            one = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        v, unpress = np.zeros(self.n, kind), zstandard.ZstdDecompressor().decompress
+        ends = [0, *self.ends.tolist()]
+        for b, p in enumerate(reversed(range(self.bits))):
+            frames = range(p * self.blocks, (p + 1) * self.blocks)
+            plane = np.frombuffer(b"".join(unpress(self.data[self.begin + ends[i] : self.begin + ends[i + 1]]) for i in frames), np.uint8)
+            one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            at = np.flatnonzero(one)
             up = np.empty_like(v)
-            up[~one] = v[:zeros]
-            up[one] = v[zeros:] | kind(1 << b)
+            up[np.flatnonzero(~one)] = v[: self.zeros[p]]
+            up[at] = v[self.zeros[p] :] | kind(1 << b)
             v = up
         return v
 
@@ -150,6 +166,8 @@ class WaveletMatrix:
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w]|_)+")
 #: Words for which that holds without the library: printable ASCII and the letters of Latin-1 and Latin Extended-A.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+#: Most of these: letters, and a mark after them.
+_COMMON = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+[,.]?$"
 
 
 class Encoder:
@@ -173,25 +191,20 @@ class Encoder:
     def forget(self) -> None:
         self.known, self.pieces, self.ids, self.begin = {}, {}, array("I"), array("q", [0])
 
-    def _piece(self, piece: str) -> list[int]:
-        text = piece if piece.isascii() else "".join(self.bytes[b] for b in piece.encode())
-        ids = self.pieces[piece] = [x.id for x in self.tokenizer.model.tokenize(text)]
-        return ids
-
     def _learn(self, words: list[str]) -> None:
+        """Add words as they stand to those known."""
         rest, known, get, ids, begin = [], self.known, self.pieces.get, self.ids, self.begin
+        token, letters = self.tokenizer.model.tokenize, self.bytes
+
+        def new(piece: str) -> list[int]:
+            text = piece if piece.isascii() else "".join([letters[b] for b in piece.encode()])
+            got = self.pieces[piece] = [x.id for x in token(text)]
+            return got
+
         for w in words:
-            if self.parts and w.isascii() and (w.isalpha() or w[-1] in ",." and w[:-1].isalpha()):  # letters, and a mark after them
-                low = w.lower()
-                if low[-1] in ",.":
-                    ids.extend(get(low[:-1]) or self._piece(low[:-1]))
-                    low = low[-1]
-                ids.extend(get(low) or self._piece(low))
-                known[w] = len(begin) - 1
-                begin.append(len(ids))
-            elif self.parts and _PLAIN.fullmatch(w) and "<|" not in w:
+            if self.parts and _PLAIN.fullmatch(w) and "<|" not in w:
                 for piece in _PIECES.findall(w.lower()):
-                    ids.extend(get(piece) or self._piece(piece))
+                    ids.extend(get(piece) or new(piece))
                 known[w] = len(begin) - 1
                 begin.append(len(ids))
             else:
@@ -201,23 +214,48 @@ class Encoder:
             known[w] = len(begin) - 1
             begin.append(len(ids))
 
+    def _learn_common(self, words: list[str]) -> None:
+        """Add words of lower-case letters alone, which are pieces as they stand."""
+        known, ids, begin, token, letters = self.known, self.ids, self.begin, self.tokenizer.model.tokenize, self.bytes
+        for w in words:
+            ids.extend([x.id for x in token(w if w.isascii() else "".join([letters[b] for b in w.encode()]))])
+            known[w] = len(begin) - 1
+            begin.append(len(ids))
+
+    def _places(self, words: pa.Array, learn) -> np.ndarray:
+        """Where the ids of each word begin, in ``begin``."""
+        words = words.to_numpy(zero_copy_only=False).tolist()
+        at = list(map(self.known.get, words))
+        if None in at:
+            learn([w for w, i in zip(words, at) if i is None])
+            at = list(map(self.known.get, words))
+        return np.array(at, np.int64)
+
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` after it, and their numbers."""
         codes, offsets, words = split(texts)
-        words = words.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > KNOWN_WORDS:
             self.forget()
-        at = list(map(self.known.get, words))
-        if None in at:
-            self._learn([w for w, i in zip(words, at) if i is None])
-            at = list(map(self.known.get, words))
-        at = np.array(at, np.int64)
-        flat, begin = np.append(np.array(self.ids, np.uint32), np.uint32(end)), np.append(np.array(self.begin, np.int64), len(self.ids) + 1)
-        word = np.insert(at[codes] if len(codes) else codes, offsets[1:], len(begin) - 2)
-        n = begin[word + 1] - begin[word]
+        common = pc.match_substring_regex(words, _COMMON) if self.parts else pa.array(np.zeros(len(words), bool))
+        there, mark = common.to_numpy(zero_copy_only=False), np.zeros(len(words), np.int64)
+        at = np.zeros(len(words), np.int64)
+        at[~there] = self._places(words.filter(pc.invert(common)), self._learn)
+        if there.any():
+            mine = words.filter(common)
+            letters = pc.utf8_lower(pc.ascii_rtrim(mine, ",.")).dictionary_encode()
+            at[there] = self._places(letters.dictionary, self._learn_common)[letters.indices.to_numpy()]
+            mark[there] = np.where(pc.ends_with(mine, ",").to_numpy(zero_copy_only=False), 1, np.where(pc.ends_with(mine, ".").to_numpy(zero_copy_only=False), 2, 0))
+        marks = [self._places(pa.array([m]), self._learn)[0] for m in ",."]
+        flat, begin = np.append(np.frombuffer(self.ids, np.uint32), np.uint32(end)), np.append(np.frombuffer(self.begin, np.int64), len(self.ids) + 1)
+        # a word is up to two runs of known ids: its own, and that of a mark after it
+        run = np.concatenate([at[codes], np.array(marks, np.int64)[mark[codes[mark[codes] > 0]] - 1], np.full(len(offsets) - 1, len(begin) - 2)])
+        order = np.argsort(np.concatenate([2 * np.arange(len(codes)), 2 * np.flatnonzero(mark[codes] > 0) + 1, 2 * offsets[1:] - 1]), kind="stable") if len(run) else run
+        run = run[order]
+        n = begin[run + 1] - begin[run]
         total = np.concatenate([[0], np.cumsum(n)])
-        places = np.arange(total[-1]) + np.repeat(begin[word] - total[:-1], n)
-        return flat[places], np.diff(total[offsets + np.arange(len(offsets))])
+        places = np.arange(total[-1]) + np.repeat(begin[run] - total[:-1], n)
+        ends = np.flatnonzero(order >= len(run) - (len(offsets) - 1))
+        return flat[places], np.diff(total[ends + 1], prepend=0)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -234,7 +272,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     """Encode the documents and write them as shards, in ascending order of doc_id, under ``path``.
 
     ``tokenizer`` is the path of a tokenizers file on every executor. Documents are dealt out by ranges of doc_id;
-    a task cuts its range into shards. Null texts count as empty; a null doc_id comes first; rows with equal
+    a task cuts its range into shards. Rows with one doc_id (or none) are dealt on by their texts. Null texts count as empty; a null doc_id comes first; rows with equal
     doc_id follow each other in the order of their texts.
     """
 
@@ -248,7 +286,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
         def full() -> pa.RecordBatch:
             ids, lengths = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             doc_ids = pa.concat_arrays([x[2] for x in held])
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), pa.array([WaveletMatrix.build(ids, lengths).to_bytes()], pa.binary())], ["part", "seq", "n_tokens", "doc_ids", "matrix"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), pa.array([WaveletMatrix.pack(ids, lengths)], pa.binary())], ["part", "seq", "n_tokens", "doc_ids", "matrix"])
 
         for batch in batches:
             for piece in pieces(batch, limit=6_000_000):
@@ -261,7 +299,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
             yield full()
 
     t = docs.select(F.col("doc_id").cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    t = t.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    t = t.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     t.mapInArrow(shards, "part int, seq int, n_tokens long, doc_ids array<long>, matrix binary").write.parquet(path)
 
 
@@ -272,7 +310,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, seq, doc_ids, data in zip(*(batch.column(c) for c in ("part", "seq", "doc_ids", "matrix"))):
-                m = WaveletMatrix.from_bytes(data.as_py())
+                m = WaveletMatrix(data.as_py())
                 ids, ends = m.ids().astype("<u4"), np.cumsum(m.lengths, dtype=np.int64)
                 starts = ends - m.lengths
                 view = memoryview(ids).cast("B")
