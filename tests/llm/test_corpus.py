@@ -114,6 +114,41 @@ def test_license(docs, rows, none, spark):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_spans_by_brute_force(spark):
+    """Whole and edited licence texts inside other text, against an alignment by nested loops."""
+    rng, vocabulary = random.Random(9), ["the", "software", "license", "general", "public", "mit", "of", "a"]
+    docs = []
+    for i in range(60):
+        label, phrase = license_scan.LONGER[i % len(license_scan.LONGER)][::-1]
+        w = phrase.split()
+        for _ in range(rng.choice([0, 1, 4, len(w) // 6])):
+            j = rng.randrange(len(w))
+            w[j : j + rng.choice([0, 1])] = rng.choice([[], ["zz"], ["qq"]])
+        docs.append((i, " ".join([*rng.choices(vocabulary, k=rng.randrange(30)), *w, *rng.choices(vocabulary, k=rng.randrange(30)), *w[: rng.randrange(9)]])))
+    docs += [(100, " ".join(rng.choices(vocabulary, k=2000))), (100, "again mit license"), (None, "mit license"), (None, "mit license")]
+    want = Counter()
+    for i, text in docs:
+        w, spans = text.split(), []
+        for _, phrase, label, base, k in license_scan.listed():
+            t = phrase.split()
+            diagonals = sorted({p - q for p in range(len(w) - k + 1) for q in range(len(t) - k + 1) if w[p : p + k] == t[q : q + k]})
+            groups = []
+            for x in diagonals:
+                if groups and x - groups[-1][-1] <= license_scan.MERGE:
+                    groups[-1].append(x)
+                else:
+                    groups.append([x])
+            for g in groups:
+                found = lambda x, q: 0 <= x + q < len(w) and w[x + q] == t[q]
+                places = [x for x in g if base and all(found(x, q) for q in range(len(t)))]
+                spans.append((label, base, places, sum(any(found(x, q) for x in g) for q in range(len(t))) / len(t)))
+        places = sorted(p for s in spans for p in s[2])
+        good = {s[0] for s in spans if (s[2] if s[1] else s[3] >= license_scan.COVER)}
+        want[i, len(w), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted({s[0] for s in spans if s[2]})), ",".join(sorted(good)), round(max((s[3] for s in spans), default=0), 9)] += 1
+    got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == want
+
+
 def test_mixing(docs, rows, none):
     out = mixing.mix(docs).collect()
     assert Counter((r.doc_id, r.size) for r in out) == Counter((r[0], len(words_of(r[1]))) for r in rows)

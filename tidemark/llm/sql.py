@@ -1,6 +1,6 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
-from .license_scan import BASE, COVER, LONG, LONGER, MERGE, SHORT
+from .license_scan import COVER, LONG, MERGE, SHORT, listed
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -43,23 +43,25 @@ SELECT r1.doc_id, r1.size, CAST(r1.source_size AS BIGINT) AS source_size, r1.tar
 FROM r1 JOIN e1 ON r1.source IS NOT DISTINCT FROM e1.source LEFT JOIN e2 ON r1.source IS NOT DISTINCT FROM e2.source
 """
 
-_TEMPLATES = ", ".join(f"({i}, '{x}', '{label}', {base}, {k})" for i, (x, label, base, k) in enumerate([*((x, y, True, SHORT) for x, y in BASE), *((x, y, False, LONG) for x, y in LONGER)]))
+_TEMPLATES = ", ".join(f"({i}, '{x}', '{label}', {base}, {k})" for i, x, label, base, k in listed())
 
 LICENSE = rf"""
 WITH t0 AS (SELECT template, string_split(phrase, ' ') AS w, label, base, k FROM (VALUES {_TEMPLATES}) v(template, phrase, label, base, k)),
-t1 AS (SELECT *, len(w) - k + 1 AS grams, unnest(range(len(w) - k + 1)) AS tpos FROM t0),
-t AS (SELECT template, label, base, grams, k, tpos, array_to_string(w[tpos + 1:tpos + k], ' ') AS gram FROM t1),
+t1 AS (SELECT *, unnest(range(len(w) - k + 1)) AS tpos FROM t0),
+t AS (SELECT template, k, tpos, array_to_string(w[tpos + 1:tpos + k], ' ') AS gram FROM t1),
 d AS (SELECT doc_id, regexp_extract_all(lower(replace(coalesce(text, ''), chr(8490), chr(57344))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS pos FROM d, (SELECT unnest([{SHORT}, {LONG}]) AS k) WHERE len(w) >= k),
 g AS (SELECT doc_id, k, pos, array_to_string(w[pos + 1:pos + k], ' ') AS gram FROM p),
-h AS (SELECT doc_id, template, label, base, grams, pos, tpos, pos - tpos AS diagonal FROM g JOIN t USING (k, gram)),
-l AS (SELECT doc_id, template, label, base, grams, diagonal, count(DISTINCT pos) AS votes FROM h GROUP BY ALL),
+l AS (SELECT DISTINCT doc_id, template, pos - tpos AS diagonal FROM g JOIN t USING (k, gram)),
 m AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {MERGE} THEN 0 ELSE 1 END AS fresh FROM l),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS grp FROM m),
-c AS (SELECT doc_id, template, grp, count(DISTINCT tpos) AS covered FROM h JOIN n USING (doc_id, template, diagonal) GROUP BY ALL),
-s AS (SELECT n.doc_id, n.template, n.grp, any_value(label) AS label, bool_or(base) AS base, any_value(grams) AS grams, any_value(covered) AS covered, count(*) FILTER (votes = grams) AS places, min(diagonal) FILTER (votes = grams) AS a, max(diagonal) FILTER (votes = grams) AS b FROM n JOIN c USING (doc_id, template, grp) GROUP BY ALL),
-o AS (SELECT doc_id, CAST(coalesce(sum(places) FILTER (base), 0) AS BIGINT) AS n_base, min(a) FILTER (base) AS first_word, max(b) FILTER (base) AS last_word,
-  array_to_string(list_sort(list(DISTINCT label) FILTER (base AND places > 0)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (CASE WHEN base THEN places > 0 ELSE covered / grams >= {COVER} END)), ',') AS labels, max(covered / grams) AS score FROM s GROUP BY doc_id)
+e AS (SELECT n.doc_id, n.template, grp, diagonal, i, t0.base, t0.label, len(t0.w) AS size, diagonal + i >= 0 AND d.w[CASE WHEN diagonal + i >= 0 THEN diagonal + i + 1 END] IS NOT DISTINCT FROM t0.w[i + 1] AS hit
+  FROM (SELECT *, unnest(range((SELECT max(len(w)) FROM t0))) AS i FROM n) n JOIN t0 USING (template) JOIN d USING (doc_id) WHERE i < len(t0.w)),
+c AS (SELECT doc_id, template, grp, count(DISTINCT i) FILTER (hit) AS covered FROM e GROUP BY ALL),
+o0 AS (SELECT doc_id, template, grp, diagonal, base, label, size, bool_and(hit) AS whole FROM e GROUP BY ALL),
+s AS (SELECT o0.doc_id, template, grp, any_value(label) AS label, bool_or(base) AS base, any_value(size) AS size, any_value(covered) AS covered, count(*) FILTER (whole AND base) AS places, min(diagonal) FILTER (whole AND base) AS a, max(diagonal) FILTER (whole AND base) AS b FROM o0 JOIN c USING (doc_id, template, grp) GROUP BY ALL),
+o AS (SELECT doc_id, CAST(sum(places) AS BIGINT) AS n_base, min(a) AS first_word, max(b) AS last_word,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (places > 0)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (CASE WHEN base THEN places > 0 ELSE covered / size >= {COVER} END)), ',') AS labels, max(covered / size) AS score FROM s GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN o USING (doc_id)
 """
 
