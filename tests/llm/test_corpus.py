@@ -213,20 +213,28 @@ def test_links_of_a_dense_cluster(spark, monkeypatch):
     assert groups(lambda x: got.get(x, x)) == groups(root.get)
 
 
-def test_substring_dedup(docs, rows, none):
-    seen, want = {}, Counter()
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, rows[i][1] or ""))
-    for i in order:
-        w = words_of(rows[i][1])
-        gone = set()
+def brute_windows(rows, n_blocks, block):
+    """Rows (doc_id, text) without the words of windows that start earlier; earlier is by doc_id, block, text, place."""
+    seen, want = set(), Counter()
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, block(r), r[1] or "")):
+        w, gone = words_of(r[1]), set()
         for k in range(len(w) - 19):
             g = tuple(w[k : k + 20])
             if g in seen:
                 gone |= set(range(k, k + 20))
-            seen[g] = True
-        want[(rows[i][0], len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))] += 1
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(docs, block_chars=4000, chunk_windows=500).collect())
-    assert got == want
+            seen.add(g)
+        want[(r[0], len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))] += 1
+    return want
+
+
+@pytest.mark.parametrize("block_chars,chunk_windows,range_bits", [(4000, 500, 10), (10_000_000, 1_000_000, 20), (500, 50, 6)])
+def test_substring_dedup(docs, rows, none, block_chars, chunk_windows, range_bits):
+    rows = [*rows, *((None, f"{rows[0][1]} {i} {rows[3][1]}", *rows[0][2:]) for i in range(5)), *((5, f"{i} {rows[2][1]}", *rows[0][2:]) for i in range(5))]
+    d = docs.sparkSession.createDataFrame(rows, SCHEMA)
+    n = -(-sum(len(r[1] or "") for r in rows) // block_chars)
+    where = {(r.doc_id, r.text): r.b for r in d.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(n)).alias("b")).collect()}
+    out = substring_dedup.dedup(d, block_chars=block_chars, chunk_windows=chunk_windows, range_bits=range_bits).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out) == brute_windows(rows, n, lambda r: where[r[0], r[1]])
     assert substring_dedup.dedup(none).count() == 0
 
 
