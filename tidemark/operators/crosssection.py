@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .distributions import incomplete_beta
 from .risk import RISK_FREE, YEAR
 from .timeseries import log_return
 
@@ -61,11 +62,40 @@ def rolling_intra_corr(returns: DataFrame, size: int = 60, step: int = 20, last:
     return out.select(F.col("trading_date").alias("as_of"), "avg_corr").orderBy(F.desc("as_of")).limit(last)
 
 
-def sector_index(returns: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Equal-weight daily returns of each industry, summed up over the time."""
-    day = returns.where("log_ret IS NOT NULL").join(sectors, "symbol").groupBy("industry", "trading_date").agg(F.avg("log_ret").alias("r"))
+def index_returns(index: DataFrame) -> DataFrame:
+    """trading_date and index_ret of the index's own rows."""
+    return index.select("trading_date", F.log(F.col("close") / F.lag("close").over(Window.orderBy("trading_date"))).alias("index_ret"))  # one row a date
+
+
+def sector_index(returns: DataFrame, sectors: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Equal-weight daily returns of each industry, summed up over the time; with the index its correlation, and how many stocks rose."""
+    r = returns.where("log_ret IS NOT NULL").join(sectors, "symbol")
+    day = r.groupBy("industry", "trading_date").agg(F.avg("log_ret").alias("r"))
     a = day.groupBy("industry").agg((F.exp(F.sum("r")) - 1).alias("total_return"), (F.avg("r") * YEAR).alias("ann_return"), (F.stddev_samp("r") * YEAR**0.5).alias("ann_vol"))
-    return a.withColumn("sharpe", (F.col("ann_return") - RISK_FREE) / F.nullif(F.col("ann_vol"), F.lit(0.0)))
+    a = a.withColumn("sharpe", (F.col("ann_return") - RISK_FREE) / F.nullif(F.col("ann_vol"), F.lit(0.0)))
+    if index is None:
+        return a
+    both = day.join(index_returns(index), "trading_date").where("index_ret IS NOT NULL").groupBy("industry").agg(F.when(F.count("*") > 10, F.corr("r", "index_ret")).alias("corr_index"))
+    up = r.groupBy("industry", "symbol").agg(F.sum("log_ret").alias("s")).groupBy("industry").agg(F.count("*").alias("stocks"), F.avg((F.col("s") > 0).cast("double")).alias("stocks_up"))
+    return a.join(both, "industry", "left").join(up, "industry")
+
+
+def sector_analysis(returns: DataFrame, sectors: DataFrame, index: DataFrame) -> DataFrame:
+    """Of each industry with two stocks or more: sessions, members, total return, beta, mean pair correlation with its label, and
+    the yearly variance of its equal-weight portfolio in percent."""
+    r = returns.where("log_ret IS NOT NULL").join(sectors, "symbol").join(index_returns(index).where("index_ret IS NOT NULL"), "trading_date")
+    day = r.groupBy("industry", "trading_date", "index_ret").agg(F.avg("log_ret").alias("r"), F.count("*").alias("m"))
+    a = day.groupBy("industry").agg(F.count("*").alias("sessions"), F.max("m").alias("members"), (F.exp(F.sum("r")) - 1).alias("total_return"), F.when(F.count("*") > 30, F.regr_slope("r", "index_ret")).alias("beta"), (F.var_samp("r") * YEAR * 100).alias("variance_pct"))
+    c = pair_self_join(r.select("industry", "trading_date", "symbol", "log_ret"), keys=("industry", "trading_date")).groupBy("industry", "a", "b").agg(F.corr("ra", "rb").alias("corr")).groupBy("industry").agg(F.avg("corr").alias("avg_corr"))
+    x = F.col("avg_corr")
+    return a.join(c, "industry").withColumn("label", F.when(x > 0.6, "HIGH co-movement").when(x > 0.3, "MODERATE").otherwise("LOW"))
+
+
+def sector_stock_details(returns: DataFrame, sectors: DataFrame) -> DataFrame:
+    """Yearly return, volatility and share of the industry's equal-weight variance of each stock."""
+    r = returns.where("log_ret IS NOT NULL").join(sectors, "symbol").withColumn("mean", F.avg("log_ret").over(Window.partitionBy("industry", "trading_date")))
+    a = r.groupBy("industry", "symbol").agg((F.avg("log_ret") * YEAR).alias("ann_return"), (F.stddev_samp("log_ret") * YEAR**0.5).alias("ann_vol"), F.covar_samp("log_ret", "mean").alias("c"))
+    return a.withColumn("risk_pct", F.col("c") / F.sum("c").over(Window.partitionBy("industry")) * 100).drop("c")
 
 
 def breadth(returns: DataFrame) -> DataFrame:
@@ -83,13 +113,21 @@ def sector_peers(sectors: DataFrame) -> DataFrame:
     return sectors.join(sectors.select("industry", F.col("symbol").alias("peer")), "industry").where("symbol <> peer").select("symbol", "peer", "industry")
 
 
-def peer_comparison(returns: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Annual statistics of the panel's symbols, with their rank by Sharpe ratio in the industry."""
-    a = returns.groupBy("symbol").agg((F.avg("log_ret") * YEAR).alias("ann_return"), (F.stddev_samp("log_ret") * YEAR**0.5).alias("ann_vol"))
-    a = a.withColumn("sharpe", (F.col("ann_return") - RISK_FREE) / F.nullif(F.col("ann_vol"), F.lit(0.0))).join(sectors, "symbol")
+def peer_comparison(returns: DataFrame, sectors: DataFrame, index: DataFrame) -> DataFrame:
+    """Yearly statistics of the panel's symbols, beta and correlation with the index, and their rank by Sharpe ratio in the industry."""
+    r = returns.where("log_ret IS NOT NULL").join(index_returns(index).where("index_ret IS NOT NULL"), "trading_date")
+    a = r.groupBy("symbol").agg((F.avg("log_ret") * YEAR).alias("ann_return"), (F.stddev_samp("log_ret") * YEAR**0.5).alias("ann_vol"), F.when(F.count("*") > 30, F.regr_slope("log_ret", "index_ret")).alias("beta"), F.corr("log_ret", "index_ret").alias("corr_index"))
+    a = a.withColumn("sharpe", F.when(F.col("ann_vol") > 0, (F.col("ann_return") - RISK_FREE) / F.col("ann_vol")).otherwise(0.0)).join(sectors, "symbol")
     return a.withColumn("rank", F.row_number().over(Window.partitionBy("industry").orderBy(F.desc("sharpe"), "symbol")))
 
 
+def peer_correlations(returns: DataFrame, sectors: DataFrame) -> DataFrame:
+    """Correlation of each symbol with each peer of its industry, itself included at 1."""
+    r = returns.where("log_ret IS NOT NULL").join(sectors, "symbol").select("industry", "trading_date", "symbol", "log_ret")
+    pairs = pair_self_join(r, ordered=True, keys=("industry", "trading_date")).groupBy(F.col("a").alias("symbol"), F.col("b").alias("peer")).agg(F.corr("ra", "rb").alias("corr"))
+    return pairs.unionByName(r.select("symbol", F.col("symbol").alias("peer"), F.lit(1.0).alias("corr")).distinct())
+
+
 def tail_dependence(returns: DataFrame, q: float = 0.1) -> DataFrame:
     """Of each pair the share of dates on which both lie under their q quantile, and the correlation on days when either does."""
     cuts = returns.groupBy("symbol").agg(F.percentile("log_ret", F.lit(q)).alias("cut"))
@@ -102,13 +140,22 @@ def tail_dependence(returns: DataFrame, q: float = 0.1) -> DataFrame:
 
 
 def lead_lag(returns: DataFrame, most: int = 5) -> DataFrame:
-    """Correlation of each ordered pair at its strongest lag; a positive lag means that a leads b."""
+    """Correlation of each pair (a before b) at its strongest lag, and the leader: a positive lag means that a leads b."""
     r = returns.where("log_ret IS NOT NULL").withColumn("i", F.dense_rank().over(Window.partitionBy("symbol").orderBy("trading_date")))
     a = r.select(F.col("symbol").alias("a"), F.col("log_ret").alias("ra"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "i").withColumn("at", F.col("i") + F.col("lag"))
     b = r.select(F.col("symbol").alias("b"), F.col("log_ret").alias("rb"), F.col("i").alias("at"))
     c = a.join(b, "at").where("a < b").groupBy("a", "b", "lag").agg(F.corr("ra", "rb").alias("corr"))
     first = F.struct(F.abs(F.round("corr", 12)), -F.col("lag"))
-    return c.groupBy("a", "b").agg(F.max_by("lag", first).alias("lag"), F.max_by("corr", first).alias("corr"))
+    best = c.groupBy("a", "b").agg(F.max_by("lag", first).alias("lag"), F.max_by("corr", first).alias("corr"))
+    return best.withColumn("leader", F.when(F.col("lag") > 0, F.col("a")).when(F.col("lag") < 0, F.col("b")).otherwise("simultaneous"))
+
+
+def contagion_summary(granger_pairs: DataFrame, lags: DataFrame, tails: DataFrame) -> DataFrame:
+    """How many causal links are significant, how many pairs have a leader, and how many warn of crashing together."""
+    g = granger_pairs.agg(F.count("*").alias("tested"), F.count_if("significant").alias("significant"))
+    l = lags.agg(F.count("*").alias("pairs"), F.count_if(F.col("lag") != 0).alias("with_leader"))  # noqa: E741
+    t = tails.agg(F.count_if("warning").alias("warnings"))
+    return g.join(F.broadcast(l)).join(F.broadcast(t))  # one row each
 
 
 def equal_weights(returns: DataFrame) -> DataFrame:
@@ -142,25 +189,44 @@ def portfolio_stats(returns: DataFrame, weights: DataFrame) -> DataFrame:
     return out.withColumn("sharpe", (F.col("ann_return") - RISK_FREE) / F.col("ann_vol")).withColumn("var_95", F.col("ann_return") - 1.645 * F.col("ann_vol"))
 
 
-def portfolio_search(returns: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Of candidate portfolios (candidate, symbol, weight) that with the least volatility and that with the best Sharpe ratio."""
-    mu = returns.groupBy("symbol").agg((F.avg("log_ret") * YEAR).alias("mu"))
-    ret = candidates.join(mu, "symbol").groupBy("candidate").agg(F.sum(F.col("mu") * F.col("weight")).alias("ann_return"))
-    cov = covariance(returns)
-    wa, wb = candidates.select("candidate", F.col("symbol").alias("a"), F.col("weight").alias("wa")), candidates.select("candidate", F.col("symbol").alias("b"), F.col("weight").alias("wb"))
-    vol = wa.join(wb, "candidate").join(cov, ["a", "b"]).groupBy("candidate").agg(F.sqrt(F.sum(F.col("wa") * F.col("wb") * F.col("cov"))).alias("ann_vol"))
-    s = ret.join(vol, "candidate").withColumn("sharpe", (F.col("ann_return") - RISK_FREE) / F.nullif(F.col("ann_vol"), F.lit(0.0)))
-    pick = lambda name, order: s.agg(F.min_by(F.struct("candidate", "ann_return", "ann_vol", "sharpe"), order).alias("x")).select(F.lit(name).alias("goal"), "x.*")
-    return pick("min_variance", F.struct(F.round("ann_vol", 10), "candidate")).unionByName(pick("max_sharpe", F.struct(-F.round("sharpe", 10), "candidate")))
+def portfolio_points(returns: DataFrame, many: int = 2000, seed: int = 42) -> DataFrame:
+    """Yearly return, volatility and Sharpe ratio of candidate portfolios over all symbols: candidate, weights (in the order of
+    the symbols), ann_return, ann_vol, sharpe.
 
-
-def simplex(symbols: DataFrame, steps: int = 2) -> DataFrame:
-    """Candidates: every pair of symbols in tenths of ``steps`` parts, and each symbol alone."""
-    a, b = symbols.select(F.col("symbol").alias("a")), symbols.select(F.col("symbol").alias("b"))
-    parts = F.explode(F.sequence(F.lit(1), F.lit(10 * steps - 1)))
-    pairs = a.join(b, F.col("a") < F.col("b")).withColumn("k", parts).withColumn("w", F.col("k") / (10.0 * steps)).withColumn("candidate", F.concat_ws(":", "a", "b", F.format_string("%.2f", "w")))
-    both = pairs.select("candidate", F.inline(F.array(F.struct(F.col("a").alias("symbol"), F.col("w").alias("weight")), F.struct(F.col("b").alias("symbol"), (1 - F.col("w")).alias("weight")))))
-    return both.unionByName(symbols.select(F.col("symbol").alias("candidate"), "symbol", F.lit(1.0).alias("weight")))
+    Candidates are equal weights, each symbol alone, and ``many`` points of the simplex drawn by hash (exponential
+    variates over their sum). A candidate is one row; the panel's means and covariances are one row of arrays, whose
+    size goes with the square of the number of symbols, and which is sent to the candidates.
+    """
+    mu = returns.where("log_ret IS NOT NULL").groupBy("symbol").agg((F.avg("log_ret") * YEAR).alias("mu"))
+    row = covariance(returns).groupBy(F.col("a").alias("symbol")).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "cov"))), lambda x: x["cov"]).alias("cov"))
+    model = mu.join(row, "symbol").agg(F.sort_array(F.collect_list(F.struct("symbol", "mu", "cov"))).alias("m")).where(F.size("m") > 0)
+    m = model.select(F.col("m.symbol").alias("symbols"), F.col("m.mu").alias("mu"), F.col("m.cov").alias("cov"))
+    n = F.size("symbols")
+    u = lambda i, s: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), i.cast("string"), s)), 1, 10), 16, 10).cast("double") + 1) / float(16**10 + 1)
+    i, drawn = F.col("i"), F.transform("symbols", lambda s: -F.log(u(F.col("i"), s)))
+    p = m.withColumn("i", F.explode(F.sequence(F.lit(0), many + n))).withColumn("e", F.when(i == 0, F.transform("symbols", lambda s: F.lit(1.0))).when(i <= many, drawn).otherwise(F.transform("symbols", lambda s, k: (k == i - many - 1).cast("double"))))
+    total = F.aggregate("e", F.lit(0.0), lambda x, y: x + y)
+    name = F.when(i == 0, "equal").when(i <= many, F.format_string("r%06d", "i")).otherwise(F.concat(F.lit("one "), F.get("symbols", i - many - 1)))
+    p = p.select(name.alias("candidate"), F.transform("e", lambda x: x / total).alias("weights"), "mu", "cov")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    p = p.withColumn("ann_return", dot("weights", "mu")).withColumn("ann_vol", F.sqrt(dot("weights", F.transform("cov", lambda r: dot("weights", r)))))
+    return p.withColumn("sharpe", (F.col("ann_return") - RISK_FREE) / F.nullif(F.col("ann_vol"), F.lit(0.0))).select("candidate", "weights", "ann_return", "ann_vol", "sharpe").where("ann_vol IS NOT NULL")
+
+
+def portfolio_search(points: DataFrame) -> DataFrame:
+    """The candidates with the least volatility and with the best Sharpe ratio; no row without candidates."""
+    row = F.struct("candidate", "ann_return", "ann_vol", "sharpe")
+    best = points.agg(F.min_by(row, F.struct(F.round("ann_vol", 10), "candidate")).alias("a"), F.min_by(row, F.struct(-F.round("sharpe", 10), "candidate")).alias("b"))
+    each = F.array(F.struct(F.lit("min_variance").alias("goal"), F.col("a").alias("x")), F.struct(F.lit("max_sharpe").alias("goal"), F.col("b").alias("x")))
+    return best.select(F.inline(each)).where("x IS NOT NULL").select("goal", "x.*")
+
+
+def efficient_frontier(points: DataFrame, steps: int = 10) -> DataFrame:
+    """The least volatility at or above each of ``steps`` even target returns from the lowest to the highest candidate's."""
+    ends = points.agg(F.min("ann_return").alias("low"), F.max("ann_return").alias("high"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
+    t = points.join(F.broadcast(ends)).withColumn("step", at).withColumn("target", F.col("low") + (F.col("high") - F.col("low")) * F.col("step") / (steps - 1))  # one row
+    return t.where(F.round("ann_return", 12) >= F.round("target", 12)).groupBy("step", "target").agg(F.min("ann_vol").alias("ann_vol"))
 
 
 def granger(returns: DataFrame, max_lag: int = 5) -> DataFrame:
@@ -171,24 +237,6 @@ def granger(returns: DataFrame, max_lag: int = 5) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    def incomplete_beta(a: float, b: float, x: float) -> float:
-        """Regularised incomplete beta function by its continued fraction."""
-        from math import exp, lgamma, log
-
-        if x <= 0 or x >= 1:
-            return float(x >= 1)
-        if x > (a + 1) / (a + b + 2):
-            return 1 - incomplete_beta(b, a, 1 - x)
-        c, d, out = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-30), 0.0
-        out = d
-        for m in range(1, 200):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d, c = 1 / (1 + num * d or 1e-30), 1 + num / c or 1e-30
-                out *= d * c
-            if abs(d * c - 1) < 1e-12:
-                break
-        return exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) * out / a
-
     def test(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("trading_date")
         y, x = p["rb"].to_numpy(), p["ra"].to_numpy()

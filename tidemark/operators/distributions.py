@@ -10,23 +10,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Degrees of freedom among which the Student-t fit chooses.
-GRID = (3, 4, 5, 6, 8, 10, 15, 20, 30, 60)
+#: Degrees of freedom among which the Student-t fit chooses, and scales, in hundredths of the sample's deviation.
+GRID, SCALES = (2, 3, 4, 5, 6, 8, 10, 15, 20, 30, 60), tuple(range(40, 105, 5))
 
 
 def t_constant(nu: int) -> float:
-    return math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
-
-
-def student_t(returns: DataFrame, grid: tuple[int, ...] = GRID) -> DataFrame:
-    """Degrees of freedom with the highest likelihood, at the sample's mean and deviation: symbol, dof, log_lik."""
+    return math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * nu)
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-30)
+    out = d
+    for m in range(1, 200):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + num * d or 1e-30), 1 + num / c or 1e-30
+            out *= d * c
+        if abs(d * c - 1) < 1e-12:
+            break
+    return math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) * out / a
+
+
+def t_quantile(p: float, nu: int) -> float:
+    """Quantile of Student's law for p under a half, by halving."""
+    low, high = -1e4, 0.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if incomplete_beta(nu / 2, 0.5, nu / (nu + mid * mid)) / 2 < p else (low, mid)
+    return (low + high) / 2
+
+
+def student_t(returns: DataFrame, grid: tuple[int, ...] = GRID, scales: tuple[int, ...] = SCALES) -> DataFrame:
+    """Degrees of freedom and scale with the highest likelihood, at the sample's mean: symbol, dof, scale, mean, log_lik."""
     r = returns.where("log_ret IS NOT NULL")
     m = r.groupBy("symbol").agg(F.avg("log_ret").alias("mu"), F.stddev_samp("log_ret").alias("sd"))
-    cells = F.array(*(F.struct(F.lit(n).alias("dof"), F.lit(t_constant(n)).alias("c")) for n in grid))
-    z = F.pow((F.col("log_ret") - F.col("mu")) / F.col("sd"), 2)
-    each = r.join(m, "symbol").select("symbol", "sd", z.alias("z"), F.inline(cells))
-    ll = each.groupBy("symbol", "dof").agg(F.sum(F.col("c") - F.log("sd") - (F.col("dof") + 1) / 2 * F.log(1 + F.col("z") / (F.col("dof") - 2))).alias("log_lik"))
-    return ll.groupBy("symbol").agg(F.max_by("dof", F.struct(F.round("log_lik", 6), -F.col("dof"))).alias("dof"), F.max("log_lik").alias("log_lik"))
+    cells = F.array(*(F.struct(F.lit(n).alias("dof"), F.lit(k).alias("part"), F.lit(t_constant(n)).alias("c")) for n in grid for k in scales))
+    each = r.join(m, "symbol").select("symbol", "mu", "sd", ((F.col("log_ret") - F.col("mu")) / F.col("sd")).alias("z"), F.inline(cells))
+    k = F.col("part") / 100
+    ll = each.groupBy("symbol", "mu", "sd", "dof", "part").agg(F.sum(F.col("c") - F.log(F.col("sd") * k) - (F.col("dof") + 1) / 2 * F.log(1 + F.pow(F.col("z") / k, 2) / F.col("dof"))).alias("log_lik"))
+    best = ll.groupBy("symbol").agg(F.max_by(F.struct("dof", (F.col("sd") * k).alias("scale"), F.col("mu").alias("mean")), F.struct(F.round("log_lik", 6), -F.col("dof"), -F.col("part"))).alias("x"), F.max("log_lik").alias("log_lik"))
+    return best.select("symbol", "x.*", "log_lik")
 
 
 @F.pandas_udf(T.DoubleType())

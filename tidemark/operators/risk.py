@@ -7,7 +7,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeseries import drawdown, log_return
+from .distributions import GRID, student_t, t_quantile
+from .timeseries import drawdown, log_return, rolling_var
 
 YEAR, RISK_FREE = 252, 0.045
 
@@ -34,17 +35,17 @@ def return_stats(returns: DataFrame, keys: tuple[str, ...] = ("symbol",), x: str
 
 
 def with_index(prices: DataFrame, index: DataFrame) -> DataFrame:
-    """Log returns beside those of the index over the symbol's own rows."""
+    """Log returns beside those of the index from one to the next of the symbol's rows that have a return; rows with both."""
     w = Window.partitionBy("symbol").orderBy("trading_date")
-    j = prices.join(index.select("trading_date", F.col("close").alias("index_close")), "trading_date", "left")
-    return log_return(j).withColumn("index_ret", F.log(F.col("index_close") / F.lag("index_close").over(w)))
+    j = log_return(prices.join(index.select("trading_date", F.col("close").alias("index_close")), "trading_date", "left")).where("log_ret IS NOT NULL")
+    return j.withColumn("index_ret", F.log(F.col("index_close") / F.lag("index_close").over(w))).where("index_ret IS NOT NULL")
 
 
 def capm(returns: DataFrame) -> DataFrame:
     """beta, alpha (of a year), r2 and a label by symbol."""
     y, x = F.col("log_ret"), F.col("index_ret")
     a = returns.groupBy("symbol").agg(F.regr_slope(y, x).alias("beta"), (F.regr_intercept(y, x) * YEAR).alias("alpha"), F.regr_r2(y, x).alias("r2"))
-    return a.withColumn("kind", F.when(F.col("beta") > 1.2, "aggressive").when(F.col("beta") < 0.8, "defensive").otherwise("neutral"))
+    return a.withColumn("kind", F.when(F.col("beta") > 1.2, "HIGH-BETA").when(F.col("beta") > 0.8, "MARKET").otherwise("DEFENSIVE"))
 
 
 def max_drawdown(prices: DataFrame) -> DataFrame:
@@ -55,9 +56,9 @@ def max_drawdown(prices: DataFrame) -> DataFrame:
 
 
 def value_at_risk(returns: DataFrame, confidence: float = 0.95, notional: float = 1e8) -> DataFrame:
-    """Historical, normal and Cornish-Fisher value at risk, expected shortfall, and the loss on a notional."""
-    if not 0.5 < confidence < 1:
-        raise ValueError("confidence is to lie between 0.5 and 1")
+    """Historical, normal, Student-t and Cornish-Fisher value at risk, expected shortfalls, and the losses on a notional."""
+    if not 0.9 <= confidence <= 0.99:
+        raise ValueError("confidence is to lie between 0.9 and 0.99")
     z, tail = NormalDist().inv_cdf(1 - confidence), 1 - confidence
     density = NormalDist().pdf(z)
     r = returns.where("log_ret IS NOT NULL")
@@ -65,15 +66,23 @@ def value_at_risk(returns: DataFrame, confidence: float = 0.95, notional: float
     short = r.join(a.select("symbol", "var_hist"), "symbol").where("log_ret <= var_hist").groupBy("symbol").agg(F.avg("log_ret").alias("cvar_hist"))
     cf = z + (z * z - 1) * F.col("s") / 6 + (z**3 - 3 * z) * F.col("k") / 24 - (2 * z**3 - 5 * z) * F.col("s") * F.col("s") / 36
     a = a.join(short, "symbol", "left").withColumn("var_normal", F.col("mu") + z * F.col("sd")).withColumn("cvar_normal", F.col("mu") - F.col("sd") * density / tail)
-    return a.withColumn("var_cf", F.col("mu") + cf * F.col("sd")).withColumn("loss_hist", F.abs("var_hist") * notional).drop("mu", "sd", "s", "k")
+    t = student_t(r)
+    quantile = F.create_map(*(F.lit(float(x)) for n in GRID for x in (n, t_quantile(tail, n))))
+    t = t.select("symbol", (F.col("mean") + F.col("scale") * quantile[F.col("dof").cast("double")]).alias("var_t"))
+    beyond = r.join(t, "symbol").groupBy("symbol").agg(F.max("var_t").alias("var_t"), F.avg(F.when(F.col("log_ret") <= F.col("var_t"), F.col("log_ret"))).alias("cvar_t"))
+    a = a.withColumn("var_cf", F.col("mu") + cf * F.col("sd")).withColumn("loss_hist", F.abs("var_hist") * notional).withColumn("loss_cvar", F.abs("cvar_hist") * notional)
+    return a.drop("mu", "sd", "s", "k").join(beyond, "symbol")
 
 
 def risk_report(prices: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """Values at risk and drawdown of each symbol."""
-    return value_at_risk(log_return(prices), confidence).join(max_drawdown(prices), "symbol")
+    """Values at risk, drawdown and the latest rolling value at risk of each symbol."""
+    r = log_return(prices)
+    rolling = rolling_var(r).groupBy("symbol").agg(F.max_by("rolling_var", F.when(F.col("rolling_var").isNotNull(), F.col("trading_date"))).alias("rolling_var"))
+    return value_at_risk(r, confidence).join(max_drawdown(prices), "symbol").join(rolling, "symbol")
 
 
 def eda_report(prices: DataFrame, index: DataFrame) -> DataFrame:
-    """Return statistics and market model of each symbol."""
+    """Return statistics, market model and drawdown of each symbol, and the index's statistics over the same dates."""
     r = with_index(prices, index)
-    return return_stats(r).join(capm(r), "symbol")
+    own, of_index = return_stats(r), return_stats(r, x="index_ret").select("symbol", *(F.col(c).alias(f"index_{c}") for c in ("ann_return", "ann_vol", "sharpe")))
+    return own.join(capm(r), "symbol").join(of_index, "symbol").join(max_drawdown(r).select("symbol", "max_drawdown"), "symbol")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .timeseries import by_symbol
 
-YEAR = 252
+YEAR, RISK_FREE = 252, 0.045
 
 
 def crossover(x: str, y: str) -> Column:
@@ -28,9 +28,11 @@ def combo_signal(sell: Column, buy: Column) -> Column:
 
 
 def signals(df: DataFrame) -> DataFrame:
-    """A row for each strategy: S1 trend cross, S2 channel, S3 fast cross, S4 both, and buy and hold."""
-    df = df.withColumn("S1", crossover("fast", "slow")).withColumn("S2", threshold_signal("stoch_k", 20, 80)).withColumn("S3", crossover("close", "slow"))
-    df = df.withColumn("S4", combo_signal((F.col("fast") < F.col("slow")) | (F.col("stoch_k") > 80), (F.col("fast") > F.col("slow")) & (F.col("stoch_k") < 50)))
+    """A row for each strategy of the indicators' rows: S1 exponential means 9 and 21 cross, S2 RSI returns, S3 MACD crosses
+    its signal, S4 the trend of 21 and 50 with a low RSI and much volume, and buy and hold."""
+    df = df.withColumn("S1", crossover("ema_9", "ema_21")).withColumn("S2", threshold_signal("rsi_14", 30, 70)).withColumn("S3", crossover("macd", "macd_signal"))
+    buy = (F.col("ema_21") > F.col("ema_50")) & (F.col("rsi_14") < 40) & (F.col("vol_ratio") > 1)
+    df = df.withColumn("S4", combo_signal((F.col("rsi_14") > 70) | (crossover("ema_21", "ema_50") == -1), buy))
     names = ("S1", "S2", "S3", "S4")
     each = F.array(*(F.struct(F.lit(n).alias("strategy"), F.col(n).alias("signal")) for n in names), F.struct(F.lit("BH").alias("strategy"), F.lit(1).alias("signal")))
     return df.select("symbol", "trading_date", "close", F.inline(each))
@@ -65,8 +67,9 @@ def backtest(df: DataFrame, cost: float = 0.0025, capital: float = 1e8, keys: tu
     )
     years = F.col("n") / YEAR
     a = a.withColumn("ann_return", F.when(F.col("total_return") > -1, F.pow(1 + F.col("total_return"), 1 / years) - 1).otherwise(-1.0)).withColumn("ann_vol", F.col("dev") * YEAR**0.5)
-    a = a.withColumn("sharpe", F.when(F.col("ann_vol") > 0, F.col("ann_return") / F.col("ann_vol")).otherwise(0.0)).withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("ann_return") / -F.col("max_drawdown")).otherwise(0.0))
-    return a.withColumn("profit_factor", F.coalesce("gain", F.lit(0.0)) / F.col("loss")).select(*keys, "n", "total_return", "ann_return", "ann_vol", "sharpe", "max_drawdown", "calmar", "profit_factor", "trades")
+    a = a.withColumn("sharpe", F.when(F.col("ann_vol") > 0, (F.col("ann_return") - RISK_FREE) / F.col("ann_vol")).otherwise(0.0)).withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("ann_return") / -F.col("max_drawdown")).otherwise(0.0))
+    a = a.withColumn("final_equity", (F.col("total_return") + 1) * capital)
+    return a.withColumn("profit_factor", F.coalesce("gain", F.lit(0.0)) / F.col("loss")).select(*keys, "n", "total_return", "final_equity", "ann_return", "ann_vol", "sharpe", "max_drawdown", "calmar", "profit_factor", "trades")
 
 
 def best_strategy(metrics: DataFrame) -> DataFrame:
@@ -75,8 +78,22 @@ def best_strategy(metrics: DataFrame) -> DataFrame:
     return metrics.where("strategy <> 'BH'").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def walk_forward(df: DataFrame, periods: DataFrame, least: int = 20) -> DataFrame:
-    """Backtests of each period (period, start, end): signals come from the whole history, positions start flat in each."""
+def walk_forward(indicators: DataFrame, periods: DataFrame, least: int = 20) -> DataFrame:
+    """The MACD strategy beside buy and hold in each period (period, start, end) with at least ``least`` rows.
+
+    Indicators come from the whole history; crossings and positions start anew in each period.
+    """
     p = F.broadcast(periods)  # a handful of rows that the caller writes down
-    inside = df.join(p, (F.col("trading_date") >= F.col("start")) & (F.col("trading_date") <= F.col("end")))
-    return backtest(inside, keys=("symbol", "strategy", "period")).where(F.col("n") >= least)
+    inside = indicators.join(p, (F.col("trading_date") >= F.col("start")) & (F.col("trading_date") <= F.col("end")))
+    w = Window.partitionBy("symbol", "period").orderBy("trading_date")
+    x, y = F.col("macd") - F.col("macd_signal"), F.lag(F.col("macd") - F.col("macd_signal")).over(w)
+    each = F.array(F.struct(F.lit("macd").alias("strategy"), F.when((x > 0) & (y <= 0), 1).when((x < 0) & (y >= 0), -1).otherwise(0).alias("signal")), F.struct(F.lit("bh").alias("strategy"), F.lit(1).alias("signal")))
+    m = backtest(inside.withColumn("__s", each).select("symbol", "period", "trading_date", "close", F.inline("__s")), keys=("symbol", "strategy", "period")).where(F.col("n") >= least)
+    of = lambda k, c: F.max(F.when(F.col("strategy") == k, F.col(c)))
+    out = m.groupBy("symbol", "period").agg(*(of(k, c).alias(f"{k}_{n}") for c, n in (("total_return", "return"), ("sharpe", "sharpe"), ("max_drawdown", "max_dd")) for k in ("macd", "bh")))
+    return out.withColumn("macd_outperforms", F.col("macd_return") > F.col("bh_return"))
+
+
+def walk_forward_wins(periods: DataFrame) -> DataFrame:
+    """In how many of its periods each symbol's MACD strategy beats buy and hold."""
+    return periods.groupBy("symbol").agg(F.count_if("macd_outperforms").alias("wins"), F.count("*").alias("periods"))

@@ -119,17 +119,24 @@ def _seeded(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-RECURRENT = ("ema_12", "ema_26", "macd", "macd_signal", "macd_diff", "rsi_14", "atr_14", "adx_14")
+SPANS = (9, 12, 21, 26, 50, 200)
+RECURRENT = (*(f"ema_{n}" for n in SPANS), "macd", "macd_signal", "macd_diff", "rsi_14", "atr_14", "adx")
+#: The columns of a technical report beside symbol and trading_date.
+INDICATORS = [
+    "close", "ema_9", "ema_21", "ema_50", "ema_200", "sma_20", "macd", "macd_signal", "macd_diff", "adx", "rsi_14", "stoch_k", "stoch_d", "roc_10", "williams_r",
+    "bb_upper", "bb_lower", "bb_mid", "bb_pct", "bb_width", "atr_14", "obv", "mfi_14", "vol_ratio",
+]
 
 
 def recurrences(df: DataFrame) -> DataFrame:
-    """EMA 12 and 26, MACD, RSI 14, ATR 14 and ADX 14; a symbol's rows, a few thousand, make one group."""
+    """Exponential means, MACD, RSI, ATR and ADX; a symbol's rows, a few thousand, make one group."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("trading_date").reset_index(drop=True)
         c, h, low = (p[k].to_numpy(float) for k in ("close", "high", "low"))
         before = np.concatenate([[np.nan], c[:-1]])
-        p["ema_12"], p["ema_26"] = _ewm(c, 2 / 13, 12), _ewm(c, 2 / 27, 26)
+        for n in SPANS:
+            p[f"ema_{n}"] = _ewm(c, 2 / (n + 1), n)
         p["macd"] = p["ema_12"] - p["ema_26"]
         p["macd_signal"] = _ewm(p["macd"].to_numpy(), 2 / 10, 9)
         p["macd_diff"] = p["macd"] - p["macd_signal"]
@@ -144,7 +151,7 @@ def recurrences(df: DataFrame) -> DataFrame:
             plus, minus = np.where((rise > fall) & (rise > 0), rise, 0.0), np.where((fall > rise) & (fall > 0), fall, 0.0)
             tr, pdm, ndm = (_seeded(x, 14) for x in (first, plus, minus))
             di = np.where(tr > 0, 100 * np.abs(pdm - ndm) / (pdm + ndm), 0.0)
-            p["adx_14"] = np.concatenate([np.zeros(min(13, len(di))), _seeded(np.nan_to_num(di[13:]), 14)])[: len(di)]
+            p["adx"] = np.concatenate([np.zeros(min(13, len(di))), _seeded(np.nan_to_num(di[13:]), 14)])[: len(di)]
         return p
 
     schema = T.StructType([*df.schema.fields, *(T.StructField(x, T.DoubleType()) for x in RECURRENT)])
@@ -152,16 +159,15 @@ def recurrences(df: DataFrame) -> DataFrame:
 
 
 def technical_indicators(prices: DataFrame) -> DataFrame:
-    """All indicators; rows with a null in any of them go."""
-    df = recurrences(prices)
-    df = df.withColumn("sma_20", sma("close", 20)).withColumn("sma_50", sma("close", 50))
+    """symbol, trading_date, log_ret and all indicators; rows with a null in any of them go."""
+    df = recurrences(prices).withColumn("sma_20", sma("close", 20))
     for f in (bollinger, stochastic, roc, obv, mfi, volume_ratio, log_return):
         df = f(df)
-    return df.select("*").na.replace(float("nan"), None).dropna()
+    return df.select("symbol", "trading_date", "log_ret", *INDICATORS).na.replace(float("nan"), None).dropna()
 
 
 def signal_latest(indicators: DataFrame) -> DataFrame:
     """BUY, SELL or HOLD of each symbol's last row."""
     last = indicators.groupBy("symbol").agg(F.max_by(F.struct("trading_date", "close", "macd", "macd_signal", "rsi_14"), "trading_date").alias("x")).select("symbol", "x.*")
-    buy, sell = (F.col("macd") > F.col("macd_signal")) & (F.col("rsi_14") < 70), (F.col("macd") < F.col("macd_signal")) & (F.col("rsi_14") > 30)
+    buy, sell = (F.col("macd") > F.col("macd_signal")) & (F.col("rsi_14") < 65), (F.col("macd") < F.col("macd_signal")) & (F.col("rsi_14") > 60)
     return last.withColumn("signal", F.when(buy, "BUY").when(sell, "SELL").otherwise("HOLD"))

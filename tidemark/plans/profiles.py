@@ -31,12 +31,9 @@ def _returns(spark, sf):
     return ts.log_return(tables.prices(spark, sf))
 
 
-@query(f"""WITH {PRICES}, m AS (SELECT symbol, avg(log_ret) AS mu, stddev_samp(log_ret) AS sd FROM r WHERE log_ret IS NOT NULL GROUP BY symbol),
-g AS (SELECT * FROM (VALUES {', '.join(f'({n}, {di.t_constant(n)!r}::DOUBLE)' for n in di.GRID)}) t(dof, c)),
-l AS (SELECT r.symbol, dof, sum(c - ln(sd) - (dof + 1) / 2 * ln(1 + ((log_ret - mu) / sd) ** 2 / (dof - 2))) AS ll FROM r JOIN m USING (symbol) CROSS JOIN g WHERE log_ret IS NOT NULL GROUP BY r.symbol, dof)
-SELECT symbol, dof, round(ll, 3) AS log_lik FROM l QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(ll, 6) DESC, dof) = 1""")
+@query(f"WITH {PRICES}, {market.T_FIT} SELECT symbol, dof, round(scale, 6) AS scale, round(mean, 6) + 0.0 AS mean, round(log_lik, 3) AS log_lik FROM tb")
 def student_t_dof(spark, sf):
-    return rounded(di.student_t(_returns(spark, sf)), 3)
+    return rounded(di.student_t(_returns(spark, sf))).withColumn("log_lik", F.round("log_lik", 3))
 
 
 @query()
@@ -49,15 +46,25 @@ def adf_stationarity(spark, sf):
     return rounded(di.adf(_returns(spark, sf)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {market.SIGNALS}, bt AS ({'WITH ' + market._backtest_sql('sig', 'symbol, strategy')}), risk AS ({market.SQL['risk_report']}), ed AS ({market.SQL['eda_report']}),
+best AS (SELECT symbol, strategy AS best_strategy, sharpe AS best_sharpe FROM bt WHERE strategy <> 'BH' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, strategy) = 1), hold AS (SELECT symbol, total_return AS hold_return FROM bt WHERE strategy = 'BH')
+SELECT ed.symbol, n, ann_return, ann_vol, skew, kurtosis, jb_stat, ed.sharpe, beta, alpha, r2, kind, var_hist, cvar_hist, var_t, loss_hist, risk.max_drawdown, best_strategy, best_sharpe, hold_return FROM ed JOIN risk USING (symbol) JOIN best USING (symbol) JOIN hold USING (symbol)""")
 def full_analysis(spark, sf):
     """One row for each symbol: returns, market model, risk, and the best strategy beside buy and hold."""
-    p = tables.prices(spark, sf)
-    m = strategy.backtest(market._signals(spark, sf))
+    m = market.backtest_report(spark, sf)
     best = strategy.best_strategy(m).select("symbol", F.col("strategy").alias("best_strategy"), F.col("sharpe").alias("best_sharpe"))
     hold = m.where("strategy = 'BH'").select("symbol", F.col("total_return").alias("hold_return"))
-    report = risk.eda_report(p, tables.index_prices(spark, sf)).join(risk.risk_report(p), "symbol")
-    return rounded(report.join(best, "symbol").join(hold, "symbol"))
+    eda = market.eda_report(spark, sf).select("symbol", "n", "ann_return", "ann_vol", "skew", "kurtosis", "jb_stat", "sharpe", "beta", "alpha", "r2", "kind")
+    risks = market.risk_report(spark, sf).select("symbol", "var_hist", "cvar_hist", "var_t", "loss_hist", "max_drawdown")
+    return eda.join(risks, "symbol").join(best, "symbol").join(hold, "symbol")
+
+
+@query()
+def distribution_tests(spark, sf):
+    """Jarque-Bera, Kolmogorov-Smirnov and Dickey-Fuller tests and the Student-t fit of each symbol's returns."""
+    r = _returns(spark, sf)
+    jb = risk.return_stats(r).select("symbol", "jb_stat", "jb_p", "is_normal")
+    return rounded(jb.join(di.ks_normal(r).select("symbol", "ks_stat", "ks_p"), "symbol").join(di.adf(r), "symbol").join(di.student_t(r).select("symbol", "dof"), "symbol"))
 
 
 @query(f"""WITH {PRICES}, a AS (SELECT symbol, count(log_ret) AS n, avg(log_ret) * 252 AS m, stddev_samp(log_ret) * sqrt(252) AS v, arg_max(close, trading_date) AS last FROM r GROUP BY symbol)
