@@ -198,7 +198,7 @@ def portfolio_points(returns: DataFrame, many: int = 2000, seed: int = 42) -> Da
     size goes with the square of the number of symbols, and which is sent to the candidates.
     """
     mu = returns.where("log_ret IS NOT NULL").groupBy("symbol").agg((F.avg("log_ret") * YEAR).alias("mu"))
-    row = covariance(returns).groupBy(F.col("a").alias("symbol")).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "cov"))), lambda x: x["cov"]).alias("cov"))
+    row = covariance(returns).where("cov IS NOT NULL").groupBy(F.col("a").alias("symbol")).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "cov"))), lambda x: x["cov"]).alias("cov"))
     model = mu.join(row, "symbol").agg(F.sort_array(F.collect_list(F.struct("symbol", "mu", "cov"))).alias("m")).where(F.size("m") > 0)
     m = model.select(F.col("m.symbol").alias("symbols"), F.col("m.mu").alias("mu"), F.col("m.cov").alias("cov"))
     n = F.size("symbols")
@@ -210,7 +210,7 @@ def portfolio_points(returns: DataFrame, many: int = 2000, seed: int = 42) -> Da
     p = p.select(name.alias("candidate"), F.transform("e", lambda x: x / total).alias("weights"), "mu", "cov")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     p = p.withColumn("ann_return", dot("weights", "mu")).withColumn("ann_vol", F.sqrt(dot("weights", F.transform("cov", lambda r: dot("weights", r)))))
-    return p.withColumn("sharpe", (F.col("ann_return") - RISK_FREE) / F.nullif(F.col("ann_vol"), F.lit(0.0))).select("candidate", "weights", "ann_return", "ann_vol", "sharpe").where("ann_vol IS NOT NULL")
+    return p.withColumn("sharpe", (F.col("ann_return") - RISK_FREE) / F.nullif(F.col("ann_vol"), F.lit(0.0))).select("candidate", "weights", "ann_return", "ann_vol", "sharpe")
 
 
 def portfolio_search(points: DataFrame) -> DataFrame:
