@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,44 +35,41 @@ def mean_pool(chunks: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = 2000) -> DataFrame:
     """The k most similar corpus rows of each query: query_id, id, score, rank.
 
-    Queries (query_id, q) and corpus (id, v) are dealt out into blocks of queries and parts of the corpus; every
-    block meets every part in an equality join, so that no task holds all of either. Each part keeps its own k best
-    before they are shuffled to the query.
+    Queries (query_id, q) are packed into blocks of at most about ``block``, and every part of the corpus meets every
+    block in an equality join. The product of a block and a batch of the corpus is one multiplication of matrices, of
+    which each batch hands on its own k best of a query.
     """
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    import numpy as np
+    import pyarrow as pa
+
     blocks = max(1, -(-queries.count() // block))
-    q = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    c = corpus.withColumn("__p", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    m = c.join(q, ["__b", "__p"]).where("id <> query_id").select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+    q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("__b"), "query_id", F.transform("q", lambda x: x.cast("double")).alias("q"))
+    q = q.groupBy("__b").agg(F.collect_list(F.struct("query_id", "q")).alias("__q"))  # a block of queries
+
+    def product(batches):
+        for b in batches:
+            block, out = b.column("__b").to_numpy(), []
+            for n in np.unique(block):
+                rows = np.flatnonzero(block == n)
+                ask = b.column("__q")[int(rows[0])].as_py()
+                mine = b.take(pa.array(rows))
+                v = np.array(mine.column("v").to_pylist(), float).reshape(len(rows), -1)
+                a = np.array([x["q"] for x in ask], float)
+                score = np.round(a @ v.T / (np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(v, axis=1)) + 1e-9), 6) + 0.0
+                ids = mine.column("id").to_numpy()
+                for x, s in zip(ask, score):
+                    s = np.where(ids == x["query_id"], -np.inf, s)
+                    best = np.lexsort((ids, -s))[: k + 1] if len(s) <= 4 * k else (lambda c: c[np.lexsort((ids[c], -s[c]))])(np.flatnonzero(s >= np.partition(s, -k - 1)[-k - 1]))
+                    out += [(x["query_id"], int(ids[i]), float(s[i])) for i in best[:k] if s[i] > -np.inf]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
+
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    c = corpus.select(F.col("id").cast("long").alias("id"), "v", every.alias("__b"))
+    m = c.join(F.broadcast(q) if blocks == 1 else q, "__b").mapInArrow(product, "query_id long, id long, score double")  # one block is at most 2000 queries
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def planes(n: int, width: int) -> list[list[float]]:
-    """Closed-form hyperplanes of length one."""
-    rows = [[math.sin(i * width + j) for j in range(width)] for i in range(n)]
-    return [[x / math.sqrt(sum(y * y for y in r)) for x in r] for r in rows]
-
-
-def lsh_bucket(v: Column, n: int = 12, width: int = 64) -> Column:
-    """One bit for each plane's side."""
-    bits = (F.when(dot(v, F.array(*map(F.lit, p))) >= 0, "1").otherwise("0") for p in planes(n, width))
-    return F.concat(*bits)
-
-
-def lsh_query(queries: DataFrame, index: DataFrame, k: int, bits: int = 12, radius: int = 2) -> DataFrame:
-    """The k most similar rows among the buckets within ``radius`` differing bits of the query's own.
-
-    The buckets to visit are listed for each query and meet the index (bucket, id, v) in an equality join.
-    """
-    b = F.conv("bucket", 2, 10).cast("long")
-    masks = F.array(*(F.lit(m).cast("long") for m in range(1 << bits) if bin(m).count("1") <= radius))
-    q = queries.select("query_id", "q", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(b))).alias("code"))
-    c = index.withColumn("code", b).join(q, "code").where("id <> query_id").select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def normal_planes(tables: int, n: int = 12, width: int = 64, seed: int = 42) -> list[list[list[float]]]:
     """Seeded normal hyperplanes, ``n`` for each table."""
     r = random.Random(seed)
@@ -87,6 +83,47 @@ def lsh_codes(vectors: DataFrame, key: str, vector: str, tables: int, bits: int
     return vectors.join(F.broadcast(planes)).select(key, F.posexplode(F.transform("planes", code)).alias("table", "code"))
 
 
+def lsh_bucket(v: Column, n: int = 12, width: int = 64) -> Column:
+    """One bit for each plane's side, as text."""
+    return F.concat(*(F.when(dot(v, F.array(*map(F.lit, p))) > 0, "1").otherwise("0") for p in normal_planes(1, n, width)[0]))
+
+
+def lsh_rings(queries: DataFrame, index: DataFrame, k: int, bits: int = 12) -> DataFrame:
+    """query_id and id of the candidates of each query: its own bucket and, ring by ring of differing bits, the next
+    ones, until there are five times k candidates.
+
+    How far to go depends on the query's bucket and the buckets' sizes alone: at most 2^bits of each.
+    """
+    number = lambda c: F.conv(c, 2, 10).cast("long")
+    masks = F.array(*(F.struct(F.lit(m.bit_count()).alias("ring"), F.lit(m).cast("long").alias("mask")) for m in range(1 << bits)))
+    sizes = index.groupBy("bucket").agg(F.count("*").alias("n")).select(number("bucket").alias("code"), "n")
+    own = queries.select(number("bucket").alias("own")).distinct().select("own", F.inline(masks)).withColumn("code", F.col("own").bitwiseXOR(F.col("mask")))
+    rings = own.join(sizes, "code").groupBy("own", "ring").agg(F.sum("n").alias("n"))
+    upto = rings.withColumn("before", F.sum("n").over(Window.partitionBy("own").orderBy("ring")) - F.col("n"))
+    last = upto.where(F.col("before") < 5 * k).groupBy("own").agg(F.max("ring").alias("last"))
+    visit = own.join(last, "own").where("ring <= last").select("own", "code")
+    q = queries.withColumn("own", number("bucket")).join(visit, "own").select("query_id", "code")
+    return index.withColumn("code", number("bucket")).join(q, "code").select("query_id", "id")
+
+
+def lsh_query(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The k most similar candidates of each query (query_id, q, bucket) in the index (id, v, bucket), itself aside."""
+    c = lsh_rings(queries, index, k).where("id <> query_id").join(index.select("id", "v"), "id").join(queries.select("query_id", "q"), "query_id")
+    c = c.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def lsh_hybrid_query(queries: DataFrame, index: DataFrame, k: int, keyword: Column, decay: Column) -> DataFrame:
+    """The k candidates with the best hybrid score of keyword, similarity and age; index has the texts' columns beside."""
+    c = lsh_rings(queries, index, k).where("id <> query_id").join(index, "id").join(queries.select("query_id", "q"), "query_id")
+    near = F.greatest(cosine(F.col("q"), F.col("v")), F.lit(0.0))
+    c = c.select("query_id", "id", keyword.alias("keyword"), near.alias("semantic"), decay.alias("time_decay"))
+    c = c.withColumn("score", F.round(0.3 * F.col("keyword") + 0.5 * F.col("semantic") + 0.2 * F.col("time_decay"), 6))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def lsh_candidates(queries: DataFrame, corpus: DataFrame, tables: int = 40, bits: int = 12, radius: int = 2, width: int = 64, seed: int = 42) -> DataFrame:
     """Distinct query_id and id whose codes differ in at most ``radius`` bits in one of the tables.
 

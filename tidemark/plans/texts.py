@@ -166,39 +166,123 @@ def ticker_mentions(spark, sf):
     return tx.word_mentions(tables.news(spark, sf), "news_id", symbols)
 
 
-@query()
+def _cut(start: str) -> str:
+    """Where the chunk that starts there ends."""
+    half = f"substr(text, {start} + 257, 256)"
+    last = lambda x: f"CASE WHEN instr(reverse({half}), {x}) > 0 THEN {start} + 513 - instr(reverse({half}), {x}) END"
+    return f"CASE WHEN {start} + 512 >= length(text) THEN length(text) ELSE coalesce({last("' .'")}, {last("' ?'")}, {last("' !'")}, {last('chr(10)')}, {start} + 512) END"
+
+
+CHUNKS = f"""{NEWS}, ch AS (SELECT news_id, text, 0 AS a, CAST({_cut('0')} AS BIGINT) AS b FROM news WHERE length(text) > 0 UNION ALL SELECT news_id, text, CAST(b - 64 AS INT), CAST({_cut('(b - 64)')} AS BIGINT) FROM ch WHERE b < length(text)),
+chunks AS (SELECT news_id, CAST(row_number() OVER (PARTITION BY news_id ORDER BY a) - 1 AS INT) AS chunk_no, chunk FROM (SELECT news_id, a, regexp_replace(substr(text, a + 1, b - a), '^\\s+|\\s+$', '', 'g') AS chunk FROM ch) WHERE chunk <> '')"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT * FROM chunks")
 def news_chunks(spark, sf):
     return tx.split_chunks(tables.news(spark, sf), "news_id")
 
 
+PHRASES = ["on the", "of the"]
+SEM = "v AS (SELECT vec_id AS news_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / 8 / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) + 1e-9) AS sem FROM embeddings)"
+_hits = lambda w, x: f"len(regexp_extract_all(lower({x}), '{'|'.join(w)}'))"
+SCORES = f"""{CHUNKS}, {SEM}, every AS (SELECT news_id, chunk_no, chunk FROM chunks UNION ALL SELECT news_id, 0, text FROM news WHERE news_id NOT IN (SELECT news_id FROM chunks)),
+c1 AS (SELECT news_id, chunk_no, greatest(length(chunk), 1) AS n, {_hits(WORDS, 'chunk')} AS h, [{', '.join(_hits(w, 'chunk') for w in THEMES.values())}] AS by_theme FROM every),
+c2 AS (SELECT *, h / n AS dense, h / n + least(h / n * 1000, 0.3) AS rated, CASE WHEN list_max(by_theme) > 0 THEN list_position(by_theme, list_max(by_theme)) ELSE 0 END AS theme, count(*) OVER (PARTITION BY news_id) AS num_chunks FROM c1),
+c3 AS (SELECT * FROM c2 QUALIFY row_number() OVER (PARTITION BY news_id ORDER BY dense DESC, chunk_no) <= 5),
+c4 AS (SELECT *, row_number() OVER (PARTITION BY news_id, theme ORDER BY rated DESC) AS place FROM c3),
+t AS (SELECT news_id, max(dense) AS dense, any_value(num_chunks) AS num_chunks, count(*) AS top_chunks, [{', '.join(f'coalesce(avg(rated) FILTER (theme = {j + 1} AND place <= 3), 0)' for j in range(len(THEMES)))}] AS topics FROM c4 GROUP BY news_id),
+u AS (SELECT news_id, text, least({_dens(WORDS)} * 300, 1.0) AS keyword, CASE WHEN sem IS NULL THEN dense ELSE greatest(sem, 0) END AS semantic, exp(-{DAYS} / 365) AS decay, topics, num_chunks, top_chunks, least({_dens(PHRASES)} * 5000 * (1 + list_max(topics)), 0.15) AS boost FROM news JOIN t USING (news_id) LEFT JOIN v USING (news_id)),
+scores AS (SELECT news_id, keyword, semantic, decay AS time_decay, boost AS causal_boost, least(CASE WHEN semantic > 0 THEN 0.3 * keyword + 0.5 * semantic + 0.2 * decay ELSE 0.7 * keyword + 0.3 * decay END + boost, 1.0) AS score, {list(THEMES)!r}[list_position(topics, list_max(topics))] AS topic, topics, num_chunks, top_chunks FROM u)"""
+
+
+def _with_similarity(spark, sf):
+    """News with the cosine of their vectors, where they have one, and the query vector, whose components are all alike."""
+    e = tables.table(spark, sf, "embeddings")
+    v = e.select(F.col("vec_id").alias("news_id"), (ve.dot(F.col("embedding"), F.array_repeat(F.lit(0.125), 64)) / (ve.norm(F.col("embedding")) + 1e-9)).alias("sem"))
+    return tables.news(spark, sf).join(v, "news_id", "left")
+
+
 def _scores(spark, sf):
-    return tx.topic_aware_score(tables.news(spark, sf), "news_id", WORDS, THEMES, ["on the", "of the"], F.lit(AS_OF).cast("timestamp"))
+    return tx.topic_aware_score(_with_similarity(spark, sf), "news_id", WORDS, THEMES, F.lit(AS_OF).cast("timestamp"), "sem", phrases=PHRASES)
 
 
-@query()
+@query(f"WITH RECURSIVE {SCORES} SELECT news_id, round(keyword, 6) AS keyword, round(semantic, 6) AS semantic, round(time_decay, 6) AS time_decay, round(causal_boost, 6) AS causal_boost, round(score, 6) AS score, topic, num_chunks, top_chunks, {', '.join(f'round(topics[{j + 1}], 6) AS topic_{t.lower()}' for j, t in enumerate(THEMES))} FROM scores")
 def topic_aware_score(spark, sf):
-    return rounded(_scores(spark, sf))
+    s = _scores(spark, sf)
+    return rounded(s.select("*", *(F.get("topic_scores", F.lit(j)).alias(f"topic_{t.lower()}") for j, t in enumerate(THEMES))).drop("topic_scores"))
 
 
-def _impact(spark, sf, k=10):
-    symbols = spark.createDataFrame([(x, t) for x, t in (("EN", "A"), ("TION", "A"), ("LES", "D"), ("UND", "C"), ("ANAN", "B"), ("EDST", "B"))], "symbol string, topic string")
-    return tx.ticker_impact(_scores(spark, sf), tx.word_mentions(tables.news(spark, sf), "news_id", symbols), symbols.select("topic", "symbol"), "news_id", k)
+#: Stand-ins for assets, whose names occur in the invented prose: symbol, name_en, name_local, sector, industry.
+ASSETS = [
+    ("EN", "Works", "", "Energy", "power"), ("TION", "Ands Tions", "", "Energy", ""), ("LES", "", "mentre", "Real estate", "housing"), ("UND", "Keit Werke", "", "Logistics", "freight"),
+    ("ANAN", "Thing Bank", "", "Banking", "finance"), ("EDST", "", "ingly the", "Banking", "energy"), ("QQQ", "None", "", "Textile", ""),
+]
+FITS = [["energy", "power"], ["bank"], ["logist", "freight"], ["estate"]]
+_fit = ", ".join("CASE WHEN " + " OR ".join(f"contains(place, '{w}')" for w in words) + " THEN 1 ELSE 0 END" for words in FITS)
+IMPACT = f"""{SCORES}, assets AS (SELECT *, lower(sector || ' ' || industry) AS place FROM (VALUES {', '.join(map(str, ASSETS))}) t(symbol, name_en, name_local, sector, industry)), fits AS (SELECT *, [{_fit}] AS fit FROM assets),
+x AS (SELECT news_id, symbol, score, topics, fit, list_sum(topics) AS total, CASE WHEN list_contains(regexp_split_to_array(upper(text), '[^\\p{{L}}\\p{{N}}_]+'), symbol) OR len(list_filter(string_split(name_en, ' '), lambda w: length(w) >= 4 AND contains(lower(text), lower(w)))) > 0 OR (name_local <> '' AND contains(lower(text), lower(name_local))) THEN 1 ELSE 0 END AS direct FROM scores JOIN news USING (news_id) CROSS JOIN fits),
+y AS (SELECT *, least(list_sum(list_transform(range(1, len(fit) + 1), lambda j: CASE WHEN topics[j] / CASE WHEN total = 0 THEN 1 ELSE total END >= 0.02 THEN topics[j] / CASE WHEN total = 0 THEN 1 ELSE total END * fit[j] ELSE 0 END)), 1.0) AS sector FROM x),
+impact AS (SELECT * FROM (SELECT news_id, symbol, direct, sector, score, 0.45 * direct + 0.35 * sector + 0.2 * score AS impact FROM y) WHERE impact >= 0.05)"""
+IMPACT_COLUMNS = "news_id, symbol, round(impact, 6) AS impact, direct, round(sector, 6) AS sector, round(score, 6) AS score"
 
 
-@query()
+def _assets(spark):
+    return spark.createDataFrame(ASSETS, "symbol string, name_en string, name_local string, sector string, industry string")
+
+
+def _impact(spark, sf, f, k):
+    a = _assets(spark)
+    return rounded(f(_scores(spark, sf), tx.asset_mentions(tables.news(spark, sf), "news_id", a), tx.asset_fits(a, FITS), "news_id", k))
+
+
+@query(f"WITH RECURSIVE {IMPACT} SELECT DISTINCT news_id, symbol FROM x WHERE direct = 1")
+def asset_mentions(spark, sf):
+    return tx.asset_mentions(tables.news(spark, sf), "news_id", _assets(spark))
+
+
+@query(f"WITH RECURSIVE {IMPACT} SELECT {IMPACT_COLUMNS}, CAST(row_number() OVER (PARTITION BY news_id ORDER BY round(impact, 9) DESC, symbol) AS INT) AS rank FROM impact QUALIFY rank <= 10")
 def ticker_impact(spark, sf):
-    return rounded(_impact(spark, sf))
+    return _impact(spark, sf, tx.ticker_impact, 10)
 
 
-@query()
+@query(f"WITH RECURSIVE {IMPACT} SELECT {IMPACT_COLUMNS}, CAST(row_number() OVER (PARTITION BY news_id ORDER BY round(impact, 9) DESC, symbol) AS INT) AS rank FROM impact QUALIFY rank <= 2")
+def ticker_impact_batch(spark, sf):
+    return _impact(spark, sf, tx.ticker_impact, 2)
+
+
+@query(f"WITH RECURSIVE {IMPACT} SELECT {IMPACT_COLUMNS}, CAST(row_number() OVER (PARTITION BY symbol ORDER BY round(impact, 9) DESC, news_id) AS INT) AS rank FROM impact QUALIFY rank <= 10")
 def news_for_ticker(spark, sf):
-    return rounded(tx.top_k_per_group(_impact(spark, sf, 1000).drop("rank"), "symbol", [F.desc(F.round("impact", 9)), F.col("news_id")], 10))
+    return _impact(spark, sf, tx.news_for_ticker, 10)
 
 
-@query()
+_exposure = ", ".join(f"round(max(CASE WHEN sem IS NULL THEN 0.7 * least({_found(w)} / 3, 1.0) + 0.3 * exp(-{DAYS} / 365) ELSE 0.4 * least({_found(w)} / 3, 1.0) + 0.4 * greatest(sem, 0) + 0.2 * exp(-{DAYS} / 365) END), 6) AS {t.lower()}" for t, w in THEMES.items())
+
+
+@query(f"WITH {NEWS}, {SEM}, e AS (SELECT source, count(*) AS articles FROM news WHERE source IS NOT NULL GROUP BY source ORDER BY articles DESC, source LIMIT 20), n AS (SELECT news.*, sem, articles FROM news LEFT JOIN v USING (news_id) JOIN e USING (source) QUALIFY row_number() OVER (PARTITION BY source ORDER BY news_id) <= 30) SELECT source, articles, {_exposure} FROM n GROUP BY source, articles")
 def thematic_exposure(spark, sf):
-    i = _impact(spark, sf, 1000).join(_scores(spark, sf).select("news_id", "topic"), "news_id")
-    return rounded(i.groupBy("symbol").pivot("topic", [*THEMES, "Unknown"]).agg(F.avg("impact")))
+    x = tx.thematic_exposure(_with_similarity(spark, sf), "source", "news_id", THEMES, F.lit(AS_OF).cast("timestamp"), "sem")
+    return rounded(x.toDF(*(c.lower() for c in x.columns)))
+
+
+TOPIC_SQL = f"""{NEWS}, tw AS (SELECT DISTINCT item_id AS topic_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS word FROM benchmark), nw AS (SELECT news_id, greatest(length(text), 1) AS n, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS word FROM news),
+tc AS (SELECT topic_id, news_id, count(*) / n AS score FROM nw JOIN tw USING (word) WHERE length(word) >= 5 GROUP BY topic_id, news_id, n)"""
+
+
+def _topics(spark, sf):
+    """Benchmark items as topics: their distinct words of five letters or more."""
+    b = tables.table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("topic_id"), F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")), lambda w: F.length(w) >= 5).alias("words"))
+
+
+@query(f"WITH {TOPIC_SQL} SELECT topic_id, news_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY round(score, 12) DESC, news_id) AS INT) AS rank FROM tc QUALIFY rank <= 5")
+def topic_doc_scores(spark, sf):
+    return rounded(tx.topic_scores(tables.news(spark, sf), "news_id", _topics(spark, sf)), 9)
+
+
+@query(f"WITH {TOPIC_SQL}, m AS (SELECT topic_id, max(score) AS score FROM tc GROUP BY topic_id) SELECT 'words' AS method, round(count(*) / (SELECT count(DISTINCT item_id) FROM benchmark), 6) AS hit_rate, round(avg(score), 6) AS top_score FROM m")
+def method_hit_rate(spark, sf):
+    t = _topics(spark, sf)
+    return rounded(tx.hit_rates(tx.topic_scores(tables.news(spark, sf), "news_id", t).withColumn("method", F.lit("words")), t.select("topic_id").distinct().count()))
 
 
 VEC = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
@@ -231,8 +315,11 @@ def mean_pool(spark, sf):
     return rounded(p.select("label", F.posexplode("v").alias("i", "x")).withColumn("i", F.col("i") + 1))
 
 
-PLANES = ve.planes(12, 64)
-BUCKET = " || ".join(f"CASE WHEN list_dot_product(v, {p!r}::DOUBLE[]) >= 0 THEN '1' ELSE '0' END" for p in PLANES)
+PLANES = ve.normal_planes(1)[0]
+BUCKET = " || ".join(f"CASE WHEN list_dot_product(v, {p!r}::DOUBLE[]) > 0 THEN '1' ELSE '0' END" for p in PLANES)
+RINGS = f"""{VEC}, b AS (SELECT id, v, ({BUCKET}) AS bucket FROM v), pairs AS (SELECT a.id AS query_id, b.id, hamming(a.bucket, b.bucket) AS ring, a.v AS q, b.v AS w FROM b a CROSS JOIN b WHERE a.id % 20 = 0),
+rings AS (SELECT query_id, ring, sum(count(*)) OVER (PARTITION BY query_id ORDER BY ring) - count(*) AS before FROM pairs GROUP BY query_id, ring), far AS (SELECT query_id, max(ring) AS far FROM rings WHERE before < 50 GROUP BY query_id),
+near AS (SELECT query_id, id, list_dot_product(q, w) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(w, w)) + 1e-9) AS sim FROM pairs JOIN far USING (query_id) WHERE ring <= far AND id <> query_id)"""
 
 
 @query(f"WITH {VEC} SELECT id, {BUCKET} AS bucket FROM v")
@@ -246,15 +333,22 @@ def lsh_stats(spark, sf):
     return b.agg(F.sum("n").alias("vectors"), F.count("*").alias("buckets"), F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("max_size"))
 
 
-def _lsh(spark, sf):
+def _index(spark, sf):
     index = _vectors(spark, sf).withColumn("bucket", ve.lsh_bucket(F.col("v")))
-    q = _queries(spark, sf).withColumn("bucket", ve.lsh_bucket(F.col("q")))
-    return ve.lsh_query(q, index, 10, radius=4)
+    return index.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "bucket"), index
 
 
-@query(f"WITH {VEC}, b AS (SELECT id, v, ({BUCKET}) AS bucket FROM v) SELECT a.id AS query_id, b.id, {COS} AS score, CAST(row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS INT) AS rank FROM b a JOIN b ON a.id <> b.id AND hamming(a.bucket, b.bucket) <= 4 WHERE a.id % 20 = 0 QUALIFY rank <= 10")
+@query(f"WITH {RINGS} SELECT query_id, id, round(sim, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, id) AS INT) AS rank FROM near QUALIFY rank <= 10")
 def lsh_query(spark, sf):
-    return _lsh(spark, sf)
+    """One table, whose rings grow until there are fifty candidates; ``lsh_tables_query`` is the index with a recall above 0.9."""
+    return ve.lsh_query(*_index(spark, sf), 10)
+
+
+@query(f"WITH {NEWS}, {RINGS.replace('AS bucket FROM v)', 'AS bucket FROM v SEMI JOIN news ON news_id = id)')}, h AS (SELECT query_id, id, least({_m(WORDS)} / 3, 1.0) AS keyword, greatest(sim, 0) AS semantic, exp(-greatest({DAYS}, 0) / 365) AS time_decay FROM near JOIN news ON news_id = id) SELECT query_id, id, round(keyword, 6) AS keyword, round(semantic, 6) AS semantic, round(time_decay, 6) AS time_decay, round(0.3 * keyword + 0.5 * semantic + 0.2 * time_decay, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.3 * keyword + 0.5 * semantic + 0.2 * time_decay, 6) DESC, id) AS INT) AS rank FROM h QUALIFY rank <= 10")
+def lsh_hybrid_query(spark, sf):
+    index = _vectors(spark, sf).withColumn("bucket", ve.lsh_bucket(F.col("v"))).join(tables.news(spark, sf).withColumnRenamed("news_id", "id"), "id")
+    q = index.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "bucket")
+    return rounded(ve.lsh_hybrid_query(q, index, 10, tx.keyword_match(F.col("text"), WORDS), tx.time_decay(F.lit(AS_OF).cast("timestamp"), F.col("publish_date"))))
 
 
 @query()
@@ -280,9 +374,9 @@ def anchor_sentiment(spark, sf):
     return rounded(ve.anchor_sentiment(_vectors(spark, sf), PLANES[0], PLANES[1]).groupBy("label").agg(F.count("*").alias("n"), F.avg("diff").alias("mean_diff")))
 
 
-@query("WITH c AS (SELECT label, count(*) AS n, array_to_string(list_transform(list_sort(list(vec_id)), lambda x: CAST(x AS VARCHAR)), ',') AS members FROM embeddings GROUP BY label) SELECT * FROM c")
+@query("SELECT label, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last FROM embeddings GROUP BY label")
 def embedding_stats(spark, sf):
-    return tables.table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("vec_id")), lambda x: x.cast("string")), ",").alias("members"))
+    return tables.table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
 
 
 @query(f"""WITH {NEWS}, t AS (SELECT news_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM news), f AS (SELECT news_id, term, 1 + ln(count(*)) AS tf FROM t WHERE length(term) > 1 GROUP BY ALL),
