@@ -272,8 +272,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     """Encode the documents and write them as shards, in ascending order of doc_id, under ``path``.
 
     ``tokenizer`` is the path of a tokenizers file on every executor. Documents are dealt out by ranges of doc_id;
-    a task cuts its range into shards. Rows with one doc_id (or none) are dealt on by their texts. Null texts count as empty; a null doc_id comes first; rows with equal
-    doc_id follow each other in the order of their texts.
+    a task cuts its range into shards. Rows with one doc_id (or none) are dealt on by the hashes of their texts. Null texts count as empty; a null doc_id comes first; rows with equal
+    doc_id follow each other in the order of their texts' hashes.
     """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +299,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
             yield full()
 
     t = docs.select(F.col("doc_id").cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    t = t.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    t = t.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")  # ranges are sampled by hash, not by text
     t.mapInArrow(shards, "part int, seq int, n_tokens long, doc_ids array<long>, matrix binary").write.parquet(path)
 
 
