@@ -4,8 +4,8 @@ Documents are dealt into blocks. The first pass makes a count-min sketch of each
 cells that are one or two, for two or more; only the set cells are sent, in ranges of cells. The sketches of all
 blocks are added range by range into the merged one, and each block gets back, for the cells it has set, whether the
 merged count is two or more. A window's estimate is the least of its cells' counts. It is never too low, so no
-repeated window is lost. In the second pass only windows estimated repeated are sent, once for each block with their
-first place in it, to chunks of the hash space, and grouped exactly; the reply names those that start earlier
+repeated window is lost. In the second pass only windows estimated repeated are sent, once for each block with the
+document of their first place in it, to chunks of the hash space, and grouped exactly; the reply names those that start earlier
 elsewhere. Blocks, ranges, chunks and messages are bounded and their number follows the input. Text is dealt out once
 for all passes, and a window with very many copies costs a chunk one entry for each block.
 """
@@ -166,16 +166,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS,
         w, ids = order[first], b.rows.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
         doc, out = np.searchsorted(b.offsets, b.starts[w], "right") - 1, []
         for chunk, i, j in _runs((b.h1[w] >> np.uint64(63 - bits)) >> np.uint64(1)):
-            x, d = w[i:j], doc[i:j]
-            out.append((_key(table, "block"), chunk, pack(b.h1[x], b.h2[x], ids[d], (b.starts[x] - b.offsets[d]).astype(np.uint32), x.astype(np.uint32))))
+            x = w[i:j]
+            out.append((_key(table, "block"), chunk, pack(b.h1[x], b.h2[x], ids[doc[i:j]], x.astype(np.uint32))))
         return _rows(_MESSAGE, out)
 
     def group(table: pa.Table) -> pa.Table:
         names = table.column("block").to_numpy()
-        parts = [unpack(x, "u8", "u4", "i8", "u4", "u4") for x in table.column("entries").to_pylist()]
-        h1, h2, doc, place, at = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        parts = [unpack(x, "u8", "u4", "i8", "u4") for x in table.column("entries").to_pylist()]
+        h1, h2, doc, at = (np.concatenate([p[k] for p in parts]) for k in range(4))
         message = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        order = np.lexsort((place, names[message], doc, h2, h1))
+        order = np.lexsort((names[message], doc, h2, h1))  # a block names a window once
         a, b = h1[order], h2[order]
         later = order[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])]
         later = later[np.argsort(message[later], kind="stable")]
