@@ -11,6 +11,10 @@ from . import decontaminate, license_scan, line_quality, lm_score, mixing, simha
 from .sql import ORACLE
 
 
+#: The key where the session sets none in spark.tidemark.surrogates.key: for tests, it hides nothing.
+NO_SECRET = "not a secret"
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -55,7 +59,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace(_documents(spark, sf_dir))
+    return surrogates.replace(_documents(spark, sf_dir), spark.conf.get("spark.tidemark.surrogates.key", NO_SECRET))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
