@@ -308,6 +308,59 @@ def test_decontamination_recall(spark, none):
     assert decontaminate.leaks(none, b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_by_brute_force(spark):
+    """Every pair of text and item against the least edit distance of the item to any part of the text."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(400)]
+    items = [rng.choices(vocabulary, k=n) for n in (1, 2, 2, 3, 4, 5, 5, 6, 8, 10, 11, 13, 20, 21, 22, 40, 75)]
+    docs = []
+    for i in range(150):
+        w = rng.choices(vocabulary, k=rng.randint(0, 60))
+        for item in rng.sample(items[1:], 2):
+            x = list(item)
+            for _ in range(rng.randint(0, len(x) // 5 + 1)):
+                j = rng.randrange(len(x) + 1)
+                x[j : j + rng.choice([0, 1])] = rng.choice([[], ["zz"]])
+            at = rng.randint(0, len(w))
+            w[at:at] = x
+        docs.append(w)
+    docs += [docs[0], items[-1] * 3, rng.choices(vocabulary, k=60_000) + items[12]]
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item):
+            new = [i + 1]
+            for j, y in enumerate(text):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    edits = {(d, i): least(item, w) for d, w in enumerate(docs[:-1]) for i, item in enumerate(items)}
+    want = {k: e for k, e in edits.items() if e <= len(items[k[1]]) // 5}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)] + [(None, None)], "doc_id long, text string").repartition(3)
+    out = decontaminate.leaks(d, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.edits for r in out if r.doc_id < len(docs) - 1}
+    assert len(out) == len({(r.doc_id, r.item_id) for r in out}) and set(got) <= set(want) and all(got[k] >= want[k] for k in got)
+    assert len(got) >= 0.99 * len(want) > 200 and (len(docs) - 1, 12) in {(r.doc_id, r.item_id) for r in out}
+    assert {k for k in want if len(items[k[1]]) < 5} <= set(got)
+
+
+@pytest.mark.parametrize("n", [5, 8, 13, 30, 60, 120])
+def test_samples_are_enough_and_apart(n):
+    """The samples of a length find edited items of other draws, and few unrelated windows meet an item."""
+    rng, count, k = np.random.default_rng(99), decontaminate.repeats(n), decontaminate.limit(n)
+    item = rng.integers(2, 1 << 62, (300, n))
+    edited = []
+    for x in item.tolist():
+        for _ in range(k):
+            at = int(rng.integers(len(x)))
+            x[at : at + int(rng.integers(2))] = [int(rng.integers(2, 1 << 62))]
+        edited.append((x + [7] * n)[:n])
+    of = lambda x: decontaminate.keys(np.array(x, np.uint64).ravel(), np.arange(300) * n, n, count)
+    assert (of(item) == of(edited)).any(1).mean() >= 0.97
+    assert (of(item) == of(rng.integers(2, 1 << 62, (300, n)))).any(1).mean() <= 0.02
+
+
 def test_edit_distances():
     a, b = np.array([[1, 2, 3, 4]] * 3, np.uint64), np.array([[9, 1, 2, 3, 4, 9], [1, 3, 4, 0, 0, 0], [7, 7, 7, 7, 7, 7]], np.uint64)
     edits, ends = decontaminate.distances(a, b)

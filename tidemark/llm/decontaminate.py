@@ -2,17 +2,20 @@
 
 Items and texts are sequences of normalised words. A window as long as an item counts as a leak of it if at most a
 fifth of the item's words need be inserted, deleted or replaced to turn one into the other. The CGK random walk maps
-such a sequence of n words to 3n symbols; edit distance becomes Hamming distance, so that a few sampled symbols agree
-with fair probability. Walks and samples are repeated until a leak at the limit is missed with less than 1 - recall.
-Keys of windows and items meet in a Spark join, and an exact edit distance decides.
+such a sequence to symbols so that edit distance becomes Hamming distance; only the first half of the walk is sampled,
+where it is still inside the sequence. Walks and samples are repeated as often as a trial on edited random items of
+the same length needs to find ``recall`` of them. Keys of windows and items meet in a Spark join, and an exact edit
+distance decides.
 
 Windows that cannot be leaks are left out before the walk by a bound that loses none: k edits leave at least
-n - 2 - 3k of an item's word triples in place. The triples of items, marked with the item's length, and the items'
-keys are held as bit sets of fixed size, whatever the number of items; fuller sets only prune less.
+n - g + 1 - g k of an item's grams of g words in place. The grams of items, marked with the item's length and, for a
+first look, with its class of lengths, and the items' keys are held as bit sets of fixed size, whatever the number of
+items; fuller sets only prune less.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -25,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import cut
 from .wordstream import pieces, split
 
-#: Edits allowed for each word of an item; probability of finding a leak at that limit; symbols in a sample;
-#: samples from one walk; share of symbols taken to agree at the limit; bits of the two bit sets (4 MB, 4 MB).
-EDITS, RECALL, SAMPLED, PER_WALK, AGREE, SET_BITS = 0.2, 0.995, 2, 8, 0.45, 25
+#: Edits allowed for each word of an item; share of leaks at that limit to be found; symbols in a sample; samples from one
+#: walk; most samples; bits of the two bit sets (4 MB each); edited items of a trial.
+EDITS, RECALL, SAMPLED, PER_WALK, MOST, SET_BITS, TRIAL = 0.2, 0.995, 2, 8, 128, 25, 400
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,13 +52,23 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def limit(n: int) -> int:
-    """Edits that a window may have against an item of n words: a fifth, and so few that a triple is left."""
-    return max(0, min(math.floor(n * EDITS + 1e-9), (n - 3) // 3))
+    """Edits that a window may have against an item of n words."""
+    return math.floor(n * EDITS + 1e-9)
 
 
-def repeats(recall: float = RECALL) -> int:
-    """Samples that are needed for ``recall`` at the limit."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREE**SAMPLED))
+def gram_size(n: int) -> int:
+    """Words in the grams that bound an item of n words: three, or as many as leave one in place."""
+    return 3 if n in (3, 4) or n > 5 else min(n, 2)
+
+
+def grams_needed(n: int) -> int:
+    """How many of the item's grams a window has at least."""
+    return n - gram_size(n) + 1 - gram_size(n) * limit(n)
+
+
+def length_class(n: int) -> int:
+    """Lengths within a quarter of each other, roughly, are one class."""
+    return math.floor(math.log(n) / math.log(1.25))
 
 
 def keys(flat: np.ndarray, starts: np.ndarray, n: int, count: int) -> np.ndarray:
@@ -64,12 +77,13 @@ def keys(flat: np.ndarray, starts: np.ndarray, n: int, count: int) -> np.ndarray
     A window that reaches past the end of ``flat`` is filled up like a shorter one.
     """
     out = np.zeros((len(starts), count), np.uint64)
-    steps = 3 * n
+    steps = max(1, 3 * n // 2)
     for walk in range(-(-count // PER_WALK)):
         rng = np.random.default_rng([walk, n])
         want = [rng.choice(steps, min(SAMPLED, steps), replace=False) for _ in range(min(PER_WALK, count - walk * PER_WALK))]
+        last = max(int(w.max()) for w in want)
         held, i = {}, np.zeros(len(starts), np.int64)
-        for j in range(steps):
+        for j in range(last + 1):
             at = np.minimum(starts + i, len(flat) - 1)
             s = np.where((i < n) & (starts + i < len(flat)), flat[at], np.uint64(1))
             if any(j in w for w in want):
@@ -83,6 +97,26 @@ def keys(flat: np.ndarray, starts: np.ndarray, n: int, count: int) -> np.ndarray
     return out
 
 
+@functools.lru_cache(maxsize=4096)
+def repeats(n: int, recall: float = RECALL) -> int:
+    """Samples that items of n words need: as many as find ``recall`` of ``TRIAL`` random items with as many edits as allowed."""
+    rng, k = np.random.default_rng(n), limit(n)
+    if not k:
+        return 1
+    whole, edited = [], []
+    for _ in range(TRIAL):
+        item = rng.integers(2, 1 << 62, n).tolist()
+        window = list(item)
+        for _ in range(k):
+            at, kind = int(rng.integers(len(window))), int(rng.integers(3))
+            window[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(2, 1 << 62))]
+        whole.append(item)
+        edited.append((window + rng.integers(2, 1 << 62, n).tolist())[:n])
+    a, b = (keys(np.array(x, np.uint64).ravel(), np.arange(TRIAL) * n, n, MOST) for x in (whole, edited))
+    found = np.logical_or.accumulate(a == b, axis=1).mean(0)
+    return int(np.argmax(found >= recall)) + 1 if found[-1] >= recall else MOST
+
+
 def distances(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the fewest edits that turn the item into some part of the text, and where the first such part ends.
 
@@ -110,18 +144,26 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _triples(flat: np.ndarray) -> np.ndarray:
-    return _mix(flat[:-2] * np.uint64(5) + _mix(flat[1:-1] * np.uint64(3) + _mix(flat[2:])))
+def _grams(flat: np.ndarray, g: int) -> np.ndarray:
+    """Hashes of the grams of g words that start at each place."""
+    h = np.full(max(0, len(flat) - g + 1), g, np.uint64)
+    for i in range(g):
+        h = _mix(h * np.uint64(5) + flat[i : len(flat) - g + 1 + i])
+    return h
 
 
-def _of_length(triples: np.ndarray, n: int) -> np.ndarray:
-    return _mix(triples + np.uint64(n))
+def _marked(grams: np.ndarray, mark: int) -> np.ndarray:
+    return _mix(grams + np.uint64(mark))
+
+
+def _marks(grams: np.ndarray, n: int) -> np.ndarray:
+    """A gram as it stands, with its item's class of lengths, and with its length."""
+    return np.concatenate([grams, _marked(grams, (1 << 40) + length_class(n)), _marked(grams, n)])
 
 
 def _candidates(hits: np.ndarray, n: int) -> np.ndarray:
-    """Starts of the windows of n words that hold enough of the sorted places of triples."""
-    k = limit(n)
-    need, width = max(1, n - 2 - 3 * k), n + k - 3
+    """Starts of the windows of n words that hold enough of the sorted places of grams."""
+    need, width = grams_needed(n), n + limit(n) - gram_size(n)
     if len(hits) < need:
         return hits[:0]
     first, last = hits[: len(hits) - need + 1], hits[need - 1 :]
@@ -132,39 +174,43 @@ def _candidates(hits: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
-def _items(items: DataFrame, count: int) -> DataFrame:
-    """item, n, words (hashes as bytes), triples and keys (longs) of each item of three words or more."""
+def _items(items: DataFrame, recall: float) -> DataFrame:
+    """item, n, words (hashes as bytes), grams and keys (longs) of each item with a word."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, offsets = symbols(b.column("text"))
             rows = []
             for item, x, y in zip(b.column("item_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                if y - x >= 3:
-                    w = flat[x:y]
-                    rows.append((item, y - x, w.tobytes(), np.concatenate([_triples(w), _of_length(_triples(w), y - x)]).view(np.int64).tolist(), keys(w, np.zeros(1, np.int64), y - x, count)[0].view(np.int64).tolist()))
+                if y > x:
+                    w, n = flat[x:y], y - x
+                    rows.append((item, n, w.tobytes(), _marks(_grams(w, gram_size(n)), n).view(np.int64).tolist(), keys(w, np.zeros(1, np.int64), n, repeats(n, recall))[0].view(np.int64).tolist()))
             types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["item_id", "n", "words", "triples", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["item_id", "n", "words", "grams", "keys"])
 
-    return cut(items.select(F.col("item_id").cast("long"), items["text"].cast("string").alias("text")).mapInArrow(made, "item_id long, n long, words binary, triples array<long>, keys array<long>"))
+    return cut(items.select(F.col("item_id").cast("long"), items["text"].cast("string").alias("text")).mapInArrow(made, "item_id long, n long, words binary, grams array<long>, keys array<long>"))
 
 
 def _union(hashes: DataFrame) -> np.ndarray:
-    """The bit set of the longs in ``hashes.h``: each partition's own set, joined byte by byte at the set places."""
+    """The bit set of the longs in ``hashes.h``: each partition's own set, joined block by block."""
+    size = 1 << 12
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (SET_BITS - 3), np.uint8)
         for b in batches:
             bits |= _bitset(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(bits[at].astype(np.int64))], ["at", "byte"])
+        blocks = bits.reshape(-1, size)
+        some = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "bits"])
 
-    out = np.zeros(1 << (SET_BITS - 3), np.uint8)
-    rows = hashes.mapInArrow(local, "at long, byte long").groupBy("at").agg(F.bit_or("byte").alias("byte"))
-    joined = rows.agg(F.collect_list(F.struct("at", "byte")).alias("x")).toArrow().column("x").combine_chunks().values  # at most one entry for each byte of the set
-    if len(joined):
-        out[joined.field("at").to_numpy(zero_copy_only=False)] = joined.field("byte").to_numpy(zero_copy_only=False)
-    return out
+    def joined(table: pa.Table) -> pa.Table:
+        x = functools.reduce(np.bitwise_or, (np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()))
+        return pa.table([table.column("block").slice(0, 1).combine_chunks(), pa.array([x.tobytes()], pa.binary())], ["block", "bits"])
+
+    out = np.zeros((1 << (SET_BITS - 3)) // size * size, np.uint8).reshape(-1, size)
+    for r in hashes.mapInArrow(local, "block long, bits binary").groupBy("block").applyInArrow(joined, "block long, bits binary").toLocalIterator():  # 4 MB at most
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
 
 
 def leaks(docs: DataFrame, items: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -173,43 +219,59 @@ def leaks(docs: DataFrame, items: DataFrame, recall: float = RECALL) -> DataFram
     Returns doc_id, item_id, end (where the best passage ends, in normalised words from 0), n_words (of the item) and
     edits (the smallest number of word edits found, at most a fifth of n_words), one row for each pair.
 
-    Null and empty texts hold nothing; items of fewer than three normalised words match nothing, those of five only exactly; rows with equal
-    doc_id or item_id are joined to one pair; empty tables give no rows. Other columns don't matter.
+    Null and empty texts hold nothing, and items without a word match nothing; those of up to four words match only
+    exactly, a single word wherever it stands; rows with equal doc_id or item_id are joined to one pair; empty tables
+    give no rows. Other columns don't matter.
     """
-    spark, count = docs.sparkSession, repeats(recall)
-    listed = _items(items, count)
+    spark = docs.sparkSession
+    listed = _items(items, recall)
     lengths = spark.sparkContext.broadcast(sorted(r.n for r in listed.select("n").distinct().collect()))  # the distinct item lengths
-    triple_set = spark.sparkContext.broadcast(_union(listed.select(F.explode("triples").alias("h"))))
+    gram_set = spark.sparkContext.broadcast(_union(listed.select(F.explode("grams").alias("h"))))
     key_set = spark.sparkContext.broadcast(_union(listed.select(F.explode("keys").alias("h"))))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ns = lengths.value
+        classes: dict[tuple[int, int], list[int]] = {}
+        for n in lengths.value:
+            classes.setdefault((gram_size(n), length_class(n)), []).append(n)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         for batch in batches:
             for piece in pieces(batch):
                 flat, offsets = symbols(piece.column("text"))
-                ids = piece.column("doc_id").to_pylist()
+                ids, held = piece.column("doc_id").to_pylist(), {}
                 out: list[tuple] = []
-                if len(flat) > 2:
-                    triples = _triples(flat)
-                    some = np.flatnonzero(_in(triple_set.value, triples))
-                    some = some[np.searchsorted(offsets, some, "right") == np.searchsorted(offsets, some + 2, "right")]
+                for g in sorted({g for g, _ in classes}):
+                    grams = _grams(flat, g)
+                    some = np.flatnonzero(_in(gram_set.value, grams))
+                    some = some[np.searchsorted(offsets, some, "right") == np.searchsorted(offsets, some + g - 1, "right")]
+                    held[g] = some, grams[some]
+                for (g, c), ns in classes.items():
+                    some, grams = held[g]
+                    alike = _in(gram_set.value, _marked(grams, (1 << 40) + c))
+                    some, grams = some[alike], grams[alike]
+                    if len(some) < min(map(grams_needed, ns)):
+                        continue
                     for n in ns:
-                        start = _candidates(some[_in(triple_set.value, _of_length(triples[some], n))], n)
+                        start = _candidates(some[_in(gram_set.value, _marked(grams, n))], n)
                         for begin in range(0, len(start), 20_000):
-                            mine = start[begin : begin + 20_000]
-                            doc = np.searchsorted(offsets, mine, "right") - 1
-                            end = np.minimum(mine + n + limit(n), offsets[doc + 1])
-                            found = keys(flat, mine, n, count)
-                            met = _in(key_set.value, found.ravel()).reshape(found.shape)
-                            rows = np.flatnonzero(met.any(axis=1))
-                            # windows that start close together in a document are one passage
-                            apart = np.flatnonzero((np.diff(mine[rows]) > n) | (np.diff(doc[rows]) > 0)) + 1
-                            for r in np.split(rows, apart) if len(rows) else []:
-                                passage = flat[mine[r[0]] : end[r[-1]]].tobytes()
-                                out.append((ids[doc[r[0]]], int(mine[r[0]] - offsets[doc[r[0]]]), n, passage, np.unique(found[r][met[r]]).view(np.int64).tolist()))
+                            out += found_at(flat, offsets, ids, start[begin : begin + 20_000], n)
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], ["doc_id", "start", "n", "words", "keys"])
 
+    def found_at(flat: np.ndarray, offsets: np.ndarray, ids: list, mine: np.ndarray, n: int) -> Iterator[tuple]:
+        """Passages around the windows at these starts that share a key with some item."""
+        doc = np.searchsorted(offsets, mine, "right") - 1
+        end = np.minimum(mine + n + limit(n), offsets[doc + 1])
+        found = keys(flat, mine, n, repeats(n, recall))
+        met = _in(key_set.value, found.ravel()).reshape(found.shape)
+        rows = np.flatnonzero(met.any(axis=1))
+        # windows that start within an item's length of each other in a document are one passage
+        run: list[int] = []
+        for r in [*rows.tolist(), -1]:
+            if run and (r < 0 or doc[r] != doc[run[0]] or mine[r] - mine[run[0]] > n):
+                first, some = run[0], np.array(run)
+                yield ids[doc[first]], int(mine[first] - offsets[doc[first]]), n, flat[mine[first] : end[some].max()].tobytes(), np.unique(found[some][met[some]]).view(np.int64).tolist()
+                run = []
+            run.append(r)
+
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, start = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "start"))
@@ -232,7 +294,7 @@ def leaks(docs: DataFrame, items: DataFrame, recall: float = RECALL) -> DataFram
     met = near.join(of, "key").where("n = item_n").groupBy("doc_id", "item_id", "start", "n", "words", "item_words").agg(F.lit(1).alias("one"))
     kind = "doc_id long, item_id long, end long, n_words long, edits long"
     sure = met.select("doc_id", "item_id", "start", "n", "words", "item_words").mapInArrow(verified, kind)
-    best = sure.where(F.col("edits") <= F.greatest(F.lit(0), F.least(F.floor(F.col("n_words") * EDITS + 1e-9), F.floor((F.col("n_words") - 3) / 3)))).groupBy("doc_id", "item_id", "n_words").agg(F.min(F.struct("edits", "end")).alias("x"))
+    best = sure.where(F.col("edits") <= F.floor(F.col("n_words") * EDITS + 1e-9)).groupBy("doc_id", "item_id", "n_words").agg(F.min(F.struct("edits", "end")).alias("x"))
     return best.select("doc_id", "item_id", "x.end", "n_words", "x.edits")
 
 
