@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.oracle import duck, same
-from tidemark.llm import decontaminate, license_scan, line_quality, lm_score, mixing, queries, simhash, substring_dedup, surrogates, token_store, toxicity
+from tidemark.llm import decontaminate, license_scan, line_quality, lm_score, mixing, queries, simhash, substring_dedup, surrogates, token_store, toxicity, wordmix
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -386,6 +386,73 @@ def test_lm_base_score(docs, rows, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_lm_score_bit_by_bit(spark, docs, rows, monkeypatch):
+    """Scores against the model's equations, one bit after another."""
+    monkeypatch.setattr(lm_score, "CODED", 20)
+    model = []
+    out = lm_score.score(docs, block_chars=5000, chunk_chars=4000, model_to=model)
+    words, n0, n1, speller = model
+
+    def probability(mixer, gate, odds, known):
+        x = min(max(sum(w * o for w, o in zip(mixer.weights[gate], odds)), -lm_score.LIMIT), lm_score.LIMIT)
+        at = (x + lm_score.LIMIT) * (lm_score.STEPS - 1) / (2 * lm_score.LIMIT)
+        low = min(int(at), lm_score.STEPS - 2)
+        rate = [mixer.table[0, low + k, known] / mixer.table[1, low + k, known] for k in (0, 1)]
+        p = (1 / (1 + math.exp(-x)) + rate[0] * (1 - at + low) + rate[1] * (at - low)) / 2
+        return min(max(p, 1e-6), 1 - 1e-6)
+
+    def spelled(w):
+        total, coded = 0.0, lm_score.Words([w])
+        for k, known, bit, slots in coded.bits():
+            for i in range(len(bit)):
+                z, o = [n0[c][x[i]] for c, x in enumerate(slots)], [n1[c][x[i]] for c, x in enumerate(slots)]
+                level = sum(z[-1] + o[-1] >= x for x in (1, 2, 5, 30))
+                p = probability(speller, coded.near[i] * lm_score.LEVELS + level, [math.log((b + lm_score.PRIOR) / (a + lm_score.PRIOR)) for a, b in zip(z, o)], known[i])
+                total -= math.log2(p if bit[i] else 1 - p)
+        return total
+
+    def cost(tokens):
+        total, code = 0.0, words.code
+        symbol, context = code.ids(tokens)
+        for i, w in enumerate(tokens):
+            one, two = (context[i - k] if i >= k else wordmix.START for k in (1, 2))
+            _, depth, bit, slots = wordmix.events(code, symbol[i : i + 1], np.array([one]), np.array([two]))
+            for j in range(len(bit)):
+                z, o = [words.n0[c][x[j]] for c, x in enumerate(slots)], [words.n1[c][x[j]] for c, x in enumerate(slots)]
+                level = [sum(z[c] + o[c] >= x for x in wordmix.LEVELS) for c in (1, 2)]
+                gate = (level[0] * 5 + level[1]) * 4 + depth[j]
+                p = probability(words.mixer, gate, [math.log((b + wordmix.PRIOR) / (a + wordmix.PRIOR)) for a, b in zip(z, o)], gate)
+                total -= math.log2(p if bit[j] else 1 - p)
+            total += spelled(w) if symbol[i] == code.escape else 0
+        return total
+
+    want = Counter()
+    for r in rows:
+        if len(r[1] or "") < 700:
+            want[r[0], round(-cost([*(w.encode().lower() for w in words_of(r[1])), b"\n"]) * math.log10(2), 2)] += 1
+    short = {(r[0], len([*words_of(r[1])]) + 1) for r in rows if len(r[1] or "") < 700}
+    got = Counter((r.doc_id, round(r.score, 2)) for r in out.collect() if (r.doc_id, r.n_tokens) in short)
+    assert sum(want.values()) == sum(got.values()) > 30 and all(min(abs(s - x) for i, x in got if i == k) < 0.02 for k, s in want)
+
+
+def test_order_of_words_counts(spark):
+    """A shuffled text costs more than one in the order that the model has learnt."""
+    rng = random.Random(3)
+    phrase = prose(rng, 12).split()
+    d = spark.createDataFrame([(i, " ".join(phrase * 3)) for i in range(300)] + [(1000 + i, " ".join(rng.sample(phrase * 3, 36))) for i in range(3)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.score(d).collect()}
+    assert min(got[1000 + i] for i in range(3)) < 3 * got[0] < 0
+
+
+def test_codes_are_complete():
+    code = wordmix.Code([bytes([97 + i]) for i in range(20)], [2**i for i in range(20)], 7)
+    assert sum(2.0 ** -int(n) for n in code.size) == 1.0
+    model = lm_score.WordModel(code)
+    model.n0[:], model.n1[:] = (np.random.default_rng(s).random(model.n0.shape) * 9 for s in (0, 1))
+    cost = [model.costs(np.array([5, x]), np.array([9, 9]), np.array([0]))[1] for x in range(21)]
+    assert sum(2.0**-c for c in cost) == pytest.approx(1)
+
+
 def test_model_is_a_distribution():
     """The two outcomes of every bit sum to one, so that words of one length have at most a total probability of one."""
     n0, n1 = (np.random.default_rng(s).random((lm_score.CONTEXTS, lm_score.SLOTS)).astype(np.float32) * 9 for s in (0, 1))

@@ -1,15 +1,15 @@
 """Language-model scores by online logistic context mixing, beside an add-one unigram score.
 
-The text is coded as the bytes of its lower-cased words, each with a space after it, and an end byte. Each bit is
-predicted from counts in several hashed contexts of the word so far (its last one to four bytes, and all bytes
-since its start). The predictions' log odds are mixed with weights that a gate picks by place
-and by how often the longest context has been seen; a last table, also learnt online, corrects the mixed
-probability. A bit's code length depends on the word alone, so Spark counts and prices each distinct word once.
+A text is a sequence of lower-cased words and an end. The most frequent words have binary codes, whose bits are
+predicted from the words before (``wordmix``); a word without a code costs the escape's and is spelled: the bits of its
+bytes and of a space after it are predicted from its last one to four bytes and from all since its start. In both
+parts each bit's predictions come from counts in hashed contexts; their log odds are mixed with weights that a gate
+picks, and a last table, also learnt online, corrects the mixed probability.
 
 Documents are dealt into blocks and words into chunks. A block sends each chunk its distinct words with their
-training counts; the chunk adds them up, the counters of all words are summed into tables of fixed size, weights
-are learnt on every chunk's words, each occurrence without its own count, and averaged; then the chunks send counts
-and prices back to the blocks.
+training counts, which the chunk adds up. The word model reads the training texts in turn: each bit is predicted from
+what the task has counted so far, the weights learn from it, and then it is counted. The tasks' counts are added and
+their weights averaged. A spelled word costs the same wherever it stands, so Spark prices each distinct one once.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import wordmix
 from .common import blocks, written
-from .wordstream import owner, split
+from .wordstream import owner, pieces, split
 
 BLOCK_CHARS, CHUNK_CHARS = 8_000_000, 12_000_000
 #: Contexts; slots of each context's table; slots in a range that is summed together; smoothing of a counter.
@@ -33,7 +34,9 @@ CONTEXTS, SLOTS, RANGE, PRIOR = 5, 1 << 20, 1 << 15, 0.1
 #: Gates: 8 places by 5 levels of the longest context's count. Steps of the correcting table, and its bit contexts.
 PLACES, LEVELS, STEPS, LIMIT = 8, 5, 33, 12.0
 #: Learning rate of the weights, and bits in a step of learning.
-RATE, BATCH = 0.005, 4096
+RATE, BATCH = 0.005, 8192
+#: Words with codes: those with the highest training counts, which are at least two.
+CODED = 1 << 14
 SPACE, END = 32, 10
 
 
@@ -98,8 +101,8 @@ def _squash(x: np.ndarray) -> np.ndarray:
 class Mixer:
     """Weights by gate, and a table that corrects the mixed probability by step and known bits."""
 
-    def __init__(self, weights: np.ndarray | None = None, table: np.ndarray | None = None):
-        self.weights = np.full((PLACES * LEVELS, CONTEXTS), 0.3) if weights is None else weights
+    def __init__(self, weights: np.ndarray | None = None, table: np.ndarray | None = None, gates: int = PLACES * LEVELS, contexts: int = CONTEXTS):
+        self.weights = np.full((gates, contexts), 0.3) if weights is None else weights
         grid = _squash(np.linspace(-LIMIT, LIMIT, STEPS))
         self.table = np.stack([np.repeat(grid[:, None], 256, 1) * 2, np.full((STEPS, 256), 2.0)]) if table is None else table  # ones seen, all seen
 
@@ -120,7 +123,7 @@ class Mixer:
             s = slice(i, i + BATCH)
             x = self.mixed(gate[s], odds[s])
             error = (bit[s] - _squash(x)) * weight[s]
-            step = np.stack([np.bincount(gate[s], error * odds[s, i], minlength=len(self.weights)) for i in range(CONTEXTS)], 1)
+            step = np.stack([np.bincount(gate[s], error * odds[s, i], minlength=len(self.weights)) for i in range(self.weights.shape[1])], 1)
             mass = np.bincount(gate[s], weight[s], minlength=len(self.weights))
             self.weights += RATE * step / np.maximum(mass, 1e-9)[:, None] * (mass > 0)[:, None]
             at = np.rint((x + LIMIT) * ((STEPS - 1) / (2 * LIMIT))).astype(np.int64)
@@ -144,6 +147,44 @@ def _prices(words: list[bytes], n0: np.ndarray, n1: np.ndarray, mixer: Mixer) ->
     return out
 
 
+class WordModel:
+    """Codes, tables and mixer of the word model."""
+
+    def __init__(self, code: wordmix.Code, n0: np.ndarray | None = None, n1: np.ndarray | None = None, mixer: Mixer | None = None):
+        shape = (wordmix.CONTEXTS, wordmix.SLOTS)
+        self.code, self.n0, self.n1 = code, np.zeros(shape, np.float32) if n0 is None else n0, np.zeros(shape, np.float32) if n1 is None else n1
+        self.mixer = mixer or Mixer(gates=wordmix.GATES, contexts=wordmix.CONTEXTS)
+
+    def read(self, symbol: np.ndarray, context: np.ndarray, first: np.ndarray) -> None:
+        """Learn from texts in turn: predict, adapt the weights, count."""
+        one, two = wordmix.before(context, first)
+        for i in range(0, len(symbol), wordmix.TOKENS):
+            s = slice(i, i + wordmix.TOKENS)
+            _, depth, bit, slots = wordmix.events(self.code, symbol[s], one[s], two[s])
+            gate, odds = wordmix.inputs(self.n0, self.n1, depth, slots)
+            self.mixer.learn(gate, odds, gate, bit, np.ones(len(bit)))
+            for c, x in enumerate(slots):
+                np.add.at(self.n0[c], x[bit == 0], np.float32(1))
+                np.add.at(self.n1[c], x[bit == 1], np.float32(1))
+
+    def costs(self, symbol: np.ndarray, context: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Bits that each token's code costs."""
+        one, two = wordmix.before(context, first)
+        out = np.zeros(len(symbol))
+        for i in range(0, len(symbol), wordmix.TOKENS):
+            s = slice(i, i + wordmix.TOKENS)
+            token, depth, bit, slots = wordmix.events(self.code, symbol[s], one[s], two[s])
+            gate, odds = wordmix.inputs(self.n0, self.n1, depth, slots)
+            p = self.mixer.final(self.mixer.mixed(gate, odds), gate)
+            out[s] = np.bincount(token, -np.log2(np.where(bit == 1, p, 1 - p)), minlength=len(symbol[s]))
+        return out
+
+
+def _with_ends(x: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all texts' tokens with that of the end after each text, and where the texts start."""
+    return np.insert(x, offsets[1:], end), offsets[:-1] + np.arange(len(offsets) - 1)
+
+
 _MESSAGE = "block long, chunk long, words binary, counts binary"
 _TABLE = "chunk long, words binary, counts binary, n long, v long"
 
@@ -175,13 +216,14 @@ def _tally(table: pa.Table) -> tuple[list[list[bytes]], list[np.ndarray], pa.Arr
     return lists, np.split(codes, ends[:-1]), coded.dictionary
 
 
-def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CHUNK_CHARS, model_to: list | None = None) -> DataFrame:
     """Unigram and context-mixing scores of each row of ``docs``.
 
     Learns from the documents with crc32(doc_id as text) mod 7 other than 2. Returns doc_id, held_out, n_tokens
     (words, lower-cased in A-Z, and one end), n_known (tokens with a training count), train_tokens (N), base_score
     (sum of log10((c + 1) / (N + V + 1)) over the tokens), score (log10 of the model's probability of the text),
-    bits and bytes (of the coded text; their ratio is the bits per byte).
+    bits and bytes (of the coded text; their ratio is the bits per byte). ``model_to`` gets the word model, the tables
+    of zeros and ones for spelling, and their mixer.
 
     Null and empty texts are one end token; a null doc_id counts as training; equal rows count as often as they
     occur; an empty table gives no rows. Other columns don't matter.
@@ -191,7 +233,7 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
     chars = t.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = blocks(chars, chunk_chars)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    t = t.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks(chars, block_chars))).alias("block"), "doc_id", held.alias("held_out"), "text")
+    t = t.select(F.pmod(F.xxhash64("doc_id", F.length("text"), "text"), F.lit(blocks(chars, block_chars))).alias("block"), "doc_id", held.alias("held_out"), "text")
 
     def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """Codes of the words, offsets, distinct words, and the words' order by chunk."""
@@ -222,11 +264,59 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
     table = written(sent.groupBy("chunk").applyInArrow(add, _TABLE), "lm-counts")
     n, v = (x or 0 for x in table.agg(F.sum("n"), F.sum("v")).first())
 
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
+                words, count = _list(words), np.frombuffer(counts, np.int64)
+                top = [i for i in np.argsort(-count, kind="stable")[:CODED].tolist() if count[i] > 1]
+                yield from _arrow("word binary, n long", [(words[i], int(count[i])) for i in top]).to_batches()
+
+    coded = table.select("words", "counts").mapInArrow(frequent, "word binary, n long").orderBy(F.desc("n"), "word").limit(CODED).collect()  # the dictionary, of a fixed size
+    code = wordmix.Code([bytes(r.word) for r in coded], [r.n for r in coded], int(n) - sum(r.n for r in coded))
+    in_code = frozenset(code.words)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, mass = WordModel(code), 0.0
+        first = model.mixer.table.copy()
+        for batch in batches:
+            for piece in pieces(batch):
+                codes, offsets, words = split(pc.ascii_lower(piece.column("text")))
+                symbol, context = code.ids(words.cast(pa.binary()).to_pylist() + [b"\n"])
+                end = len(words)
+                word, starts = _with_ends(codes, offsets, end)
+                model.read(symbol[word], context[word], starts)
+                mass += float(len(word))
+        if mass:
+            flat = np.stack([model.n0, model.n1]).reshape(2, -1)
+            sums = [(r, _zip(flat[:, r * RANGE : (r + 1) * RANGE].tobytes())) for r in range(flat.shape[1] // RANGE)]
+            weights, table = model.mixer.weights * mass, model.mixer.table - first
+            yield from _arrow("part int, sums binary", [*sums, (-1, _zip(np.concatenate([weights.ravel(), table.ravel(), [mass]]).tobytes()))]).to_batches()
+
+    def joined(parts: pa.Table) -> pa.Table:
+        part = parts.column("part")[0].as_py()
+        total = sum(np.frombuffer(_unzip(x), np.float64 if part < 0 else np.float32) for x in parts.column("sums").to_pylist())
+        return _arrow("part int, sums binary", [(part, _zip(total.tobytes()))])
+
+    # The word model is of fixed size: 2^20 pairs of counts for each context, 32 MB.
+    words_model = WordModel(code)
+    flat = np.zeros((2, wordmix.CONTEXTS * wordmix.SLOTS), np.float32)
+    for r in t.where(~F.col("held_out")).select("text").mapInArrow(read, "part int, sums binary").groupBy("part").applyInArrow(joined, "part int, sums binary").toLocalIterator():
+        if r.part >= 0:
+            flat[:, r.part * RANGE : (r.part + 1) * RANGE] = np.frombuffer(_unzip(r.sums), np.float32).reshape(2, -1)
+        else:
+            x, m = np.frombuffer(_unzip(r.sums), np.float64), words_model.mixer
+            m.table = m.table + x[m.weights.size : -1].reshape(m.table.shape)
+            m.weights = (x[: m.weights.size] / x[-1]).reshape(m.weights.shape)
+    words_model.n0, words_model.n1 = flat.reshape(2, wordmix.CONTEXTS, wordmix.SLOTS)
+    spoken = spark.sparkContext.broadcast(words_model)
+
     def seen(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """Training words that are spelled."""
         for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
             count = np.frombuffer(counts, np.int64)
-            words = [w for w, c in zip(_list(words), count.tolist()) if c]
-            count = count[count > 0]
+            words = _list(words)
+            spelled = np.array([c > 0 and w not in in_code for w, c in zip(words, count.tolist())], bool)
+            words, count = [w for w, x in zip(words, spelled.tolist()) if x], count[spelled]
             for i in range(0, len(words), 50_000):
                 yield words[i : i + 50_000], count[i : i + 50_000]
 
@@ -306,14 +396,20 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
             mine = np.array(sorted(np.flatnonzero(chunk == c), key=words.__getitem__))
             count[mine], price[mine] = np.frombuffer(_unzip(counts), np.int64), np.frombuffer(_unzip(prices), np.float32)
         doc, rows = owner(offsets), table.num_rows
+        symbol, context = code.ids(words)
+        word, starts = _with_ends(codes, offsets, len(words) - 1)
+        cost = spoken.value.costs(symbol[word], context[word], starts) + np.where(symbol[word] == code.escape, price[word], 0)
+        bits = np.bincount(np.repeat(np.arange(rows), np.diff(offsets) + 1), cost, minlength=rows)
         size = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
         sums = lambda x, end: np.bincount(doc, x[codes], minlength=rows) + end
-        columns = [table.column("doc_id"), table.column("held_out"), pa.array(np.diff(offsets) + 1), pa.array(sums(count > 0, count[-1] > 0).astype(np.int64)), pa.array(sums(np.log10(count + 1), np.log10(count[-1] + 1))), pa.array(sums(price, price[-1])), pa.array(sums(size, 1).astype(np.int64))]
+        columns = [table.column("doc_id"), table.column("held_out"), pa.array(np.diff(offsets) + 1), pa.array(sums(count > 0, count[-1] > 0).astype(np.int64)), pa.array(sums(np.log10(count + 1), np.log10(count[-1] + 1))), pa.array(bits), pa.array(sums(size, 1).astype(np.int64))]
         return pa.table(columns, [x.split()[0] for x in names.split(", ")])
 
     replies = sent.select("block", "chunk", "words").groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(reply, "block long, chunk long, counts binary, prices binary")
     out = t.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, bits double, bytes long")
     unit = float(np.log10(float(n) + float(v) + 1))
+    if model_to is not None:
+        model_to += [words_model, *tables.value, Mixer(*weights)]
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
