@@ -182,7 +182,8 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     found = F.when(F.col("text").rlike(SIGN), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     hits = t.select("doc_id", F.xxhash64("text").alias("text_hash"), found.alias("found")).where(F.size("found") > 0)
-    one = written(hits, "entities").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.posexplode("found").alias("pos", "entity"))
+    hits = written(hits, "entities")
+    one = hits.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.posexplode("found").alias("pos", "entity"))
     one = cut(one.withColumn("kind", _kind(F.col("entity"))))
 
     # names: each word of a name is a part, given names before the last space, the surname after it
@@ -215,10 +216,18 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     none = F.expr("cast(map() as map<string,string>)")
     ready = written(ready.alias("r").join(people.alias("q"), same("r", "q"), "left").select("r.doc_id", "r.text_hash", "x", F.coalesce("people", none).alias("people")), "replacements")
 
-    h = t.withColumn("text_hash", F.xxhash64("text")).alias("h").join(ready.alias("r"), same("h", "r"), "left")  # small replacements are broadcast by their files' size
+    # Only texts that may have entities are shuffled: a bit set of their hashes, of at most 8 MB, tells; others pass by.
+    n_words = 1 << min(20, max(6, (hits.count() // 4).bit_length()))
+    word = F.shiftright("text_hash", 6).bitwiseAND(F.lit(n_words - 1))
+    marked = hits.select(word.alias("word"), F.expr("shiftleft(1L, cast(text_hash & 63 as int))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits"))
+    every = t.withColumn("text_hash", F.xxhash64("text")).withColumn("word", word).join(F.broadcast(marked), "word", "left")  # at most n_words rows
+    maybe = F.coalesce(F.expr("shiftright(bits, cast(text_hash & 63 as int)) & 1") == 1, F.lit(False))
+    plain = every.where(~maybe).select(F.col("doc_id").cast(kind).alias("doc_id"), "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
+    h = every.where(maybe).select("doc_id", "text", "text_hash").alias("h").join(ready.hint("merge").alias("r"), same("h", "r"), "left")
     renamed = lambda x: F.when(F.size("r.people") == 0, x).otherwise(F.array_join(F.transform(F.regexp_extract_all(x, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), lambda w: F.coalesce(F.try_element_at("r.people", w), w)), ""))
     new = F.transform("r.x", lambda e: F.when(e["kind"] == "name", F.concat(e["title"], F.lit(" "), renamed(e["new"]))).otherwise(e["new"]))
     pieces = F.zip_with(F.split("h.text", PATTERN), new, lambda a, b: F.array(renamed(a), F.coalesce(b, F.lit(""))))
     text = F.when(F.col("r.x").isNull(), F.col("h.text")).otherwise(F.array_join(F.flatten(pieces), ""))
     kinds = F.array_join(F.sort_array(F.array_distinct(F.col("r.x.kind"))), ",")
-    return h.select(F.col("h.doc_id").cast(kind).alias("doc_id"), text.alias("text"), F.when(F.col("r.x").isNull(), 0).otherwise(F.size("r.x")).cast("long").alias("n_entities"), F.coalesce(kinds, F.lit("")).alias("kinds"))
+    changed = h.select(F.col("h.doc_id").cast(kind).alias("doc_id"), text.alias("text"), F.when(F.col("r.x").isNull(), 0).otherwise(F.size("r.x")).cast("long").alias("n_entities"), F.coalesce(kinds, F.lit("")).alias("kinds"))
+    return plain.unionByName(changed)
