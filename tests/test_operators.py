@@ -92,9 +92,9 @@ def test_statements(spark):
     df = spark.createDataFrame([(1, None, 125.0, 12.5, 13.0)], "id int, `Selling Expense` double, `Selling Expenses` double, `P/E` double, `P/E ` double")
     got = statements.coalesce_aliases(df, {"selling": ["Selling Expense", "Selling Expenses"], "pe": ["P/E"], "none": ["x"]}, ["id"]).first()
     assert (got.selling, got.pe, got.none) == (125.0, 12.5, None)
-    b = spark.createDataFrame([(600000.0, None, None, 200000.0, 200000.0)], "total_assets double, total_liabilities double, equity double, short_term_liabilities double, long_term_liabilities double")
-    got = statements.balance_identities(b).first()
-    assert (got.total_liabilities, got.equity) == (400000.0, 200000.0)
+    b = spark.createDataFrame([(600000.0, None, None, 200000.0, 200000.0)], "total_assets double, total_liabilities double, total_equity double, short_term_liabilities double, long_term_liabilities double")
+    got = statements.balance_identities(b.withColumns({c: F.lit(None).cast("double") for c in ("short_term_assets", "long_term_assets", "cash_and_equivalents")})).first()
+    assert (got.total_liabilities, got.total_equity, got.short_term_assets) == (400000.0, None, None)
     items = spark.createDataFrame([(1, "Total Assets", 5.0), (1, "Assets", 4.0)], "k int, item string, value double")
     alias = spark.createDataFrame([("assets", "total assets", 0), ("assets", "assets", 1)], "metric string, alias string, priority int")
     assert statements.pick_metrics(items, ["k"], alias).first().assets == 5.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def contains_keyword(label: Column, keyword: str) -> Column:
 
 
 def clean_decimal_nullable(x: Column) -> Column:
-    v = x.cast("double")
+    v = x.try_cast("double")
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
@@ -101,13 +103,80 @@ def event_date(event: Column, public: Column) -> Column:
     return F.when(F.year(event) < 2000, public).otherwise(event)
 
 
+#: Listing types and the classes that they are, product groups and theirs, and the market's indices.
+CLASSES = {"STOCK": "STOCK", "ETF": "ETF", "FUND": "FUND", "UNIT_TRUST": "FUND", "BOND": "BOND", "DEBENTURE": "BOND", "INDEX": "INDEX", "FU": "DERIVATIVE", "FU_INDEX": "DERIVATIVE", "FU_BOND": "DERIVATIVE", "CW": "DERIVATIVE"}
+GROUPS = {"FIO": "DERIVATIVE", "FBX": "DERIVATIVE", "HCX": "BOND"}
+INDICES = ["VNINDEX", "HNXINDEX", "UPCOMINDEX", "HNX30", "VN30", "VN100", "VNALL", "VNMID", "VNSML"]
+
+
+def _upper(x: Column) -> Column:
+    return F.upper(F.trim(F.coalesce(x, F.lit(""))))
+
+
 def asset_class(kind: Column, symbol: Column, group: Column, name: Column) -> Column:
-    """Class of an instrument by its type, product group, symbol and name; STOCK by default."""
-    k, n = F.upper(F.coalesce(kind, F.lit(""))), F.upper(F.coalesce(name, F.lit("")))
-    return (
-        F.when(F.contains(k, F.lit("BOND")) | symbol.rlike(r"^[A-Z]{3}1[0-9]{5}$"), "BOND").when(F.contains(k, F.lit("ETF")) | symbol.rlike("^(E1|FUE)"), "ETF").when(F.contains(k, F.lit("FUND")) | F.contains(n, F.lit("FUND")), "FUND")
-        .when(k.isin("FU", "FUTURE", "DERIVATIVE", "CW", "WARRANT") | F.coalesce(group.isin("FBX", "FIO", "CW"), F.lit(False)) | symbol.rlike("^(VN30F|C[A-Z]{3}[0-9]{4})"), "DERIVATIVE").otherwise("STOCK")
-    )
+    """Class of a listed instrument: by its type, then by parts of it, product group, name and symbol; STOCK by default."""
+    k, of = _upper(kind), lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))
+    by_part = F.when(k.rlike("FU|WARRANT|CW"), "DERIVATIVE").when(F.contains(k, F.lit("BOND")), "BOND")
+    by_name = F.when(F.contains(_upper(name), F.lit("CHỨNG QUYỀN")) | _upper(symbol).rlike(r"^[0-9]+[A-Z][0-9]+G[0-9]+$|^C[A-Z]{3,}[0-9]{2,}$"), "DERIVATIVE")
+    return F.coalesce(of(CLASSES)[k], by_part, of(GROUPS)[_upper(group)], by_name, F.lit("STOCK"))
+
+
+def asset_type(symbol: Column) -> Column:
+    """index, derivative or stock, as the bars of a symbol are quoted."""
+    s = _upper(symbol)
+    future = s.rlike(r"^VN(30|100)F[0-9]{1,2}[MQ]$|^4[12][A-Z0-9]{2}[0-9A-HJ-NP-TV-W][1-9A-C][0-9]{3}$")
+    return F.when(s.isin(INDICES), "index").when(F.length(s) == 3, "stock").when(future, "derivative").otherwise("stock")
+
+
+def company_type(industry: Column) -> Column:
+    """Which report forms a company uses, by the name of its industry: NH banks, CK brokers, BH insurers, CT others."""
+    n = F.lower(F.coalesce(industry, F.lit("")))
+    return F.when(F.contains(n, F.lit("ngân hàng")), "NH").when(F.contains(n, F.lit("chứng khoán")), "CK").when(F.contains(n, F.lit("bảo hiểm")), "BH").otherwise("CT")
+
+
+def sector_fits(asked: Column, sector: Column) -> Column:
+    """Whether one of the two names contains the other, case apart."""
+    a, b = F.lower(asked), F.lower(sector)
+    return F.contains(b, a) | F.contains(a, b)
+
+
+def entity_label(symbol: Column, key: Column) -> Column:
+    """The symbol, else the last part of a path up to its first point; at most 14 characters."""
+    known = F.when(~symbol.isin("", "nan", "None"), symbol)
+    return F.substring(F.coalesce(known, F.substring_index(F.element_at(F.split(key, "/"), -1), ".", 1)), 1, 14)
+
+
+def vec_literal(v: Column) -> Column:
+    """A vector as text: numbers in brackets, with commas."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("string")), ","), F.lit("]"))
+
+
+def parse_vec(x: Column) -> Column:
+    return F.from_json(x, "array<double>")
+
+
+def metadata_json(**fields: Column) -> Column:
+    """Fields as JSON; nulls are left out."""
+    return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
+
+
+def clean_body(x: Column, start: str, stops: list[str], noise: str) -> Column:
+    """The body of an article: lines after the first that matches ``start`` (all without one) and before the first with one of
+    ``stops``, trimmed, without lines that match ``noise`` or repeat the one before; no more than one empty line in a row."""
+    lines = F.transform(F.split(x, r"\r?\n"), lambda y: F.trim(y))
+    at = lambda l, test: F.filter(F.transform(l, lambda y, i: F.when(test(y), i + 1)), lambda i: i.isNotNull())
+    first = F.coalesce(F.get(at(lines, lambda y: y.rlike(start)), F.lit(0)), F.lit(0))
+    body = F.slice(lines, first + 1, F.size(lines))
+    stop = lambda y: F.lower(y).rlike("|".join(re.escape(m) for m in stops))
+    end = F.coalesce(F.get(at(body, stop), F.lit(0)) - 1, F.size(body))
+    kept = F.filter(F.slice(body, 1, end), lambda y: ~y.rlike(noise))
+    once = F.aggregate(kept, F.array().cast("array<string>"), lambda s, y: F.when((F.size(s) > 0) & (y != "") & (F.element_at(F.concat(F.array(F.lit("")), s), -1) == y), s).otherwise(F.concat(s, F.array(y))))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(once, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", ""))
+
+
+def date_window(as_of: Column, back: int) -> tuple[Column, Column]:
+    """From ``back`` days before a date to it."""
+    return F.date_sub(as_of, back), as_of
 
 
 def derived_text(title: Column, body: Column, most: int = 500) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,11 +34,18 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: li
     return u.where("__side = 1").select(key, time, "__row.*", *(F.col("__found")[v].alias(v) for v in values))
 
 
-def refresh_candidates(events: DataFrame, assets: DataFrame, prices: DataFrame) -> DataFrame:
-    """Assets with an event after their last load of prices, or without any load: distinct asset_id and symbol."""
+def refresh_candidates(events: DataFrame, assets: DataFrame, prices: DataFrame, as_of: Column | None = None, lookback: int = 7) -> DataFrame:
+    """Assets with a symbol whose prices were never loaded, or not since an event came in; an event without a time of arrival
+    counts if its date is at most ``lookback`` days old. Distinct asset_id and symbol.
+
+    events: asset_id, ingested_at, event_date. prices: asset_id, ingested_at.
+    """
     last = prices.groupBy("asset_id").agg(F.max("ingested_at").alias("loaded"))
-    j = events.join(assets, "asset_id").join(last, "asset_id", "left")
-    return j.where(F.col("loaded").isNull() | (F.col("event_date") > F.col("loaded"))).select("asset_id", "symbol").distinct()
+    j = events.join(assets.where("symbol IS NOT NULL"), "asset_id").join(last, "asset_id", "left")
+    late = F.col("loaded").isNull() | (F.col("ingested_at") > F.col("loaded"))
+    if as_of is not None:
+        late = late | (F.col("ingested_at").isNull() & (F.col("event_date") >= F.date_sub(as_of, lookback)))
+    return j.where(late).select("asset_id", "symbol").distinct()
 
 
 def unmatched(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

@@ -61,12 +61,110 @@ def derive_if_all_missing(df: DataFrame, key: str, metric: str, derived: Column)
 
 
 def balance_identities(df: DataFrame) -> DataFrame:
-    """Total liabilities, equity and assets from each other where one is missing."""
-    a, l, e = F.col("total_assets"), F.col("total_liabilities"), F.col("equity")
-    parts = F.col("short_term_liabilities") + F.col("long_term_liabilities")
-    df = df.withColumn("total_liabilities", F.coalesce(l, parts, a - e))
-    df = df.withColumn("equity", F.coalesce(e, a - F.col("total_liabilities")))
-    return df.withColumn("total_assets", F.coalesce(a, F.col("total_liabilities") + F.col("equity")))
+    """Missing liabilities and assets from the others: all liabilities of both terms, else assets less equity; each term's
+    assets from all and the other term's as reported; each term's liabilities likewise, from all liabilities as filled."""
+    c = {n: F.col(n) for n in BALANCE}
+    df = df.withColumn("__l", F.coalesce(c["total_liabilities"], c["short_term_liabilities"] + c["long_term_liabilities"], c["total_assets"] - c["total_equity"]))
+    fill = lambda own, total, other: F.coalesce(c[own], total - c[other]).alias(own)
+    filled = {
+        "total_liabilities": F.col("__l").alias("total_liabilities"),
+        "short_term_assets": fill("short_term_assets", c["total_assets"], "long_term_assets"), "long_term_assets": fill("long_term_assets", c["total_assets"], "short_term_assets"),
+        "short_term_liabilities": fill("short_term_liabilities", F.col("__l"), "long_term_liabilities"), "long_term_liabilities": fill("long_term_liabilities", F.col("__l"), "short_term_liabilities"),
+    }
+    return df.select(*(filled.get(n, F.col(n)) for n in df.columns if n != "__l"))
+
+
+#: The metrics of balance sheets, income statements and ratios, with the labels that they go by.
+BALANCE = {
+    "total_assets": ["Total Asset", "Total Assets", "TOTAL ASSETS", "Tổng tài sản"],
+    "total_liabilities": ["Total Liabilities", "LIABILITIES", "Tổng nợ phải trả", "Nợ phải trả"],
+    "total_equity": ["Owner's Equity", "Total Equity", "Vốn chủ sở hữu"],
+    "cash_and_equivalents": ["Cash & Equivalents", "Cash and Cash Equivalents", "Tiền và tương đương tiền"],
+    "short_term_assets": ["Short-term Asset", "Short Term Assets", "Current Assets", "CURRENT ASSETS", "Tài sản ngắn hạn"],
+    "long_term_assets": ["Long-term Asset", "Long Term Assets", "Non-current Assets", "NON-CURRENT ASSETS", "Tài sản dài hạn"],
+    "short_term_liabilities": ["Short-term Liability", "Short Term Liabilities", "Current liabilities", "Nợ ngắn hạn"],
+    "long_term_liabilities": ["Long-term Liability", "Long Term Liabilities", "Nợ dài hạn"],
+}
+INCOME = {
+    "revenue": ["Net Sales"], "cost_of_goods_sold": ["Cost of Sales"], "gross_profit": ["Gross Profit"], "operating_profit": ["Operating Profit/Loss"], "net_profit_post_tax": ["Net Profit For the Year"],
+    "selling_expenses": ["Selling Expenses", "Selling Expense"], "admin_expenses": ["General & Admin", "Admin Expense", "General & Admin Expense"],
+    "financial_income": ["Financial Income"], "financial_expenses": ["Financial Expense"], "other_income": ["Other Income"], "other_expenses": ["Other Expense"], "ebitda": ["EBITDA"],
+}
+RATIOS = {
+    "pe_ratio": ["P/E"], "pb_ratio": ["P/B"], "ps_ratio": ["P/S"], "p_cashflow_ratio": ["P/Cash Flow"], "eps": ["EPS"], "bvps": ["BVPS"], "market_cap": ["Market Capital"], "roe": ["ROE"], "roa": ["ROA"], "roic": ["ROIC"],
+    "net_profit_margin": ["Net Profit Margin"], "debt_to_equity": ["Debt/Equity"], "financial_leverage": ["Financial Leverage"], "dividend_yield": ["Dividend yield"], "current_ratio": ["Current Ratio"],
+    "quick_ratio": ["Quick Ratio"], "interest_coverage": ["Interest Coverage"], "asset_turnover": ["Asset Turnover"], "inventory_turnover": ["Inventory Turnover"],
+    "receivable_turnover": ["Receivable Turnover", "Accounts Receivable Turnover"], "revenue_growth": ["Revenue Growth", "Revenue YoY"],
+    "profit_growth": ["Profit Growth", "Net Profit YoY", "Profit/Loss after tax YoY", "Attribute to parent company YoY"], "operating_margin": ["Operating Margin", "Operating Profit Margin"],
+    "gross_margin": ["Gross Margin", "Gross Profit Margin"], "free_cash_flow": ["Free Cash Flow"],
+}
+
+
+def plain_label(name: str) -> str:
+    """A column's label as ``normalize_label`` has it, for names that are known when the plan is made."""
+    low = name.lower().translate(str.maketrans(sf.ACCENTED, sf.PLAIN)).replace("&", " and ")
+    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in low).split())
+
+
+def find_column(columns: list[str], labels: list[str]) -> str | None:
+    """The first column whose plain label contains that of a label, the labels in turn."""
+    return next((c for x in map(plain_label, labels) for c in columns if x in plain_label(c)), None)
+
+
+def _period(df: DataFrame) -> DataFrame:
+    """``df`` with year and quarter, from yearReport and lengthReport where it has none."""
+    named = {"year": "yearReport", "quarter": "lengthReport"}
+    return df.withColumns({k: F.col(v).try_cast("int") for k, v in named.items() if k not in df.columns})
+
+
+def _metrics(df: DataFrame, metrics: dict[str, list[str]], keep: list[str]) -> DataFrame:
+    """``keep`` and the metrics: of the columns that go by a metric's own name or one of its labels the first value."""
+    d, by = _period(df), {}
+    for c in d.columns:
+        by.setdefault(plain_label(c), []).append(c)
+    of = {m: [c for x in dict.fromkeys(map(plain_label, [m, *labels])) for c in by.get(x, [])] for m, labels in metrics.items()}
+    number = lambda m: sf.clean_decimal_nullable(F.coalesce(*(F.col(f"`{c}`").try_cast("double") for c in of[m]))) if of[m] else F.lit(None).cast("double")
+    fiscal = F.col("fiscal_date") if "fiscal_date" in d.columns else sf.quarter_end(F.col("year"), F.col("quarter"))
+    out = d.select(*keep, fiscal.alias("fiscal_date"), "year", "quarter", *(number(m).alias(m) for m in metrics))
+    return out.where("year IS NOT NULL AND quarter IS NOT NULL AND fiscal_date IS NOT NULL")
+
+
+def normalize_income(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Income statements under canonical names; missing values stay null, rows without a quarter go."""
+    return _metrics(df, INCOME, keep)
+
+
+def normalize_balance(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Balance sheets under canonical names, with what follows from the balance identities filled in."""
+    return balance_identities(_metrics(df, BALANCE, keep))
+
+
+def normalize_ratios(df: DataFrame, symbol: str) -> DataFrame:
+    """Ratios by quarter under canonical names, found by parts of the labels; margins, turnover and free cash flow of a symbol
+    that has none of them follow from its revenue, profits, receivables and operating cash flow."""
+    d = _period(df)
+    number = lambda c: F.col(f"`{c}`").try_cast("double") if c else F.lit(None).cast("double")
+    source = lambda m: m if m in d.columns else find_column(d.columns, RATIOS[m])
+    part = lambda *labels: number(find_column(d.columns, list(labels)))
+    out = d.select(symbol, F.coalesce("year", F.lit(0)).alias("year"), F.coalesce("quarter", F.lit(0)).alias("quarter"), *(number(source(m)).alias(m) for m in RATIOS), part("Revenue").alias("__r"), part("Operating Profit/Loss").alias("__o"), part("Gross Profit").alias("__g"), part("Accounts Receivables").alias("__a"), part("Net cash inflows/outflows from operating activities").alias("__c"))
+    by_revenue = lambda x: sf.safe_ratio(F.col(x), F.col("__r"))
+    for metric, derived in (("operating_margin", by_revenue("__o")), ("gross_margin", by_revenue("__g")), ("receivable_turnover", sf.safe_ratio(F.col("__r"), F.col("__a"))), ("free_cash_flow", F.col("__c"))):
+        out = derive_if_all_missing(out, symbol, metric, derived)
+    return out.select(symbol, sf.quarter_end(F.col("year"), F.col("quarter"), fallback=True).alias("fiscal_date"), "year", "quarter", *(sf.clean_decimal_nullable(F.col(m)).alias(m) for m in RATIOS))
+
+
+def search_text(*labels: str) -> Column:
+    """The plain forms of an item's id and labels, with spaces."""
+    return F.array_join(F.filter(F.array(*(sf.normalize_label(F.coalesce(F.col(c), F.lit(""))) for c in labels)), lambda x: x != ""), " ")
+
+
+def unmapped_labels(items: DataFrame, keywords: list[str]) -> DataFrame:
+    """Items (item_id, item, item_en) that no keyword of the metrics is found in, with the label that they show."""
+    hit = F.lit(False)
+    for k in keywords:
+        hit = hit | sf.contains_keyword(F.col("__text"), k)
+    label = F.trim(F.coalesce(F.nullif("item_en", F.lit("")), F.nullif("item", F.lit(""))))
+    return items.withColumn("__text", search_text("item_id", "item", "item_en")).where((F.col("__text") != "") & ~hit).select(*items.columns, label.alias("label")).where("label <> ''")
 
 
 def provider_fallback(frames: list[tuple[str, DataFrame]], key: str) -> DataFrame:

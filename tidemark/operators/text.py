@@ -179,14 +179,6 @@ def threshold_sweep(df: DataFrame, score: str, actual: str, steps: int = 40) ->
     return classification_metrics(t, F.col(score) > F.col("threshold"), F.col(actual) == 1, ("step", "threshold"))
 
 
-def weight_ablation(df: DataFrame, keyword: str, semantic: str, decay: str, actual: str, threshold: float = 0.4) -> DataFrame:
-    """F1 on the grid of weights in tenths that sum to one."""
-    grid = F.array(*(F.struct(F.lit(i).alias("wk"), F.lit(j).alias("ws"), F.lit(10 - i - j).alias("wt")) for i in range(11) for j in range(11 - i)))
-    g = df.select(keyword, semantic, decay, actual, F.inline(grid))
-    s = (F.col("wk") * F.col(keyword) + F.col("ws") * F.col(semantic) + F.col("wt") * F.col(decay)) / 10
-    return classification_metrics(g.withColumn("__s", s), F.col("__s") > threshold, F.col(actual) == 1, ("wk", "ws", "wt"))
-
-
 def weight_search(df: DataFrame, keyword: str, semantic: str, decay: str, actual: str, steps: int = 40) -> DataFrame:
     """wk, ws, wt, best F1 and the first step that has it, of each triple of weights in tenths that sum to one.
 

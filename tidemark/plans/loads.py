@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import asof, statements, upsert
+from ..operators import asof, jobs, statements, upsert
 from ..sources import tables
-from ..streaming import jobs
+from ..streaming import jobs as streams
 from .market import PRICES, rounded
 
 Q: dict = {}
@@ -58,14 +58,119 @@ def asof_fundamentals(spark, sf):
     return asof.asof_join(left, facts, "asset_id", "d", ["eps"])
 
 
-@query(f"""WITH {ORD}, ev AS (SELECT asset_id, d AS event_date FROM o WHERE o_orderstatus = 'F'), pr AS (SELECT asset_id, max(d) AS loaded FROM o WHERE o_orderstatus = 'O' GROUP BY asset_id)
-SELECT DISTINCT ev.asset_id, c_name AS symbol FROM ev JOIN customer ON c_custkey = ev.asset_id LEFT JOIN pr USING (asset_id) WHERE loaded IS NULL OR event_date > loaded""")
-def refresh_candidates(spark, sf):
+CAND = f"""{ORD}, ev AS (SELECT asset_id, d AS event_date, CASE WHEN o_orderkey % 4 <> 0 THEN d END AS ingested FROM o WHERE o_orderstatus = 'F'), pr AS (SELECT asset_id, max(d) AS loaded FROM o WHERE o_orderstatus = 'O' GROUP BY asset_id), latest AS (SELECT max(d) AS today FROM o),
+asked AS (SELECT DISTINCT ev.asset_id, c_name AS symbol FROM ev JOIN customer ON c_custkey = ev.asset_id LEFT JOIN pr USING (asset_id), latest WHERE loaded IS NULL OR ingested > loaded OR (ingested IS NULL AND event_date >= today - 90))"""
+
+
+def _candidates(spark, sf):
     o = _orders(spark, sf)
-    events = o.where("o_orderstatus = 'F'").select("asset_id", F.col("d").alias("event_date"))
+    events = o.where("o_orderstatus = 'F'").select("asset_id", F.col("d").alias("event_date"), F.when(F.col("o_orderkey") % 4 != 0, F.col("d")).alias("ingested_at"))
     loads = o.where("o_orderstatus = 'O'").select("asset_id", F.col("d").alias("ingested_at"))
     assets = _t(spark, sf, "customer").select(F.col("c_custkey").alias("asset_id"), F.col("c_name").alias("symbol"))
-    return asof.refresh_candidates(events, assets, loads)
+    today = F.lit(o.agg(F.max("d")).first()[0]).cast("date")
+    return events, assets, loads, today
+
+
+@query(f"WITH {CAND} SELECT * FROM asked")
+def refresh_candidates(spark, sf):
+    events, assets, loads, today = _candidates(spark, sf)
+    return asof.refresh_candidates(events, assets, loads, today, 90)
+
+
+HIST = "h AS (SELECT asset_id, d AS trading_date, max(o_totalprice) + 1 AS close FROM o GROUP BY asset_id, d), old AS (SELECT asset_id, d AS trading_date, max(o_totalprice) AS close FROM o WHERE o_orderkey % 3 <> 0 GROUP BY asset_id, d)"
+
+
+@query(f"WITH {CAND}, {HIST}, b AS (SELECT h.* FROM h SEMI JOIN asked USING (asset_id), latest WHERE trading_date > today - INTERVAL 6 YEAR) SELECT asset_id, trading_date, coalesce(b.close, old.close) AS close FROM old FULL JOIN b USING (asset_id, trading_date)")
+def history_refresh(spark, sf):
+    events, assets, loads, today = _candidates(spark, sf)
+    by_day = lambda df, more: df.groupBy("asset_id", F.col("d").alias("trading_date")).agg((F.max("o_totalprice") + more).alias("close"))
+    o = _orders(spark, sf)
+    return jobs.history_refresh(by_day(o.where("o_orderkey % 3 <> 0"), 0), by_day(o, 1), events, assets, loads, today, 90)
+
+
+LOAD = """r AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS asset_id, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d, o_totalprice FROM orders), today AS (SELECT max(CAST(o_orderdate AS DATE)) AS t FROM orders),
+g AS (SELECT * FROM r WHERE d IS NOT NULL AND asset_id IS NOT NULL), i AS (SELECT g.* FROM g, today WHERE d > t - 400 AND d <= t), b AS (SELECT asset_id, d AS trading_date, max(o_totalprice) AS close FROM i GROUP BY asset_id, d),
+old AS (SELECT o_custkey AS asset_id, CAST(o_orderdate AS DATE) AS trading_date, max(o_totalprice) / 2 AS close FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2)"""
+
+
+def _load(spark, sf):
+    raw = _raw(spark, sf).join(_t(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("day")), "o_orderkey")
+    rows = raw.select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("asset_id"), F.col("raw").alias("trading_date"), F.col("o_totalprice").alias("close"), F.lit(0).alias("volume"))
+    old = _t(spark, sf, "orders").where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("asset_id"), F.col("o_orderdate").cast("date").alias("trading_date")).agg((F.max("o_totalprice") / 2).alias("close")).withColumn("volume", F.lit(0.0))
+    today = F.lit(_t(spark, sf, "orders").agg(F.max("o_orderdate").cast("date")).first()[0]).cast("date")
+    return jobs.daily_price_load(old, rows, today, 400)
+
+
+@query(f"WITH {LOAD} SELECT asset_id, trading_date, coalesce(b.close, old.close) AS close, 0.0 AS volume FROM old FULL JOIN b USING (asset_id, trading_date)")
+def daily_price_load(spark, sf):
+    return _load(spark, sf)[0]
+
+
+@query(f"WITH {LOAD} SELECT (SELECT count(*) FROM i) AS loaded, (SELECT count(*) FROM r WHERE d IS NULL OR asset_id IS NULL) AS failed, (SELECT count(*) FROM g) - (SELECT count(*) FROM i) AS outside, 'partial' AS alert")
+def daily_price_report(spark, sf):
+    return _load(spark, sf)[1]
+
+
+INGEST = """a AS (SELECT doc_id AS news_id, 'news ' || doc_id AS title, coalesce(text, '') AS body, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS TIMESTAMP) AS publish_date FROM documents WHERE doc_id % 3 <> 0),
+t AS (SELECT news_id, title, publish_date, unnest(regexp_split_to_array(upper(regexp_replace(title || '. ' || substr(body, 1, 500), '^[. ]+|[. ]+$', '', 'g')), '[^\\p{L}\\p{N}_]+')) AS w FROM a), m AS (SELECT news_id, arg_min(id, w) AS asset_id FROM t JOIN (VALUES ('THE', 7), ('DIE', 8), ('LES', 9)) v(s, id) ON s = w GROUP BY news_id),
+b AS (SELECT news_id, title, publish_date, asset_id, least(greatest(coalesce(toxic * 2.0 - 0.5, 0), -1), 1)::DOUBLE AS score FROM a LEFT JOIN m USING (news_id) LEFT JOIN (SELECT doc_id AS news_id, max(toxic) AS toxic FROM labels GROUP BY 1) USING (news_id)),
+old AS (SELECT doc_id AS news_id, 'old ' || doc_id AS title, CAST(DATE '2023-01-01' AS TIMESTAMP) AS publish_date, CAST(NULL AS INT) AS asset_id, 0.25::DOUBLE AS score FROM documents WHERE doc_id % 2 = 0),
+n AS (SELECT news_id, coalesce(old.title, b.title) AS title, coalesce(old.publish_date, b.publish_date) AS publish_date, CASE WHEN b.news_id IS NOT NULL THEN b.asset_id ELSE old.asset_id END AS asset_id, CASE WHEN b.news_id IS NOT NULL THEN b.score ELSE old.score END AS score FROM old FULL JOIN b USING (news_id))"""
+
+
+def _ingest(spark, sf):
+    d = _t(spark, sf, "documents")
+    date = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("timestamp")
+    a = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("news_id"), F.concat(F.lit("news "), F.col("doc_id").cast("string")).alias("title"), F.coalesce("text", F.lit("")).alias("body"), date.alias("publish_date"))
+    old = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("news_id"), F.concat(F.lit("old "), F.col("doc_id").cast("string")).alias("title"), F.lit("2023-01-01").cast("timestamp").alias("publish_date"), F.lit(None).cast("int").alias("asset_id"), F.lit(0.25).alias("score"))
+    assets = spark.createDataFrame([("THE", 7), ("DIE", 8), ("LES", 9)], "symbol string, asset_id int")
+    scores = _t(spark, sf, "labels").groupBy(F.col("doc_id").alias("news_id")).agg((F.max("toxic") * 2.0 - 0.5).alias("score"))
+    return jobs.news_ingest(old, a, assets, scores, _t(spark, sf, "embeddings").select(F.col("vec_id").alias("news_id")))
+
+
+@query(f"WITH {INGEST} SELECT * FROM n")
+def news_ingest(spark, sf):
+    return _ingest(spark, sf)[0]
+
+
+@query(f"WITH {INGEST} SELECT news_id FROM n WHERE news_id NOT IN (SELECT vec_id FROM embeddings)")
+def news_to_embed(spark, sf):
+    return _ingest(spark, sf)[1]
+
+
+SNAP = f"""{ORD}, p AS (SELECT asset_id, d AS trading_date, max(o_totalprice) AS close, count(*) AS volume FROM o WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2), f AS (SELECT asset_id, d AS fiscal_date, CASE WHEN max(o_orderkey) % 2 = 0 THEN max(o_totalprice) / 1000 END AS pe_ratio, CASE WHEN max(o_orderkey) % 5 <> 0 THEN min(o_totalprice) / 10 END AS eps, max(o_totalprice) / 1e6 AS roe FROM o WHERE o_orderkey % 3 = 0 GROUP BY 1, 2),
+w AS (SELECT *, lag(close, 20) OVER (PARTITION BY asset_id ORDER BY trading_date) AS before FROM p), l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY trading_date DESC) = 1)"""
+
+
+@query(f"""WITH {SNAP} SELECT l.asset_id, c_name AS symbol, l.trading_date, close, volume, round(CASE WHEN coalesce(before, 0) = 0 THEN 0 ELSE (close - before) / before * 100 END, 6) + 0.0 AS return_1m, coalesce(n_name, 'N/A') AS sector, round(coalesce(pe_ratio, CASE WHEN coalesce(eps, 0) = 0 THEN 0 ELSE close * 1000 / eps END, 0), 6) AS pe_ratio, round(coalesce(roe, 0), 6) AS roe, round(coalesce(eps, 0), 6) AS eps
+FROM l ASOF LEFT JOIN f ON l.asset_id = f.asset_id AND l.trading_date >= f.fiscal_date JOIN customer ON c_custkey = l.asset_id LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def stock_snapshot(spark, sf):
+    o = _orders(spark, sf)
+    prices = o.where("o_orderkey % 3 <> 0").groupBy("asset_id", F.col("d").alias("trading_date")).agg(F.max("o_totalprice").alias("close"), F.count("*").alias("volume"))
+    ratios = o.where("o_orderkey % 3 = 0").groupBy("asset_id", F.col("d").alias("fiscal_date")).agg(F.when(F.max("o_orderkey") % 2 == 0, F.max("o_totalprice") / 1000).alias("pe_ratio"), F.when(F.max("o_orderkey") % 5 != 0, F.min("o_totalprice") / 10).alias("eps"), (F.max("o_totalprice") / 1e6).alias("roe"))
+    c, n = _t(spark, sf, "customer"), _t(spark, sf, "nation")
+    assets = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").select(F.col("c_custkey").alias("asset_id"), F.col("c_name").alias("symbol"), F.col("n_name").alias("sector"))
+    return rounded(jobs.stock_snapshot(prices, ratios, assets))
+
+
+EVENTS = "e AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN DATE '1753-01-01' ELSE CAST(o_orderdate AS DATE) END AS ex, CAST(o_orderdate AS DATE) + 10 AS pub, o_orderpriority AS kind, lower(o_orderpriority || ' ' || o_orderstatus) AS title FROM orders), s AS (SELECT *, CASE WHEN year(ex) < 2000 THEN pub ELSE ex END AS event_date, CASE WHEN contains(kind, 'URGENT') THEN 0.8 ELSE round(coalesce((p - n) / nullif(p + n, 0), 0), 4) END AS sentiment FROM (SELECT *, CAST(contains(title, 'high') AS INT) + CAST(contains(title, ' f') AS INT) AS p, CAST(contains(title, 'low') AS INT) + CAST(contains(title, ' o') AS INT) AS n FROM e))"
+
+
+def _events(spark, sf):
+    o = _t(spark, sf, "orders")
+    d = F.col("o_orderdate").cast("date")
+    e = o.select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit("1753-01-01").cast("date")).otherwise(d).alias("exright_date"), F.date_add(d, 10).alias("public_date"), F.col("o_orderpriority").alias("event_list_name"), F.lower(F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).alias("event_title"))
+    return jobs.scored_events(e, ["high", " f"], ["low", " o"], "URGENT")
+
+
+@query(f"WITH {EVENTS} SELECT kind AS event_list_name, count(*) AS events, round(avg(sentiment), 6) AS avg_sentiment FROM s GROUP BY kind")
+def event_news_sentiment(spark, sf):
+    return rounded(jobs.event_summary(_events(spark, sf)))
+
+
+@query(f"WITH {EVENTS} SELECT o_custkey, o_orderkey, event_date, sentiment, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY event_date DESC, o_orderkey DESC) AS INT) AS rank FROM s WHERE event_date >= DATE '1996-01-01' QUALIFY rank <= 20")
+def recent_events(spark, sf):
+    return jobs.recent_events(_events(spark, sf), "o_custkey", "o_orderkey", "1996-01-01").select("o_custkey", "o_orderkey", "event_date", "sentiment", "rank")
 
 
 @query("SELECT doc_id AS news_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -74,12 +179,49 @@ def unembedded_news(spark, sf):
     return asof.unmatched(_t(spark, sf, "documents").select(F.col("doc_id").alias("news_id")), e, ["news_id"])
 
 
-@query("SELECT s_suppkey, s_name, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+_class = "CASE WHEN k IN ('STOCK', 'INDEX', 'ETF') THEN k WHEN k = 'UNIT_TRUST' THEN 'FUND' WHEN k = 'DEBENTURE' THEN 'BOND' WHEN k = 'FU_BOND' OR contains(k, 'WARRANT') THEN 'DERIVATIVE' WHEN contains(k, 'BOND') THEN 'BOND' WHEN g = 'FIO' THEN 'DERIVATIVE' WHEN g = 'HCX' THEN 'BOND' WHEN regexp_matches(symbol, '^C[A-Z]{3,}[0-9]{2,}$') THEN 'DERIVATIVE' ELSE 'STOCK' END"
+LISTING = f"""l AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'CABC' || p_partkey % 90 + 10 || p_partkey ELSE 'P' || p_partkey END AS symbol, p_name AS organ_name, CASE WHEN p_partkey % 13 = 0 THEN 'Delisted' WHEN p_partkey % 7 = 0 THEN NULL ELSE 'HNX' END AS exchange, ['STOCK', 'ETF', 'UNIT_TRUST', 'DEBENTURE', 'INDEX', 'FU_BOND', 'COVERED WARRANT', 'GOV BOND', '', NULL][p_partkey % 10 + 1] AS type, ['FIO', 'HCX', 'XX'][p_partkey % 3 + 1] AS g FROM part),
+d AS (SELECT symbol, organ_name AS name_en, organ_name AS name_local, {{0}} AS asset_class, 'VN' AS market, 'VND' AS currency, coalesce(exchange, 'HOSE') AS exchange, coalesce(r_name, 'Unknown') AS sector, coalesce(n_name, 'Unknown') AS industry, CASE WHEN p_partkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) ELSE CAST(r_regionkey AS VARCHAR) END AS industry_code, '{{{{"source_api":"listing","symbol_type":"' || coalesce(type, 'STOCK') || '"}}}}' AS metadata
+ FROM (SELECT *, upper(trim(coalesce(type, ''))) AS k FROM l) LEFT JOIN nation ON n_nationkey = p_partkey % 40 LEFT JOIN region ON r_regionkey = n_regionkey WHERE upper(coalesce(exchange, '')) <> 'DELISTED')""".replace("{0}", _class).replace("{{", "{").replace("}}", "}")
+
+
+def _dimension(spark, sf):
+    p, n, r = (_t(spark, sf, x) for x in ("part", "nation", "region"))
+    k = F.col("p_partkey")
+    symbol = F.when(k % 11 == 0, F.concat(F.lit("CABC"), (k % 90 + 10).cast("string"), k.cast("string"))).otherwise(F.concat(F.lit("P"), k.cast("string")))
+    kinds = F.array(*(F.lit(x) for x in ("STOCK", "ETF", "UNIT_TRUST", "DEBENTURE", "INDEX", "FU_BOND", "COVERED WARRANT", "GOV BOND", "", None)))
+    listing = p.select(symbol.alias("symbol"), F.col("p_name").alias("organ_name"), F.when(k % 13 == 0, "Delisted").when(k % 7 != 0, "HNX").alias("exchange"), F.get(kinds, (k % 10).cast("int")).alias("type"), F.get(F.array(*map(F.lit, ("FIO", "HCX", "XX"))), (k % 3).cast("int")).alias("product_grp_id"))
+    j = p.join(n, n["n_nationkey"] == k % 40).join(r, n["n_regionkey"] == r["r_regionkey"])
+    industries = j.select(symbol.alias("symbol"), F.col("r_name").alias("icb_name2"), F.col("n_name").alias("icb_name3"), F.when(k % 2 == 0, F.col("n_nationkey")).cast("string").alias("icb_code4"), F.col("r_regionkey").cast("string").alias("icb_code2"))
+    return jobs.assets_dimension(listing, industries)
+
+
+@query(f"WITH {LISTING} SELECT * FROM d")
 def assets_dimension(spark, sf):
+    return _dimension(spark, sf)
+
+
+@query(f"WITH {LISTING} SELECT asset_class, count(*) AS n FROM d GROUP BY asset_class")
+def asset_class_counts(spark, sf):
+    return _dimension(spark, sf).groupBy("asset_class").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey, s_name, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def supplier_industries(spark, sf):
     s, n, r = (_t(spark, sf, x) for x in ("supplier", "nation", "region"))
     return s.join(n, s["s_nationkey"] == n["n_nationkey"], "left").join(r, n["n_regionkey"] == r["r_regionkey"], "left").select("s_suppkey", "s_name", "n_name", "r_name")
 
 
+_MARKET = "CASE WHEN {0} % 3 = 0 THEN NULL ELSE 'VN' END"
+
+
+@query(f"WITH t AS (SELECT c_name AS symbol, {_MARKET.format('c_custkey')} AS market, 'STOCK' AS asset_class, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_name AS symbol, {_MARKET.format('c_custkey')} AS market, 'STOCK' AS asset_class, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 5 = 0) SELECT * FROM t WHERE symbol NOT IN (SELECT symbol FROM b) UNION ALL SELECT * FROM b")
+def upsert_assets(spark, sf):
+    c = _t(spark, sf, "customer")
+    of = lambda where, more: c.where(where).select(F.col("c_name").alias("symbol"), F.when(F.col("c_custkey") % 3 != 0, "VN").alias("market"), F.lit("STOCK").alias("asset_class"), (F.col("c_acctbal") + more).alias("v"))
+    return jobs.upsert_assets(of("c_custkey % 2 = 0", 0), of("c_custkey % 5 = 0", 1), ["v"])
+
+
 UP = f"{ORD}, t0 AS (SELECT asset_id, d, max(o_totalprice) AS price, 'old' AS source FROM o WHERE o_orderkey % 3 <> 0 GROUP BY asset_id, d), b0 AS (SELECT asset_id, d, max(o_totalprice) + 1 AS price, 'new' AS source FROM o WHERE o_orderkey % 3 <> 1 GROUP BY asset_id, d)"
 
 
@@ -119,10 +261,11 @@ def _raw(spark, sf):
     return _t(spark, sf, "orders").select("o_orderkey", "o_custkey", raw.alias("raw"))
 
 
-@query(f"WITH {RAW} SELECT o_orderkey, raw, CASE WHEN o_orderkey % 5 < 4 AND (o_orderkey % 5 <> 3 OR length(raw) = 13) THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 5 = 3 AND length(raw) = 12 THEN NULL END AS d FROM raw WHERE length(raw) <> 12 AND length(raw) <> 11 AND length(raw) <> 10 OR o_orderkey % 5 < 2")
+@query(f"WITH {RAW} SELECT o_orderkey, raw, CASE WHEN o_orderkey % 5 < 4 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS d, o_orderkey % 5 = 4 AS failed FROM raw")
 def parse_mixed_date(spark, sf):
-    r = _raw(spark, sf).where("length(raw) NOT IN (10, 11, 12) OR o_orderkey % 5 < 2")
-    return r.select("o_orderkey", "raw", sc.parse_mixed_date(F.col("raw")).alias("d"))
+    """All orders: dates written out, and whether the text is none."""
+    d = sc.parse_mixed_date(F.col("raw"))
+    return _raw(spark, sf).select("o_orderkey", "raw", d.cast("string").alias("d"), d.isNull().alias("failed"))
 
 
 @query(f"WITH {RAW} SELECT o_orderkey, raw, CASE WHEN o_orderkey % 5 < 4 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS d FROM raw")
@@ -179,11 +322,77 @@ def quarter_end(spark, sf):
     return _t(spark, sf, "orders").select("o_orderkey", label.alias("label")).select("o_orderkey", y.alias("y"), q.alias("q"), sc.quarter_end(y, q).alias("fiscal_date"))
 
 
-@query("WITH b AS (SELECT c_custkey, c_acctbal AS total_assets, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal / 4 END AS equity FROM customer) SELECT c_custkey, total_assets, CASE WHEN c_custkey % 2 = 0 THEN equity ELSE total_assets - (10.0::DOUBLE + 20.0::DOUBLE) END AS equity, CASE WHEN c_custkey % 2 = 0 THEN total_assets - equity ELSE 30.0::DOUBLE END AS total_liabilities FROM b")
+BAL = """b AS (SELECT c_custkey, c_acctbal AS ta, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal / 4 END AS te, CASE WHEN c_custkey % 3 = 0 THEN 7.0 END AS tl, CASE WHEN c_custkey % 5 < 3 THEN 10.0 END AS sl, CASE WHEN c_custkey % 5 > 1 THEN 20.0 END AS ll, CASE WHEN c_custkey % 7 < 4 THEN 30.0 END AS sa, CASE WHEN c_custkey % 7 > 2 THEN 40.0 END AS la FROM customer),
+f AS (SELECT *, coalesce(tl, sl + ll, ta - te) AS l FROM b)"""
+BAL_OUT = "c_custkey, ta AS total_assets, te AS total_equity, l AS total_liabilities, coalesce(sa, ta - la) AS short_term_assets, coalesce(la, ta - sa) AS long_term_assets, coalesce(sl, l - ll) AS short_term_liabilities, coalesce(ll, l - sl) AS long_term_liabilities"
+
+
+def _balance(spark, sf):
+    k = F.col("c_custkey")
+    some = lambda test, v: F.when(test, F.lit(v))
+    return _t(spark, sf, "customer").select(
+        "c_custkey", F.col("c_acctbal").alias("total_assets"), F.when(k % 2 == 0, F.col("c_acctbal") / 4).alias("total_equity"), some(k % 3 == 0, 7.0).alias("total_liabilities"), some(k % 5 < 3, 10.0).alias("short_term_liabilities"),
+        some(k % 5 > 1, 20.0).alias("long_term_liabilities"), some(k % 7 < 4, 30.0).alias("short_term_assets"), some(k % 7 > 2, 40.0).alias("long_term_assets"), F.lit(None).cast("double").alias("cash_and_equivalents"),
+    )
+
+
+@query(f"WITH {BAL} SELECT {BAL_OUT} FROM f")
 def balance_identities(spark, sf):
-    even = F.col("c_custkey") % 2 == 0
-    b = _t(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("total_assets"), F.when(even, F.col("c_acctbal") / 4).alias("equity"), F.lit(None).cast("double").alias("total_liabilities"), F.when(~even, 10.0).alias("short_term_liabilities"), F.when(~even, 20.0).alias("long_term_liabilities"))
-    return statements.balance_identities(b).select("c_custkey", "total_assets", "equity", "total_liabilities")
+    return statements.balance_identities(_balance(spark, sf)).drop("cash_and_equivalents")
+
+
+@query(f"WITH {BAL} SELECT {BAL_OUT}, NULL::DOUBLE AS cash_and_equivalents, 2024 AS year, c_custkey % 4 + 1 AS quarter, last_day(make_date(2024, (c_custkey % 4 + 1) * 3, 1)) AS fiscal_date FROM f WHERE c_custkey % 9 <> 0")
+def normalize_balance(spark, sf):
+    """Balance sheets with labels of several languages and spellings; a quarter of 0 drops the row."""
+    b = _balance(spark, sf)
+    named = b.select("c_custkey", F.lit(2024).alias("yearReport"), F.when(F.col("c_custkey") % 9 == 0, 0).otherwise(F.col("c_custkey") % 4 + 1).alias("lengthReport"), F.col("total_assets").alias("Tổng tài sản"), F.col("total_equity").alias("Owner's Equity"), F.when(F.col("c_custkey") % 2 == 0, F.col("total_liabilities")).alias("LIABILITIES"), F.when(F.col("c_custkey") % 2 == 1, F.col("total_liabilities")).alias("Total  liabilities"), F.col("short_term_liabilities").alias("Current liabilities"), F.col("long_term_liabilities").cast("string").alias("Nợ dài hạn"), F.col("short_term_assets").alias("CURRENT ASSETS"), F.col("long_term_assets").alias("Non-current Assets"))
+    return statements.normalize_balance(named, ["c_custkey"])
+
+
+_NULLS = ", ".join(f"NULL::DOUBLE AS {m}" for m in statements.INCOME if m not in ("revenue", "selling_expenses", "ebitda"))
+
+
+@query(f"SELECT p_partkey, p_retailprice AS revenue, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) ELSE 5.0 END AS selling_expenses, CASE WHEN p_size % 4 <> 3 THEN CAST(p_size AS DOUBLE) END AS ebitda, {_NULLS}, 2023 AS year, p_partkey % 4 + 1 AS quarter, last_day(make_date(2023, (p_partkey % 4 + 1) * 3, 1)) AS fiscal_date FROM part")
+def normalize_income(spark, sf):
+    size = F.col("p_size")
+    p = _t(spark, sf, "part").select("p_partkey", F.lit(2023).alias("yearReport"), (F.col("p_partkey") % 4 + 1).alias("lengthReport"), F.col("p_retailprice").alias("Net Sales"), F.when(size % 2 == 0, size).alias("Selling Expenses"), F.lit("5").alias("Selling Expense"), F.when(size % 4 == 3, "n/a").otherwise(size.cast("string")).alias("EBITDA"))
+    return statements.normalize_income(p, ["p_partkey"])
+
+
+RATIO_SQL = """p AS (SELECT p_partkey % 50 AS sym, p_partkey, p_retailprice AS r, CASE WHEN p_partkey % 50 < 20 AND p_size % 3 = 0 THEN p_size / 100.0::DOUBLE END AS om, p_size * 10.0 AS o, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS ar, p_size * 1.5 AS cf, p_size / 7.0 AS pe FROM part)
+SELECT sym, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN DATE '2022-01-01' ELSE last_day(make_date(2022, (p_partkey % 5) * 3, 1)) END AS fiscal_date, round(pe, 6) AS pe_ratio, round(CASE WHEN count(om) OVER (PARTITION BY sym) = 0 THEN o / nullif(r, 0) ELSE om END, 6) AS operating_margin, round(r / nullif(ar, 0), 6) AS receivable_turnover, cf AS free_cash_flow FROM p"""
+
+
+@query("WITH " + RATIO_SQL)
+def normalize_ratios(spark, sf):
+    size, k = F.col("p_size"), F.col("p_partkey")
+    p = _t(spark, sf, "part").select((k % 50 + k * 0).alias("sym"), F.lit(2022).alias("yearReport"), (k % 5).alias("lengthReport"), F.col("p_retailprice").alias("Revenue (Bn. VND)"), F.when((k % 50 < 20) & (size % 3 == 0), size / 100.0).alias("Operating Margin"), (size * 10.0).alias("Operating Profit/Loss"), F.when(size % 4 == 0, 0).otherwise(size).alias("Accounts Receivables"), (size * 1.5).alias("Net cash inflows/outflows from operating activities"), (size / 7.0).alias("P/E"), k.alias("eps"))
+    out = statements.normalize_ratios(p, "sym")
+    return rounded(out.select("sym", F.col("eps").cast("long").alias("p_partkey"), "fiscal_date", "pe_ratio", "operating_margin", "receivable_turnover", "free_cash_flow"))
+
+
+@query("SELECT p_partkey, p_type AS label FROM part WHERE NOT (contains(lower(p_name || ' ' || p_type), 'brass') OR list_contains(string_split(trim(regexp_replace(lower('i' || p_partkey || ' ' || p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' '), 'tin'))")
+def unmapped_labels(spark, sf):
+    p = _t(spark, sf, "part").select("p_partkey", F.concat(F.lit("i"), F.col("p_partkey").cast("string")).alias("item_id"), F.col("p_name").alias("item"), F.col("p_type").alias("item_en"))
+    return statements.unmapped_labels(p, ["brass", "tin"]).select("p_partkey", "label")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'NH' WHEN c_mktsegment = 'MACHINERY' THEN 'CK' ELSE 'CT' END AS company_type, CASE WHEN c_custkey % 4 = 0 THEN 'index' WHEN c_custkey % 4 = 1 THEN 'derivative' ELSE 'stock' END AS asset_type, CASE WHEN c_custkey % 2 = 0 THEN substr(c_name, 1, 14) ELSE 'site' || c_custkey END AS label, contains('building machinery', lower(c_mktsegment)) AS fits FROM customer")
+def asset_labels(spark, sf):
+    """Report forms, quotation, labels and sector names of customers that stand in for companies."""
+    k = F.col("c_custkey")
+    industry = F.when(F.col("c_mktsegment") == "BUILDING", "Ngân hàng thương mại").when(F.col("c_mktsegment") == "MACHINERY", "Môi giới chứng khoán")
+    symbol = F.when(k % 4 == 0, "vn30 ").when(k % 4 == 1, "VN30F1M").when(k % 4 == 2, "abc").otherwise("LONGER")
+    label = sc.entity_label(F.when(k % 2 == 0, F.col("c_name")), F.concat(F.lit("https://x/site"), k.cast("string"), F.lit(".vn.com")))
+    return _t(spark, sf, "customer").select("c_custkey", sc.company_type(industry).alias("company_type"), sc.asset_type(symbol).alias("asset_type"), label.alias("label"), sc.sector_fits(F.lit("Building Machinery"), F.col("c_mktsegment")).alias("fits"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS l FROM documents), x AS (SELECT doc_id, list_transform(l, lambda y: trim(y)) AS l FROM l),
+b AS (SELECT doc_id, l[coalesce(list_min(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN regexp_matches(l[i], '^[A-M].*[.]$') THEN i END), lambda i: i IS NOT NULL)), 0) + 1:] AS l FROM x), c AS (SELECT doc_id, l[:coalesce(list_min(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN regexp_matches(lower(l[i]), 'zzz|qqq') THEN i END), lambda i: i IS NOT NULL)) - 1, len(l))] AS l FROM b),
+d AS (SELECT doc_id, list_filter(l, lambda y: NOT regexp_matches(y, '^[0-9 ]*$')) AS l FROM c)
+SELECT doc_id, regexp_replace(array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i = 1 OR l[i] <> l[i - 1] THEN l[i] END), lambda y: y IS NOT NULL), chr(10)), '^\s+|\s+$', '', 'g') AS body FROM d""")
+def clean_bodies(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", sc.clean_body(F.coalesce("text", F.lit("")), r"^[A-M].*[.]$", ["zzz", "qqq"], r"^[0-9 ]*$").alias("body"))
 
 
 @query("WITH o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS trading_date, CAST(o_totalprice AS DOUBLE) AS p FROM orders) SELECT o_custkey, trading_date, p AS open, p AS high, p AS low, p AS close, p * 2 AS volume FROM o")
@@ -200,9 +409,9 @@ def _statements(c):
     return statements.periodic_statement(payload, "c_custkey", "payload")
 
 
-@query("SELECT c_custkey, 'account balance' AS item, 2024 AS year, q AS quarter, CAST(last_day(make_date(2024, q * 3, 1)) AS DATE) AS fiscal_date, c_acctbal * q AS value FROM customer CROSS JOIN (SELECT unnest([1, 2]) AS q) WHERE c_custkey % 3 = 0")
+@query("SELECT c_custkey, 'account balance' AS item, 2024 AS year, q AS quarter, CAST(last_day(make_date(2024, q * 3, 1)) AS DATE) AS fiscal_date, c_acctbal * q AS value FROM customer CROSS JOIN (SELECT unnest([1, 2]) AS q)")
 def periodic_statements(spark, sf):
-    return _statements(_t(spark, sf, "customer").where("c_custkey % 3 = 0"))
+    return _statements(_t(spark, sf, "customer"))
 
 
 @query("SELECT c_custkey, 'account balance' AS item, 2024 AS year, q AS quarter, CAST(last_day(make_date(2024, q * 3, 1)) AS DATE) AS fiscal_date, c_acctbal * q AS value FROM customer CROSS JOIN (SELECT unnest([1, 2]) AS q)")
@@ -230,7 +439,7 @@ BARS = "SELECT user_id, date_trunc('hour', ts) AS start, arg_min(value, ROW(ts,
 
 @query(BARS)
 def intraday_bars(spark, sf):
-    return jobs.bars(_t(spark, sf, "events"), "ts", "user_id", "value")
+    return streams.bars(_t(spark, sf, "events"), "ts", "user_id", "value")
 
 
 def _shared(spark: SparkSession) -> str:
@@ -244,8 +453,8 @@ def stream_ohlc_bars(spark, sf):
     """The same bars from a file stream, drained into a table that holds every batch's state of its windows."""
     events, at = _t(spark, sf, "events"), _shared(spark)
     parts = f"{at}/parts"
-    stream = jobs.file_stream(spark, f"{sf}/events.parque?", events)
-    stream = jobs.bars(stream, "ts", "user_id", "value", late=None)
+    stream = streams.file_stream(spark, f"{sf}/events.parque?", events)
+    stream = streams.bars(stream, "ts", "user_id", "value", late=None)
     stream.writeStream.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{parts}/{i:06d}")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(parts).withColumn("__f", F.regexp_extract(F.input_file_name(), r"/parts/(\d+)/", 1))
     newest = last.agg(F.max("__f").alias("__f"))
@@ -255,8 +464,8 @@ def stream_ohlc_bars(spark, sf):
 @query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
 def stream_dedup(spark, sf):
     events, at = _t(spark, sf, "events"), _shared(spark)
-    stream = jobs.file_stream(spark, f"{sf}/events.parque?", events)
-    jobs.drain(jobs.dedup(stream, ["event_id"], "ts", "60 days"), f"{at}/out", f"{at}/checkpoint")
+    stream = streams.file_stream(spark, f"{sf}/events.parque?", events)
+    streams.drain(streams.dedup(stream, ["event_id"], "ts", "60 days"), f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out").select("event_id", "user_id", "event_type", "value")
 
 

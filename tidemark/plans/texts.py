@@ -119,14 +119,6 @@ def _parts(spark, sf):
     return _labelled(spark, sf).select("quality", tx.keyword_presence(F.col("text"), WORDS).alias("k"), tx.keyword_match(F.col("text"), WORDS).alias("s"), tx.time_decay(F.lit(AS_OF).cast("timestamp"), F.col("publish_date")).alias("t"))
 
 
-@query(LABELLED + f""", e AS (SELECT d.*, least({_found(WORDS)} / 3, 1.0) AS k, least({_m(WORDS)} / 3, 1.0) AS s, exp(-greatest({DAYS}, 0) / 365) AS t FROM d JOIN news USING (news_id)),
-g AS (SELECT i AS wk, j AS ws, 10 - i - j AS wt FROM (SELECT unnest(range(11)) AS i) CROSS JOIN (SELECT unnest(range(11)) AS j) WHERE i + j <= 10),
-m AS (SELECT wk, ws, wt, count(*) FILTER (x AND quality = 1) AS tp, count(*) FILTER (x AND quality <> 1) AS fp, count(*) FILTER (NOT x AND quality = 1) AS fn FROM (SELECT *, (wk * k + ws * s + wt * t) / 10 > 0.4001 AS x FROM e CROSS JOIN g) GROUP BY wk, ws, wt), p AS (SELECT *, {METRICS} FROM m)
-SELECT CAST(wk AS INT) AS wk, CAST(ws AS INT) AS ws, CAST(wt AS INT) AS wt, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM p""")
-def weight_ablation(spark, sf):
-    return rounded(tx.weight_ablation(_parts(spark, sf), "k", "s", "t", "quality", 0.4001).select("wk", "ws", "wt", "f1"))
-
-
 @query(LABELLED + f""", e AS (SELECT d.*, least({_found(WORDS)} / 3, 1.0) AS k, least({_m(WORDS)} / 3, 1.0) AS s, exp(-greatest({DAYS}, 0) / 365) AS t FROM d JOIN news USING (news_id)),
 g AS (SELECT i AS wk, j AS ws, 10 - i - j AS wt FROM (SELECT unnest(range(11)) AS i) CROSS JOIN (SELECT unnest(range(11)) AS j) WHERE i + j <= 10),
 x AS (SELECT wk, ws, wt, quality, (wk * k + ws * s + wt * t) / 10 AS x FROM e CROSS JOIN g), h AS (SELECT wk, ws, wt, max(x) + 1e-6::DOUBLE AS top FROM x GROUP BY wk, ws, wt),
@@ -137,6 +129,12 @@ def weight_search(spark, sf):
     return rounded(tx.weight_search(_parts(spark, sf), "k", "s", "t", "quality").select("wk", "ws", "wt", "f1"))
 
 
+@query(SQL["weight_search"].replace("SELECT CAST(wk AS INT) AS wk, CAST(ws AS INT) AS ws, CAST(wt AS INT) AS wt, round(max(", "SELECT CAST(wk AS INT) AS wk, round(max(").replace("FROM p GROUP BY wk, ws, wt", "FROM p GROUP BY wk"))
+def weight_ablation(spark, sf):
+    """The best F1 that a weight of the keyword reaches with any other weights."""
+    return weight_search(spark, sf).groupBy("wk").agg(F.max("f1").alias("f1"))
+
+
 @query(f"WITH {NEWS}, s AS (SELECT source, news_id, round({_dens(WORDS)}, 9) AS density FROM news) SELECT source, news_id, density, CAST(row_number() OVER (PARTITION BY source ORDER BY density DESC, news_id) AS INT) AS rank FROM s QUALIFY rank <= 5")
 def top_news_by_source(spark, sf):
     n = tables.news(spark, sf).select("source", "news_id", F.round(tx.keyword_density(F.col("text"), WORDS), 9).alias("density"))
