@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,16 +77,21 @@ def normal_planes(tables: int, n: int = 12, width: int = 64, seed: int = 42) ->
     return [[[r.gauss(0, 1) for _ in range(width)] for _ in range(n)] for _ in range(tables)]
 
 
+def _planes(tables: int, bits: int, width: int, seed: int) -> Column:
+    """The planes as one constant, an array of tables."""
+    return F.from_json(F.lit(json.dumps(normal_planes(tables, bits, width, seed))), "array<array<array<double>>>")
+
+
 def lsh_codes(vectors: DataFrame, key: str, vector: str, tables: int, bits: int = 12, width: int = 64, seed: int = 42) -> DataFrame:
     """key, table and code: a row for each table, its planes' sides as the bits of one number."""
-    planes = vectors.sparkSession.createDataFrame([(normal_planes(tables, bits, width, seed),)], "planes array<array<array<double>>>")
-    code = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda s, p: s * 2 + F.when(dot(F.col(vector), p) >= 0, 1).otherwise(0).cast("long"))
-    return vectors.join(F.broadcast(planes)).select(key, F.posexplode(F.transform("planes", code)).alias("table", "code"))
+    code = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda s, p: s * 2 + F.when(dot(F.col(vector), p) > 0, 1).otherwise(0).cast("long"))
+    return vectors.select(key, F.posexplode(F.transform(_planes(tables, bits, width, seed), code)).alias("table", "code"))
 
 
 def lsh_bucket(v: Column, n: int = 12, width: int = 64) -> Column:
     """One bit for each plane's side, as text."""
-    return F.concat(*(F.when(dot(v, F.array(*map(F.lit, p))) > 0, "1").otherwise("0") for p in normal_planes(1, n, width)[0]))
+    side = lambda p: F.when(dot(v, p) > 0, "1").otherwise("0")
+    return F.array_join(F.transform(F.get(_planes(1, n, width, 42), F.lit(0)), side), "")
 
 
 def lsh_rings(queries: DataFrame, index: DataFrame, k: int, bits: int = 12) -> DataFrame:
@@ -95,7 +101,7 @@ def lsh_rings(queries: DataFrame, index: DataFrame, k: int, bits: int = 12) -> D
     How far to go depends on the query's bucket and the buckets' sizes alone: at most 2^bits of each.
     """
     number = lambda c: F.conv(c, 2, 10).cast("long")
-    masks = F.array(*(F.struct(F.lit(m.bit_count()).alias("ring"), F.lit(m).cast("long").alias("mask")) for m in range(1 << bits)))
+    masks = F.transform(F.sequence(F.lit(0).cast("long"), F.lit((1 << bits) - 1).cast("long")), lambda m: F.struct(F.bit_count(m).alias("ring"), m.alias("mask")))
     sizes = index.groupBy("bucket").agg(F.count("*").alias("n")).select(number("bucket").alias("code"), "n")
     own = queries.select(number("bucket").alias("own")).distinct().select("own", F.inline(masks)).withColumn("code", F.col("own").bitwiseXOR(F.col("mask")))
     rings = own.join(sizes, "code").groupBy("own", "ring").agg(F.sum("n").alias("n"))
@@ -129,7 +135,7 @@ def lsh_candidates(queries: DataFrame, corpus: DataFrame, tables: int = 40, bits
 
     The codes to visit are listed for each query and table and meet those of the corpus in an equality join.
     """
-    masks = F.array(*(F.lit(m).cast("long") for m in range(1 << bits) if m.bit_count() <= radius))
+    masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << bits) - 1).cast("long")), lambda m: F.bit_count(m) <= radius)
     q = lsh_codes(queries, "query_id", "q", tables, bits, width, seed)
     q = q.select("query_id", "table", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("code")))).alias("code"))
     return lsh_codes(corpus, "id", "v", tables, bits, width, seed).join(q, ["table", "code"]).where("id <> query_id").select("query_id", "id").distinct()

@@ -444,7 +444,11 @@ def intraday_bars(spark, sf):
 
 def _shared(spark: SparkSession) -> str:
     """A new folder under the one that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/tidemark-stream-{uuid.uuid4().hex}"
 
 
