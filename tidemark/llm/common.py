@@ -15,14 +15,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder is taken and set as the session's checkpoint folder.
+    It is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is unset in local mode, as in
+    tests, a temporary folder is taken and set as the session's checkpoint folder; on a cluster that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     now = spark.sparkContext.getCheckpointDir()
     if now is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         now = spark.sparkContext.getCheckpointDir()
     return str(now).rstrip("/")
