@@ -128,3 +128,19 @@ def test_nearest_in_blocks(spark):
         s = np.round(u @ u[i], 6)
         s[i] = -9
         assert [got[i, k] for k in (1, 2, 3)] == sorted(range(300), key=lambda j: (-s[j], j))[:3]
+
+
+def test_svd_keeps_the_similarities(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(25)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(3, 20)))) for i in range(40)] + [(99, "")]
+    d = spark.createDataFrame(docs, "id int, text string")
+    m = np.zeros((40, 25))
+    for r in vectors.tfidf(d, "id").collect():
+        m[r.id, words.index(r.term)] = r.weight
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    for k in (5, 25):
+        got = {r.id: np.array(r.v) for r in vectors.svd_embed(d, "id", 100, k).collect()}
+        x = u[:, :k] * s[:k]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert set(got) == set(range(40)) and np.allclose([[got[i] @ got[j] for j in range(40)] for i in range(40)], x @ x.T, atol=1e-6)

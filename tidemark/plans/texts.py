@@ -393,3 +393,9 @@ def embedding_coverage(spark, sf):
     e = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("news_id")).distinct()
     n = tables.news(spark, sf).select("news_id")
     return n.join(e, "news_id", "left_semi").withColumn("embedded", F.lit(True)).unionByName(n.join(e, "news_id", "left_anti").withColumn("embedded", F.lit(False)))
+
+
+@query()
+def tfidf_svd_embed(spark, sf):
+    """Vectors of the news; directions are unique up to their signs."""
+    return ve.svd_embed(tables.news(spark, sf), "news_id", 2000, 32)
