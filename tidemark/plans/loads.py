@@ -101,7 +101,7 @@ def _load(spark, sf):
     return jobs.daily_price_load(old, rows, today, 400)
 
 
-@query(f"WITH {LOAD} SELECT asset_id, trading_date, coalesce(b.close, old.close) AS close, 0.0 AS volume FROM old FULL JOIN b USING (asset_id, trading_date)")
+@query(f"WITH {LOAD} SELECT asset_id, trading_date, coalesce(b.close, old.close) AS close, 0.0::DOUBLE AS volume FROM old FULL JOIN b USING (asset_id, trading_date)")
 def daily_price_load(spark, sf):
     return _load(spark, sf)[0]
 
@@ -341,7 +341,7 @@ def balance_identities(spark, sf):
     return statements.balance_identities(_balance(spark, sf)).drop("cash_and_equivalents")
 
 
-@query(f"WITH {BAL} SELECT {BAL_OUT}, NULL::DOUBLE AS cash_and_equivalents, 2024 AS year, c_custkey % 4 + 1 AS quarter, last_day(make_date(2024, (c_custkey % 4 + 1) * 3, 1)) AS fiscal_date FROM f WHERE c_custkey % 9 <> 0")
+@query(f"WITH {BAL} SELECT {BAL_OUT}, NULL::DOUBLE AS cash_and_equivalents, 2024 AS year, CAST(c_custkey % 4 + 1 AS INT) AS quarter, last_day(make_date(2024, (c_custkey % 4 + 1) * 3, 1)) AS fiscal_date FROM f WHERE c_custkey % 9 <> 0")
 def normalize_balance(spark, sf):
     """Balance sheets with labels of several languages and spellings; a quarter of 0 drops the row."""
     b = _balance(spark, sf)
@@ -352,14 +352,14 @@ def normalize_balance(spark, sf):
 _NULLS = ", ".join(f"NULL::DOUBLE AS {m}" for m in statements.INCOME if m not in ("revenue", "selling_expenses", "ebitda"))
 
 
-@query(f"SELECT p_partkey, p_retailprice AS revenue, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) ELSE 5.0 END AS selling_expenses, CASE WHEN p_size % 4 <> 3 THEN CAST(p_size AS DOUBLE) END AS ebitda, {_NULLS}, 2023 AS year, p_partkey % 4 + 1 AS quarter, last_day(make_date(2023, (p_partkey % 4 + 1) * 3, 1)) AS fiscal_date FROM part")
+@query(f"SELECT p_partkey, p_retailprice AS revenue, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) ELSE 5.0 END AS selling_expenses, CASE WHEN p_size % 4 <> 3 THEN CAST(p_size AS DOUBLE) END AS ebitda, {_NULLS}, 2023 AS year, CAST(p_partkey % 4 + 1 AS INT) AS quarter, last_day(make_date(2023, (p_partkey % 4 + 1) * 3, 1)) AS fiscal_date FROM part")
 def normalize_income(spark, sf):
     size = F.col("p_size")
     p = _t(spark, sf, "part").select("p_partkey", F.lit(2023).alias("yearReport"), (F.col("p_partkey") % 4 + 1).alias("lengthReport"), F.col("p_retailprice").alias("Net Sales"), F.when(size % 2 == 0, size).alias("Selling Expenses"), F.lit("5").alias("Selling Expense"), F.when(size % 4 == 3, "n/a").otherwise(size.cast("string")).alias("EBITDA"))
     return statements.normalize_income(p, ["p_partkey"])
 
 
-RATIO_SQL = """p AS (SELECT p_partkey % 50 AS sym, p_partkey, p_retailprice AS r, CASE WHEN p_partkey % 50 < 20 AND p_size % 3 = 0 THEN p_size / 100.0::DOUBLE END AS om, p_size * 10.0 AS o, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS ar, p_size * 1.5 AS cf, p_size / 7.0 AS pe FROM part)
+RATIO_SQL = """p AS (SELECT p_partkey % 50 AS sym, p_partkey, p_retailprice AS r, CASE WHEN p_partkey % 50 < 20 AND p_size % 3 = 0 THEN p_size / 100.0::DOUBLE END AS om, p_size * 10.0 AS o, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS ar, p_size * 1.5::DOUBLE AS cf, p_size / 7.0 AS pe FROM part)
 SELECT sym, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN DATE '2022-01-01' ELSE last_day(make_date(2022, (p_partkey % 5) * 3, 1)) END AS fiscal_date, round(pe, 6) AS pe_ratio, round(CASE WHEN count(om) OVER (PARTITION BY sym) = 0 THEN o / nullif(r, 0) ELSE om END, 6) AS operating_margin, round(r / nullif(ar, 0), 6) AS receivable_turnover, cf AS free_cash_flow FROM p"""
 
 

@@ -204,7 +204,7 @@ def _scores(spark, sf):
     return tx.topic_aware_score(_with_similarity(spark, sf), "news_id", WORDS, THEMES, F.lit(AS_OF).cast("timestamp"), "sem", phrases=PHRASES)
 
 
-@query(f"WITH RECURSIVE {SCORES} SELECT news_id, round(keyword, 6) AS keyword, round(semantic, 6) AS semantic, round(time_decay, 6) AS time_decay, round(causal_boost, 6) AS causal_boost, round(score, 6) AS score, topic, num_chunks, top_chunks, {', '.join(f'round(topics[{j + 1}], 6) AS topic_{t.lower()}' for j, t in enumerate(THEMES))} FROM scores")
+@query(f"WITH RECURSIVE {SCORES} SELECT news_id, round(keyword, 6) AS keyword, round(semantic, 6) AS semantic, round(time_decay, 6) AS time_decay, round(causal_boost, 6) AS causal_boost, round(score, 6) AS score, topic, CAST(num_chunks AS INT) AS num_chunks, CAST(top_chunks AS INT) AS top_chunks, {', '.join(f'round(topics[{j + 1}], 6) AS topic_{t.lower()}' for j, t in enumerate(THEMES))} FROM scores")
 def topic_aware_score(spark, sf):
     s = _scores(spark, sf)
     return rounded(s.select("*", *(F.get("topic_scores", F.lit(j)).alias(f"topic_{t.lower()}") for j, t in enumerate(THEMES))).drop("topic_scores"))
