@@ -418,7 +418,7 @@ def test_lm_score_bit_by_bit(spark, docs, rows, monkeypatch):
             one, two = (context[i - k] if i >= k else wordmix.START for k in (1, 2))
             _, depth, bit, slots = wordmix.events(code, symbol[i : i + 1], np.array([one]), np.array([two]))
             for j in range(len(bit)):
-                z, o = [words.n0[c][x[j]] for c, x in enumerate(slots)], [words.n1[c][x[j]] for c, x in enumerate(slots)]
+                z, o = [words.counts[c][2 * x[j]] for c, x in enumerate(slots)], [words.counts[c][2 * x[j] + 1] for c, x in enumerate(slots)]
                 level = [sum(z[c] + o[c] >= x for x in wordmix.LEVELS) for c in (1, 2)]
                 gate = (level[0] * 5 + level[1]) * 4 + depth[j]
                 p = probability(words.mixer, gate, [math.log((b + wordmix.PRIOR) / (a + wordmix.PRIOR)) for a, b in zip(z, o)], gate)
@@ -448,9 +448,11 @@ def test_codes_are_complete():
     code = wordmix.Code([bytes([97 + i]) for i in range(20)], [2**i for i in range(20)], 7)
     assert sum(2.0 ** -int(n) for n in code.size) == 1.0
     model = lm_score.WordModel(code)
-    model.n0[:], model.n1[:] = (np.random.default_rng(s).random(model.n0.shape) * 9 for s in (0, 1))
+    model.counts[:] = np.random.default_rng(0).random(model.counts.shape) * 9
     cost = [model.costs(np.array([5, x]), np.array([9, 9]), np.array([0]))[1] for x in range(21)]
-    assert sum(2.0**-c for c in cost) == pytest.approx(1)
+    assert sum(2.0**-c for c in cost) == pytest.approx(1, rel=1e-4)
+    model.finish()
+    assert [model.costs(np.array([5, x]), np.array([9, 9]), np.array([0]))[1] for x in range(21)] == pytest.approx(cost, rel=1e-4)
 
 
 def test_model_is_a_distribution():

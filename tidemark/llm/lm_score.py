@@ -148,35 +148,73 @@ def _prices(words: list[bytes], n0: np.ndarray, n1: np.ndarray, mixer: Mixer) ->
 
 
 class WordModel:
-    """Codes, tables and mixer of the word model."""
+    """Codes, counts (zeros and ones of a slot side by side) and mixer of the word model."""
 
-    def __init__(self, code: wordmix.Code, n0: np.ndarray | None = None, n1: np.ndarray | None = None, mixer: Mixer | None = None):
-        shape = (wordmix.CONTEXTS, wordmix.SLOTS)
-        self.code, self.n0, self.n1 = code, np.zeros(shape, np.float32) if n0 is None else n0, np.zeros(shape, np.float32) if n1 is None else n1
+    def __init__(self, code: wordmix.Code, counts: np.ndarray | None = None, mixer: Mixer | None = None):
+        self.code, self.counts = code, np.zeros((wordmix.CONTEXTS, 2 * wordmix.SLOTS), np.float32) if counts is None else counts
         self.mixer = mixer or Mixer(gates=wordmix.GATES, contexts=wordmix.CONTEXTS)
+        self.ready: tuple[np.ndarray, np.ndarray] | None = None
+
+    def finish(self) -> None:
+        """Log odds and levels of all slots instead of the counts, for costs alone."""
+        zeros, ones = self.counts[:, ::2], self.counts[:, 1::2]
+        prior = np.float32(wordmix.PRIOR)
+        self.ready = np.log((ones + prior) / (zeros + prior)), wordmix.levels(zeros[1:3] + ones[1:3])
+
+    def _inputs(self, depth: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Gate and log odds of each bit."""
+        if self.ready is not None:
+            return wordmix.gates(self.ready[1][0][slots[1]], self.ready[1][1][slots[2]], depth), [self.ready[0][c][x] for c, x in enumerate(slots)]
+        prior, odds, seen = np.float32(wordmix.PRIOR), [], []
+        for c, x in enumerate(slots):
+            both = self.counts[c].view(np.complex64)[x]  # a slot's zeros and ones in one look
+            zeros, ones = both.real, both.imag
+            odds.append(np.log((ones + prior) / (zeros + prior)))
+            seen.append(zeros + ones)
+        return wordmix.gates(wordmix.levels(seen[1]), wordmix.levels(seen[2]), depth), odds
+
+    def _mixed(self, gate: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
+        w = self.mixer.weights.astype(np.float32)
+        return np.clip(sum(w[:, c][gate] * x for c, x in enumerate(odds)), -LIMIT, LIMIT)
 
     def read(self, symbol: np.ndarray, context: np.ndarray, first: np.ndarray) -> None:
         """Learn from texts in turn: predict, adapt the weights, count."""
         one, two = wordmix.before(context, first)
+        m, scale = self.mixer, np.float32((STEPS - 1) / (2 * LIMIT))
         for i in range(0, len(symbol), wordmix.TOKENS):
             s = slice(i, i + wordmix.TOKENS)
             _, depth, bit, slots = wordmix.events(self.code, symbol[s], one[s], two[s])
-            gate, odds = wordmix.inputs(self.n0, self.n1, depth, slots)
-            self.mixer.learn(gate, odds, gate, bit, np.ones(len(bit)))
+            gate, odds = self._inputs(depth, slots)
+            for j in range(0, len(bit), 8 * BATCH):
+                b = slice(j, j + 8 * BATCH)
+                g, o = gate[b], [x[b] for x in odds]
+                x = self._mixed(g, o)
+                error = bit[b] - 1 / (1 + np.exp(-x))
+                mass = np.bincount(g, minlength=len(m.weights))
+                # as many steps as the batch has parts of BATCH bits
+                step = np.stack([np.bincount(g, error * v, minlength=len(m.weights)) for v in o], 1) / np.maximum(mass, 1)[:, None]
+                m.weights += RATE * (len(x) / BATCH) * step
+                cell = np.rint((x + np.float32(LIMIT)) * scale).astype(np.int64) * 256 + g
+                m.table[1] += np.bincount(cell, minlength=STEPS * 256).reshape(STEPS, 256)
+                m.table[0] += np.bincount(cell[bit[b] == 1], minlength=STEPS * 256).reshape(STEPS, 256)
             for c, x in enumerate(slots):
-                np.add.at(self.n0[c], x[bit == 0], np.float32(1))
-                np.add.at(self.n1[c], x[bit == 1], np.float32(1))
+                np.add.at(self.counts[c], 2 * x + bit, np.float32(1))
 
     def costs(self, symbol: np.ndarray, context: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Bits that each token's code costs."""
         one, two = wordmix.before(context, first)
-        out = np.zeros(len(symbol))
+        out, rate = np.zeros(len(symbol)), (self.mixer.table[0] / self.mixer.table[1]).astype(np.float32).ravel()
         for i in range(0, len(symbol), wordmix.TOKENS):
             s = slice(i, i + wordmix.TOKENS)
             token, depth, bit, slots = wordmix.events(self.code, symbol[s], one[s], two[s])
-            gate, odds = wordmix.inputs(self.n0, self.n1, depth, slots)
-            p = self.mixer.final(self.mixer.mixed(gate, odds), gate)
-            out[s] = np.bincount(token, -np.log2(np.where(bit == 1, p, 1 - p)), minlength=len(symbol[s]))
+            gate, odds = self._inputs(depth, slots)
+            x = self._mixed(gate, odds)
+            at = (x + np.float32(LIMIT)) * np.float32((STEPS - 1) / (2 * LIMIT))
+            low = np.minimum(at.astype(np.int64), STEPS - 2)
+            part, cell = at - low.astype(np.float32), low * 256 + gate
+            p = (1 / (1 + np.exp(-x)) + rate[cell] * (1 - part) + rate[cell + 256] * part) / 2
+            p = np.clip(np.where(bit == 1, p, 1 - p), np.float32(1e-6), np.float32(1 - 1e-6))
+            out[s] = np.bincount(token, -np.log2(p), minlength=len(symbol[s]))
         return out
 
 
@@ -287,8 +325,8 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
                 model.read(symbol[word], context[word], starts)
                 mass += float(len(word))
         if mass:
-            flat = np.stack([model.n0, model.n1]).reshape(2, -1)
-            sums = [(r, _zip(flat[:, r * RANGE : (r + 1) * RANGE].tobytes())) for r in range(flat.shape[1] // RANGE)]
+            flat = model.counts.ravel()
+            sums = [(r, _zip(flat[r * RANGE : (r + 1) * RANGE].tobytes())) for r in range(len(flat) // RANGE)]
             weights, table = model.mixer.weights * mass, model.mixer.table - first
             yield from _arrow("part int, sums binary", [*sums, (-1, _zip(np.concatenate([weights.ravel(), table.ravel(), [mass]]).tobytes()))]).to_batches()
 
@@ -299,15 +337,17 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
 
     # The word model is of fixed size: 2^20 pairs of counts for each context, 32 MB.
     words_model = WordModel(code)
-    flat = np.zeros((2, wordmix.CONTEXTS * wordmix.SLOTS), np.float32)
+    flat = words_model.counts.ravel()
     for r in t.where(~F.col("held_out")).select("text").mapInArrow(read, "part int, sums binary").groupBy("part").applyInArrow(joined, "part int, sums binary").toLocalIterator():
         if r.part >= 0:
-            flat[:, r.part * RANGE : (r.part + 1) * RANGE] = np.frombuffer(_unzip(r.sums), np.float32).reshape(2, -1)
+            flat[r.part * RANGE : (r.part + 1) * RANGE] = np.frombuffer(_unzip(r.sums), np.float32)
         else:
             x, m = np.frombuffer(_unzip(r.sums), np.float64), words_model.mixer
             m.table = m.table + x[m.weights.size : -1].reshape(m.table.shape)
             m.weights = (x[: m.weights.size] / x[-1]).reshape(m.weights.shape)
-    words_model.n0, words_model.n1 = flat.reshape(2, wordmix.CONTEXTS, wordmix.SLOTS)
+    words_model.finish()
+    if model_to is None:
+        words_model.counts = words_model.counts[:, :0]
     spoken = spark.sparkContext.broadcast(words_model)
 
     def seen(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray]]:

@@ -1,8 +1,8 @@
 """A word model for running text: bits of dictionary codes, mixed from contexts of the words before.
 
 The most frequent words have Huffman codes; all others share the escape symbol. Each bit of a code is predicted from
-counts in four contexts: the place in the code alone, and with the word before, the two words before, and the word
-before last; a word outside the dictionary stands for its last two bytes there. A mixer weighs the predictions' log
+counts in three contexts: the place in the code alone, with the word before, and with the two words before; a word
+outside the dictionary stands for its last two bytes there. A mixer weighs the predictions' log
 odds; a gate picks the weights by how often the longer contexts have been seen.
 """
 
@@ -13,7 +13,7 @@ import heapq
 import numpy as np
 
 #: Contexts; slots of each one's table; levels of a context's count that the gate tells apart; smoothing of a counter.
-CONTEXTS, SLOTS, LEVELS, PRIOR = 4, 1 << 20, np.array([1, 3, 12, 60]), 0.15
+CONTEXTS, SLOTS, LEVELS, PRIOR = 3, 1 << 20, np.array([1, 3, 12, 60]), 0.15
 #: Ids of words outside the dictionary, by their last two bytes; the id before a text's first word.
 ENDINGS, START = 1 << 16, (1 << 16) + 1
 #: Tokens that are taken at a time.
@@ -46,6 +46,9 @@ class Code:
         for i, p in enumerate(paths):
             self.nodes[i, : len(p)] = [x for x, _ in p]
             self.bits[i, : len(p)] = [b for _, b in p]
+        there = np.arange(self.bits.shape[1]) < self.size[:, None]
+        self.start = np.cumsum(self.size) - self.size
+        self.flat_nodes, self.flat_bits = self.nodes[there].astype(np.int32), self.bits[there]
 
     @property
     def escape(self) -> int:
@@ -69,19 +72,22 @@ def events(code: Code, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) ->
     n = code.size[symbol]
     token = np.repeat(np.arange(len(symbol)), n)
     depth = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-    node, bit = code.nodes[symbol[token], depth].astype(np.uint64), code.bits[symbol[token], depth]
+    at = code.start[symbol][token] + depth
+    node, bit = code.flat_nodes[at], code.flat_bits[at]
     a, b = _mix(one.astype(np.uint64) + np.uint64(1)), _mix(two.astype(np.uint64) + np.uint64(1 << 40))
-    cut, salt = np.uint64(44), node * np.uint64(0x9E3779B97F4A7C15)
-    slots = [(_mix(salt + x[token]) >> cut).astype(np.int64) for x in (np.zeros(len(symbol), np.uint64), a, a * np.uint64(3) + b, b)]
+    salt = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    slots = [node.astype(np.int64)] + [((salt + x[token]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(44)).astype(np.int64) for x in (a, a * np.uint64(3) + b)]
     return token, np.minimum(depth, 3), bit, slots
 
 
-def inputs(n0: np.ndarray, n1: np.ndarray, depth: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Gate and log odds of each bit from the tables of zeros and ones."""
-    zeros, ones = [n0[c][s] for c, s in enumerate(slots)], [n1[c][s] for c, s in enumerate(slots)]
-    level = lambda c: np.searchsorted(LEVELS, zeros[c] + ones[c], "right")
-    gate = (level(1) * (len(LEVELS) + 1) + level(2)) * 4 + depth
-    return gate, np.stack([np.log((b + np.float32(PRIOR)) / (a + np.float32(PRIOR))) for a, b in zip(zeros, ones)], 1)
+def levels(seen: np.ndarray) -> np.ndarray:
+    """How often a context has been seen, as a level."""
+    return sum((seen >= x).astype(np.uint8) for x in LEVELS.tolist())
+
+
+def gates(first: np.ndarray, second: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The gate of each bit from the levels of its second and third context."""
+    return (first.astype(np.int64) * (len(LEVELS) + 1) + second) * 4 + depth
 
 
 def before(context: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
