@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_quality, lm_score, mixing, simhash, substring_dedup, surrogates, token_store, toxicity
+from . import decontaminate, license_scan, line_quality, lm_score, manifest, mixing, prefix_trie, simhash, substring_dedup, surrogates, token_store, toxicity, url_rules
 from .sql import ORACLE
 
 
@@ -62,8 +62,26 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(_documents(spark, sf_dir), spark.conf.get("spark.tidemark.surrogates.key", NO_SECRET))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.steps(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.trie(prefix_trie.grafted(turns)).drop("prefix")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    altered = F.when(F.crc32(docs["doc_id"].cast("string")) % 2 == 0, F.replace(docs["text"], F.lit("\n"), F.lit(""))).otherwise(docs["text"])
+    rows = manifest.folded(manifest.manifest(docs, altered=manifest.leaf(docs, text=altered)), "altered")
+    in_hex = lambda c: F.lower(F.hex(c))
+    return rows.select("doc_id", in_hex("digest").alias("leaf"), in_hex("subroot").alias("subroot"), in_hex("root").alias("root"), F.sha2(in_hex("path"), 256).alias("proof_sha256"), in_hex("folded_root").alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+    return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_token_store, op4_decontamination, op5_substring_dedup, op6_mixing, op7_quality_rules, op8_lm_score, op9_simhash, op10_surrogates)}
+    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_token_store, op4_decontamination, op5_substring_dedup, op6_mixing, op7_quality_rules, op8_lm_score, op9_simhash, op10_surrogates, op11_prefix_trie, op12_manifest, op13_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

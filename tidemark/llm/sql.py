@@ -75,4 +75,59 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS words
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op2_license_scan": LICENSE, "op5_substring_dedup": SUBSTRINGS, "op6_mixing": MIXING, "op7_quality_rules": QUALITY}
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, as SQL."""
+    rounds = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)), lambda a, b: {rounds}), 4294967295)"
+
+
+TRIE = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+x AS (SELECT conv_id, turn, substr(sha256(strlen(role) || ':' || role || text), 1, 32) AS step, len(regexp_extract_all(text, {WORD})) AS words FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, step) AS i FROM x),
+c AS (SELECT conv_id, {crc32("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT conv_id, i, step, words FROM o JOIN c USING (conv_id) WHERE i > h UNION ALL SELECT c.conv_id, i - 4, step, words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 WHERE i <= h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(step, '') OVER w) AS prefix, words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING) UNION ALL SELECT conv_id, 0, 'root', 0 FROM c),
+q AS (SELECT *, lag(prefix) OVER w AS parent, lead(prefix) OVER w IS NULL AS last FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+e AS (SELECT prefix, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM q WHERE last GROUP BY prefix),
+n0 AS (SELECT prefix, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own FROM q GROUP BY prefix),
+n AS (SELECT n0.*, coalesce(k.n, 0) AS n_children FROM n0 LEFT JOIN (SELECT parent, count(*) AS n FROM n0 GROUP BY parent) k ON k.parent = n0.prefix),
+b AS (SELECT q.prefix, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM n JOIN q ON q.conv_id = n.conv_id AND q.depth <= n.depth GROUP BY q.prefix)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN b USING (prefix) LEFT JOIN n u ON u.prefix = n.parent LEFT JOIN e ON e.prefix = n.prefix
+"""
+
+#: Levels that the SQL writes out for each tree, one after the other.
+_LEVELS = 9
+
+
+def _tree(name: str, nodes: str, leaves: str) -> str:
+    """CTEs that reduce nodes (g, i, h) and fold leaves (g, i, cur, path, more) up to their group's root, ``name_top`` and ``name_out``."""
+    out = [f"{name}0 AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS c FROM {nodes})", f"{name}_f0 AS (SELECT * FROM {leaves})"]
+    for k in range(_LEVELS):
+        out.append(f"{name}{k + 1} AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS c FROM (SELECT g, i // 3 AS i, CASE WHEN c > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY g, i // 3, c))")
+        out.append(f"{name}_s{k} AS (SELECT a.g, a.i, a.c, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.i // 3 = b.i // 3 GROUP BY a.g, a.i, a.c)")
+        out.append(f"{name}_f{k + 1} AS (SELECT f.* REPLACE (CASE WHEN c > 1 THEN sha256(l || cur || r) ELSE cur END AS cur, path || l || r AS path) FROM {name}_f{k} f JOIN {name}_s{k} s ON f.g = s.g AND f.i // {3**k} = s.i)")
+    return ", ".join([*out, f"{name}_top AS (SELECT g, h FROM {name}{_LEVELS})", f"{name}_out AS (SELECT * FROM {name}_f{_LEVELS})"])
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+MANIFEST = rf"""
+WITH d AS (SELECT doc_id, source, sha256({_LEAF} || {_FIELD.format("text")}) AS leaf, sha256({_LEAF} || {_FIELD.format("(CASE WHEN " + crc32("doc_id::VARCHAR") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")}) AS cur FROM documents),
+l AS (SELECT doc_id, leaf, cur, '' AS path, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+n AS (SELECT g, i, leaf AS h FROM l), {_tree("a", "n", "l")},
+m AS (SELECT 0 AS g, g AS i, h FROM a_top), k AS (SELECT o.doc_id, o.leaf, o.cur, o.path, 0 AS g, o.g AS i, t.h AS subroot FROM a_out o JOIN a_top t ON o.g = t.g), {_tree("b", "m", "k")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(path) AS proof_sha256, cur AS folded_root, cur = h AS verified FROM b_out, b_top
+"""
+
+URLS = r"""
+WITH p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict FROM (SELECT DISTINCT host, path FROM p) u JOIN p USING (host, path)
+LEFT JOIN (SELECT DISTINCT p.host, p.path, r.h, r.p, r.v, row_number() OVER (PARTITION BY p.host, p.path ORDER BY length(r.h || r.p) DESC, length(r.h) DESC) AS k FROM (SELECT DISTINCT host, path FROM p) p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)) f ON f.host = p.host AND f.path = p.path AND k = 1
+"""
+
+ORACLE = {"op2_license_scan": LICENSE, "op5_substring_dedup": SUBSTRINGS, "op6_mixing": MIXING, "op7_quality_rules": QUALITY, "op11_prefix_trie": TRIE, "op12_manifest": MANIFEST, "op13_url_rules": URLS}
