@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import asof, jobs, statements, upsert
-from ..sources import tables
+from ..operators import asof, jobs, statements, stored, upsert
+from ..sources import shared, tables
 from ..streaming import jobs as streams
 from .market import PRICES, rounded
 
@@ -238,6 +235,26 @@ def upsert_prices(spark, sf):
     return upsert.upsert(t, b, ["asset_id", "d"], ["price"])
 
 
+@query(f"WITH {UP} SELECT asset_id, d, coalesce(b0.price, t0.price) AS price, CASE WHEN b0.price IS NULL THEN 'old' ELSE 'new' END AS source FROM t0 FULL JOIN b0 USING (asset_id, d)")
+def stored_upsert_prices(spark, sf):
+    """The same as a write into a stored table in folders of a year, of which the batch's are read and written."""
+    t, b = _up(spark, sf)
+    table = stored.Table(shared.new(spark, "prices"), ("asset_id", "d"), ("price",), "date_format(d, 'yyyy')")
+    stored.create(table, t)
+    stored.upsert_into(table, b)
+    return table.read(spark)
+
+
+@query(f"WITH {UP} SELECT asset_id, d, coalesce(b0.price, t0.price) AS price, coalesce(t0.source, b0.source) AS source FROM t0 FULL JOIN b0 USING (asset_id, d)")
+def stored_upsert_partial(spark, sf):
+    """Only the price of rows that are there changes."""
+    t, b = _up(spark, sf)
+    table = stored.Table(shared.new(spark, "partial"), ("asset_id", "d"), ("price",), "date_format(d, 'yyyy')")
+    stored.create(table, t)
+    stored.upsert_into(table, b, ["price"])
+    return table.read(spark)
+
+
 @query(f"WITH {UP} SELECT asset_id, d, coalesce(b0.price, t0.price) AS price, coalesce(t0.source, b0.source) AS source FROM t0 FULL JOIN b0 USING (asset_id, d)")
 def upsert_news_partial(spark, sf):
     t, b = _up(spark, sf)
@@ -442,32 +459,74 @@ def intraday_bars(spark, sf):
     return streams.bars(_t(spark, sf, "events"), "ts", "user_id", "value")
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder under the one that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/tidemark-stream-{uuid.uuid4().hex}"
-
-
 @query(BARS)
 def stream_ohlc_bars(spark, sf):
-    """The same bars from a file stream, drained into a table that holds every batch's state of its windows."""
-    events, at = _t(spark, sf, "events"), _shared(spark)
-    parts = f"{at}/parts"
-    stream = streams.file_stream(spark, f"{sf}/events.parque?", events)
-    stream = streams.bars(stream, "ts", "user_id", "value", late=None)
-    stream.writeStream.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{parts}/{i:06d}")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(parts).withColumn("__f", F.regexp_extract(F.input_file_name(), r"/parts/(\d+)/", 1))
-    newest = last.agg(F.max("__f").alias("__f"))
-    return last.join(F.broadcast(newest), "__f").drop("__f")
+    """The same bars from a file stream: windows that change are upserted into a table in folders of a day, state ends with the watermark."""
+    events, at = _t(spark, sf, "events"), shared.new(spark, "bars")
+    ticks = streams.file_stream(spark, f"{sf}/events.parque?", events)
+    table = stored.Table(f"{at}/table", ("user_id", "start"), ("n",), "date_format(start, 'yyyy-MM-dd')")
+    streams.upsert_stream(streams.bars(ticks, "ts", "user_id", "value", late="2 days"), table, f"{at}/checkpoint", mode="update").awaitTermination()
+    return table.read(spark)
+
+
+def _loads(spark, at, rows, number, many):
+    """Lets ``rows`` land as ``many`` loads, one after the other, and yields after each."""
+    for i in range(many):
+        rows.where(F.col(number) == i).drop(number).write.parquet(f"{at}/landed/{i}")
+        yield i
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, event_id % 3 AS load, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id % 3 DESC, event_id DESC, value DESC) = 1")
+def stream_upsert_prices(spark, sf):
+    """Three loads of daily values, one after the other: each takes the place of the one before where it has the key."""
+    e, at = _t(spark, sf, "events"), shared.new(spark, "upserts")
+    rows = e.select("user_id", F.to_date("ts").alias("day"), (F.col("event_id") % 3).alias("load"), "event_id", "value")
+    table = stored.Table(f"{at}/table", ("user_id", "day"), ("event_id", "value"), "date_format(day, 'yyyy-MM-dd')")
+    for _ in _loads(spark, at, rows.withColumn("number", F.col("load")), "number", 3):
+        streams.upsert_stream(streams.file_stream(spark, f"{at}/landed/*", rows, None), table, f"{at}/checkpoint").awaitTermination()
+    return table.read(spark)
+
+
+@query("SELECT doc_id AS news_id, arg_min('load ' || (doc_id + k) % 3, (doc_id + k) % 3) AS title, max((doc_id + k) % 3) AS score FROM documents, (SELECT unnest([0, 1]) AS k) GROUP BY doc_id")
+def stream_upsert_news(spark, sf):
+    """Three loads of news, each document in two of them: the first gives the title, only the score follows the later one."""
+    at = shared.new(spark, "news")
+    load = F.explode(F.array(*((F.col("doc_id") + k) % 3 for k in (0, 1))))
+    rows = _t(spark, sf, "documents").select("doc_id", load.alias("load")).select(F.col("doc_id").alias("news_id"), F.concat(F.lit("load "), F.col("load").cast("string")).alias("title"), F.col("load").alias("score"), F.col("load").alias("number"))
+    table = stored.Table(f"{at}/table", ("news_id",), ("score",), "pmod(hash(news_id), 16)")
+    for _ in _loads(spark, at, rows, "number", 3):
+        streams.upsert_stream(streams.file_stream(spark, f"{at}/landed/*", rows.drop("number"), None), table, f"{at}/checkpoint", ["score"]).awaitTermination()
+    return table.read(spark)
+
+
+LATE = """WITH r AS (SELECT user_id, date_trunc('hour', ts) AS hour, value, event_id, event_id % 5 AS batch FROM events), t AS (SELECT batch, max(hour) AS top FROM r GROUP BY batch),
+l AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 DAY AS edge FROM t)
+SELECT user_id, hour, arg_max(value, ROW(event_id, value)) AS value, max(event_id) AS event_id FROM r JOIN l USING (batch) WHERE edge IS NULL OR hour > edge GROUP BY user_id, hour"""
+
+
+@query(LATE)
+def late_correction(spark, sf):
+    """Hourly values that come in five loads, in no order: later versions correct those of the last ten days, older hours are dropped."""
+    e, at = _t(spark, sf, "events"), shared.new(spark, "late")
+    rows = e.select("user_id", F.date_trunc("hour", "ts").cast("timestamp").alias("hour"), "value", "event_id", (F.col("event_id") % 5).alias("number"))
+    table = stored.Table(f"{at}/table", ("user_id", "hour"), ("event_id", "value"), "date_format(hour, 'yyyy-MM-dd')")
+    for _ in _loads(spark, at, rows, "number", 5):
+        ticks = streams.file_stream(spark, f"{at}/landed/*", rows.drop("number"), None)
+        fixed = streams.corrections(ticks, "user_id", "hour", "value", "event_id", "10 days").drop("revised")
+        streams.upsert_stream(fixed, table, f"{at}/checkpoint").awaitTermination()
+    return table.read(spark)
+
+
+@query(LATE)
+def late_correction_batch(spark, sf):
+    """The same from all rows at once."""
+    e = _t(spark, sf, "events").select("user_id", F.date_trunc("hour", "ts").cast("timestamp").alias("hour"), "value", "event_id", (F.col("event_id") % 5).alias("batch"))
+    return streams.corrected(e, "user_id", "hour", "value", "event_id", "batch", "10 days")
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
 def stream_dedup(spark, sf):
-    events, at = _t(spark, sf, "events"), _shared(spark)
+    events, at = _t(spark, sf, "events"), shared.new(spark, "stream")
     stream = streams.file_stream(spark, f"{sf}/events.parque?", events)
     streams.drain(streams.dedup(stream, ["event_id"], "ts", "60 days"), f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out").select("event_id", "user_id", "event_type", "value")

@@ -1,28 +1,34 @@
-"""Incremental forms of the loads: bars, deduplication and upserts over file streams.
+"""Incremental forms of the loads: bars, deduplication, upserts and late corrections over file streams.
 
-A stream drained with ``availableNow`` gives what the batch operators give.
+State is bounded by a watermark in each of them. What a stream emits is upserted into a stored table under the number of
+its batch, so that a batch that runs again changes nothing, and only the folders of its keys are written. A stream
+drained with ``availableNow`` gives what the batch operators give.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import upsert
+from ..operators.stored import Table, upsert_into
 
 
-def file_stream(spark: SparkSession, path: str, like: DataFrame, files: int = 16) -> DataFrame:
-    """A stream of the Parquet files that match ``path`` (a folder or a pattern), with the schema of ``like``; times without zone are read as UTC's."""
-    rows = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(path)
+def file_stream(spark: SparkSession, path: str, like: DataFrame, files: int | None = 16) -> DataFrame:
+    """A stream of the Parquet files that match ``path`` (a folder or a pattern), with the schema of ``like``; times without zone are
+    read as UTC's. ``files`` at a time, or all that are there."""
+    reader = spark.readStream.schema(like.schema)
+    rows = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
     return rows.withColumns({c: F.col(c).cast("timestamp") for c, t in like.dtypes if t == "timestamp_ntz"})
 
 
-def bars(ticks: DataFrame, time: str, key: str, value: str, width: str = "1 hour", late: str | None = "2 hours") -> DataFrame:
-    """Open, high, low, close and count of each window of event time; works on streams and batches alike."""
-    t = ticks.withWatermark(time, late) if late and ticks.isStreaming else ticks
+def bars(ticks: DataFrame, time: str, key: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Open, high, low, close and count of each window of event time; works on streams and batches alike. A stream keeps the
+    windows that the watermark, ``late`` behind the newest time, has not passed, and takes no rows of others."""
+    t = ticks.withWatermark(time, late) if ticks.isStreaming else ticks
     first = F.struct(time, value)
     return t.groupBy(F.window(time, width).alias("w"), key).agg(
         F.min_by(value, first).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, first).alias("close"), F.count("*").alias("n")
@@ -39,15 +45,61 @@ def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> No
     df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_stream(rows: DataFrame, checkpoint: str, read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], keys: list[str], order: list[str]) -> StreamingQuery:
-    """Upsert every batch of the stream; ``write`` gets the new table and the batch's number, so that a batch that runs again can replace its own result."""
+def upsert_stream(rows: DataFrame, table: Table, checkpoint: str, update: list[str] | None = None, mode: str = "append") -> StreamingQuery:
+    """Upsert what the stream emits, until all present files are read. Bars go with mode ``update``: a window that has changed comes
+    whole, and takes the place of its former row."""
 
     def each(batch: DataFrame, number: int) -> None:
-        now = read()
-        if now is None:
-            w = Window.partitionBy(*keys).orderBy(*(F.desc_nulls_last(c) for c in order))
-            write(batch.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n"), number)
-        else:
-            write(upsert(now, batch, keys, order), number)
-
-    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        upsert_into(table, batch, update, commit=f"batch-{number:09d}")
+
+    return rows.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def corrections(rows: DataFrame, key: str, time: str, value: str, version: str, look_back: str = "250 days") -> DataFrame:
+    """A stream's new and corrected values: key, time, value, version and revised (there was one before).
+
+    Rows (key, time, value, version) come in any order, and again with a higher version when they are corrected. The
+    state of a key holds its times in the look-back, ``look_back`` behind the newest time of all batches before; a row
+    at or before that limit, and one with a null time, value or version, is dropped. Of a time that has a newer version than the state, or the same one with a higher value,
+    the newest row is emitted; other rows change nothing. The state of a key that gets no more rows goes with the limit.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    state = f"times array<long>, versions array<{kinds[version]}>, vals array<{kinds[value]}>"
+    out = f"{key} {kinds[key]}, __us long, {value} {kinds[value]}, {version} {kinds[version]}, revised boolean"
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        limit = held.getCurrentWatermarkMs() * 1000
+        old = {t: (v, x) for t, v, x in zip(*held.get) if t > limit} if held.exists else {}
+        new: dict = {}
+        for p in parts:
+            for t, v, x in zip(p["__us"].tolist(), p[version].tolist(), p[value].tolist()):
+                if t > limit and (t not in old or (v, x) > old[t]) and (t not in new or (v, x) > new[t]):
+                    new[t] = (v, x)
+        now = sorted((old | new).items())
+        if now:
+            held.update(([t for t, _ in now], [v for _, (v, _) in now], [x for _, (_, x) in now]))
+            held.setTimeoutTimestamp(max(now[-1][0], limit) // 1000 + 2)
+        elif held.exists:
+            held.remove()
+        if new:
+            t = sorted(new)
+            yield pd.DataFrame({key: k[0], "__us": t, value: [new[i][1] for i in t], version: [new[i][0] for i in t], "revised": [i in old for i in t]})
+
+    watched = rows.select(key, time, F.unix_micros(time).alias("__us"), value, version).dropna(subset=[time, value, version]).withWatermark(time, look_back)
+    emitted = watched.groupBy(key).applyInPandasWithState(step, out, state, "append", "EventTimeTimeout")
+    return emitted.select(key, F.timestamp_micros("__us").alias(time), value, version, "revised")
+
+
+def corrected(rows: DataFrame, key: str, time: str, value: str, version: str, batch: str, look_back: str = "250 days") -> DataFrame:
+    """What the table of a drained ``corrections`` stream holds, from all rows at once; ``batch`` numbers the batch in which a row came.
+
+    The limit of a batch follows from the newest time of the batches before it: one row a batch.
+    """
+    rows = rows.dropna(subset=[time, value, version])
+    tops = rows.groupBy(batch).agg(F.max(time).alias("__top"))
+    before = tops.select(F.col(batch), (F.max("__top").over(Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)) - F.expr(f"INTERVAL {look_back}")).alias("__limit"))
+    kept = rows.join(F.broadcast(before), batch).where(F.col("__limit").isNull() | (F.col(time) > F.col("__limit")))
+    return kept.groupBy(key, time).agg(F.max_by(value, F.struct(version, value)).alias(value), F.max(version).alias(version))
