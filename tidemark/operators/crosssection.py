@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import gram
 from .distributions import incomplete_beta
 from .risk import RISK_FREE, YEAR
 from .timeseries import log_return
@@ -26,15 +27,24 @@ def pair_self_join(returns: DataFrame, ordered: bool = False, keys: tuple[str, .
     return a.join(b, list(keys)).where(F.col("a") != F.col("b") if ordered else F.col("a") < F.col("b"))
 
 
+def _centred(returns: DataFrame, group: Column | None = None) -> DataFrame:
+    """g, symbol, at and x for ``gram``: days, and returns less their symbol's mean, which changes no covariance but keeps digits."""
+    g = F.lit(0) if group is None else group
+    r = returns.where("log_ret IS NOT NULL").select(g.alias("g"), "symbol", F.unix_date("trading_date").alias("at"), "log_ret")
+    return r.withColumn("x", F.col("log_ret") - F.avg("log_ret").over(Window.partitionBy("symbol"))).drop("log_ret")
+
+
 def correlation_matrix(returns: DataFrame) -> DataFrame:
-    return pair_self_join(returns).groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), (F.covar_samp("ra", "rb") * YEAR).alias("cov"), F.count("*").alias("n"))
+    """Correlation, yearly covariance and common dates of every two symbols (a before b)."""
+    return gram.gram(_centred(returns)).select("a", "b", gram.corr().alias("corr"), (gram.covar_samp() * YEAR).alias("cov"), F.col("n").cast("long").alias("n"))
 
 
 def covariance(returns: DataFrame) -> DataFrame:
     """The whole matrix, both halves and the diagonal: a, b, cov of a year."""
-    half = pair_self_join(returns).groupBy("a", "b").agg((F.covar_samp("ra", "rb") * YEAR).alias("cov"))
+    half = correlation_matrix(returns).select("a", "b", "cov")
     own = returns.where("log_ret IS NOT NULL").groupBy(F.col("symbol").alias("a")).agg((F.var_samp("log_ret") * YEAR).alias("cov"))
-    return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "cov")).unionByName(own.select("a", F.col("a").alias("b"), "cov"))
+    both = half.select(F.inline(F.array(F.struct("a", "b", "cov"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cov"))))
+    return both.unionByName(own.select("a", F.col("a").alias("b"), "cov"))
 
 
 def extreme_pairs(pairs: DataFrame, k: int = 5) -> DataFrame:
@@ -57,7 +67,7 @@ def rolling_intra_corr(returns: DataFrame, size: int = 60, step: int = 20, last:
     at = F.explode(F.expr(f"filter(sequence(cast(floor(i / {step}) as int), cast(floor((i + {size}) / {step}) as int)), w -> w * {step} > i and w * {step} <= i + {size} and w * {step} >= {size} and w * {step} < dates)"))
     dealt = dates.join(F.broadcast(many)).withColumn("w", at)
     r = returns.join(dealt.select("trading_date", "w"), "trading_date")
-    pairs = pair_self_join(r, keys=("trading_date", "w")).groupBy("w", "a", "b").agg(F.corr("ra", "rb").alias("corr"))
+    pairs = gram.gram(_centred(r, F.col("w"))).select(F.col("g").alias("w"), gram.corr().alias("corr"))
     out = pairs.groupBy("w").agg(F.avg("corr").alias("avg_corr")).join(dates, F.col("w") * step == F.col("i"))
     return out.select(F.col("trading_date").alias("as_of"), "avg_corr").orderBy(F.desc("as_of")).limit(last)
 
@@ -86,7 +96,7 @@ def sector_analysis(returns: DataFrame, sectors: DataFrame, index: DataFrame) ->
     r = returns.where("log_ret IS NOT NULL").join(sectors, "symbol").join(index_returns(index).where("index_ret IS NOT NULL"), "trading_date")
     day = r.groupBy("industry", "trading_date", "index_ret").agg(F.avg("log_ret").alias("r"), F.count("*").alias("m"))
     a = day.groupBy("industry").agg(F.count("*").alias("sessions"), F.max("m").alias("members"), (F.exp(F.sum("r")) - 1).alias("total_return"), F.when(F.count("*") > 30, F.regr_slope("r", "index_ret")).alias("beta"), (F.var_samp("r") * YEAR * 100).alias("variance_pct"))
-    c = pair_self_join(r.select("industry", "trading_date", "symbol", "log_ret"), keys=("industry", "trading_date")).groupBy("industry", "a", "b").agg(F.corr("ra", "rb").alias("corr")).groupBy("industry").agg(F.avg("corr").alias("avg_corr"))
+    c = gram.gram(_centred(r, F.col("industry"))).groupBy(F.col("g").alias("industry")).agg(F.avg(gram.corr()).alias("avg_corr"))
     x = F.col("avg_corr")
     return a.join(c, "industry").withColumn("label", F.when(x > 0.6, "HIGH co-movement").when(x > 0.3, "MODERATE").otherwise("LOW"))
 
@@ -124,27 +134,32 @@ def peer_comparison(returns: DataFrame, sectors: DataFrame, index: DataFrame) ->
 def peer_correlations(returns: DataFrame, sectors: DataFrame) -> DataFrame:
     """Correlation of each symbol with each peer of its industry, itself included at 1."""
     r = returns.where("log_ret IS NOT NULL").join(sectors, "symbol").select("industry", "trading_date", "symbol", "log_ret")
-    pairs = pair_self_join(r, ordered=True, keys=("industry", "trading_date")).groupBy(F.col("a").alias("symbol"), F.col("b").alias("peer")).agg(F.corr("ra", "rb").alias("corr"))
+    half = gram.gram(_centred(r, F.col("industry"))).select("a", "b", gram.corr().alias("corr"))
+    pairs = half.select(F.inline(F.array(F.struct(F.col("a").alias("symbol"), F.col("b").alias("peer"), "corr"), F.struct(F.col("b").alias("symbol"), F.col("a").alias("peer"), "corr"))))
     return pairs.unionByName(r.select("symbol", F.col("symbol").alias("peer"), F.lit(1.0).alias("corr")).distinct())
 
 
 def tail_dependence(returns: DataFrame, q: float = 0.1) -> DataFrame:
     """Of each pair the share of dates on which both lie under their q quantile, and the correlation on days when either does."""
+    # days that are no stress for a pair are those on which both lie above: stress is all days less these
     cuts = returns.groupBy("symbol").agg(F.percentile("log_ret", F.lit(q)).alias("cut"))
     low = returns.where("log_ret IS NOT NULL").join(cuts, "symbol").select("trading_date", "symbol", "log_ret", (F.col("log_ret") <= F.col("cut")).alias("low"))
-    a, b = (low.select("trading_date", F.col("symbol").alias(x), F.col("log_ret").alias(f"r{x}"), F.col("low").alias(f"l{x}")) for x in "ab")
-    p = a.join(b, "trading_date").where("a < b")
-    stress = F.col("la") | F.col("lb")
-    g = p.groupBy("a", "b").agg(F.avg((F.col("la") & F.col("lb")).cast("double")).alias("joint"), F.corr("ra", "rb").alias("corr"), F.corr(F.when(stress, F.col("ra")), F.when(stress, F.col("rb"))).alias("stress_corr"), F.count_if(stress).alias("stress_days"))
+    x = _centred(low).join(low.select("symbol", F.unix_date("trading_date").alias("at"), "low"), ["symbol", "at"])
+    kinds = F.inline(F.array(F.struct(F.lit(0).alias("g"), "x"), F.struct(F.lit(1).alias("g"), F.when(~F.col("low"), F.col("x")).alias("x")), F.struct(F.lit(2).alias("g"), F.when(F.col("low"), F.col("x")).alias("x"))))
+    sums = gram.gram(x.select("symbol", "at", kinds))
+    of = lambda k: F.max(F.when(F.col("g") == k, F.struct(*gram.SUMS)))
+    s = sums.groupBy("a", "b").agg(of(0).alias("all"), of(1).alias("calm"), of(2).alias("both"))
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    stress = lambda k: part(f"all.{k}") - part(f"calm.{k}")
+    g = s.select("a", "b", (part("both.n") / F.col("all.n")).alias("joint"), gram.corr(lambda k: F.col(f"all.{k}")).alias("corr"), gram.corr(stress).alias("stress_corr"), F.round(stress("n")).cast("long").alias("stress_days"))
     return g.withColumn("warning", (F.col("stress_days") > 10) & (F.col("stress_corr") > F.col("corr") + 0.1))
 
 
 def lead_lag(returns: DataFrame, most: int = 5) -> DataFrame:
     """Correlation of each pair (a before b) at its strongest lag, and the leader: a positive lag means that a leads b."""
-    r = returns.where("log_ret IS NOT NULL").withColumn("i", F.dense_rank().over(Window.partitionBy("symbol").orderBy("trading_date")))
-    a = r.select(F.col("symbol").alias("a"), F.col("log_ret").alias("ra"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "i").withColumn("at", F.col("i") + F.col("lag"))
-    b = r.select(F.col("symbol").alias("b"), F.col("log_ret").alias("rb"), F.col("i").alias("at"))
-    c = a.join(b, "at").where("a < b").groupBy("a", "b", "lag").agg(F.corr("ra", "rb").alias("corr"))
+    i = F.dense_rank().over(Window.partitionBy("symbol").orderBy("trading_date"))
+    r = returns.where("log_ret IS NOT NULL").withColumn("at", i).withColumn("x", F.col("log_ret") - F.avg("log_ret").over(Window.partitionBy("symbol")))
+    c = gram.gram(r.select(F.lit(0).alias("g"), "symbol", "at", "x"), most).select("a", "b", "lag", gram.corr().alias("corr"))
     first = F.struct(F.abs(F.round("corr", 12)), -F.col("lag"))
     best = c.groupBy("a", "b").agg(F.max_by("lag", first).alias("lag"), F.max_by("corr", first).alias("corr"))
     return best.withColumn("leader", F.when(F.col("lag") > 0, F.col("a")).when(F.col("lag") < 0, F.col("b")).otherwise("simultaneous"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import probing
 from ..operators import text as tx
 from ..operators import vectors as ve
 from ..sources import tables
@@ -367,6 +368,28 @@ def lsh_recall(spark, sf):
     return rounded(ve.recall(similar_items(spark, sf), lsh_tables_query(spark, sf), 10))
 
 
+@query()
+def lsh_probe_query(spark, sf):
+    """The ten nearest from codes that grow with the table, probed by distance to the planes; tests measure recall and candidates."""
+    corpus = _vectors(spark, sf)
+    return probing.search(_queries(spark, sf), corpus, probing.fit(corpus))
+
+
+@query()
+def lsh_probe_hybrid(spark, sf):
+    """The ten best hybrid scores among the same index's candidates."""
+    corpus = _vectors(spark, sf).join(tables.news(spark, sf).withColumnRenamed("news_id", "id"), "id")
+    q = corpus.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return rounded(probing.hybrid(q, corpus, probing.fit(corpus.select("id", "v")), 10, tx.keyword_match(F.col("text"), WORDS), tx.time_decay(F.lit(AS_OF).cast("timestamp"), F.col("publish_date"))))
+
+
+@query()
+def lsh_probe_recall(spark, sf):
+    """Recall and share of candidates of the probed index over all vectors."""
+    corpus = _vectors(spark, sf)
+    return rounded(probing.measured(_queries(spark, sf), corpus, probing.fit(corpus)))
+
+
 @query(f"WITH {VEC}, d AS (SELECT id, list_dot_product(v, {PLANES[0]!r}::DOUBLE[]) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product({PLANES[0]!r}::DOUBLE[], {PLANES[0]!r}::DOUBLE[])) + 1e-9) - list_dot_product(v, {PLANES[1]!r}::DOUBLE[]) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product({PLANES[1]!r}::DOUBLE[], {PLANES[1]!r}::DOUBLE[])) + 1e-9) AS diff FROM v) SELECT CASE WHEN diff > 0.03 THEN 'POSITIVE' WHEN diff < -0.03 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label, count(*) AS n, round(avg(diff), 6) + 0.0 AS mean_diff FROM d GROUP BY 1")
 def anchor_sentiment(spark, sf):
     return rounded(ve.anchor_sentiment(_vectors(spark, sf), PLANES[0], PLANES[1]).groupBy("label").agg(F.count("*").alias("n"), F.avg("diff").alias("mean_diff")))
