@@ -1,5 +1,6 @@
 """Values that SQL does not check: distribution tests, causality, classes of instruments, landed payloads."""
 
+import collections
 import math
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as sc
-from tidemark.operators import crosssection, distributions, jobs, statements, text, vectors
+from tidemark.operators import crosssection, distributions, jobs, latent, statements, text, vectors
 
 
 @pytest.fixture(scope="module")
@@ -136,11 +137,39 @@ def test_svd_keeps_the_similarities(spark):
     docs = [(i, " ".join(rng.choices(words, k=rng.randint(3, 20)))) for i in range(40)] + [(99, "")]
     d = spark.createDataFrame(docs, "id int, text string")
     m = np.zeros((40, 25))
-    for r in vectors.tfidf(d, "id").collect():
+    for r in latent.tfidf(d, "id").collect():
         m[r.id, words.index(r.term)] = r.weight
     u, s, _ = np.linalg.svd(m, full_matrices=False)
     for k in (5, 25):
-        got = {r.id: np.array(r.v) for r in vectors.svd_embed(d, "id", 100, k).collect()}
+        model = latent.fit(d, 100, k)
+        got = {r.id: np.array(r.v) for r in latent.transform(d, "id", model).collect()}
         x = u[:, :k] * s[:k]
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         assert set(got) == set(range(40)) and np.allclose([[got[i] @ got[j] for j in range(40)] for i in range(40)], x @ x.T, atol=1e-6)
+
+
+def test_model_transforms_new_texts(spark, tmp_path):
+    """A stored model, applied to texts it has not seen: their weights times the right vectors; other partitions give the same."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(60)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    old = spark.createDataFrame([(i, text(rng.randint(5, 30))) for i in range(80)], "id long, text string")
+    new = [(100, "Caf\u00e9 cafe\u0301 " + text(8)), (101, "unknown zzzz"), (102, None), (103, words[0] + " " + words[0])]
+    latent.save(latent.fit(old, 50, 8), str(tmp_path / "model"))
+    model = latent.load(spark, str(tmp_path / "model"))
+    assert model.count() == 50 and model.where("size(v) = 8").count() == 50
+    table = {r.term: (r.idf, np.array(r.v)) for r in model.collect()}
+    v = np.stack([x for _, x in table.values()])
+    np.testing.assert_allclose(v.T @ v, np.eye(8), atol=1e-8)
+    frame = spark.createDataFrame(new, "id long, text string")
+    for parts in (1, 4):
+        got = {r.id: np.array(r.v) for r in latent.transform(frame.repartition(parts), "id", model).collect()}
+        want = {}
+        for i, x in new:
+            n = collections.Counter(w for w in (x or "").replace("\u00e9", "e").replace("e\u0301", "e").lower().split() if w in table)
+            y = sum(((1 + np.log(c)) * table[w][0] * table[w][1] for w, c in n.items()), np.zeros(8))
+            if n:
+                want[i] = y / np.linalg.norm(y)
+        assert set(got) == set(want)
+        for i in want:
+            np.testing.assert_allclose(got[i], want[i], atol=1e-6)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,9 +13,24 @@ ACCENTED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềế
 PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd"
 
 
+def _bare() -> dict[str, str]:
+    """Letters of the Latin blocks that are a plain letter and accents, and that letter."""
+    letters = (chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))
+    parts = {c: unicodedata.normalize("NFKD", c) for c in letters}
+    return {c: d[0] for c, d in parts.items() if len(d) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:]))}
+
+
+BARE = _bare()
+
+
+def strip_accents(x: Column) -> Column:
+    """Without accents, whether they are part of a letter or marks after it."""
+    return F.regexp_replace(F.translate(x, "".join(BARE), "".join(BARE.values())), r"\p{Mn}+", "")
+
+
 def normalize_label(x: Column) -> Column:
-    """Lower case without accents; & is and; other characters than letters and digits become single spaces."""
-    low = F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), "&", " and ")
+    """Lower case without accents, composed or not; & is and; other characters than letters and digits become single spaces."""
+    low = F.regexp_replace(F.translate(strip_accents(F.lower(x)), ACCENTED, PLAIN), "&", " and ")
     return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
 

@@ -160,34 +160,3 @@ def anchor_sentiment(docs: DataFrame, positive: list[float], negative: list[floa
     arr = lambda v: F.array(*map(F.lit, v))
     d = docs.withColumn("pos", cosine(F.col("v"), arr(positive))).withColumn("neg", cosine(F.col("v"), arr(negative))).withColumn("diff", F.col("pos") - F.col("neg"))
     return d.withColumn("label", F.when(F.col("diff") > threshold, "POSITIVE").when(F.col("diff") < -threshold, "NEGATIVE").otherwise("NEUTRAL"))
-
-
-def tfidf(docs: DataFrame, key: str) -> DataFrame:
-    """Sublinear term weights with smooth inverse document frequency, of length one: key, term, weight."""
-    n = docs.agg(F.count("*").alias("docs"))
-    t = docs.select(key, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("term")).where(F.length("term") > 1)
-    tf = t.groupBy(key, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(df, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    return w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).select(key, "term", "weight")
-
-
-def svd_embed(docs: DataFrame, key: str, terms: int = 8000, k: int = 128) -> DataFrame:
-    """key and v: the documents' weighted terms, of the ``terms`` that most documents have, in the ``k`` strongest directions,
-    of length one. The decomposition is Spark's for tall matrices: rows stay distributed, the driver holds terms x k."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    w = tfidf(docs, key)
-    top = w.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(terms)
-    index = top.select("term", (F.row_number().over(Window.orderBy(F.desc("n"), "term")) - 1).alias("i"))  # at most ``terms`` rows
-    rows = w.join(F.broadcast(index), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("x"))
-    width = index.count()
-    if not width:
-        return docs.limit(0).select(key, F.array().cast("array<double>").alias("v"))
-    rows = rows.rdd.map(lambda r: (r[0], Vectors.sparse(width, [(e["i"], e["weight"]) for e in r["x"]]))).cache()
-    svd = RowMatrix(rows.map(lambda r: r[1]), 0, width).computeSVD(min(k, width), computeU=True)
-    s = svd.s.toArray()
-    pairs = rows.map(lambda r: r[0]).zip(svd.U.rows.map(lambda u: [float(a * b) for a, b in zip(u.toArray(), s)]))
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.sparkSession.createDataFrame(pairs, f"{key} {kind}, v array<double>").select(key, l2_normalize(F.col("v")).alias("v"))

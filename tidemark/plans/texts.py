@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import probing
+from ..operators import latent, probing
 from ..operators import text as tx
 from ..operators import vectors as ve
-from ..sources import tables
+from ..sources import shared, tables
 from .market import rounded
 
 Q: dict = {}
@@ -403,7 +403,7 @@ def embedding_stats(spark, sf):
 @query(f"""WITH {NEWS}, t AS (SELECT news_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM news), f AS (SELECT news_id, term, 1 + ln(count(*)) AS tf FROM t WHERE length(term) > 1 GROUP BY ALL),
 i AS (SELECT term, ln((1 + (SELECT count(*) FROM news)) / (1 + count(*))) + 1 AS idf FROM f GROUP BY term), w AS (SELECT news_id, term, tf * idf AS w FROM f JOIN i USING (term)) SELECT news_id, count(*) AS terms, round(max(w / n), 6) AS top FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY news_id)) AS n FROM w) GROUP BY news_id""")
 def tfidf_terms(spark, sf):
-    return rounded(ve.tfidf(tables.news(spark, sf), "news_id").groupBy("news_id").agg(F.count("*").alias("terms"), F.max("weight").alias("top")))
+    return rounded(latent.tfidf(tables.news(spark, sf), "news_id").groupBy("news_id").agg(F.count("*").alias("terms"), F.max("weight").alias("top")))
 
 
 @query("SELECT doc_id AS news_id, array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i = 1 OR l[i] <> l[i - 1] THEN l[i] END), lambda x: x IS NOT NULL), chr(10)) AS text FROM (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)")
@@ -418,7 +418,22 @@ def embedding_coverage(spark, sf):
     return n.join(e, "news_id", "left_semi").withColumn("embedded", F.lit(True)).unionByName(n.join(e, "news_id", "left_anti").withColumn("embedded", F.lit(False)))
 
 
+@query(f"WITH {NEWS}, t AS (SELECT unnest(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{{L}}\\p{{N}}_]+')) AS term, news_id FROM news), f AS (SELECT term, count(*) AS uses, count(DISTINCT news_id) AS docs FROM t WHERE length(term) > 1 GROUP BY term ORDER BY uses DESC, term LIMIT 2000) SELECT term, round(ln((1 + (SELECT count(*) FROM news)) / (1 + docs)) + 1, 6) AS idf FROM f")
+def tfidf_vocabulary(spark, sf):
+    """The model's terms, those that occur most, and their inverse document frequencies."""
+    return rounded(latent.vocabulary(tables.news(spark, sf), 2000).select("term", "idf"))
+
+
+@query()
+def tfidf_svd_transform(spark, sf):
+    """Vectors of the even news from a model of the odd ones, which is written and read again."""
+    news, at = tables.news(spark, sf), shared.new(spark, "latent")
+    latent.save(latent.fit(news.where("news_id % 2 = 1"), 2000, 32), at)
+    return latent.transform(news.where("news_id % 2 = 0"), "news_id", latent.load(spark, at))
+
+
 @query()
 def tfidf_svd_embed(spark, sf):
     """Vectors of the news; directions are unique up to their signs."""
-    return ve.svd_embed(tables.news(spark, sf), "news_id", 2000, 32)
+    news = tables.news(spark, sf)
+    return latent.transform(news, "news_id", latent.fit(news, 2000, 32))
