@@ -34,6 +34,7 @@ def test_kolmogorov_smirnov(series):
 
 def test_dickey_fuller(series):
     got = {r.symbol: r for r in distributions.adf(series[0]).collect()}
+    assert got["N"].adf_p < 0.001 and got["W"].adf_p > 0.05
     assert got["N"].is_stationary and got["Z"].is_stationary and not got["W"].is_stationary and got["N"].adf_stat < -10
 
 
@@ -173,3 +174,15 @@ def test_model_transforms_new_texts(spark, tmp_path):
         assert set(got) == set(want)
         for i in want:
             np.testing.assert_allclose(got[i], want[i], atol=1e-6)
+
+
+def test_adf_p_values(spark):
+    """The published critical values of long series at three levels, and the ends of the surface."""
+    stats = [(-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10), (-20.0, 0.0), (3.0, 1.0), (None, None), (float("nan"), None)]
+    d = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(stats)], "i int, s double").withColumn("p", distributions.adf_p(F.col("s")))
+    for r in d.collect():
+        want = stats[r.i][1]
+        assert r.p is None if want is None else abs(r.p - want) < 1e-3
+    # falling steadily over the break of the two polynomials
+    p = [r.p for r in spark.range(-60, 30).select((F.col("id") / 10).alias("s")).select("s", distributions.adf_p(F.col("s")).alias("p")).orderBy("s").collect()]
+    assert all(a <= b + 1e-3 for a, b in zip(p, p[1:]))

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,8 +73,22 @@ def ks_normal(returns: DataFrame) -> DataFrame:
     return d.withColumn("ks_p", F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
+#: MacKinnon's response surface for the statistic's p value, one series and a constant. Between the least and the most
+#: the p value is the normal distribution of a polynomial of the statistic, lowest power first; below and above it is 0 and 1.
+ADF_LEAST, ADF_BREAK, ADF_MOST = -18.83, -1.61, 2.74
+ADF_SMALL = (2.1659, 1.4412, 0.038269)
+ADF_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def adf_p(stat: Column) -> Column:
+    """The p value of an augmented Dickey-Fuller statistic with a constant; null for null and NaN."""
+    poly = lambda c: sum((F.lit(x) * F.pow(stat, F.lit(i)) for i, x in enumerate(c)), F.lit(0.0))
+    z = normal_cdf(F.when(stat <= ADF_BREAK, poly(ADF_SMALL)).otherwise(poly(ADF_LARGE)))
+    return F.when(F.isnan(stat), None).when(stat > ADF_MOST, 1.0).when(stat < ADF_LEAST, 0.0).otherwise(z)
+
+
 def adf(returns: DataFrame, critical: float = -2.8615) -> DataFrame:
-    """Augmented Dickey-Fuller statistic with a constant; the lag has the least AIC. A group is one symbol's returns."""
+    """Augmented Dickey-Fuller statistic with a constant and its p value; the lag has the least AIC. A group is one symbol's returns."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         x = p.sort_values("trading_date")["log_ret"].dropna().to_numpy()
@@ -95,4 +109,4 @@ def adf(returns: DataFrame, critical: float = -2.8615) -> DataFrame:
         stat = fit(lag, lag)[1]
         return pd.DataFrame({"symbol": [p["symbol"].iloc[0]], "adf_stat": [stat], "lag": [lag], "is_stationary": [stat < critical]})
 
-    return returns.select("symbol", "trading_date", "log_ret").groupBy("symbol").applyInPandas(run, "symbol string, adf_stat double, lag int, is_stationary boolean")
+    return returns.select("symbol", "trading_date", "log_ret").groupBy("symbol").applyInPandas(run, "symbol string, adf_stat double, lag int, is_stationary boolean").withColumn("adf_p", adf_p(F.col("adf_stat")))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def newest(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row of each key: the last by ``order``."""
@@ -46,10 +48,10 @@ def split_bad(df: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def chunked(df: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """chunk_index from 1 on, ``size`` rows in each; for lists of a few thousand assets."""
+    """chunk_index from 1 on, ``size`` rows in each; rows are numbered by ranges, not in one task."""
     if size <= 0:
         raise ValueError("size is to be positive")
-    return df.withColumn("chunk_index", (F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size) + 1).cast("int"))
+    return numbered(df, order, "__row").withColumn("chunk_index", (F.floor(F.col("__row") / size) + 1).cast("int")).drop("__row")
 
 
 def load_report(loaded: DataFrame, failed: DataFrame, by: str) -> DataFrame:

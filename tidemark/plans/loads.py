@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import asof, jobs, statements, stored, upsert
-from ..sources import shared, tables
+from ..sources import html_tables, payloads, ranges, shared, tables
 from ..streaming import jobs as streams
 from .market import PRICES, rounded
 
@@ -535,3 +537,84 @@ def stream_dedup(spark, sf):
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY event_type")
 def event_type_summary(spark, sf):
     return _t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+
+
+@query("SELECT n_nationkey, c_custkey, c_name, c_mktsegment AS sector, n_name AS nation, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1 AS row_no FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def listing_tables(spark, sf):
+    """The customers of each nation as a page with a table, whose nation spans all rows and whose names take two header rows, and back as rows."""
+    c = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    row = F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment")))
+    p = c.groupBy("n_nationkey", "n_name").agg(row.alias("x"))
+    cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    rows = F.transform("x", lambda x, i: F.concat(F.lit("<tr>"), F.when(i == 0, F.format_string('<td rowspan="%d">%s</td>', F.size("x"), F.col("n_name"))).otherwise(F.lit("")), cell(x["c_custkey"].cast("string")), cell(x["c_name"]), cell(x["c_mktsegment"]), F.lit("</tr>")))
+    head = '<p>x</p><table class="w"><tr><th rowspan=2>Nation</th><th colspan=3>Company</th></tr><tr><th>Key<th>Name<th>GICS<br>Sector</tr>'
+    pages = p.select("n_nationkey", F.concat(F.lit(head), F.array_join(rows, "\n"), F.lit("</table>")).alias("html"))
+    got = html_tables.records(html_tables.html_tables(pages, "n_nationkey"), {"nation": "Nation", "c_custkey": "Company Key", "c_name": "Company Name", "sector": "Company GICS Sector"}, ("row_no",))
+    return got.withColumn("c_custkey", F.col("c_custkey").cast("long")).withColumn("row_no", F.col("row_no").cast("long"))
+
+
+@query("SELECT c_nationkey, c_mktsegment AS \"group\", row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey % 5, c_custkey) AS number, c_name AS name, CAST(c_acctbal AS VARCHAR) AS value FROM customer")
+def merged_pages(spark, sf):
+    """Five landed pages of each nation, of which every other one wraps its content, merged into groups in the order of the pages."""
+    return payloads.merge_payload_pages(_pages(spark, sf), "c_nationkey", "page", "payload").select("c_nationkey", "group", F.col("number").cast("long").alias("number"), F.col("record")["Name"].alias("name"), F.col("record")["Value1"].alias("value"))
+
+
+def _pages(spark, sf):
+    c = _t(spark, sf, "customer").withColumn("page", F.col("c_custkey") % 5)
+    record = F.create_map(F.lit("Name"), F.col("c_name"), F.lit("Value1"), F.col("c_acctbal").cast("string"))
+    g = c.groupBy("c_nationkey", "page", "c_mktsegment").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", record.alias("r"))), lambda a, b: (a["c_custkey"] - b["c_custkey"]).cast("int")), lambda x: x["r"]).alias("records"))
+    content = g.groupBy("c_nationkey", "page").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "records"))).alias("Content"))
+    head = F.array(F.struct(F.lit(2024).alias("YearPeriod"), F.lit("Quarter 3").alias("TermName"))).alias("Head")
+    body = F.struct(head, "Content")
+    return content.select("c_nationkey", "page", F.when(F.col("page") % 2 == 0, F.to_json(F.struct(body.alias("data")))).otherwise(F.to_json(body)).alias("payload"))
+
+
+@query("SELECT c_nationkey, c_name AS item, 2024 AS year, 3 AS quarter, DATE '2024-09-30' AS fiscal_date, c_acctbal AS value FROM customer")
+def merged_statement(spark, sf):
+    """The merged pages as one payload of each nation, read as a statement."""
+    return statements.periodic_statement(payloads.merged_payload(_pages(spark, sf), "c_nationkey", "page", "payload"), "c_nationkey", "payload")
+
+
+META = """m AS (SELECT p_partkey AS position, 'f' || p_partkey % 60 AS field_name, CASE WHEN p_partkey % 5 = 0 THEN ' Ratio' ELSE 'income' END AS type, CASE p_partkey % 3 WHEN 0 THEN 'CT' WHEN 1 THEN 'NH' ELSE 'CK' END AS code, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END AS en_name, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_type END AS name, p_size AS ord FROM part),
+c AS (SELECT c_custkey, c_name AS symbol, CASE WHEN c_mktsegment = 'BUILDING' THEN 'NH' WHEN c_mktsegment = 'MACHINERY' THEN 'CK' ELSE 'CT' END AS kind, c_acctbal FROM customer)"""
+
+
+@query(f"""WITH {META}, k AS (SELECT DISTINCT kind FROM c), a AS (SELECT kind, m.* FROM m JOIN k ON code = 'CT' OR code = kind WHERE lower(trim(type)) = 'ratio' QUALIFY row_number() OVER (PARTITION BY kind, field_name ORDER BY position) = 1),
+f AS (SELECT kind, field_name, coalesce(nullif(en_name, ''), nullif(name, ''), field_name) AS label, row_number() OVER (PARTITION BY kind ORDER BY ord, field_name) AS place FROM a),
+s AS (SELECT symbol, kind, 'f' || i AS field_name, CASE WHEN i % 7 <> 0 THEN c_acctbal + i END AS value FROM c, (SELECT unnest(range(0, 60, 5)) AS i) WHERE (c_custkey + i) % 4 <> 0)
+SELECT symbol, 2024 AS year, 4 AS quarter, CAST(place AS INT) AS place, field_name, label, value FROM s JOIN f USING (kind, field_name)""")
+def statement_by_metadata(spark, sf):
+    k = F.col("p_partkey")
+    code = F.when(k % 3 == 0, "CT").when(k % 3 == 1, "NH").otherwise("CK")
+    meta = _t(spark, sf, "part").select(k.alias("position"), F.concat(F.lit("f"), (k % 60).cast("string")).alias("field_name"), F.when(k % 5 == 0, " Ratio").otherwise("income").alias("type"), code.alias("com_type_code"), F.when(k % 4 == 0, "").otherwise(F.col("p_name")).alias("en_name"), F.when(k % 8 != 0, F.col("p_type")).alias("name"), F.col("p_size").alias("order"))
+    c, seg = _t(spark, sf, "customer"), F.col("c_mktsegment")
+    companies = c.select(F.col("c_name").alias("symbol"), F.when(seg == "BUILDING", "NH").when(seg == "MACHINERY", "CK").otherwise("CT").alias("company_type"))
+    i = F.filter(F.sequence(F.lit(0), F.lit(55), F.lit(5)), lambda i: (F.col("c_custkey") + i) % 4 != 0)
+    fields = F.map_from_entries(F.transform(i, lambda i: F.struct(F.concat(F.lit("f"), i.cast("string")), F.when(i % 7 != 0, F.col("c_acctbal") + i))))
+    rows = c.select(F.col("c_name").alias("symbol"), F.lit(2024).alias("year"), F.lit(4).alias("quarter"), fields.alias("fields"))
+    return payloads.statement_by_metadata(rows, companies, meta, ["RATIO"])
+
+
+@query(f"""WITH {PRICES}, q AS (SELECT *, 'first' AS source_provider FROM prices WHERE symbol NOT IN ('S1', 'S2') UNION ALL SELECT symbol, trading_date, open * 2, high * 2, low * 2, close * 2, volume, 'second' FROM prices WHERE symbol IN ('S0', 'S1', 'S3')),
+p AS (SELECT * FROM q WHERE symbol IN ('S0', 'S1', 'S2', 'S4') AND trading_date BETWEEN DATE '1995-03-10' AND DATE '1996-02-20' QUALIFY source_provider = min(source_provider) OVER (PARTITION BY symbol))
+SELECT symbol, trading_date, round(close, 6) AS close, volume, source_provider, round(ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY trading_date)), 6) + 0.0 AS log_ret FROM p""")
+def read_prices_range(spark, sf):
+    """Four symbols and a range of days from two stored sources, of which the first that has a symbol counts."""
+    p, made = tables.prices(spark, sf), []
+    doubled = p.where("symbol IN ('S0', 'S1', 'S3')").select("symbol", "trading_date", *((F.col(c) * 2).alias(c) for c in ("open", "high", "low", "close")), "volume")
+    for name, rows in (("first", p.where("symbol NOT IN ('S1', 'S2')")), ("second", doubled)):
+        made.append((name, ranges.price_table(shared.new(spark, name))))
+        stored.create(made[-1][1], rows)
+    got = ranges.read_prices(spark, made, ["S0", "S1", "S2", "S4"], dt.date(1995, 3, 10), dt.date(1996, 2, 20))
+    return rounded(got.select("symbol", "trading_date", "close", "volume", "source_provider", "log_ret"))
+
+
+@query("""WITH n AS (SELECT doc_id AS news_id, doc_id % 7 AS asset_id, CASE WHEN doc_id % 50 <> 0 THEN CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS TIMESTAMP) END AS publish_date, trim('news ' || doc_id || ' ' || coalesce(text, ''), ' ') AS text FROM documents),
+o AS (SELECT *, row_number() OVER (ORDER BY publish_date DESC NULLS LAST, news_id DESC) AS k FROM n WHERE asset_id IN (1, 2, 3)) SELECT news_id, asset_id, publish_date, md5(text) AS text FROM o WHERE k BETWEEN 21 AND 40""")
+def read_news_page(spark, sf):
+    """The second page of twenty of three assets' news, after the last row of the first."""
+    d = _t(spark, sf, "documents")
+    date = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("timestamp")
+    news = d.select(F.col("doc_id").alias("news_id"), (F.col("doc_id") % 7).alias("asset_id"), F.when(F.col("doc_id") % 50 != 0, date).alias("publish_date"), F.concat(F.lit("news "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"))
+    page = ranges.read_news(news, [1, 2, 3], limit=20).select("publish_date", "news_id").collect()
+    return ranges.read_news(news, [1, 2, 3], tuple(page[-1]) if page else None, 20).select("news_id", "asset_id", "publish_date", F.md5("text").alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
@@ -20,13 +20,12 @@ def snake_columns(df: DataFrame) -> DataFrame:
 
 def news_json(spark: SparkSession, path: str) -> DataFrame:
     """Articles of JSON files with an ``articles`` list: news_id by publication and title, text, text_length."""
-    from pyspark.sql import Window
+    from ..operators.numbering import numbered
 
     schema = "articles array<struct<title:string,description:string,publishedAt:string,url:string>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("articles"))
     rows = rows.withColumn("text", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
-    order = Window.orderBy("publishedAt", "title", "url")
-    return rows.select((F.row_number().over(order) - 1).cast("long").alias("news_id"), "text", F.length("text").alias("text_length"), F.try_to_timestamp("publishedAt").alias("publish_date"), "url")
+    return numbered(rows, ["publishedAt", "title", "url"], "news_id").select("news_id", "text", F.length("text").alias("text_length"), F.try_to_timestamp("publishedAt").alias("publish_date"), "url")
 
 
 def json_rows(df: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -93,3 +92,56 @@ def intraday(rows: DataFrame, zone: str = "Asia/Ho_Chi_Minh") -> DataFrame:
     """Bars from epoch seconds in the market's time; prices of stocks are quoted in thousands, those of indices and futures are not."""
     scale = F.when(F.col("asset_type").isin("index", "derivative"), 1.0).otherwise(1000.0)
     return rows.select("symbol", F.from_utc_timestamp(F.timestamp_seconds("t"), zone).alias("time"), *((F.col(c) / scale).alias(c) for c in ("open", "high", "low", "close")), F.col("volume").try_cast("long").alias("volume"))
+
+
+_PAGE = "Head array<struct<YearPeriod:int,TermName:string>>, Content map<string,array<map<string,string>>>"
+
+
+def merge_payload_pages(pages: DataFrame, key: str, page: str, column: str) -> DataFrame:
+    """The records of each key's content groups over all its pages, a row each: key, group, number (from 1 on, by page and place), record.
+
+    A payload is the object itself or stands in its ``data``; a page that is not JSON, or has no content, adds nothing; of a group
+    that a page has as null, neither. Pages with one number come in the order of their text.
+    """
+    p = pages.withColumn("__p", F.from_json(column, f"data struct<{_PAGE.replace('Head array', 'Head:array').replace(', Content map', ',Content:map')}>, {_PAGE}"))
+    content = F.coalesce("__p.data.Content", "__p.Content")
+    rows = p.select(key, page, column, F.explode(content).alias("group", "records")).select(key, page, column, "group", F.posexplode("records").alias("place", "record"))
+    w = Window.partitionBy(key, "group").orderBy(page, column, "place")  # the records of one statement's group
+    return rows.withColumn("number", F.row_number().over(w)).select(key, "group", "number", "record")
+
+
+def merged_payload(pages: DataFrame, key: str, page: str, column: str) -> DataFrame:
+    """key and payload: one JSON object with the periods of the first page that has them and the groups of all pages, as ``periodic_statement`` reads it."""
+    r = merge_payload_pages(pages, key, page, column)
+    groups = r.groupBy(key, "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "record")), lambda a, b: a["number"] - b["number"]), lambda x: x["record"]).alias("records"))
+    content = groups.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("group", "records"))).alias("Content"))
+    p = pages.withColumn("__p", F.from_json(column, f"data struct<Head:array<struct<YearPeriod:int,TermName:string>>>, Head array<struct<YearPeriod:int,TermName:string>>"))
+    head = p.withColumn("Head", F.coalesce("__p.data.Head", "__p.Head")).where("Head IS NOT NULL").groupBy(key).agg(F.min_by("Head", F.struct(page, column)).alias("Head"))
+    return content.join(head, key, "left").select(key, F.to_json(F.struct("Head", "Content")).alias("payload"))
+
+
+def statement_by_metadata(statements: DataFrame, companies: DataFrame, metadata: DataFrame, reports: list[str] | None = None) -> DataFrame:
+    """The fields of each company's statements under their labels, in the order of its kind of company.
+
+    ``statements`` has symbol, year, quarter and fields (a map of field name to value); ``companies`` symbol and company_type;
+    ``metadata`` position, field_name, type (of report), com_type_code, en_name, name and order. A company of type CT has the
+    metadata of CT, any other also those of its own; of one field the first by position counts, of the report types asked for. The
+    label is the English name, else the local one, else the field. Returns symbol, year, quarter, place (from 1 on), field_name, label and
+    value, a row for each field that the statement has, null values included.
+    """
+    m = metadata.where("field_name <> ''")
+    if reports:
+        m = m.where(F.lower(F.trim("type")).isin([r.strip().lower() for r in reports]))
+    kinds = companies.select(F.coalesce("company_type", F.lit("CT")).alias("company_type")).distinct()
+    own = m.where("com_type_code <> 'CT'").withColumn("company_type", F.col("com_type_code"))
+    every = kinds.agg(F.collect_set("company_type").alias("kinds"))  # one row: there are a few kinds of companies
+    common = m.where("com_type_code = 'CT'").join(F.broadcast(every)).withColumn("company_type", F.explode("kinds")).drop("kinds")
+    first = Window.partitionBy("company_type", "field_name").orderBy("position")
+    rows = own.unionByName(common).withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    label = F.coalesce(F.nullif("en_name", F.lit("")), F.nullif("name", F.lit("")), F.col("field_name"))
+    place = F.row_number().over(Window.partitionBy("company_type").orderBy("order", "field_name"))  # the fields of a kind of company
+    fields = rows.select("company_type", "field_name", label.alias("label"), place.alias("place"))
+    c = companies.select("symbol", F.coalesce("company_type", F.lit("CT")).alias("company_type"))
+    s = statements.join(c, "symbol", "left").withColumn("company_type", F.coalesce("company_type", F.lit("CT")))
+    long = s.select("symbol", "year", "quarter", "company_type", F.explode("fields").alias("field_name", "value"))
+    return long.join(fields, ["company_type", "field_name"]).select("symbol", "year", "quarter", "place", "field_name", "label", "value")
