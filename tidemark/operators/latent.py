@@ -19,7 +19,7 @@ from ..functions.scalars import strip_accents
 from ..sources.shared import cut
 
 #: Directions beyond those asked for, most rounds, and the residual, relative to the largest strength, at which rounds end.
-MORE, ROUNDS, SETTLED = 10, 12, 1e-4
+MORE, ROUNDS, SETTLED = 10, 6, 1e-4
 
 
 def _terms(text: Column) -> Column:
@@ -36,22 +36,59 @@ def tfidf(docs: DataFrame, key: str) -> DataFrame:
     return w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).select(key, "term", "weight")
 
 
+def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and t, the words of each text without accents."""
+    return docs.select(*keep, F.coalesce(F.split(F.lower(strip_accents(F.col("text"))), r"[^\p{L}\p{N}_]+"), F.array()).alias("t"))
+
+
+def _counts(tokens: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of a batch's texts, and of each word of a text: the text, the word's place among them, how often."""
+    words = tokens.flatten().dictionary_encode()
+    text = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+    many = max(1, len(words.dictionary))
+    pairs, n = np.unique(text * many + words.indices.to_numpy(), return_counts=True)
+    return words.dictionary, pairs // many, pairs % many, n
+
+
 def vocabulary(docs: DataFrame, terms: int = 8000) -> DataFrame:
-    """term, i and idf of the ``terms`` words that occur most, without accents."""
+    """term, i and idf of the ``terms`` words that occur most, without accents. Each batch of texts hands on its sums by word."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, _, word, n = _counts(b.column("t"))
+            uses, df = np.zeros(len(words), np.int64), np.bincount(word, minlength=len(words))
+            np.add.at(uses, word, n)
+            yield pa.RecordBatch.from_arrays([words, pa.array(uses), pa.array(df.astype(np.int64))], ["term", "uses", "df"])
+
     n = docs.agg(F.count("*").alias("docs"))
-    t = docs.select(F.monotonically_increasing_id().alias("doc"), strip_accents(F.col("text")).alias("text")).select("doc", _terms(F.col("text")).alias("term")).where(F.length("term") > 1)
-    each = t.groupBy("term", "doc").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("uses"), F.count("*").alias("df"))
+    each = _tokens(docs).mapInArrow(count, "term string, uses long, df long").where(F.length("term") > 1).groupBy("term").agg(F.sum("uses").alias("uses"), F.sum("df").alias("df"))
     top = each.orderBy(F.desc("uses"), "term").limit(terms).join(F.broadcast(n))
     i = (F.row_number().over(Window.orderBy(F.desc("uses"), "term")) - 1).alias("i")  # at most ``terms`` rows
     return top.select("term", i, (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def weights(docs: DataFrame, key: str, model: DataFrame) -> DataFrame:
-    """key and x: the indices and weights of a text's terms that the model (term, i, idf) has, of length one. Texts without any have no row."""
-    t = docs.select(key, _terms(strip_accents(F.col("text"))).alias("term")).groupBy(key, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
-    w = t.join(F.broadcast(model.select("term", "i", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))  # as many rows as terms, see ``vocabulary``
-    x = w.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return x.select(key, F.transform("x", lambda e: e["i"].cast("int")).alias("i"), F.transform("x", lambda e: e["w"] / F.col("norm")).alias("w"))
+    """key, i and w: the indices and weights of a text's terms that the model (term, i, idf) has, of length one, computed where the text
+    is read. Texts without any have no row. The model's terms, see ``vocabulary``, go to all tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast({r["term"]: (r["i"], r["idf"]) for r in model.select("term", "i", "idf").collect()})
+    kind = docs.select(key).schema[0].dataType.simpleString()
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, text, word, n = _counts(b.column("t"))
+            known = [shared.value.get(x, (-1, 0.0)) for x in words.to_pylist()]
+            place, idf = np.array([x[0] for x in known], np.int32), np.array([x[1] for x in known])
+            mine = place[word] >= 0
+            text, word, n = text[mine], word[mine], n[mine]
+            order = np.lexsort((place[word], text))
+            text, word, n = text[order], word[order], n[order]
+            w = (1 + np.log(n)) * idf[word]
+            w /= np.sqrt(np.bincount(text, w * w, minlength=b.num_rows))[text]
+            has, sizes = np.unique(text, return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(has)), pa.ListArray.from_arrays(ends, pa.array(place[word])), pa.ListArray.from_arrays(ends, pa.array(w))], [key, "i", "w"])
+
+    return _tokens(docs, key).mapInArrow(weigh, f"{key} {kind}, i array<int>, w array<double>")
 
 
 def _rows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import cosine, nearest
+from ..sources.shared import cut
+from .vectors import nearest
 
 #: Most crossings looked at in a table: of up to NEAR planes that are nearest.
 MOST, NEAR = 1024, 12
@@ -118,19 +119,65 @@ def candidates(queries: DataFrame, corpus: DataFrame, index: Probing) -> DataFra
     return codes(corpus, index).join(visits(queries, index), ["tab", "code"]).where("id <> query_id").select("query_id", "id").distinct()
 
 
-def search(queries: DataFrame, corpus: DataFrame, index: Probing, k: int = 10) -> DataFrame:
-    """The k most similar candidates of each query: query_id, id, score, rank."""
-    c = candidates(queries, corpus, index).join(corpus.select("id", "v"), "id").join(queries.select("query_id", "q"), "query_id")
-    c = c.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+def _classes(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """A row for each distinct ``by`` (v and more): cls (its smallest id) and ids (its k + 1 smallest), so that copies of a vector cost one."""
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    few = rows.select("id", *by, first.alias("n")).where(F.col("n") <= k + 1)
+    return few.groupBy(*by).agg(F.min("id").alias("cls"), F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def search(queries: DataFrame, corpus: DataFrame, index: Probing, k: int = 10, weight: float | None = None) -> DataFrame:
+    """The k best candidates of each query: query_id, id, score, rank; the score is the cosine, or, with ``weight``, that of the cosine (0 at least) and the
+    corpus's column ``bias`` added.
+
+    Rows and visits meet by table and group of codes, a group of about 16384 rows; there each query keeps its own best, so
+    that pairs are not shuffled. Equal vectors are searched once, for all their ids and queries. Very many vectors that differ but
+    share a code would make a large group.
+    """
+    by = ["v"] if weight is None else ["v", "bias"]
+    classes = cut(_classes(corpus.select("id", *([F.col("v").cast("array<double>").alias("v")]), *by[1:]), k, by))
+    groups = max(1, classes.count() >> 14)
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
+    ask = asked.groupBy("q").agg(F.min("query_id").alias("query_id"))
+    g = F.pmod(F.xxhash64("code"), F.lit(groups)).alias("g")
+    rows = codes(classes.select(F.col("cls").alias("id"), "v"), index).select("id", "tab", "code", g).join(classes.select(F.col("cls").alias("id"), F.transform("v", lambda x: x.cast("float")).alias("v"), *by[1:]), "id")
+    seen = visits(ask, index).groupBy("query_id", "tab", g).agg(F.collect_list("code").alias("codes"))  # at most ``probes`` codes
+    seen = seen.join(ask.select("query_id", F.transform("q", lambda x: x.cast("float")).alias("q")), "query_id")
+    width, many = index.width, k + 1
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            code = left.column("code").to_numpy()
+            order = np.argsort(code, kind="stable")
+            code, ids = code[order], left.column("id").to_numpy()[order]
+            v = _matrix(left.column("v").combine_chunks(), width)[order]
+            bias = left.column("bias").to_numpy()[order] if weight is not None else None
+            q = _matrix(right.column("q").combine_chunks(), width)
+            for i, (query, wanted) in enumerate(zip(right.column("query_id").to_pylist(), right.column("codes").to_pylist())):
+                at = np.concatenate([np.arange(a, b) for a, b in zip(np.searchsorted(code, wanted, "left"), np.searchsorted(code, wanted, "right"))])
+                score = v[at] @ q[i]
+                if weight is not None:
+                    score = weight * np.maximum(score, 0) + bias[at]
+                top = np.lexsort((ids[at], -np.round(score, 6)))[:many]
+                out[0].append(np.full(len(top), query))
+                out[1].append(ids[at][top])
+                out[2].append(score[top])
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        return pa.table({"ask": join(out[0], np.int64), "cls": join(out[1], np.int64), "score": join(out[2], np.float64)})
+
+    pairs = rows.groupBy("tab", "g").cogroup(seen.groupBy("tab", "g")).applyInArrow(best, "ask long, cls long, score double")
+    pairs = pairs.groupBy("ask", "cls").agg(F.round(F.max("score"), 6).alias("score"))
+    near = pairs.withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "cls"))).where(F.col("n") <= many)
+    near = near.join(classes.select("cls", "ids"), "cls").select("ask", "score", F.explode("ids").alias("id"))
+    each = asked.join(ask.select(F.col("query_id").alias("ask"), "q"), "q").select("query_id", "ask").join(near, "ask").where("id <> query_id")
+    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    return each.select("query_id", "id", "score", "rank")
 
 
 def hybrid(queries: DataFrame, corpus: DataFrame, index: Probing, k: int, keyword: Column, decay: Column) -> DataFrame:
     """The k candidates with the best score of keyword, similarity and age; ``corpus`` has the texts' columns beside id and v."""
-    c = candidates(queries, corpus, index).join(corpus, "id").join(queries.select("query_id", "q"), "query_id")
-    c = c.select("query_id", "id", keyword.alias("keyword"), F.greatest(cosine(F.col("q"), F.col("v")), F.lit(0.0)).alias("semantic"), decay.alias("time_decay"))
-    c = c.withColumn("score", F.round(0.3 * F.col("keyword") + 0.5 * F.col("semantic") + 0.2 * F.col("time_decay"), 6))
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    return search(queries, corpus.select("id", "v", (0.3 * keyword + 0.2 * decay).alias("bias")), index, k, 0.5)
 
 
 def measured(queries: DataFrame, corpus: DataFrame, index: Probing, k: int = 10) -> DataFrame:
