@@ -641,6 +641,15 @@ def test_surrogates_by_brute_force(spark):
     assert len(set(of.values())) == len(of)
 
 
+def test_surrogates_of_very_long_forms(spark):
+    """Every repeated form at 100 KB: no text ends the executor, and an entity after it is found."""
+    forms = ["x a@" + "b." * 50000 + "com y", "Mr. " + "Abc-" * 25000 + "Abc", "a" * 100000 + "@", "Mr. " * 25000, "1" * 100000, "1-" * 50000, "1 234 " * 16000, " " * 100000, "." * 100000, "-" * 100000, "token=" + "x" * 100000, "DE" + "12 " * 33000, "+1 (" * 25000, "A. " * 33000, "de la " * 16000]
+    docs = spark.createDataFrame([(i, f"{x} tail someone@example.com end") for i, x in enumerate(forms)], "doc_id long, text string")
+    out = {r[0]: r[1] for r in surrogates.replace(docs, "key").select("doc_id", "text").collect()}
+    assert set(out) == set(range(len(forms)))
+    assert not [i for i, x in out.items() if "someone@example.com" in x]
+
+
 def test_surrogates_stay_distinct(spark):
     """A format with few members: collisions are derived anew until all differ."""
     d = spark.createDataFrame([(i, f"password={i}") for i in range(10)], "doc_id long, text string")

@@ -35,12 +35,13 @@ _TITLE = _FORMS + r"\.?"
 PARTICLES = ["van der", "van den", "van de", "van", "von der", "von", "de la", "del", "della", "de", "der", "den", "di", "da", "dos", "le", "la", "bin", "al", "el"]
 
 _PARTICLE = f"(?:{'|'.join(PARTICLES)}) "
-_WORD = rf"(?!{_FORMS}(?!\p{{L}})|[A-Za-z0-9._%+\-]*@)" + r"\p{Lu}(?:['\u2019]\p{Lu})?\p{L}+(?:-\p{Lu}\p{L}+)*"
+_WORD = rf"(?!{_FORMS}(?!\p{{L}})|[A-Za-z0-9._%+\-]*@)" + r"\p{Lu}(?:['\u2019]\p{Lu})?\p{L}+(?:-\p{Lu}\p{L}+){0,7}"
 _NAME = rf"(?:\p{{Lu}}\. ){{0,3}}(?:{_PARTICLE})?{_WORD}(?:(?: \p{{Lu}}\.)? (?:{_PARTICLE})?{_WORD})?"
 
-#: The kinds of entity, in the order in which they are tried, with their patterns.
+#: The kinds of entity, in the order in which they are tried, with their patterns. Groups repeat a bounded number of times (a domain
+#: has at most 127 labels, a name eight parts): Java's matcher goes one call deeper for each.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.){1,127}[A-Za-z]{2,}",
     "aws_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"(?<=(?:password|passwd|secret|token|api_key)=)[^\s\"']+|(?<=(?:password|passwd|secret|token|api_key) ?[=:] ?[\"'])[^\s\"']+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
