@@ -22,6 +22,8 @@ from .vectors import nearest
 
 #: Most crossings looked at in a table: of up to NEAR planes that are nearest.
 MOST, NEAR = 1024, 12
+#: Groups of buckets, at least: so that what a query hands on does not grow with their number in small tables.
+LEAST_GROUPS = 64
 
 
 @dataclass(frozen=True)
@@ -130,18 +132,20 @@ def search(queries: DataFrame, corpus: DataFrame, index: Probing, k: int = 10, w
     """The k best candidates of each query: query_id, id, score, rank; the score is the cosine, or, with ``weight``, that of the cosine (0 at least) and the
     corpus's column ``bias`` added.
 
-    Rows and visits meet by table and group of codes, a group of about 16384 rows; there each query keeps its own best, so
-    that pairs are not shuffled. Equal vectors are searched once, for all their ids and queries. Very many vectors that differ but
+    Rows and visits meet by groups of buckets, of about 16384 rows each; there each query keeps its own best, so that pairs
+    are not shuffled. Equal vectors are searched once, for all their ids and queries. Very many vectors that differ but
     share a code would make a large group.
     """
     by = ["v"] if weight is None else ["v", "bias"]
     classes = cut(_classes(corpus.select("id", *([F.col("v").cast("array<double>").alias("v")]), *by[1:]), k, by))
-    groups = max(1, classes.count() >> 14)
+    groups = max(LEAST_GROUPS, (classes.count() * index.tables) >> 14)
     asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
     ask = asked.groupBy("q").agg(F.min("query_id").alias("query_id"))
-    g = F.pmod(F.xxhash64("code"), F.lit(groups)).alias("g")
+    g = F.pmod(F.xxhash64("tab", "code"), F.lit(groups)).alias("g")
     rows = codes(classes.select(F.col("cls").alias("id"), "v"), index).select("id", "tab", "code", g).join(classes.select(F.col("cls").alias("id"), F.transform("v", lambda x: x.cast("float")).alias("v"), *by[1:]), "id")
-    seen = visits(ask, index).groupBy("query_id", "tab", g).agg(F.collect_list("code").alias("codes"))  # at most ``probes`` codes
+    place = F.col("code") * index.tables + F.col("tab")  # bucket and table in one number
+    rows = rows.withColumn("code", place)
+    seen = visits(ask, index).groupBy("query_id", g).agg(F.collect_list(place).alias("codes"))  # at most tables x probes
     seen = seen.join(ask.select("query_id", F.transform("q", lambda x: x.cast("float")).alias("q")), "query_id")
     width, many = index.width, k + 1
 
@@ -156,6 +160,7 @@ def search(queries: DataFrame, corpus: DataFrame, index: Probing, k: int = 10, w
             q = _matrix(right.column("q").combine_chunks(), width)
             for i, (query, wanted) in enumerate(zip(right.column("query_id").to_pylist(), right.column("codes").to_pylist())):
                 at = np.concatenate([np.arange(a, b) for a, b in zip(np.searchsorted(code, wanted, "left"), np.searchsorted(code, wanted, "right"))])
+                at = at[np.unique(ids[at], return_index=True)[1]]  # a row may be in visited buckets of several tables
                 score = v[at] @ q[i]
                 if weight is not None:
                     score = weight * np.maximum(score, 0) + bias[at]
@@ -166,7 +171,7 @@ def search(queries: DataFrame, corpus: DataFrame, index: Probing, k: int = 10, w
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         return pa.table({"ask": join(out[0], np.int64), "cls": join(out[1], np.int64), "score": join(out[2], np.float64)})
 
-    pairs = rows.groupBy("tab", "g").cogroup(seen.groupBy("tab", "g")).applyInArrow(best, "ask long, cls long, score double")
+    pairs = rows.groupBy("g").cogroup(seen.groupBy("g")).applyInArrow(best, "ask long, cls long, score double")
     pairs = pairs.groupBy("ask", "cls").agg(F.round(F.max("score"), 6).alias("score"))
     near = pairs.withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "cls"))).where(F.col("n") <= many)
     near = near.join(classes.select("cls", "ids"), "cls").select("ask", "score", F.explode("ids").alias("id"))
