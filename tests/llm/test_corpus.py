@@ -391,7 +391,12 @@ def test_lm_score_bit_by_bit(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(lm_score, "CODED", 20)
     model = []
     out = lm_score.score(docs, block_chars=5000, chunk_chars=4000, model_to=model)
-    words, n0, n1, speller = model
+    words, n0, n1, speller, (mass, kinds, discount) = model
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    seen = Counter(t for r in rows if not held(r[0]) for t in [*(w.encode().lower() for w in words_of(r[1])), b"\n"])
+    rest = {w: n for w, n in seen.items() if w not in words.code.words}
+    once, twice = (sum(n == k for n in seen.values()) for k in (1, 2))
+    assert (mass, kinds) == (sum(rest.values()), len(rest)) and discount == once / (once + 2 * twice)
 
     def probability(mixer, gate, odds, known):
         x = min(max(sum(w * o for w, o in zip(mixer.weights[gate], odds)), -lm_score.LIMIT), lm_score.LIMIT)
@@ -423,7 +428,8 @@ def test_lm_score_bit_by_bit(spark, docs, rows, monkeypatch):
                 gate = (level[0] * 5 + level[1]) * 4 + depth[j]
                 p = probability(words.mixer, gate, [math.log((b + wordmix.PRIOR) / (a + wordmix.PRIOR)) for a, b in zip(z, o)], gate)
                 total -= math.log2(p if bit[j] else 1 - p)
-            total += spelled(w) if symbol[i] == code.escape else 0
+            if symbol[i] == code.escape:
+                total -= math.log2(max(seen[w] - discount, 0) / mass + discount * kinds / mass * 2.0 ** -spelled(w))
         return total
 
     want = Counter()
@@ -435,6 +441,39 @@ def test_lm_score_bit_by_bit(spark, docs, rows, monkeypatch):
     assert sum(want.values()) == sum(got.values()) > 30 and all(min(abs(s - x) for i, x in got if i == k) < 0.02 for k, s in want)
 
 
+def test_lm_score_of_any_partitioning(spark):
+    """Neither the number of partitions nor the order of rows changes a score."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 40) + (f" rare{i % 40}" if i % 3 else "")) for i in range(400)] + [(7, "once more"), (7, "once more"), (None, None), (9, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    of = lambda x: sorted((r.doc_id or -1, round(r.score, 6), r.n_tokens) for r in lm_score.score(x, block_chars=9000, chunk_chars=4000).collect())
+    assert of(d.repartition(1)) == of(d.repartition(4)) == of(d.orderBy(F.desc("doc_id")).coalesce(3))
+
+
+def test_counts_start_anew_without_losing_any(monkeypatch):
+    code = wordmix.Code([b"a", b"b"], [5, 3], 2)
+    symbol, starts = np.random.default_rng(0).integers(0, 3, 5000), np.array([0, 2000])
+    monkeypatch.setattr(wordmix, "TOKENS", 512)
+    totals = []
+    for fresh in (1000, 1 << 23):
+        monkeypatch.setattr(lm_score, "FRESH", fresh)
+        model = lm_score.WordModel(code)
+        model.read(symbol, symbol, starts)
+        model.fold()
+        totals.append(model.total)
+    assert (totals[0] == totals[1]).all() and totals[0][0].sum() == code.size[symbol].sum()
+
+
+def test_shares_of_words_without_codes():
+    """Shares by counts and the part left for spelling sum to one."""
+    count = np.array([3, 1, 1, 0])
+    bits = lm_score._blend(np.array([9.0, 8.0, 2000.0, 5.0]), count, 5, 3, 0.5)
+    left = 0.5 * 3 / 5
+    assert 2.0**-bits[:2] == pytest.approx([2.5 / 5 + left * 2**-9, 0.5 / 5 + left * 2**-8])
+    assert bits[2] == pytest.approx(-math.log2(0.1)) and bits[3] == pytest.approx(5 - math.log2(left))
+    assert (lm_score._blend(np.array([9.0]), np.array([0]), 0, 0, 0.5) == 9).all()
+
+
 def test_order_of_words_counts(spark):
     """A shuffled text costs more than one in the order that the model has learnt."""
     rng = random.Random(3)

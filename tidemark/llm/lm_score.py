@@ -4,12 +4,16 @@ A text is a sequence of lower-cased words and an end. The most frequent words ha
 predicted from the words before (``wordmix``); a word without a code costs the escape's and is spelled: the bits of its
 bytes and of a space after it are predicted from its last one to four bytes and from all since its start. In both
 parts each bit's predictions come from counts in hashed contexts; their log odds are mixed with weights that a gate
-picks, and a last table, also learnt online, corrects the mixed probability.
+picks, and a last table, also learnt online, corrects the mixed probability. A word without a code that was seen in
+training also has a share of the escape by its exact count, less a discount that is left for new words (Ney, Essen and
+Kneser, 1994); its probability is the sum of that share and of its spelling's part of what is left.
 
 Documents are dealt into blocks and words into chunks. A block sends each chunk its distinct words with their
-training counts, which the chunk adds up. The word model reads the training texts in turn: each bit is predicted from
-what the task has counted so far, the weights learn from it, and then it is counted. The tasks' counts are added and
-their weights averaged. A spelled word costs the same wherever it stands, so Spark prices each distinct one once.
+training counts, which the chunk adds up. The word model reads the training texts of each block in turn: each bit is
+predicted from what the block has counted so far, the weights learn from it, and then it is counted. The blocks'
+counts are added and their weights averaged. A row's block follows from its id and text, and a block is read in the
+order of its rows' hashes, so that the scores don't depend on how the table is partitioned. A word without a code costs
+the same wherever it stands, so Spark prices each distinct one once.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +42,8 @@ PLACES, LEVELS, STEPS, LIMIT = 8, 5, 33, 12.0
 RATE, BATCH = 0.005, 8192
 #: Words with codes: those with the highest training counts, which are at least two.
 CODED = 1 << 14
+#: Tokens after which a block's counts start anew, so that 32-bit floats count them exactly.
+FRESH = 1 << 23
 SPACE, END = 32, 10
 
 
@@ -154,12 +161,17 @@ class WordModel:
         self.code, self.counts = code, np.zeros((wordmix.CONTEXTS, 2 * wordmix.SLOTS), np.float32) if counts is None else counts
         self.mixer = mixer or Mixer(gates=wordmix.GATES, contexts=wordmix.CONTEXTS)
         self.ready: tuple[np.ndarray, np.ndarray] | None = None
+        self.seen, self.total = 0, None
+
+    def fold(self) -> None:
+        """Add the counts to the total and start them anew."""
+        self.total = self.counts.astype(np.uint32) if self.total is None else self.total + self.counts.astype(np.uint32)
+        self.counts[:], self.seen = 0, 0
 
     def finish(self) -> None:
         """Log odds and levels of all slots instead of the counts, for costs alone."""
         zeros, ones = self.counts[:, ::2], self.counts[:, 1::2]
-        prior = np.float32(wordmix.PRIOR)
-        self.ready = np.log((ones + prior) / (zeros + prior)), wordmix.levels(zeros[1:3] + ones[1:3])
+        self.ready = np.log((ones + wordmix.PRIOR) / (zeros + wordmix.PRIOR)).astype(np.float32), wordmix.levels(zeros[1:3] + ones[1:3])
 
     def _inputs(self, depth: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Gate and log odds of each bit."""
@@ -199,6 +211,9 @@ class WordModel:
                 m.table[0] += np.bincount(cell[bit[b] == 1], minlength=STEPS * 256).reshape(STEPS, 256)
             for c, x in enumerate(slots):
                 np.add.at(self.counts[c], 2 * x + bit, np.float32(1))
+            self.seen += len(symbol[s])
+            if self.seen >= FRESH:
+                self.fold()
 
     def costs(self, symbol: np.ndarray, context: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Bits that each token's code costs."""
@@ -224,7 +239,8 @@ def _with_ends(x: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
 
 
 _MESSAGE = "block long, chunk long, words binary, counts binary"
-_TABLE = "chunk long, words binary, counts binary, n long, v long"
+_TABLE = "chunk long, words binary, counts binary, n long, v long, once long, twice long"
+_SUMS = "part int, task int, sums binary"
 
 
 def _chunk_of(words: list[bytes], chunks: int) -> np.ndarray:
@@ -245,6 +261,51 @@ def _text(words: list[bytes]) -> bytes:
     return _zip(b" ".join(b"" if w == b"\n" else w for w in words))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Consecutive rows of one block, of which there are about BLOCK_CHARS characters."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        ends = [*(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for start, end in zip([0, *ends], ends):
+            if held and end > start and held[-1].column("block")[0].as_py() != block[start]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _added(sums: DataFrame, tasks: int) -> DataFrame:
+    """The tasks' sums of each part, added up in two steps, so that no group has more rows than about the root of the tasks' number."""
+
+    def add(parts: pa.Table) -> pa.Table:
+        part, task = (parts.column(c)[0].as_py() for c in ("part", "task"))
+        total = sum(np.frombuffer(_unzip(x), np.float64) for x in parts.column("sums").to_pylist())
+        return _arrow(_SUMS, [(part, task, _zip(total.tobytes()))])
+
+    fan = max(1, int(np.sqrt(tasks)))
+    return sums.withColumn("task", F.col("task") % fan).groupBy("part", "task").applyInArrow(add, _SUMS).groupBy("part").applyInArrow(add, _SUMS)
+
+
+def _sums(sums: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    context = TaskContext.get()
+    task = context.partitionId() if context else 0
+    yield from _arrow(_SUMS, [(part, task, _zip(x.astype(np.float64).tobytes())) for part, x in sums]).to_batches()
+
+
+def _blend(spelled: np.ndarray, count: np.ndarray, mass: int, kinds: int, discount: float) -> np.ndarray:
+    """Bits after the escape: a share by the training count, less the discount, and the spelling's part of the rest.
+
+    ``mass`` and ``kinds`` are the occurrences and the number of words without codes in training.
+    """
+    if not mass:
+        return spelled
+    with np.errstate(divide="ignore"):
+        known = np.log2(np.maximum(count - discount, 0) / mass)
+    return -np.logaddexp2(known, np.log2(discount * kinds / mass) - spelled)
+
+
 def _tally(table: pa.Table) -> tuple[list[list[bytes]], list[np.ndarray], pa.Array]:
     """Words of each message, their codes among the distinct words, and these."""
     lists = [_list(x) for x in table.column("words").to_pylist()]
@@ -261,7 +322,7 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
     (words, lower-cased in A-Z, and one end), n_known (tokens with a training count), train_tokens (N), base_score
     (sum of log10((c + 1) / (N + V + 1)) over the tokens), score (log10 of the model's probability of the text),
     bits and bytes (of the coded text; their ratio is the bits per byte). ``model_to`` gets the word model, the tables
-    of zeros and ones for spelling, and their mixer.
+    of zeros and ones for spelling, their mixer, and what ``_blend`` is given of the words without codes.
 
     Null and empty texts are one end token; a null doc_id counts as training; equal rows count as often as they
     occur; an empty table gives no rows. Other columns don't matter.
@@ -296,11 +357,13 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
         total = np.zeros(len(words))
         for c, x in zip(codes, table.column("counts").to_pylist()):
             total[c] += np.frombuffer(_unzip(x), np.uint32)
-        return _arrow(_TABLE, [(table.column("chunk")[0].as_py(), _text(words.to_pylist()), total.astype(np.int64).tobytes(), int(total.sum()), int((total > 0).sum()))])
+        by_name = pc.sort_indices(words).to_numpy()  # the order of messages is left to chance
+        words, total = words.take(pa.array(by_name)), total[by_name]
+        return _arrow(_TABLE, [(table.column("chunk")[0].as_py(), _text(words.to_pylist()), total.astype(np.int64).tobytes(), int(total.sum()), *(int(x.sum()) for x in (total > 0, total == 1, total == 2)))])
 
     sent = written(t.groupBy("block").applyInArrow(send, _MESSAGE), "lm-words")
     table = written(sent.groupBy("chunk").applyInArrow(add, _TABLE), "lm-counts")
-    n, v = (x or 0 for x in table.agg(F.sum("n"), F.sum("v")).first())
+    n, v, once, twice = (x or 0 for x in table.agg(*(F.sum(c) for c in ("n", "v", "once", "twice"))).first())
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,36 +374,32 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
 
     coded = table.select("words", "counts").mapInArrow(frequent, "word binary, n long").orderBy(F.desc("n"), "word").limit(CODED).collect()  # the dictionary, of a fixed size
     code = wordmix.Code([bytes(r.word) for r in coded], [r.n for r in coded], int(n) - sum(r.n for r in coded))
-    in_code = frozenset(code.words)
+    rare = (int(n) - sum(r.n for r in coded), int(v) - len(coded), once / (once + 2 * twice) if once else 0.5)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, mass = WordModel(code), 0.0
-        first = model.mixer.table.copy()
-        for batch in batches:
-            for piece in pieces(batch):
+        model, first = WordModel(code), Mixer(gates=wordmix.GATES, contexts=wordmix.CONTEXTS)
+        weights, table, mass = np.zeros_like(first.weights), np.zeros_like(first.table), 0
+        for run in _runs(batches):
+            model.mixer, tokens = Mixer(gates=wordmix.GATES, contexts=wordmix.CONTEXTS), 0
+            for piece in pieces(run):
                 codes, offsets, words = split(pc.ascii_lower(piece.column("text")))
                 symbol, context = code.ids(words.cast(pa.binary()).to_pylist() + [b"\n"])
-                end = len(words)
-                word, starts = _with_ends(codes, offsets, end)
+                word, starts = _with_ends(codes, offsets, len(words))
                 model.read(symbol[word], context[word], starts)
-                mass += float(len(word))
+                tokens += len(word)
+            model.fold()
+            weights, table, mass = weights + model.mixer.weights * tokens, table + model.mixer.table - first.table, mass + tokens
         if mass:
-            flat = model.counts.ravel()
-            sums = [(r, _zip(flat[r * RANGE : (r + 1) * RANGE].tobytes())) for r in range(len(flat) // RANGE)]
-            weights, table = model.mixer.weights * mass, model.mixer.table - first
-            yield from _arrow("part int, sums binary", [*sums, (-1, _zip(np.concatenate([weights.ravel(), table.ravel(), [mass]]).tobytes()))]).to_batches()
-
-    def joined(parts: pa.Table) -> pa.Table:
-        part = parts.column("part")[0].as_py()
-        total = sum(np.frombuffer(_unzip(x), np.float64 if part < 0 else np.float32) for x in parts.column("sums").to_pylist())
-        return _arrow("part int, sums binary", [(part, _zip(total.tobytes()))])
-
-    # The word model is of fixed size: 2^20 pairs of counts for each context, 32 MB.
-    words_model = WordModel(code)
+            flat = model.total.ravel()
+            yield from _sums([*((r, flat[r * RANGE : (r + 1) * RANGE]) for r in range(len(flat) // RANGE)), (-1, np.concatenate([weights.ravel(), table.ravel(), [mass]]))])
+
+    # The word model is of fixed size: 2^20 pairs of counts for each context, 48 MB.
+    words_model = WordModel(code, np.zeros((wordmix.CONTEXTS, 2 * wordmix.SLOTS)))
     flat = words_model.counts.ravel()
-    for r in t.where(~F.col("held_out")).select("text").mapInArrow(read, "part int, sums binary").groupBy("part").applyInArrow(joined, "part int, sums binary").toLocalIterator():
+    streams = t.where(~F.col("held_out")).select("block", F.xxhash64("doc_id", "text").alias("at"), "doc_id", "text").repartition("block").sortWithinPartitions("block", "at", "doc_id", "text").select("block", "text")
+    for r in _added(streams.mapInArrow(read, _SUMS), blocks(chars, block_chars)).toLocalIterator():
         if r.part >= 0:
-            flat[r.part * RANGE : (r.part + 1) * RANGE] = np.frombuffer(_unzip(r.sums), np.float32)
+            flat[r.part * RANGE : (r.part + 1) * RANGE] = np.frombuffer(_unzip(r.sums), np.float64)
         else:
             x, m = np.frombuffer(_unzip(r.sums), np.float64), words_model.mixer
             m.table = m.table + x[m.weights.size : -1].reshape(m.table.shape)
@@ -350,75 +409,63 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
         words_model.counts = words_model.counts[:, :0]
     spoken = spark.sparkContext.broadcast(words_model)
 
-    def seen(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray]]:
-        """Training words that are spelled."""
+    def seen(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+        """Training words, in a fixed random order. Each counts once, for what is spelled are mostly new words."""
         for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
-            count = np.frombuffer(counts, np.int64)
-            words = _list(words)
-            spelled = np.array([c > 0 and w not in in_code for w, c in zip(words, count.tolist())], bool)
-            words, count = [w for w, x in zip(words, spelled.tolist()) if x], count[spelled]
+            words = [w for w, c in zip(_list(words), np.frombuffer(counts, np.int64).tolist()) if c > 0]
+            words = [words[i] for i in np.random.default_rng(len(words)).permutation(len(words))]
             for i in range(0, len(words), 50_000):
-                yield words[i : i + 50_000], count[i : i + 50_000]
+                yield words[i : i + 50_000]
 
     def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, CONTEXTS, SLOTS))
         for batch in batches:
-            for words, count in seen(batch):
-                w = Words(words)
-                times = count[w.word].astype(np.float64)
-                for _, _, bit, slots in w.bits():
+            for words in seen(batch):
+                for _, _, bit, slots in Words(words).bits():
                     for c, s in enumerate(slots):
                         for b in (0, 1):
-                            mine = bit == b
-                            sums[b, c] += np.bincount(s[mine], times[mine], minlength=SLOTS)
+                            sums[b, c] += np.bincount(s[bit == b], minlength=SLOTS)
         if sums.any():
             flat = sums.reshape(2, -1)
-            rows = [(r, _zip(flat[:, r * RANGE : (r + 1) * RANGE].tobytes())) for r in range(CONTEXTS * SLOTS // RANGE)]
-            yield from _arrow("part int, sums binary", rows).to_batches()
-
-    def summed(parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(_unzip(x), np.float64) for x in parts.column("sums").to_pylist())
-        return _arrow("part int, sums binary", [(parts.column("part")[0].as_py(), _zip(total.astype(np.float32).tobytes()))])
+            yield from _sums([(r, flat[:, r * RANGE : (r + 1) * RANGE]) for r in range(CONTEXTS * SLOTS // RANGE)])
 
     # The model is a table of fixed size: CONTEXTS * SLOTS pairs of 32-bit counts, 40 MB.
     n0, n1 = np.zeros((2, CONTEXTS * SLOTS), np.float32)
-    for r in table.select("words", "counts").mapInArrow(counters, "part int, sums binary").groupBy("part").applyInArrow(summed, "part int, sums binary").toLocalIterator():
-        n0[r.part * RANGE : (r.part + 1) * RANGE], n1[r.part * RANGE : (r.part + 1) * RANGE] = np.frombuffer(_unzip(r.sums), np.float32).reshape(2, -1)
+    for r in table.select("words", "counts").transform(lambda d: _added(d.mapInArrow(counters, _SUMS), chunks)).toLocalIterator():
+        n0[r.part * RANGE : (r.part + 1) * RANGE], n1[r.part * RANGE : (r.part + 1) * RANGE] = np.frombuffer(_unzip(r.sums), np.float64).reshape(2, -1)
     tables = spark.sparkContext.broadcast((n0.reshape(CONTEXTS, SLOTS), n1.reshape(CONTEXTS, SLOTS)))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (n0, n1), mixer, mass = tables.value, Mixer(), 0.0
-        first = [mixer.table.copy()]
+        (n0, n1), first, mass = tables.value, Mixer(), 0
+        weights, table = np.zeros_like(first.weights), np.zeros_like(first.table)
         for batch in batches:
-            for words, count in seen(batch):
-                shuffled = np.random.default_rng(len(words)).permutation(len(words))
-                words, count = [words[i] for i in shuffled], count[shuffled]
-                w = Words(words)
-                times = count[w.word].astype(np.float64)
-                for _, known, bit, slots in w.bits():
-                    # what is known of the other occurrences: one count less for the bit that comes
-                    zeros = [np.maximum(n0[c][s] - (bit == 0), 0) for c, s in enumerate(slots)]
-                    ones = [np.maximum(n1[c][s] - (bit == 1), 0) for c, s in enumerate(slots)]
-                    gate = w.near * LEVELS + _level(zeros[-1] + ones[-1])
-                    mixer.learn(gate, np.stack([_odds(a, b) for a, b in zip(zeros, ones)], 1), known, bit, times)
-                mass += float(count.sum())
+            for row in range(batch.num_rows):
+                mixer, learnt = Mixer(), 0
+                for words in seen(batch.slice(row, 1)):
+                    w = Words(words)
+                    for _, known, bit, slots in w.bits():
+                        # what is known of the other words: one count less for the bit that comes
+                        zeros = [np.maximum(n0[c][s] - (bit == 0), 0) for c, s in enumerate(slots)]
+                        ones = [np.maximum(n1[c][s] - (bit == 1), 0) for c, s in enumerate(slots)]
+                        gate = w.near * LEVELS + _level(zeros[-1] + ones[-1])
+                        mixer.learn(gate, np.stack([_odds(a, b) for a, b in zip(zeros, ones)], 1), known, bit, np.ones(len(bit)))
+                    learnt += len(words)
+                weights, table, mass = weights + mixer.weights * learnt, table + mixer.table - first.table, mass + learnt
         if mass:
-            yield from _arrow("at int, value double, mass double", [*((i, x * mass, mass) for i, x in enumerate(mixer.weights.ravel().tolist())), *((mixer.weights.size + i, x, 1.0) for i, x in enumerate((mixer.table - first[0]).ravel().tolist()))]).to_batches()
+            yield from _sums([(0, np.concatenate([weights.ravel(), table.ravel(), [mass]]))])
 
     model = Mixer()
-    learnt = {r.at: (r.value, r.mass) for r in table.select("words", "counts").mapInArrow(learn, "at int, value double, mass double").groupBy("at").agg(F.sum("value").alias("value"), F.sum("mass").alias("mass")).collect()}  # a fixed number of parameters
-    if learnt:
-        k = model.weights.size
-        model.weights = np.array([learnt[i][0] / learnt[i][1] for i in range(k)]).reshape(model.weights.shape)
-        model.table = model.table + np.array([learnt[k + i][0] for i in range(model.table.size)]).reshape(model.table.shape)
+    for r in _added(table.select("words", "counts").mapInArrow(learn, _SUMS), chunks).collect():  # one row of a fixed number of parameters
+        x, k = np.frombuffer(_unzip(r.sums), np.float64), model.weights.size
+        model.weights, model.table = (x[:k] / x[-1]).reshape(model.weights.shape), model.table + x[k:-1].reshape(model.table.shape)
     weights = (model.weights, model.table)
 
     def reply(messages: pa.Table, own: pa.Table) -> pa.Table:
         if not messages.num_rows:
             return _arrow("block long, chunk long, counts binary, prices binary", [])
         words = _list(own.column("words")[0].as_py())
-        price = _prices(words, *tables.value, Mixer(*weights)).astype(np.float32)
         count = np.frombuffer(own.column("counts")[0].as_py(), np.int64)
+        price = _blend(_prices(words, *tables.value, Mixer(*weights)), count, *rare).astype(np.float32)
         at = {w: i for i, w in enumerate(words)}
         out = []
         for block, chunk, data in zip(*(messages.column(c).to_pylist() for c in ("block", "chunk", "words"))):
@@ -449,7 +496,7 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
     out = t.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, bits double, bytes long")
     unit = float(np.log10(float(n) + float(v) + 1))
     if model_to is not None:
-        model_to += [words_model, *tables.value, Mixer(*weights)]
+        model_to += [words_model, *tables.value, Mixer(*weights), rare]
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
