@@ -1,5 +1,5 @@
 """Registered queries: each module has Q (functions by name) and SQL (their DuckDB text)."""
 
-from . import loads, market, profiles, texts
+from . import assets, loads, market, profiles, texts
 
-PLANS = (market, texts, loads, profiles)
+PLANS = (market, texts, loads, profiles, assets)

@@ -59,6 +59,64 @@ def article_record(stubs: DataFrame, metadata: DataFrame, key: str, as_of: Colum
     return j.select("news_id", "url", F.coalesce("__title", "title").alias("title"), "description", F.coalesce(F.try_to_timestamp("published"), as_of).alias("publish_date"))
 
 
+def company_events(payloads: DataFrame, key: str, column: str) -> DataFrame:
+    """Events of each landed payload: typed dates, text id, English description before the local one, the organisation where there is no type.
+
+    The date of an event is its issue date, in a payload without any issue date field its record date. Payloads that are not JSON,
+    null, or without events add nothing.
+    """
+    text = ("id", "eventTitle", "en_EventTitle", "publicDate", "issueDate", "sourceUrl", "eventListCode", "eventListName", "en_EventListName", "recordDate", "exrightDate", "organCode")
+    rows = payloads.select(key, F.contains(F.col(column), F.lit('"issueDate"')).alias("__issued"), F.explode(F.from_json(column, "OrganizationEvents array<map<string,string>>")["OrganizationEvents"]).alias("e"))
+    e = {c: F.col("e")[c] for c in text}
+    day = lambda c: sc.parse_mixed_date(e[c])
+    date = F.when(F.col("__issued"), day("issueDate")).otherwise(day("recordDate"))
+    return rows.select(
+        key, e["id"].alias("event_id"), date.alias("event_date"), day("publicDate").alias("public_date"), day("exrightDate").alias("exright_date"), e["eventTitle"].alias("event_title"),
+        F.coalesce(e["eventListCode"], e["organCode"]).alias("event_type"), F.coalesce(e["en_EventListName"], e["eventListName"]).alias("event_description"),
+    )
+
+
+def company_overview(payloads: DataFrame, key: str, column: str) -> DataFrame:
+    """The profile of each landed payload, one row: symbol (the key where the payload has none), profiles and industries of levels 2 to 4.
+
+    Payloads that are not JSON, null, or without a profile add nothing.
+    """
+    p = payloads.select(key, F.from_json(column, "CompanyListingInfo map<string,string>")["CompanyListingInfo"].alias("c")).where(F.size("c") > 0)
+    named = {"companyProfile": "company_profile", "en_CompanyProfile": "company_profile_en"}
+    named |= {f"{a}cbName{i}": f"icb_name{i}{b}" for i in (2, 3, 4) for a, b in (("i", ""), ("enI", "_en"))}
+    symbol = F.when(F.map_contains_key("c", F.lit("ticker")), F.col("c")["ticker"]).otherwise(F.col(key).cast("string"))
+    return p.select(symbol.alias("symbol"), *(F.col("c")[a].alias(b) for a, b in named.items()))
+
+
+def listing_symbols(listing: DataFrame) -> DataFrame:
+    """A provider's listing under snake names, its board as exchange."""
+    return snake_columns(listing).withColumnRenamed("board", "exchange")
+
+
+def require_table(spark: SparkSession, *names: str) -> None:
+    """Raises LookupError with the names of the tables that the catalogue lacks."""
+    missing = [n for n in names if not spark.catalog.tableExists(n)]
+    if missing:
+        raise LookupError(f"no table {', '.join(missing)}")
+
+
+def save_labels(labels: DataFrame, path: str) -> None:
+    """Labels (id, label) as JSON, an object of one id and its label a line, in as many files as there are partitions.
+
+    Rows without id or label go; of one id all rows are written. What is at ``path`` is replaced.
+    """
+    labels.where("id IS NOT NULL AND label IS NOT NULL").select(F.to_json(F.create_map(F.col("id").cast("string"), F.col("label").cast("boolean"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_labels(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """id and label of JSON objects that map ids to labels: one a line, or with ``lines`` off one a file, as labels written by hand are.
+
+    Lines that are not JSON add nothing. A label that is not true or false is null.
+    """
+    rows = spark.read.text(path, wholetext=not lines)
+    return rows.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "label")).select("id", F.col("label").try_cast("boolean").alias("label"))
+
+
 def channel_names(payload: DataFrame, column: str) -> DataFrame:
     """Channel id to its English name, else its local one."""
     rows = payload.select(F.inline(F.from_json(column, "array<struct<ChannelID:int,NameEn:string,Name:string>>")))
