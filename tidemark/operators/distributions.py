@@ -48,10 +48,12 @@ def student_t(returns: DataFrame, grid: tuple[int, ...] = GRID, scales: tuple[in
     """Degrees of freedom and scale with the highest likelihood, at the sample's mean: symbol, dof, scale, mean, log_lik."""
     r = returns.where("log_ret IS NOT NULL")
     m = r.groupBy("symbol").agg(F.avg("log_ret").alias("mu"), F.stddev_samp("log_ret").alias("sd"))
-    cells = F.array(*(F.struct(F.lit(n).alias("dof"), F.lit(k).alias("part"), F.lit(t_constant(n)).alias("c")) for n in grid for k in scales))
-    each = r.join(m, "symbol").select("symbol", "mu", "sd", ((F.col("log_ret") - F.col("mu")) / F.col("sd")).alias("z"), F.inline(cells))
+    each = r.join(m, "symbol").select("symbol", "mu", "sd", F.pow((F.col("log_ret") - F.col("mu")) / F.col("sd"), 2).alias("z2"))
+    # a sum for each cell of the grid, so that a return is one row whatever the grid; the rest of the likelihood follows from the count
+    sums = each.groupBy("symbol", "mu", "sd").agg(F.count("z2").alias("n"), *(F.sum(F.log1p(F.col("z2") * (1e4 / (k * k * n)))).alias(f"s_{n}_{k}") for n in grid for k in scales))
+    cells = F.array(*(F.struct(F.lit(n).alias("dof"), F.lit(k).alias("part"), F.lit(t_constant(n)).alias("c"), F.col(f"s_{n}_{k}").alias("s")) for n in grid for k in scales))
     k = F.col("part") / 100
-    ll = each.groupBy("symbol", "mu", "sd", "dof", "part").agg(F.sum(F.col("c") - F.log(F.col("sd") * k) - (F.col("dof") + 1) / 2 * F.log(1 + F.pow(F.col("z") / k, 2) / F.col("dof"))).alias("log_lik"))
+    ll = sums.select("symbol", "mu", "sd", "n", F.inline(cells)).withColumn("log_lik", F.col("n") * (F.col("c") - F.log(F.col("sd") * k)) - (F.col("dof") + 1) / 2 * F.col("s"))
     best = ll.groupBy("symbol").agg(F.max_by(F.struct("dof", (F.col("sd") * k).alias("scale"), F.col("mu").alias("mean")), F.struct(F.round("log_lik", 6), -F.col("dof"), -F.col("part"))).alias("x"), F.max("log_lik").alias("log_lik"))
     return best.select("symbol", "x.*", "log_lik")
 

@@ -301,48 +301,76 @@ def asset_fits(assets: DataFrame, theme_sectors: list[list[str]]) -> DataFrame:
     return assets.select("symbol", F.array(*map(one, theme_sectors)).alias("fit"))
 
 
-def _sector_match(topics: str, fit: str) -> Column:
-    """Share of the topic scores, of themes with 0.02 of them or more, that fit."""
-    total = F.aggregate(topics, F.lit(0.0), lambda s, x: s + x)
+def _shares() -> Column:
+    """Shares of the topic scores; those of themes with less than 0.02 of them are 0."""
+    total = F.aggregate("topic_scores", F.lit(0.0), lambda s, x: s + x)
     share = lambda x: x / F.when(total == 0, 1.0).otherwise(total)
-    parts = F.zip_with(topics, fit, lambda t, f: F.when(share(t) >= 0.02, share(t) * f).otherwise(0.0))
-    return F.least(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(1.0))
+    return F.transform("topic_scores", lambda t: F.when(share(t) >= 0.02, share(t)).otherwise(0.0))
 
 
-def _impact(df: DataFrame, least: float) -> DataFrame:
-    s = df.withColumn("sector", _sector_match("topic_scores", "fit"))
-    s = s.withColumn("impact", 0.45 * F.col("direct") + 0.35 * F.col("sector") + 0.2 * F.col("score"))
-    return s.where(F.col("impact") >= least).drop("topic_scores", "fit")
+def _sector(fit: Column) -> Column:
+    """Sum of the ``shares`` of themes that fit."""
+    return F.least(F.aggregate(F.zip_with("shares", fit, lambda t, f: t * f), F.lit(0.0), lambda s, x: s + x), F.lit(1.0))
+
+
+def _impact(direct: int, sector: Column) -> Column:
+    return 0.45 * F.lit(direct) + 0.35 * sector + 0.2 * F.col("score")
+
+
+def _with_named(scores: DataFrame, mentions: DataFrame, fits: DataFrame, key: str) -> DataFrame:
+    """The scores, each computed once, with ``shares`` and ``named``: symbol and fit of the assets that the text names."""
+    named = mentions.join(fits, "symbol").groupBy(key).agg(F.collect_set(F.struct("symbol", "fit")).alias("named"))
+    d = scores.select(key, "score", "topic_scores").join(named, key, "left")
+    none = F.array().cast(named.schema["named"].dataType)
+    return d.select(key, "score", F.coalesce("named", none).alias("named"), _shares().alias("shares"))
 
 
 def ticker_impact(scores: DataFrame, mentions: DataFrame, fits: DataFrame, key: str, k: int = 10, least: float = 0.05) -> DataFrame:
     """Impact of each text on assets: 0.45 mention, 0.35 sector, 0.20 score; the k best of each text, ties by symbol.
 
-    Assets without a mention differ by their fit alone, so of each fit the first k by symbol are enough for every text.
-    There are at most two to the number of themes of them.
+    Assets without a mention differ by their fit alone. A row carries the first k symbols of every fit, at most two to the number
+    of themes of them, and ranks the fits: only those of the first k can hold one of its k best. What the text names is added. Rows
+    with one key count as one text.
     """
     first = top_k_per_group(fits, "fit", [F.col("symbol")], k).groupBy("fit").agg(F.sort_array(F.collect_list("symbol")).alias("symbols"))
-    s = scores.select(key, "score", "topic_scores")
-    plain = s.join(F.broadcast(first)).select(key, "score", "topic_scores", "fit", F.explode("symbols").alias("symbol"), F.lit(0).alias("direct"))  # k rows for each fit
-    named = mentions.join(fits, "symbol").join(s, key).select(key, "score", "topic_scores", "fit", "symbol", F.lit(1).alias("direct"))
-    both = _impact(plain.unionByName(named), least).groupBy(key, "symbol").agg(F.max(F.struct("impact", "direct", "sector", "score")).alias("x")).select(key, "symbol", "x.*")
-    return top_k_per_group(both, key, [F.desc(F.round("impact", 9)), F.col("symbol")], k)
+    kinds = first.agg(F.collect_list(F.struct("fit", "symbols")).alias("kinds"))  # one row
+    d = _with_named(scores, mentions, fits, key).join(F.broadcast(kinds))
+
+    def rated(direct: int, fit: Column, symbol: Column, *more: Column) -> Column:
+        sector = _sector(fit)
+        impact = _impact(direct, sector)
+        return F.struct((-F.round(impact, 9)).alias("low"), symbol.alias("symbol"), *more, impact.alias("impact"), F.lit(direct).alias("direct"), sector.alias("sector"))
+
+    plain = F.slice(F.array_sort(F.transform("kinds", lambda x: rated(0, x["fit"], F.get(x["symbols"], F.lit(0)), x["symbols"].alias("symbols")))), 1, k)
+    d = d.withColumn("plain", plain)
+    unnamed = lambda x: F.filter(x["symbols"], lambda s: ~F.exists("named", lambda n: n["symbol"] == s))
+    every = F.flatten(F.transform("plain", lambda x: F.transform(unnamed(x), lambda s: F.struct(x["low"].alias("low"), s.alias("symbol"), x["impact"].alias("impact"), x["direct"].alias("direct"), x["sector"].alias("sector")))))
+    both = F.filter(F.concat(every, F.transform("named", lambda n: rated(1, n["fit"], n["symbol"]))), lambda x: x["impact"] >= least)
+    best = d.select(key, "score", F.inline(F.slice(F.array_sort(both), 1, k)))
+    best = best.groupBy(key, "symbol").agg(F.max(F.struct("impact", "direct", "sector", "score")).alias("x")).select(key, "symbol", "x.*")
+    return top_k_per_group(best, key, [F.desc(F.round("impact", 9)), F.col("symbol")], k)
 
 
 def news_for_ticker(scores: DataFrame, mentions: DataFrame, fits: DataFrame, key: str, k: int = 10, least: float = 0.05) -> DataFrame:
     """Of every asset the k texts with the highest impact on it, ties by key.
 
-    Texts without a mention of the asset rank alike for all assets of one fit: the k best texts of each fit and the texts
-    that name the asset are all that can come first.
+    Texts without a mention of the asset rank alike for all assets of one fit: the k best texts of each fit and the k best that
+    name the asset are all that can come first. Rows with one key count as one text.
     """
-    s = scores.select(key, "score", "topic_scores")
-    kinds = fits.select("fit").distinct()
-    plain = _impact(s.join(F.broadcast(kinds)).withColumn("kind", F.to_json("fit")).withColumn("direct", F.lit(0)), least)  # at most 2^themes rows
-    plain = top_k_per_group(plain, "kind", [F.desc(F.round("impact", 9)), F.col(key)], k).drop("rank")
-    plain = plain.join(fits.select("symbol", F.to_json("fit").alias("kind")), "kind").drop("kind")
-    named = _impact(mentions.join(fits, "symbol").join(s, key).withColumn("direct", F.lit(1)), least)
-    both = plain.unionByName(named.select(*plain.columns)).groupBy("symbol", key).agg(F.max(F.struct("impact", "direct", "sector", "score")).alias("x")).select("symbol", key, "x.*")
-    return top_k_per_group(both, "symbol", [F.desc(F.round("impact", 9)), F.col(key)], k)
+    kinds = fits.select("fit").distinct().agg(F.collect_list("fit").alias("kinds"))  # one row, of at most 2^themes fits
+    d = _with_named(scores, mentions, fits, key).join(F.broadcast(kinds))
+
+    def rated(direct: int, fit: Column, group: Column) -> Column:
+        sector = _sector(fit)
+        return F.struct(F.lit(direct).alias("direct"), group.alias("group"), _impact(direct, sector).alias("impact"), sector.alias("sector"))
+
+    both = F.concat(F.transform("kinds", lambda f: rated(0, f, F.to_json(f))), F.transform("named", lambda n: rated(1, n["fit"], n["symbol"])))
+    rows = d.select(key, "score", F.inline(F.filter(both, lambda x: x["impact"] >= least)))
+    once = rows.groupBy("direct", "group", key).agg(F.max(F.struct("impact", "sector", "score")).alias("x")).select("direct", "group", key, "x.*")
+    some = top_k_per_group(once.withColumn("of", F.struct("direct", "group")), "of", [F.desc(F.round("impact", 9)), F.col(key)], k).drop("rank", "of")
+    of = fits.select("symbol", F.inline(F.array(F.struct(F.lit(0).alias("direct"), F.to_json("fit").alias("group")), F.struct(F.lit(1).alias("direct"), F.col("symbol").alias("group")))))
+    best = some.join(of, ["direct", "group"]).groupBy("symbol", key).agg(F.max(F.struct("impact", "direct", "sector", "score")).alias("x")).select("symbol", key, "x.*")
+    return top_k_per_group(best, "symbol", [F.desc(F.round("impact", 9)), F.col(key)], k)
 
 
 def thematic_exposure(news: DataFrame, entity: str, key: str, themes: dict[str, list[str]], as_of: Column, similarity: str, entities: int = 20, articles: int = 30) -> DataFrame:
