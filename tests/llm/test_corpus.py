@@ -704,3 +704,21 @@ def test_query_against_sql(spark, name):
 def test_digest_of_kept_words(spark):
     got = {r.doc_id: r.kept_sha256 for r in queries.op5_substring_dedup(spark, SF).collect()}
     assert len(got) == 200 and all(re.fullmatch("[0-9a-f]{64}", x) for x in got.values())
+
+
+def test_bit_sets_grow_with_the_marks(spark):
+    assert [decontaminate.set_bits(n) for n in (0, 1, 1 << 22, (1 << 22) + 1, 10**8, 10**12)] == [25, 25, 25, 26, 30, 31]
+    h = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 5000)
+    for bits in (25, 27):
+        made = decontaminate._union(spark.createDataFrame([(int(x),) for x in h], "h long").repartition(3), bits)
+        assert len(made) == 1 << (bits - 3) and decontaminate._in(made, h.view(np.uint64)).all()
+        assert decontaminate._in(made, np.random.default_rng(4).integers(0, 1 << 63, 5000).astype(np.uint64)).mean() < 0.01
+
+
+def test_samples_are_never_too_few_in_silence(monkeypatch):
+    monkeypatch.setattr(decontaminate, "TRIED", 4)
+    more = decontaminate.repeats.__wrapped__(20, 0.99)
+    assert more > 4
+    monkeypatch.setattr(decontaminate, "MOST", 4)
+    with pytest.raises(ValueError, match="of the edited items of 20 words"):
+        decontaminate.repeats.__wrapped__(20, 0.99)

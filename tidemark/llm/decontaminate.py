@@ -9,8 +9,8 @@ distance decides.
 
 Windows that cannot be leaks are left out before the walk by a bound that loses none: k edits leave at least
 n - g + 1 - g k of an item's grams of g words in place. The grams of items, marked with the item's length and, for a
-first look, with its class of lengths, and the items' keys are held as bit sets of fixed size, whatever the number of
-items; fuller sets only prune less.
+first look, with its class of lengths, and the items' keys are held as bit sets, eight bits or more for each mark up to
+sets of 256 MB (268 million marks, some millions of items); fuller sets only prune less.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from .common import cut
 from .wordstream import pieces, split
 
 #: Edits allowed for each word of an item; share of leaks at that limit to be found; symbols in a sample; samples from one
-#: walk; most samples; bits of the two bit sets (4 MB each); edited items of a trial.
-EDITS, RECALL, SAMPLED, PER_WALK, MOST, SET_BITS, TRIAL = 0.2, 0.995, 2, 8, 128, 25, 400
+#: walk; samples that a trial begins with and may come to; least and most bits of a bit set, as powers of two; edited items of a trial.
+EDITS, RECALL, SAMPLED, PER_WALK, TRIED, MOST, SET_BITS, SET_MOST, TRIAL = 0.2, 0.995, 2, 8, 128, 4096, 25, 31, 400
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,7 +99,10 @@ def keys(flat: np.ndarray, starts: np.ndarray, n: int, count: int) -> np.ndarray
 
 @functools.lru_cache(maxsize=4096)
 def repeats(n: int, recall: float = RECALL) -> int:
-    """Samples that items of n words need: as many as find ``recall`` of ``TRIAL`` random items with as many edits as allowed."""
+    """Samples that items of n words need: as many as find ``recall`` of ``TRIAL`` random items with as many edits as allowed.
+
+    ValueError if ``MOST`` samples do not.
+    """
     rng, k = np.random.default_rng(n), limit(n)
     if not k:
         return 1
@@ -112,9 +115,14 @@ def repeats(n: int, recall: float = RECALL) -> int:
             window[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(2, 1 << 62))]
         whole.append(item)
         edited.append((window + rng.integers(2, 1 << 62, n).tolist())[:n])
-    a, b = (keys(np.array(x, np.uint64).ravel(), np.arange(TRIAL) * n, n, MOST) for x in (whole, edited))
-    found = np.logical_or.accumulate(a == b, axis=1).mean(0)
-    return int(np.argmax(found >= recall)) + 1 if found[-1] >= recall else MOST
+    count = TRIED
+    while count <= MOST:
+        a, b = (keys(np.array(x, np.uint64).ravel(), np.arange(TRIAL) * n, n, count) for x in (whole, edited))
+        found = np.logical_or.accumulate(a == b, axis=1).mean(0)
+        if found[-1] >= recall:
+            return int(np.argmax(found >= recall)) + 1
+        count *= 2
+    raise ValueError(f"{MOST} samples find {found[-1]:.4f} of the edited items of {n} words, not {recall}")
 
 
 def distances(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,15 +140,20 @@ def distances(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row.min(1), row.argmin(1)
 
 
-def _bitset(h: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << (SET_BITS - 3), np.uint8)
-    place = h >> np.uint64(64 - SET_BITS)
+def set_bits(marks: int) -> int:
+    """Size of a bit set of so many marks, as a power of two: eight bits a mark within the bounds."""
+    return min(max(SET_BITS, (8 * max(marks, 1) - 1).bit_length()), SET_MOST)
+
+
+def _bitset(h: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(1 << (size - 3), np.uint8)
+    place = h >> np.uint64(64 - size)
     np.bitwise_or.at(out, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
     return out
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h >> np.uint64(64 - SET_BITS)
+    place = h >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
@@ -191,24 +204,26 @@ def _items(items: DataFrame, recall: float) -> DataFrame:
     return cut(items.select(F.col("item_id").cast("long"), items["text"].cast("string").alias("text")).mapInArrow(made, "item_id long, n long, words binary, grams array<long>, keys array<long>"))
 
 
-def _union(hashes: DataFrame) -> np.ndarray:
+def _union(hashes: DataFrame, bits: int) -> np.ndarray:
     """The bit set of the longs in ``hashes.h``: each partition's own set, joined block by block."""
     size = 1 << 12
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (SET_BITS - 3), np.uint8)
+        own = np.zeros(1 << (bits - 3), np.uint8)
         for b in batches:
-            bits |= _bitset(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64))
-        blocks = bits.reshape(-1, size)
+            own |= _bitset(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64), bits)
+        blocks = own.reshape(-1, size)
         some = np.flatnonzero(blocks.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "bits"])
+        for i in range(0, len(some), 4096):
+            part = some[i : i + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([blocks[j].tobytes() for j in part], pa.binary())], ["block", "bits"])
 
     def joined(table: pa.Table) -> pa.Table:
         x = functools.reduce(np.bitwise_or, (np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()))
         return pa.table([table.column("block").slice(0, 1).combine_chunks(), pa.array([x.tobytes()], pa.binary())], ["block", "bits"])
 
-    out = np.zeros((1 << (SET_BITS - 3)) // size * size, np.uint8).reshape(-1, size)
-    for r in hashes.mapInArrow(local, "block long, bits binary").groupBy("block").applyInArrow(joined, "block long, bits binary").toLocalIterator():  # 4 MB at most
+    out = np.zeros(1 << (bits - 3), np.uint8).reshape(-1, size)
+    for r in hashes.mapInArrow(local, "block long, bits binary").groupBy("block").applyInArrow(joined, "block long, bits binary").toLocalIterator():  # 256 MB at most
         out[r.block] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
@@ -226,8 +241,8 @@ def leaks(docs: DataFrame, items: DataFrame, recall: float = RECALL) -> DataFram
     spark = docs.sparkSession
     listed = _items(items, recall)
     lengths = spark.sparkContext.broadcast(sorted(r.n for r in listed.select("n").distinct().collect()))  # the distinct item lengths
-    gram_set = spark.sparkContext.broadcast(_union(listed.select(F.explode("grams").alias("h"))))
-    key_set = spark.sparkContext.broadcast(_union(listed.select(F.explode("keys").alias("h"))))
+    marks = listed.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("grams"), F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("keys")).first()
+    gram_set, key_set = (spark.sparkContext.broadcast(_union(listed.select(F.explode(c).alias("h")), set_bits(marks[c]))) for c in ("grams", "keys"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[tuple[int, int], list[int]] = {}
