@@ -10,6 +10,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes a core below which an input is dealt over the cores.
+LITTLE = 16 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores by ``key`` where there is so little to read that a file or two would hold all tasks; larger
+    inputs come in splits enough and are left as they are, without a shuffle. The size is the optimiser's estimate."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * LITTLE else df
+
+
 def _bars(ticks: DataFrame, *keys: str) -> DataFrame:
     first = F.struct("l_orderkey", "l_linenumber", "px")
     return ticks.groupBy(*keys, "trading_date").agg(
@@ -40,7 +52,7 @@ def sectors(prices: DataFrame) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """news_id, text, source, publish_date of the documents."""
-    return table(spark, sf_dir, "documents").select(
+    """news_id, text, source, publish_date of the documents; a small table is dealt over the cores, as its texts cost more than their way."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("news_id"), F.coalesce("text", F.lit("")).alias("text"), "source", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("timestamp").alias("publish_date")
     )
