@@ -57,6 +57,16 @@ def test_merge_pages(spark):
     assert {(r["item"], r.year, r.quarter, r.fiscal_date, r.value) for r in long} == {(n, 2025, 4, dt.date(2025, 12, 31), v) for n, v in (("First", 1.0), ("Second", 2.0), ("Third", 3.0), ("Other", 9.0))}
 
 
+def test_merged_records_leave_their_payload_behind(spark):
+    """Pages with one number come in the order of their text, and no record carries the text to where records are numbered."""
+    one = '{"Content":{"P":[{"NameEn":"%s"},{"NameEn":"%s"}]}}'
+    rows = [("A", 1, one % ("z", "y")), ("A", 1, one % ("a", "b")), ("A", 1, one % ("a", "b")), ("A", 0, one % ("first", "next"))]
+    merged = payloads.merge_payload_pages(spark.createDataFrame(rows, "k string, page int, body string"), "k", "page", "body")
+    assert [r.record["NameEn"] for r in merged.orderBy("number").collect()] == ["first", "next", "a", "a", "b", "b", "z", "y"]
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "body" not in plan[: plan.rindex("Generate explode")]
+
+
 def test_statement_by_metadata(spark):
     meta = [(1, "rev", "INCOME", "CT", "Revenue (Bn. VND)", "Doanh thu", 2), (2, "rev", "INCOME", "NH", "never", "", 1), (3, "pe", " ratio ", "CT", "", "P/E vi", 1), (4, "nim", "income", "NH", None, None, 0), (5, "", "income", "CT", "no", "", 0), (6, "x", "cash", "CT", "X", "", 0)]
     m = spark.createDataFrame(meta, "position int, field_name string, type string, com_type_code string, en_name string, name string, order int")

@@ -161,10 +161,10 @@ def merge_payload_pages(pages: DataFrame, key: str, page: str, column: str) -> D
     A payload is the object itself or stands in its ``data``; a page that is not JSON, or has no content, adds nothing; of a group
     that a page has as null, neither. Pages with one number come in the order of their text.
     """
-    p = pages.withColumn("__p", F.from_json(column, f"data struct<{_PAGE.replace('Head array', 'Head:array').replace(', Content map', ',Content:map')}>, {_PAGE}"))
-    content = F.coalesce("__p.data.Content", "__p.Content")
-    rows = p.select(key, page, column, F.explode(content).alias("group", "records")).select(key, page, column, "group", F.posexplode("records").alias("place", "record"))
-    w = Window.partitionBy(key, "group").orderBy(page, column, "place")  # the records of one statement's group
+    place = F.rank().over(Window.partitionBy(key).orderBy(page, column))  # from here on a record's page is a number: no payload goes along with it
+    p = pages.select(key, column, place.alias("__page")).select(key, "__page", F.from_json(column, f"data struct<{_PAGE.replace('Head array', 'Head:array').replace(', Content map', ',Content:map')}>, {_PAGE}").alias("__p"))
+    rows = p.select(key, "__page", F.explode(F.coalesce("__p.data.Content", "__p.Content")).alias("group", "records")).select(key, "__page", "group", F.posexplode("records").alias("place", "record"))
+    w = Window.partitionBy(key, "group").orderBy("__page", "place")  # the records of one statement's group
     return rows.withColumn("number", F.row_number().over(w)).select(key, "group", "number", "record")
 
 
