@@ -186,3 +186,10 @@ def test_adf_p_values(spark):
     # falling steadily over the break of the two polynomials
     p = [r.p for r in spark.range(-60, 30).select((F.col("id") / 10).alias("s")).select("s", distributions.adf_p(F.col("s")).alias("p")).orderBy("s").collect()]
     assert all(a <= b + 1e-3 for a, b in zip(p, p[1:]))
+
+
+def test_lines_are_trimmed_of_spaces_only(spark):
+    """A line's digits stay, spaces of any kind around it go, and lines that then equal the one before."""
+    rows = [(1, "0 zero\n1 one 1\n 1 one 1 \n\n　 1 one 1\n2\ttab\t\n2\ttab \r"), (2, "00\n11\n22"), (3, ""), (4, " \n ")]
+    got = {r.k: r.text for r in text.consecutive_dedup_lines(spark.createDataFrame(rows, "k int, text string"), "k").collect()}
+    assert got == {1: "0 zero\n1 one 1\n2\ttab\t\n2\ttab \r", 2: "00\n11\n22", 3: "", 4: ""}
