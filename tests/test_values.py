@@ -193,3 +193,34 @@ def test_lines_are_trimmed_of_spaces_only(spark):
     rows = [(1, "0 zero\n1 one 1\n 1 one 1 \n\n　 1 one 1\n2\ttab\t\n2\ttab \r"), (2, "00\n11\n22"), (3, ""), (4, " \n ")]
     got = {r.k: r.text for r in text.consecutive_dedup_lines(spark.createDataFrame(rows, "k int, text string"), "k").collect()}
     assert got == {1: "0 zero\n1 one 1\n2\ttab\t\n2\ttab \r", 2: "00\n11\n22", 3: "", 4: ""}
+
+
+def _brute(v, q, k, near=lambda i, j: True):
+    """Query, id, rank and score of the k nearest, ties by id."""
+    cos = np.round((v[q] @ v.T) / (np.outer(np.linalg.norm(v[q], axis=1), np.linalg.norm(v, axis=1)) + 1e-9), 6)
+    return {(i, n + 1): (j, s) for a, i in enumerate(q) for n, (s, j) in enumerate(sorted(((-cos[a, j], j) for j in range(len(v)) if j != i and near(i, j)))[:k]) for s in [-s]}
+
+
+def test_searches_meet_by_blocks(spark):
+    """Copies and near ties come by their ids; no row carries a block of queries, and no pair of vectors is joined."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(240, 64))
+    v[100:140], v[140:150] = v[7], v[8] * 2
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").withColumn("bucket", vectors.lsh_bucket(F.col("v"))).repartition(3)
+    q = d.where("id in (7, 8, 100, 145, 200)").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "bucket")
+    ask = [7, 8, 100, 145, 200]
+    planes = np.array(vectors.normal_planes(4))
+    bits = np.einsum("nw,tbw->ntb", v, planes) > 0
+    one = (v @ np.array(vectors.normal_planes(1)[0]).T > 0) @ (1 << np.arange(11, -1, -1))
+    ring = np.bitwise_count(one[:, None] ^ one[None, :])
+    far = {i: min(r for r in range(13) if (ring[i] <= r).sum() >= 50) for i in ask}
+    for got, near in (
+        (vectors.nearest(q, d, 10, block=2), lambda i, j: True),
+        (vectors.lsh_nearest(q, d, 10, tables=4, radius=1), lambda i, j: bool(((bits[i] != bits[j]).sum(1) <= 1).any())),
+        (vectors.lsh_query(q, d, 10), lambda i, j: ring[i, j] <= far[i]),
+    ):
+        want, rows = _brute(v, ask, 10, near), got.collect()
+        assert {(r.query_id, r["rank"]): r.id for r in rows} == {k: x[0] for k, x in want.items()}
+        assert all(r.score == pytest.approx(want[r.query_id, r["rank"]][1], abs=1e-6) for r in rows)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "collect_list" not in plan
