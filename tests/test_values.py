@@ -224,3 +224,29 @@ def test_searches_meet_by_blocks(spark):
         assert all(r.score == pytest.approx(want[r.query_id, r["rank"]][1], abs=1e-6) for r in rows)
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "collect_list" not in plan
+
+
+def test_words_are_counted_where_texts_are_read(spark):
+    """Rows with one key count together; no word of a text is shuffled to be counted, and terms beyond the frequent ones have their weights too."""
+    rows = [(1, "alpha beta gamma"), (2, "beta beta delta"), (2, "delta omega"), (3, ""), (4, None), (5, "gamma omega zeta")]
+    d = spark.createDataFrame(rows, "id int, text string")
+    t = spark.createDataFrame([("a", ["beta", "delta"]), ("b", ["omega"]), ("c", ["none"])], "topic_id string, words array<string>")
+    got = text.topic_scores(d, "id", t, 2)
+    assert {(r.topic_id, r["rank"], r.id, round(r.score, 6)) for r in got.collect()} == {("a", 1, 2, 0.2), ("a", 2, 2, round(1 / 11, 6)), ("b", 1, 2, round(1 / 11, 6)), ("b", 2, 5, 0.0625)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "Aggregate [id" not in plan.split("MapInArrow")[0]
+    want = {(r.id, r.term): r.weight for r in latent.tfidf(d, "id").collect()}
+    assert {k for k, _ in want} == {1, 2, 5} and sum(w * w for (k, _), w in want.items() if k == 2) == pytest.approx(1)
+    few, latent.FREQUENT = latent.FREQUENT, 2
+    try:
+        assert {(r.id, r.term): r.weight for r in latent.tfidf(d, "id").collect()} == pytest.approx(want)
+    finally:
+        latent.FREQUENT = few
+
+
+def test_tasks_hold_slices_of_a_batch():
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_arrays([pa.array([["a"] * n for n in (3, 4, 0, 20, 1, 1, 0)])], ["t"])
+    cut = [x.column("t").to_pylist() for x in latent._slices(iter([b, b.slice(0, 0)]), 8)]
+    assert [[len(t) for t in x] for x in cut] == [[3, 4, 0], [20], [1, 1, 0]]
