@@ -250,3 +250,33 @@ def test_tasks_hold_slices_of_a_batch():
     b = pa.RecordBatch.from_arrays([pa.array([["a"] * n for n in (3, 4, 0, 20, 1, 1, 0)])], ["t"])
     cut = [x.column("t").to_pylist() for x in latent._slices(iter([b, b.slice(0, 0)]), 8)]
     assert [[len(t) for t in x] for x in cut] == [[3, 4, 0], [20], [1, 1, 0]]
+
+
+def test_words_without_accents(spark):
+    """Accents taken from the distinct words give the words of texts without accents, for every character and its neighbours. The sign of
+    the Ångström (U+212B), whose lower case is a letter with an accent, loses it too, as in DuckDB's strip_accents."""
+    c = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")
+    some = spark.range(1, 0x30000).where("id NOT BETWEEN 55296 AND 57343 AND id <> 8491").select(F.concat(F.lit("xA"), c, F.lit("b "), c, F.lit("1 ΑΣ"), c, F.lit(" İé"), c).alias("text"))
+    old = some.select(F.explode(F.split(F.lower(sc.strip_accents(F.col("text"))), r"[^\p{L}\p{N}_]+")).alias("w")).where("w <> ''").groupBy("w").count()
+    names, _, place, n = latent._counts(latent._tokens(some).toArrow().column("t").combine_chunks(), bare=True)
+    got = collections.Counter()
+    for i, x in zip(place.tolist(), n.tolist()):
+        got[names[i].as_py()] += x
+    got.pop("", None)
+    assert got == {r[0]: r[1] for r in old.collect()}
+    import pyarrow as pa
+
+    assert latent._bare(pa.array(["\u212b".lower(), "plain"])).to_pylist() == ["a", "plain"]
+
+
+def test_embed_is_fit_and_transform(spark, monkeypatch):
+    """The same vectors, and texts are weighed once."""
+    d = spark.createDataFrame([(i, " ".join(f"wörd{(i * j) % 17}" for j in range(1, 9))) for i in range(40)] + [(98, ""), (99, None)], "id long, text string")
+    want = {r.id: np.array(r.v) for r in latent.transform(d, "id", latent.fit(d, 12, 4)).collect()}
+    calls, weigh = [], latent.weights
+    monkeypatch.setattr(latent, "weights", lambda *a: calls.append(1) or weigh(*a))
+    got = {r.id: np.array(r.v) for r in latent.embed(d, "id", 12, 4).collect()}
+    assert calls == [1] and got.keys() == want.keys() and 98 not in got
+    for i in got:
+        assert np.abs(got[i]) == pytest.approx(np.abs(want[i]), abs=1e-5)
+    assert latent.embed(d.where("id >= 98"), "id", 12, 4).count() == 0
