@@ -132,3 +132,20 @@ def test_corrections(spark):
     late = spark.createDataFrame(every, schema + ", load int").where("ts IS NOT NULL").select("who", "ts").distinct().count()
     assert 0 < len(want) < late  # some rows were beyond the limit
     assert states[-1] <= 6  # keys that came once are gone
+
+
+def test_corrections_take_keys_in_groups(spark):
+    """Thousands of keys, one of them null, whole numbers that floats cannot tell apart: no more states than groups, and what is revised."""
+    at, schema, big = shared.new(spark, "groups"), "who long, ts timestamp, v double, version long", 1 << 60
+    noon, found, states = dt.datetime(2024, 1, 1, 12), [], []
+    loads = [[(big + k, noon, 1.0, 1) for k in range(3000)] + [(None, noon, 1.0, 1)], [(big + k, noon, 2.0, k % 2 * 2) for k in range(10)] + [(None, noon, 2.0, 2), (0, noon, 3.0, 1), (big, noon, 1.0, 1)]]
+    for i, items in enumerate(loads):
+        land(spark, at, i, items, schema)
+        stream = jobs.corrections(jobs.file_stream(spark, f"{at}/landed/*", spark.createDataFrame([], schema), None), "who", "ts", "v", "version", "10 days")
+        q = stream.writeStream.foreachBatch(lambda b, _: found.append([tuple(r) for r in b.collect()])).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        states.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert max(states) <= jobs.GROUPS
+    first, second = [x for x in found if x]
+    assert set(first) == {(*x, False) for x in loads[0]} and len(first) == 3001
+    assert set(second) == {(big + k, noon, 2.0, 2, True) for k in range(1, 10, 2)} | {(None, noon, 2.0, 2, True), (0, noon, 3.0, 1, False)}

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -55,42 +56,60 @@ def upsert_stream(rows: DataFrame, table: Table, checkpoint: str, update: list[s
     return rows.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Groups of keys, each with one state; the group of a key follows from its hash.
+GROUPS = 256
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    t, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
 def corrections(rows: DataFrame, key: str, time: str, value: str, version: str, look_back: str = "250 days") -> DataFrame:
     """A stream's new and corrected values: key, time, value, version and revised (there was one before).
 
     Rows (key, time, value, version) come in any order, and again with a higher version when they are corrected. The
-    state of a key holds its times in the look-back, ``look_back`` behind the newest time of all batches before; a row
+    state holds the times of a key in the look-back, ``look_back`` behind the newest time of all batches before; a row
     at or before that limit, and one with a null time, value or version, is dropped. Of a time that has a newer version than the state, or the same one with a higher value,
-    the newest row is emitted; other rows change nothing. The state of a key that gets no more rows goes with the limit.
+    the newest row is emitted; other rows change nothing. Keys are taken in ``GROUPS`` groups, whose rows of a batch meet the state in one
+    sort; the state of a group that gets no more rows goes with the limit.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    state = f"times array<long>, versions array<{kinds[version]}>, vals array<{kinds[value]}>"
-    out = f"{key} {kinds[key]}, __us long, {value} {kinds[value]}, {version} {kinds[version]}, revised boolean"
+    out = f"__none boolean, __key {kinds[key]}, __us long, __version {kinds[version]}, __value {kinds[value]}, revised boolean"
+    names, same = ["__none", "__key", "__us", "__version", "__value"], ["__none", "__key", "__us"]
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+    def step(_: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
         limit = held.getCurrentWatermarkMs() * 1000
-        old = {t: (v, x) for t, v, x in zip(*held.get) if t > limit} if held.exists else {}
-        new: dict = {}
-        for p in parts:
-            for t, v, x in zip(p["__us"].tolist(), p[version].tolist(), p[value].tolist()):
-                if t > limit and (t not in old or (v, x) > old[t]) and (t not in new or (v, x) > new[t]):
-                    new[t] = (v, x)
-        now = sorted((old | new).items())
-        if now:
-            held.update(([t for t, _ in now], [v for _, (v, _) in now], [x for _, (_, x) in now]))
-            held.setTimeoutTimestamp(max(now[-1][0], limit) // 1000 + 2)
-        elif held.exists:
-            held.remove()
-        if new:
-            t = sorted(new)
-            yield pd.DataFrame({key: k[0], "__us": t, value: [new[i][1] for i in t], version: [new[i][0] for i in t], "revised": [i in old for i in t]})
-
-    watched = rows.select(key, time, F.unix_micros(time).alias("__us"), value, version).dropna(subset=[time, value, version]).withWatermark(time, look_back)
-    emitted = watched.groupBy(key).applyInPandasWithState(step, out, state, "append", "EventTimeTimeout")
-    return emitted.select(key, F.timestamp_micros("__us").alias(time), value, version, "revised")
+        every = [p[names].assign(old=False) for p in parts]
+        if held.exists:
+            every.append(pa.ipc.open_stream(held.get[0]).read_pandas().assign(old=True))
+        d = pd.concat(every, ignore_index=True)
+        d = d[d["__us"] > limit].sort_values([*names, "old"])  # of equal rows the one that is there stays
+        if d.empty:
+            if held.exists:
+                held.remove()
+            return
+        d["revised"] = d.groupby(same, sort=False)["old"].transform("any")
+        now = d[~d.duplicated(same, keep="last")]
+        held.update((_packed(now[names]),))
+        held.setTimeoutTimestamp(max(int(now["__us"].max()), limit) // 1000 + 2)
+        new = now[~now["old"]]
+        if len(new):
+            yield new[[*names, "revised"]]
+
+    # a null key is a flag and some value, as pandas would make floats of whole numbers beside a null
+    blank = F.lit("1970-01-01" if kinds[key] in ("string", "binary", "date", "timestamp", "timestamp_ntz") else 0).cast(kinds[key])
+    watched = rows.dropna(subset=[time, value, version]).withWatermark(time, look_back).select(
+        F.pmod(F.hash(key), F.lit(GROUPS)).alias("__group"), F.col(key).isNull().alias("__none"), F.coalesce(F.col(key), blank).alias("__key"),
+        F.unix_micros(time).alias("__us"), F.col(version).alias("__version"), F.col(value).alias("__value"), time,
+    )
+    emitted = watched.groupBy("__group").applyInPandasWithState(step, out, "rows binary", "append", "EventTimeTimeout")
+    return emitted.select(F.when(~F.col("__none"), F.col("__key")).alias(key), F.timestamp_micros("__us").alias(time), F.col("__value").alias(value), F.col("__version").alias(version), "revised")
 
 
 def corrected(rows: DataFrame, key: str, time: str, value: str, version: str, batch: str, look_back: str = "250 days") -> DataFrame:
