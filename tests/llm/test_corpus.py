@@ -503,6 +503,21 @@ def test_model_is_a_distribution():
     assert (2.0**-w).sum() <= 1 + 1e-6 and (2.0**-two).sum() <= 1 + 1e-6
 
 
+def test_beginnings_of_words_are_priced_once(monkeypatch):
+    """Words that begin alike share the bits of their beginnings, and cost what each costs by itself, in any order."""
+    rng = random.Random(6)
+    words = sorted({b"\n", b"a", "stra\u00dfe".encode(), "stra\u00dfen".encode(), *("".join(rng.choices("ab", k=rng.randrange(1, 7))).encode() for _ in range(30))})
+    n0, n1 = (np.random.default_rng(s).random((lm_score.CONTEXTS, lm_score.SLOTS)).astype(np.float32) * 9 for s in (0, 1))
+    alone = np.array([lm_score._prices([w], n0, n1, lm_score.Mixer())[0] for w in words])
+    priced, final = [], lm_score.Mixer.final
+    monkeypatch.setattr(lm_score.Mixer, "final", lambda self, x, known: (priced.append(len(x)), final(self, x, known))[1])
+    assert lm_score._prices(words, n0, n1, lm_score.Mixer()) == pytest.approx(alone)
+    spelled = [w if w == b"\n" else w + b" " for w in words]
+    assert sum(priced) == 8 * len({w[: i + 1] for w in spelled for i in range(len(w))}) < 8 * sum(map(len, spelled))
+    mixed = rng.sample(range(len(words)), len(words))
+    assert lm_score._prices([words[i] for i in mixed], n0, n1, lm_score.Mixer()) == pytest.approx(alone[mixed])
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(4)
     texts, labels = [], []

@@ -79,13 +79,35 @@ class Words:
         contexts = [back[0] + np.uint64(256), back[0] | back[1] << np.uint64(8) | np.uint64(1 << 24), three | np.uint64(2 << 24), (three | back[3] << np.uint64(24)) * np.uint64(8) + np.uint64(5), prefix * np.uint64(2) + np.uint64(1)]
         self.contexts = [_mix(c) for c in contexts]
 
+    def bit(self, k: int, at: slice | np.ndarray = slice(None)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of bit ``k`` of the bytes ``at``: the bits known before with a one in front, the bit, and the slot of each context."""
+        byte = self.bytes[at]
+        known = (np.uint16(1) << np.uint16(k)) | (byte >> np.uint8(8 - k) if k else np.zeros(len(byte), np.uint8)).astype(np.uint16)
+        salt, slots = known.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), []
+        for c in self.contexts:
+            slot = c[at] + salt
+            slot *= np.uint64(0x9E3779B97F4A7C15)
+            slot >>= np.uint64(44)
+            slots.append(slot.view(np.int64))
+        return known, (byte >> np.uint8(7 - k)) & 1, slots
+
     def bits(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
         """bit number, the bits known before with a one in front, the bit, and the slot of each context."""
         for k in range(8):
-            known = (np.uint16(1) << np.uint16(k)) | (self.bytes >> np.uint8(8 - k) if k else np.zeros(len(self.bytes), np.uint8)).astype(np.uint16)
-            salt = known.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            slots = [((c + salt) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64) for c in self.contexts]
-            yield k, known, (self.bytes >> np.uint8(7 - k)) & 1, slots
+            yield k, *self.bit(k)
+
+    def sources(self) -> np.ndarray:
+        """Of each byte the first one in a run of consecutive words that all begin with the same bytes up to it."""
+        start = np.cumsum(self.size) - self.size
+        before = np.concatenate([np.zeros(1, np.int64), self.size])[:-1]
+        last = np.repeat(start - before, self.size) + self.place  # the same place of the word before
+        differs = (self.place >= before[self.word]) | (self.bytes != self.bytes[np.minimum(last, len(self.bytes) - 1)])
+        so_far = np.cumsum(differs)
+        fresh = so_far > (so_far - differs)[start][self.word]
+        by_place = np.argsort(self.place, kind="stable")
+        out = np.empty(len(self.bytes), np.int64)
+        out[by_place] = by_place[np.maximum.accumulate(np.where(fresh[by_place], np.arange(len(by_place)), 0))]
+        return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -98,7 +120,7 @@ def _odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def _level(n: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.array([1, 2, 5, 30]), n, "right")
+    return sum((n >= x).view(np.uint8) for x in (1, 2, 5, 30))
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -120,9 +142,9 @@ class Mixer:
         """Probability of a one: the mean of the mixed one and the table's, between two steps."""
         at = (x + LIMIT) * ((STEPS - 1) / (2 * LIMIT))
         low = np.minimum(at.astype(np.int64), STEPS - 2)
-        part = at - low
-        rate = self.table[0] / self.table[1]
-        p = (_squash(x) + rate[low, known] * (1 - part) + rate[low + 1, known] * part) / 2
+        part, cell = at - low, low * 256 + known
+        rate = (self.table[0] / self.table[1]).ravel()
+        p = (_squash(x) + rate[cell] * (1 - part) + rate[cell + 256] * part) / 2
         return np.clip(p, 1e-6, 1 - 1e-6)
 
     def learn(self, gate: np.ndarray, odds: np.ndarray, known: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
@@ -140,17 +162,21 @@ class Mixer:
 
 
 def _prices(words: list[bytes], n0: np.ndarray, n1: np.ndarray, mixer: Mixer) -> np.ndarray:
-    """Bits that each word costs."""
-    out = np.zeros(len(words))
+    """Bits that each word costs. What a word's beginning costs is taken over from the word before if it has it too."""
+    out, table, level = np.zeros(len(words)), _odds(n0, n1), _level(n0[-1] + n1[-1])
     for i in range(0, len(words), 50_000):
         w = Words(words[i : i + 50_000])
-        cost = np.zeros(len(w.bytes))
-        for _, known, bit, slots in w.bits():
-            zeros, ones = [n0[c][s] for c, s in enumerate(slots)], [n1[c][s] for c, s in enumerate(slots)]
-            gate = w.near * LEVELS + _level(zeros[-1] + ones[-1])
-            p = mixer.final(mixer.mixed(gate, np.stack([_odds(a, b) for a, b in zip(zeros, ones)], 1)), known)
-            cost -= np.log2(np.where(bit == 1, p, 1 - p))
-        out[i : i + len(w.size)] = np.bincount(w.word, cost, minlength=len(w.size))
+        source, chance = w.sources(), np.ones(len(w.bytes))
+        fresh = np.flatnonzero(source == np.arange(len(source)))
+        for j in range(0, len(fresh), BATCH):
+            at = fresh[j : j + BATCH]
+            near, p = w.near[at] * LEVELS, np.ones(len(at))
+            for k in range(8):
+                known, bit, slots = w.bit(k, at)
+                one = mixer.final(mixer.mixed(near + level[slots[-1]], np.stack([table[c][s] for c, s in enumerate(slots)], 1)), known)
+                p *= np.abs(one - (1 - bit))  # of a zero, what is left of one
+            chance[at] = p
+        out[i : i + len(w.size)] = np.bincount(w.word, -np.log2(chance)[source], minlength=len(w.size))
     return out
 
 
@@ -177,17 +203,19 @@ class WordModel:
         """Gate and log odds of each bit."""
         if self.ready is not None:
             return wordmix.gates(self.ready[1][0][slots[1]], self.ready[1][1][slots[2]], depth), [self.ready[0][c][x] for c, x in enumerate(slots)]
-        prior, odds, seen = np.float32(wordmix.PRIOR), [], []
-        for c, x in enumerate(slots):
+        prior, nodes = np.float32(wordmix.PRIOR), len(self.code.words) + 1
+        zeros, ones = self.counts[0, : 2 * nodes : 2], self.counts[0, 1 : 2 * nodes : 2]
+        odds, seen = [np.log((ones + prior) / (zeros + prior))[slots[0]]], []  # of all nodes, which are fewer than the bits
+        for c, x in enumerate(slots[1:], 1):
             both = self.counts[c].view(np.complex64)[x]  # a slot's zeros and ones in one look
             zeros, ones = both.real, both.imag
             odds.append(np.log((ones + prior) / (zeros + prior)))
-            seen.append(zeros + ones)
-        return wordmix.gates(wordmix.levels(seen[1]), wordmix.levels(seen[2]), depth), odds
+            seen.append(wordmix.levels(zeros + ones))
+        return wordmix.gates(*seen, depth), odds
 
     def _mixed(self, gate: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
-        w = self.mixer.weights.astype(np.float32)
-        return np.clip(sum(w[:, c][gate] * x for c, x in enumerate(odds)), -LIMIT, LIMIT)
+        w = np.ascontiguousarray(self.mixer.weights.T, np.float32)
+        return np.clip(sum(w[c][gate] * x for c, x in enumerate(odds)), -LIMIT, LIMIT)
 
     def read(self, symbol: np.ndarray, context: np.ndarray, first: np.ndarray) -> None:
         """Learn from texts in turn: predict, adapt the weights, count."""
@@ -202,15 +230,22 @@ class WordModel:
                 g, o = gate[b], [x[b] for x in odds]
                 x = self._mixed(g, o)
                 error = bit[b] - 1 / (1 + np.exp(-x))
-                mass = np.bincount(g, minlength=len(m.weights))
+                cell = np.rint((x + np.float32(LIMIT)) * scale).astype(np.int64) * 256 + g
+                seen = np.bincount(2 * cell + bit[b], minlength=2 * STEPS * 256).reshape(STEPS, 256, 2)
+                both = seen.sum(2)
+                mass = both.sum(0)[: len(m.weights)]
                 # as many steps as the batch has parts of BATCH bits
                 step = np.stack([np.bincount(g, error * v, minlength=len(m.weights)) for v in o], 1) / np.maximum(mass, 1)[:, None]
                 m.weights += RATE * (len(x) / BATCH) * step
-                cell = np.rint((x + np.float32(LIMIT)) * scale).astype(np.int64) * 256 + g
-                m.table[1] += np.bincount(cell, minlength=STEPS * 256).reshape(STEPS, 256)
-                m.table[0] += np.bincount(cell[bit[b] == 1], minlength=STEPS * 256).reshape(STEPS, 256)
+                m.table[1] += both
+                m.table[0] += seen[..., 1]
             for c, x in enumerate(slots):
-                np.add.at(self.counts[c], 2 * x + bit, np.float32(1))
+                at = 2 * x + bit
+                if c:
+                    np.add.at(self.counts[c], at, np.float32(1))
+                else:
+                    nodes = 2 * (len(self.code.words) + 1)
+                    self.counts[c, :nodes] += np.bincount(at, minlength=nodes)
             self.seen += len(symbol[s])
             if self.seen >= FRESH:
                 self.fold()
@@ -228,9 +263,9 @@ class WordModel:
             low = np.minimum(at.astype(np.int64), STEPS - 2)
             part, cell = at - low.astype(np.float32), low * 256 + gate
             p = (1 / (1 + np.exp(-x)) + rate[cell] * (1 - part) + rate[cell + 256] * part) / 2
-            p = np.clip(np.where(bit == 1, p, 1 - p), np.float32(1e-6), np.float32(1 - 1e-6))
-            out[s] = np.bincount(token, -np.log2(p), minlength=len(symbol[s]))
-        return out
+            p = np.clip(np.abs(p - (1 - bit)), np.float32(1e-6), np.float32(1 - 1e-6))  # of a zero, what is left of one
+            out[s] = np.bincount(token, -np.log(p), minlength=len(symbol[s]))
+        return out / np.log(2)
 
 
 def _with_ends(x: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +278,10 @@ _TABLE = "chunk long, words binary, counts binary, n long, v long, once long, tw
 _SUMS = "part int, task int, sums binary"
 
 
+def _plain(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def _chunk_of(words: list[bytes], chunks: int) -> np.ndarray:
     return (np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) % np.uint64(chunks)).astype(np.int64)
 
@@ -334,22 +373,25 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     t = t.select(F.pmod(F.xxhash64("doc_id", F.length("text"), "text"), F.lit(blocks(chars, block_chars))).alias("block"), "doc_id", held.alias("held_out"), "text")
 
-    def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Codes of the words, offsets, distinct words, and the words' order by chunk."""
+    def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], dict[int, np.ndarray]]:
+        """Codes of the words, offsets, distinct words, and the numbers of each chunk's words in their order."""
         codes, offsets, words = split(pc.ascii_lower(table.column("text")))
-        words = words.cast(pa.binary()).to_pylist() + [b"\n"]
-        return codes, offsets, words, _chunk_of(words, chunks)
+        words = pa.concat_arrays([words.cast(pa.binary()), pa.array([b"\n"])])
+        by_name, words = pc.sort_indices(words).to_numpy().astype(np.int64), _plain(words)
+        chunk = _chunk_of(words, chunks)[by_name]
+        by_chunk = np.argsort(chunk, kind="stable")
+        chunk, parts = chunk[by_chunk], by_name[by_chunk]
+        ends = np.flatnonzero(np.diff(chunk)) + 1
+        return codes, offsets, words, dict(zip(chunk[np.concatenate([[0], ends])].tolist(), np.split(parts, ends)))
 
     def send(table: pa.Table) -> pa.Table:
-        codes, offsets, words, chunk = tokens(table)
+        codes, offsets, words, parts = tokens(table)
         learnt = ~table.column("held_out").to_numpy()
         count = np.bincount(codes[learnt[owner(offsets)]], minlength=len(words))
         count[-1] = learnt.sum()
         out = []
-        for c in np.unique(chunk):
-            mine = np.flatnonzero(chunk == c)
-            mine = np.array(sorted(mine, key=words.__getitem__))
-            out.append((table.column("block")[0].as_py(), int(c), _text([words[i] for i in mine]), _zip(count[mine].astype(np.uint32).tobytes())))
+        for c, mine in parts.items():
+            out.append((table.column("block")[0].as_py(), c, _text([words[i] for i in mine.tolist()]), _zip(count[mine].astype(np.uint32).tobytes())))
         return _arrow(_MESSAGE, out)
 
     def add(table: pa.Table) -> pa.Table:
@@ -359,7 +401,7 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
             total[c] += np.frombuffer(_unzip(x), np.uint32)
         by_name = pc.sort_indices(words).to_numpy()  # the order of messages is left to chance
         words, total = words.take(pa.array(by_name)), total[by_name]
-        return _arrow(_TABLE, [(table.column("chunk")[0].as_py(), _text(words.to_pylist()), total.astype(np.int64).tobytes(), int(total.sum()), *(int(x.sum()) for x in (total > 0, total == 1, total == 2)))])
+        return _arrow(_TABLE, [(table.column("chunk")[0].as_py(), _text(_plain(words)), total.astype(np.int64).tobytes(), int(total.sum()), *(int(x.sum()) for x in (total > 0, total == 1, total == 2)))])
 
     sent = written(t.groupBy("block").applyInArrow(send, _MESSAGE), "lm-words")
     table = written(sent.groupBy("chunk").applyInArrow(add, _TABLE), "lm-counts")
@@ -383,7 +425,7 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
             model.mixer, tokens = Mixer(gates=wordmix.GATES, contexts=wordmix.CONTEXTS), 0
             for piece in pieces(run):
                 codes, offsets, words = split(pc.ascii_lower(piece.column("text")))
-                symbol, context = code.ids(words.cast(pa.binary()).to_pylist() + [b"\n"])
+                symbol, context = code.ids([*_plain(words.cast(pa.binary())), b"\n"])
                 word, starts = _with_ends(codes, offsets, len(words))
                 model.read(symbol[word], context[word], starts)
                 tokens += len(word)
@@ -418,15 +460,15 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
                 yield words[i : i + 50_000]
 
     def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, CONTEXTS, SLOTS))
+        flat = np.zeros(2 * CONTEXTS * SLOTS)
         for batch in batches:
             for words in seen(batch):
                 for _, _, bit, slots in Words(words).bits():
+                    of_bit = bit * np.int64(CONTEXTS * SLOTS)
                     for c, s in enumerate(slots):
-                        for b in (0, 1):
-                            sums[b, c] += np.bincount(s[bit == b], minlength=SLOTS)
-        if sums.any():
-            flat = sums.reshape(2, -1)
+                        np.add.at(flat, s + (of_bit + c * SLOTS), 1.0)
+        if flat.any():
+            flat = flat.reshape(2, -1)
             yield from _sums([(r, flat[:, r * RANGE : (r + 1) * RANGE]) for r in range(CONTEXTS * SLOTS // RANGE)])
 
     # The model is a table of fixed size: CONTEXTS * SLOTS pairs of 32-bit counts, 40 MB.
@@ -436,19 +478,24 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
     tables = spark.sparkContext.broadcast((n0.reshape(CONTEXTS, SLOTS), n1.reshape(CONTEXTS, SLOTS)))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (n0, n1), first, mass = tables.value, Mixer(), 0
+        n0, n1 = tables.value
+        both, first, mass = np.empty(n0.shape, np.complex64), Mixer(), 0  # a slot's zeros and ones in one look
+        both.real, both.imag = n0, n1
         weights, table = np.zeros_like(first.weights), np.zeros_like(first.table)
         for batch in batches:
             for row in range(batch.num_rows):
                 mixer, learnt = Mixer(), 0
                 for words in seen(batch.slice(row, 1)):
                     w = Words(words)
-                    for _, known, bit, slots in w.bits():
-                        # what is known of the other words: one count less for the bit that comes
-                        zeros = [np.maximum(n0[c][s] - (bit == 0), 0) for c, s in enumerate(slots)]
-                        ones = [np.maximum(n1[c][s] - (bit == 1), 0) for c, s in enumerate(slots)]
-                        gate = w.near * LEVELS + _level(zeros[-1] + ones[-1])
-                        mixer.learn(gate, np.stack([_odds(a, b) for a, b in zip(zeros, ones)], 1), known, bit, np.ones(len(bit)))
+                    for k in range(8):
+                        for i in range(0, len(w.bytes), BATCH):
+                            at = slice(i, i + BATCH)
+                            known, bit, slots = w.bit(k, at)
+                            # what is known of the other words: one count less for the bit that comes
+                            zero, pairs = bit == 0, [both[c][s] for c, s in enumerate(slots)]
+                            zeros, ones = [np.maximum(x.real - zero, 0) for x in pairs], [np.maximum(x.imag - bit, 0) for x in pairs]
+                            gate = w.near[at] * LEVELS + _level(zeros[-1] + ones[-1])
+                            mixer.learn(gate, np.stack([_odds(a, b) for a, b in zip(zeros, ones)], 1), known, bit, np.ones(len(bit)))
                     learnt += len(words)
                 weights, table, mass = weights + mixer.weights * learnt, table + mixer.table - first.table, mass + learnt
         if mass:
@@ -477,10 +524,10 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_chars: int = CH
         names = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, bits double, bytes long"
         if not table.num_rows:
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())], [x.split()[0] for x in names.split(", ")])
-        codes, offsets, words, chunk = tokens(table)
+        codes, offsets, words, parts = tokens(table)
         count, price = np.zeros(len(words)), np.zeros(len(words))
         for c, counts, prices in zip(*(replies.column(x).to_pylist() for x in ("chunk", "counts", "prices"))):
-            mine = np.array(sorted(np.flatnonzero(chunk == c), key=words.__getitem__))
+            mine = parts[c]
             count[mine], price[mine] = np.frombuffer(_unzip(counts), np.int64), np.frombuffer(_unzip(prices), np.float32)
         doc, rows = owner(offsets), table.num_rows
         symbol, context = code.ids(words)

@@ -9,6 +9,7 @@ odds; a gate picks the weights by how often the longer contexts have been seen.
 from __future__ import annotations
 
 import heapq
+from itertools import repeat
 
 import numpy as np
 
@@ -42,13 +43,9 @@ class Code:
                 i = parent[i]
             paths.append(path[::-1])
         self.size = np.array([len(p) for p in paths])
-        self.nodes, self.bits = np.zeros((n, int(self.size.max())), np.int64), np.zeros((n, int(self.size.max())), np.uint8)
-        for i, p in enumerate(paths):
-            self.nodes[i, : len(p)] = [x for x, _ in p]
-            self.bits[i, : len(p)] = [b for _, b in p]
-        there = np.arange(self.bits.shape[1]) < self.size[:, None]
         self.start = np.cumsum(self.size) - self.size
-        self.flat_nodes, self.flat_bits = self.nodes[there].astype(np.int32), self.bits[there]
+        # all codes one after another: node, place in the code (0 to 3 and further) and bit in one number
+        self.flat = np.array([x << 3 | min(i, 3) << 1 | b for p in paths for i, (x, b) in enumerate(p)], np.int32)
 
     @property
     def escape(self) -> int:
@@ -57,8 +54,10 @@ class Code:
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbol of each word, and the id that stands for it as a context."""
         at = {w: i for i, w in enumerate(self.words)}
-        symbol = np.array([at.get(w, self.escape) for w in words], np.int64)
-        ending = np.array([(w[-1] << 8) | (w[-2] if len(w) > 1 else 0) for w in words], np.int64)
+        symbol = np.fromiter(map(at.get, words, repeat(self.escape)), np.int64, len(words))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        text, end = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(size)
+        ending = (text[end - 1] << 8) | np.where(size > 1, text[end - 2], 0)
         return symbol, np.where(symbol == self.escape, ending, ENDINGS + 2 + symbol)
 
 
@@ -70,24 +69,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def events(code: Code, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of each bit of the symbols' codes: token, place in the code (0 to 3 and further), bit, and the slot of each context."""
     n = code.size[symbol]
-    token = np.repeat(np.arange(len(symbol)), n)
-    depth = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-    at = code.start[symbol][token] + depth
-    node, bit = code.flat_nodes[at], code.flat_bits[at]
+    token, end = np.repeat(np.arange(len(symbol)), n), np.cumsum(n)
+    at = np.arange(len(token))
+    at += np.repeat(code.start[symbol] - end + n, n)
+    found = code.flat[at]
+    node = (found >> 3).astype(np.int64)
     a, b = _mix(one.astype(np.uint64) + np.uint64(1)), _mix(two.astype(np.uint64) + np.uint64(1 << 40))
-    salt = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    slots = [node.astype(np.int64)] + [((salt + x[token]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(44)).astype(np.int64) for x in (a, a * np.uint64(3) + b)]
-    return token, np.minimum(depth, 3), bit, slots
+    salt, slots = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), [node]
+    for x in (a, a * np.uint64(3) + b):
+        slot = np.repeat(x, n)
+        slot += salt
+        slot *= np.uint64(0xD6E8FEB86659FD93)
+        slot >>= np.uint64(44)
+        slots.append(slot.view(np.int64))
+    return token, (found >> 1) & 3, (found & 1).astype(np.uint8), slots
 
 
 def levels(seen: np.ndarray) -> np.ndarray:
     """How often a context has been seen, as a level."""
-    return sum((seen >= x).astype(np.uint8) for x in LEVELS.tolist())
+    return sum((seen >= x).view(np.uint8) for x in LEVELS.tolist())
 
 
 def gates(first: np.ndarray, second: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """The gate of each bit from the levels of its second and third context."""
-    return (first.astype(np.int64) * (len(LEVELS) + 1) + second) * 4 + depth
+    return ((first * np.uint8(len(LEVELS) + 1) + second) * np.uint8(4) + depth).astype(np.int64)
 
 
 def before(context: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
