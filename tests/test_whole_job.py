@@ -44,3 +44,35 @@ def test_weights_at_their_best_threshold(spark):
         s = (w[0] * x[:, 0] + w[1] * x[:, 1] + w[2] * x[:, 2]) / 10
         f1 = [2 * (y & (s > t)).sum() / (y.sum() + (s > t).sum()) for t in np.linspace(0, s.max() + 1e-6, 40)]
         assert r.f1 == pytest.approx(max(f1)) and f1[r.step] == pytest.approx(max(f1))
+
+
+def test_recall_comes_with_the_share_of_candidates(spark):
+    """Candidates of every query against all pairs of codes; of fewer neighbours than asked for all count, and a query without any keeps its row."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(120, 64))
+    v[50:60] = v[3]
+    code = (np.einsum("nw,tbw->ntb", v, np.array(vectors.normal_planes(5))) > 0) @ (1 << np.arange(12))
+    near = (np.bitwise_count(code[:, None] ^ code[None, :]) <= 2).any(2)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    q = d.where("id % 20 = 0 OR id = 3").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    got = {r.query_id: r.candidate_share for r in vectors.lsh_share(q, d, 5).collect()}
+    assert got == {i: pytest.approx((near[i].sum() - 1) / 119) for i in (0, 3, 20, 40, 60, 80, 100)} and got[3] >= 10 / 119
+    few = d.where("id < 4")
+    exact = vectors.nearest(q, few, 10)
+    assert {r.query_id: r.recall for r in vectors.recall(exact, exact).collect()}[0] == 1
+    assert {r.query_id: r.recall for r in vectors.recall(exact, exact.where("rank > 1")).collect()}[0] == pytest.approx(2 / 3)
+    assert [tuple(r) for r in vectors.lsh_share(q.where("query_id = 0"), d.where("id = 0"), 5).collect()] == [(0, None)]
+
+
+def test_lsh_recall_tells_what_it_visits(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    rows = texts.lsh_recall(spark, sf).collect()
+    v = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    ids = sorted(v)
+    code = (np.einsum("nw,tbw->ntb", np.array([v[i] for i in ids]), np.array(vectors.normal_planes(40))) > 0) @ (1 << np.arange(12))
+    for r in rows[:5]:
+        hit = (np.bitwise_count(code ^ code[ids.index(r.query_id)]) <= 2).any(1)
+        assert r.candidate_share == pytest.approx((hit.sum() - 1) / (len(ids) - 1), abs=1e-6)
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 4").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = (np.bitwise_count(code[ids.index(0)] ^ code[[ids.index(i) for i in (1, 2, 3)]]) <= 2).any(1).mean()  # of three neighbours
+    assert [tuple(r) for r in texts.lsh_recall(spark, str(tmp_path)).collect()] == [(0, pytest.approx(found, abs=1e-6), pytest.approx(found, abs=1e-6))]
