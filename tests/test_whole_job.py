@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as sc
-from tidemark.operators import text, vectors
+from tidemark.operators import latent, text, vectors
 from tidemark.plans import loads, texts
+from tidemark.sources import tables
 
 
 def test_planes_have_full_rank():
@@ -76,3 +77,77 @@ def test_lsh_recall_tells_what_it_visits(spark, tmp_path):
     spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 4").write.parquet(str(tmp_path / "embeddings.parquet"))
     found = (np.bitwise_count(code[ids.index(0)] ^ code[[ids.index(i) for i in (1, 2, 3)]]) <= 2).any(1).mean()  # of three neighbours
     assert [tuple(r) for r in texts.lsh_recall(spark, str(tmp_path)).collect()] == [(0, pytest.approx(found, abs=1e-6), pytest.approx(found, abs=1e-6))]
+
+
+def _weights(rows, m):
+    """The keys of ``latent.weights`` and its matrix."""
+    out, rows = np.zeros((len(rows), m)), sorted(rows)
+    for x, r in zip(out, rows):
+        x[r.i] = r.w
+    return [r[0] for r in rows], out
+
+
+def test_embed_has_all_terms_and_directions(spark):
+    """The vectors of a table of texts are those of 128 directions of 8000 terms."""
+    sf = "/root/testdata/sf0.001"
+    news = tables.news(spark, sf)
+    got = {r.news_id: np.array(r.v) for r in texts.tfidf_svd_embed(spark, sf).collect()}
+    keys, m = _weights(latent.weights(news, "news_id", latent.vocabulary(news, 8000)).collect(), 8000)
+    assert sorted(got) == keys and {len(v) for v in got.values()} == {128} and (m.sum(0) > 0).all()
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    x = u[:, :128] * s[:128]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.array([got[i] for i in keys])
+    np.testing.assert_allclose(y @ y.T, x @ x.T, atol=1e-5)
+
+
+@pytest.fixture(scope="module")
+def flat(spark):
+    """Random texts, whose directions are of much the same strength, and their weights as a matrix."""
+    rng = np.random.default_rng(5)
+    d = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 500, rng.integers(3, 12)))) for i in range(700)], "id long, text string").cache()
+    words = latent.vocabulary(d, 500)
+    return d, _weights(latent.weights(d, "id", words).collect(), words.count())[1]
+
+
+def _residual(model, m):
+    v = np.array([r.v for r in sorted(model.collect(), key=lambda r: r.i)])
+    image = m.T @ (m @ v)
+    np.testing.assert_allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-8)
+    return np.linalg.norm(image - v * (v * image).sum(0), axis=0).max() / np.linalg.eigvalsh(m.T @ m)[-1], (v * image).sum(0)
+
+
+def test_rounds_go_on_until_directions_settle(flat):
+    d, m = flat
+    rest, strength = _residual(latent.fit(d, 500, 20), m)
+    assert rest <= 1.01e-4
+    np.testing.assert_allclose(strength, np.linalg.eigvalsh(m.T @ m)[::-1][:20], rtol=1e-3)
+
+
+def test_rounds_begin_again_from_the_best(flat, monkeypatch):
+    """With room for few blocks the same directions; those that do not settle are an error."""
+    d, m = flat
+    monkeypatch.setattr(latent, "BLOCK", 8)
+    monkeypatch.setattr(latent, "HELD", 2)
+    rest, strength = _residual(latent.fit(d, 500, 20), m)
+    assert rest <= 1.01e-4
+    np.testing.assert_allclose(strength, np.linalg.eigvalsh(m.T @ m)[::-1][:20], rtol=1e-3)
+    monkeypatch.setattr(latent, "ROUNDS", 4)
+    with pytest.raises(ValueError, match="settled"):
+        latent.fit(d, 500, 20)
+
+
+@pytest.mark.parametrize("often,at_once", [(0, 3), (5, 3), (40, 100)])
+def test_frequent_terms_as_a_matrix(often, at_once, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(latent, "OFTEN", often)
+    monkeypatch.setattr(latent, "AT_ONCE", at_once)
+    rng = np.random.default_rng(4)
+    m, v = (rng.random((10, 30)) < 0.3) * rng.random((10, 30)), rng.normal(size=(30, 4))
+    m[4] = 0
+    b = pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(x).astype(np.int32) for x in m], pa.list_(pa.int32())), pa.array([x[x > 0] for x in m], pa.list_(pa.float64()))], ["i", "w"])
+    total = np.ones((30, 4))
+    np.testing.assert_allclose(latent._project(b, v, total), m @ v, atol=1e-12)
+    np.testing.assert_allclose(total, 1 + m.T @ (m @ v), atol=1e-12)
+    np.testing.assert_allclose(latent._project(b.slice(3, 5), v), m[3:8] @ v, atol=1e-12)
